@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import bpe, decontam, secrets, simhash
+from runloom.llm import bpe, decontam, embeddings, html_text, langid, ngram_lm, pii, secrets, simhash, toxicity
 from runloom.llm.common import table
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The pseudonym key: the session's ``spark.runloom.pii.key``, or a fixed one for trials."""
+    return spark.conf.get("spark.runloom.pii.key", "runloom trial key").encode()[:64]
+
+
+def op1_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embeddings.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op2_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -26,6 +36,26 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted", *[F.col("counts")[i].alias(f"n_{p}") for i, p in enumerate(toxicity.PATTERNS)])
+
+
+def op6_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.transform(table(spark, sf_dir, "documents", "doc_id", "text"), pii_key(spark))
+    n = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", F.size("pii").cast("long").alias("n_found"), *map(n, pii.KINDS), "text")
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id", "html", "url")
+    return out.select(F.col("id").alias("page_id"), "url", "text", "n_chars")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -47,8 +77,18 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = langid.fit(table(spark, sf_dir, "documents", "text", "lang"))
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    out = langid.identify(pages, models, "page_id", "html", *langid.page_columns(), html=True)
+    return out.select(F.col("id").alias("page_id"), "lang", F.round("posterior", 6).alias("posterior"), "declared", "address", "host", "n_trigrams")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_pigeonring, op3_decontamination, op8_byte_bpe, op9_secret_ledger)}
+    return {f.__name__: f for f in (
+        op1_sorted_projections, op2_simhash_pigeonring, op3_decontamination, op4_ngram_trie, op5_toxicity_grammar,
+        op6_pii_feistel, op7_main_text, op8_byte_bpe, op9_secret_ledger, op10_language_fusion,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
