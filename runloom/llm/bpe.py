@@ -16,12 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pre-tokens whose ids a worker remembers; beyond it starts over. Only speed depends on it.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
+#: Text that is split into pre-tokens at a time.
+GROUP_BYTES = 4 << 20
 
 
 class RankQueue:
@@ -202,17 +205,9 @@ class Tokenizer:
             return self._split(text)
         return self._split_latin(text)
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the ids, as little-endian unsigned 32-bit integers."""
-        held: list[list[str]] = []
-        size = 0
-        for text in texts:
-            held.append(self.split(text or ""))
-            size += len(text or "")
-            if size > 1 << 23:
-                yield from self._encode(held)
-                held, size = [], 0
-        yield from self._encode(held)
+        return self._encode([self.split(text or "") for text in texts])
 
     def _encode(self, held: list[list[str]]) -> list[bytes]:
         if len(self.cache) > CACHE_ENTRIES:
@@ -249,29 +244,41 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return _loaded[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``GROUP_BYTES`` of text; a longer text is a slice of its own."""
+    sizes = np.array([x or 0 for x in pc.binary_length(batch.column(1)).to_pylist()], dtype=np.int64)
+    of = np.cumsum(sizes) // GROUP_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """Per row of ``docs``: ``id, n_tokens, ids binary, decoded binary, ids_sha256, decoded_sha256``.
 
     The vocabulary file is opened by each worker at ``path``, a folder of the Python installation. Null
     counts as the empty text, which has no tokens. Rows keep no order and no state, so repeated rows
-    give repeated results; other columns are not read. ``with_ids=False`` leaves ids and decoded bytes
-    null and keeps their digests.
+    give repeated results; other columns are not read. ``with_ids=False`` and ``with_decoded=False``
+    leave those bytes null and keep their digests. A task holds the pre-tokens of ``GROUP_BYTES`` of
+    text, or of one text, at a time.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, pattern)
-        for b in batches:
-            n, ids, decoded, a, d = [], [], [], [], []
-            for got in t.encode_all(b.column(1).to_pylist()):
+        for b in (g for batch in batches for g in _groups(batch)):
+            n, decoded, a, d = [], [], [], []
+            ids = t.encode_all(b.column(1).to_pylist())
+            for got in ids:
                 back = t.decode(got)
                 n.append(len(got) // 4)
                 a.append(hashlib.sha256(got).hexdigest())
                 d.append(hashlib.sha256(back).hexdigest())
-                ids.append(got if with_ids else None)
-                decoded.append(back if with_ids else None)
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()), pa.array(a), pa.array(d)]
+                decoded.append(back if with_decoded else None)
+            kept = ids if with_ids else [None] * len(ids)
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(kept, pa.binary()), pa.array(decoded, pa.binary()), pa.array(a), pa.array(d)]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string")
