@@ -49,8 +49,11 @@ _MAIN = frozenset("article articlebody content main entry post story blog text b
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _CLOSES_P = _BLOCKS - {"body", "html", "option", "optgroup"}
 
+#: Attributes are read up to bounded lengths, so that broken markup takes linear time.
 _MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attr2>[^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:_-]{0,60}+)(?P<attr>(?:[^<>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'){0,99}+)>"
+    r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:_-]{0,60}+)(?P<attr2>[^<>]*+)>",
     re.S,
 )
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -191,6 +194,23 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def _nearest(found: list[Block], labels: list[str], skip: tuple[str, ...], back: bool = False, own: bool = True) -> list[str]:
+    """Of each block the label of the nearest block before it (or after) that isn't in ``skip``.
+
+    Blocks of the main text look only among each other if ``own``; where there is none, theirs is good and
+    that of the others bad.
+    """
+    out = [""] * len(found)
+    last, last_main = "bad", "good"
+    for i in range(len(found) - 1, -1, -1) if back else range(len(found)):
+        out[i] = last_main if found[i].main and own else last
+        if labels[i] not in skip:
+            last = labels[i]
+            if found[i].main:
+                last_main = labels[i]
+    return out
+
+
 def classify(found: list[Block]) -> list[Block]:
     """Set the label of every block to good or bad."""
     for b in found:
@@ -212,32 +232,23 @@ def classify(found: list[Block]) -> list[Block]:
             else:
                 b.label = "bad"
     first = [b.label for b in found]
-    n = len(found)
-
-    def nearest(i: int, step: int, skip: tuple[str, ...]) -> str:
-        j = i + step
-        while 0 <= j < n:
-            if first[j] not in skip and not (found[i].main and not found[j].main):
-                return first[j]
-            j += step
-        return "good" if found[i].main else "bad"
-
+    before, after = _nearest(found, first, ("short", "near")), _nearest(found, first, ("short", "near"), back=True)
+    before_near, after_near = _nearest(found, first, ("short",)), _nearest(found, first, ("short",), back=True)
     for i, b in enumerate(found):
         if first[i] == "short":
-            sides = {nearest(i, -1, ("short", "near")), nearest(i, 1, ("short", "near"))}
+            sides = {before[i], after[i]}
             if b.main:
                 b.label = "bad" if sides == {"bad"} else "good"
-            elif sides == {"good"}:
-                b.label = "good"
-            elif sides == {"bad"}:
-                b.label = "bad"
+            elif len(sides) == 1:
+                b.label = before[i]
             else:
-                b.label = "good" if "near" in (nearest(i, -1, ("short",)), nearest(i, 1, ("short",))) else "bad"
+                b.label = "good" if "near" in (before_near[i], after_near[i]) else "bad"
     second = [b.label for b in found]
+    before, after = _nearest(found, second, ("near",), own=False), _nearest(found, second, ("near",), back=True, own=False)
+    some = "good" in second
     for i, b in enumerate(found):
         if second[i] == "near":
-            around = [next((second[j] for j in r if second[j] != "near"), "bad") for r in (range(i - 1, -1, -1), range(i + 1, n))]
-            b.label = "bad" if around == ["bad", "bad"] and any(x == "good" for x in second) else "good"
+            b.label = "bad" if some and before[i] == after[i] == "bad" else "good"
     for i, b in enumerate(found):
         if b.heading and b.label == "bad" and first[i] == "short":
             distance = 0
