@@ -27,6 +27,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hashed_sample(df: DataFrame, columns: list[str], rows: int, total: int | None = None) -> DataFrame:
+    """About ``rows`` rows of ``df``: those whose hash over ``columns`` falls below that share of all values.
+
+    The same rows in any order and partitioning; nothing is sorted or moved. ``total`` is the number of
+    rows, counted if it isn't given.
+    """
+    total = df.count() if total is None else total
+    if total <= rows:
+        return df
+    return df.where(F.xxhash64(*columns) < -(1 << 63) + (1 << 64) * rows // total)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 

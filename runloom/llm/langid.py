@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.common import checkpointed
+from runloom.llm.common import checkpointed, hashed_sample
 
-#: Labelled rows, in the order of a hash of their text, that the trigram models are fitted on.
+#: Labelled rows, about, that the trigram models are fitted on, chosen by a hash of all their columns.
 SAMPLE_ROWS = 4_000
 #: Slots that byte trigrams are hashed to, pseudo-count of a slot.
 SLOTS, SMOOTH = 1 << 16, 0.05
@@ -52,19 +52,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = sums.setdefault(lang, np.zeros(SLOTS, dtype=np.int64))
             n += np.bincount(slots(text), minlength=SLOTS)
     for lang, n in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n.tobytes()], pa.binary())], names=["lang", "n"])
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())], names=["lang", "slot", "n"])
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
     """Log-likelihoods per language and slot, from a bounded sample of whole labelled texts.
 
-    Rows without a text or language are left out; without any labelled row there are no languages.
+    Rows without a text or language are left out; without any labelled row there are no languages. Pass a
+    column that tells rows apart (an id), so that copies of one text are chosen one by one. Texts stay
+    where they are: each task counts the slots of its own chosen rows, and only counts, of ``SLOTS``
+    slots per language and task, are moved.
     """
-    rows = labelled.select(F.lower(F.trim(F.col(lang_col).cast("string"))).alias("lang"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL AND lang <> ''")
-    sample = rows.orderBy(F.xxhash64("t"), "lang").limit(sample_rows)
+    told = F.lower(F.trim(F.col(lang_col).cast("string"))) != ""
+    chosen = hashed_sample(labelled.where(told), labelled.columns, sample_rows, labelled.where(told).select(lang_col).count())
+    rows = chosen.select(F.lower(F.trim(F.col(lang_col).cast("string"))).alias("lang"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
+    counted = rows.mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     sums: dict[str, np.ndarray] = {}
-    for r in sample.mapInArrow(_count, "lang string, n binary").collect():
-        sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.n, dtype=np.int64)
+    for r in counted.collect():
+        sums.setdefault(r.lang, np.zeros(SLOTS, dtype=np.int64))[r.slot] = r.n
     return {lang: np.log((n + SMOOTH) / (n.sum() + SMOOTH * SLOTS)) for lang, n in sorted(sums.items())}
 
 

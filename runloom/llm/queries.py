@@ -78,7 +78,7 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = langid.fit(table(spark, sf_dir, "documents", "text", "lang"))
+    models = langid.fit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     out = langid.identify(pages, models, "page_id", "html", *langid.page_columns(), html=True)
     return out.select(F.col("id").alias("page_id"), "lang", F.round("posterior", 6).alias("posterior"), "declared", "address", "host", "n_trigrams")
