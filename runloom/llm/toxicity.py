@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.common import checkpointed
+from runloom.llm.common import checkpointed, hashed_sample
 
 #: Built-in entries of the transducers (English, German, French, Spanish).
 INSULT = "idiot idiots moron morons stupid trash worthless pathetic loser losers scum clown clowns disgusting imbecile dumb filth vermin dumm idioten abschaum stupide nul ordure estúpido basura".split()
@@ -32,7 +32,7 @@ TARGET = "you your yours they them their he she him her these those du dich dein
 NEGATION = "not never no isn aren wasn don doesn didn cannot nicht kein keine nie pas jamais aucun nunca ningún".split()
 REPORTING = "said says called calls wrote writes claimed quoted sagte nannte schrieb dit disait appelé dijo llamó escribió".split()
 
-#: Labelled training rows, in the order of a hash of their id, that hostile words are learned from.
+#: Labelled training rows, about, that hostile words are learned from, chosen by a hash of their id.
 SAMPLE_ROWS = 20_000
 #: Names of the matched patterns, in the order in which their counts are kept.
 PATTERNS = ("insult", "insult_target", "threat_target", "negated", "reported")
@@ -192,7 +192,8 @@ def score(docs: DataFrame, labels: DataFrame | None = None, train: str = "crc32(
     if labels is not None:
         marks = labels.select(F.col(label_id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic"))
         marks = marks.where(f"toxic IN (0, 1) AND ({train})").groupBy("id").agg(F.max("toxic").alias("toxic"))
-        sample = marks.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+        marks = checkpointed(marks)
+        sample = hashed_sample(marks, ["id"], SAMPLE_ROWS)
         known = symbols(hostile_words(rows.where("NOT held_out").join(F.broadcast(sample), "id").select("t", "toxic")))
     out = checkpointed(rows.select("id", "t", "held_out").mapInArrow(_counts(known), "id long, held_out boolean, counts array<long>"))
     if labels is not None:
