@@ -110,7 +110,8 @@ def topological_order(nodes: DataFrame, e: DataFrame) -> DataFrame:
                 waits[c] -= 1
                 if waits[c] == 0:
                     heapq.heappush(ready, c)
-        return pd.DataFrame({"plan": pdf["plan"].iloc[0], "task": out, "place": range(len(out))})
+        plan = pd.Series([pdf["plan"].iloc[0]] * len(out), dtype=object)
+        return pd.DataFrame({"plan": plan, "task": pd.Series(out, dtype=object), "place": pd.Series(range(len(out)), dtype="int64")})
 
     kind = dict(nodes.dtypes)["plan"]
     return own.unionByName(links).groupBy("plan").applyInPandas(order, f"plan {kind}, task string, place long")
