@@ -39,6 +39,11 @@ def hashed_sample(df: DataFrame, columns: list[str], rows: int, total: int | Non
     return df.where(F.xxhash64(*columns) < -(1 << 63) + (1 << 64) * rows // total)
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number of edges and an order-free hash of them."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
@@ -53,8 +58,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes_alone = e.where("u = v").select("u")
     e = e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = checkpointed(e)
-    before = None
-    for _ in range(max_rounds):
+    before = _state(e)
+    for _ in range(max_rounds if before[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -62,12 +67,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = checkpointed(e)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = _state(e)
         if state == before:
             break
         before = state
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
     alone = nodes_alone.select(F.col("u").alias("node"), F.col("u").alias("component"))
     found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
