@@ -35,6 +35,8 @@ def scan_lines(df: DataFrame, subject: str, text_col: str, anchored: bool = True
     is the number of the line, from 1.
     """
     lines = df.select(F.col(subject).cast("string").alias("subject_id"), F.posexplode(F.split(F.col(text_col), r"\r?\n")).alias("n", "line"))
+    line = F.col("line")
+    lines = lines.where(line.contains(":") | line.contains("=") | line.contains("-----BEGIN"))  # nothing else can match below
     start = r"\A\s*" if anchored else ""
     pairs = F.regexp_extract_all("line", F.lit(start + r"[\"']?([A-Za-z0-9_.-]+)[\"']?\s*[:=]\s*\S"), F.lit(1))
     urls = F.regexp_extract_all("line", F.lit(r"([A-Za-z][A-Za-z0-9+.-]*://\S+)"), F.lit(1))
