@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,37 +85,68 @@ def cycles(leveled: DataFrame) -> DataFrame:
     return leveled.where("level IS NULL").select("plan", "task")
 
 
+def _smallest_first(links: list[tuple[str, str | None]]) -> list[str]:
+    """Tasks of one plan from (task, parent) rows, the smallest ready one first."""
+    children: dict[str, list[str]] = {}
+    waits = {task: 0 for task, _ in links}
+    for task, parent in dict.fromkeys(links):
+        if parent is not None:
+            children.setdefault(parent, []).append(task)
+            waits[task] += 1
+    ready = [t for t, n in waits.items() if n == 0]
+    heapq.heapify(ready)
+    out = []
+    while ready:
+        t = heapq.heappop(ready)
+        out.append(t)
+        for c in children.get(t, ()):
+            waits[c] -= 1
+            if waits[c] == 0:
+                heapq.heappush(ready, c)
+    return out
+
+
 def topological_order(nodes: DataFrame, e: DataFrame) -> DataFrame:
     """``(plan, task, place)``: at each step the smallest ready task; tasks in cycles have no place.
 
-    The order inside one plan is sequential; plans are independent groups. A plan is a hand-written
-    graph of bounded size, so a group holds one plan.
+    The order inside one plan is sequential; plans are independent. Rows are dealt and sorted by plan, and
+    a task walks through its plans holding one at a time: a plan is a hand-written graph of bounded size.
     """
     own = nodes.select("plan", F.col("task").cast("string").alias("task"), F.lit(None).cast("string").alias("parent"))
     links = e.select("plan", F.col("child").cast("string").alias("task"), F.col("parent").cast("string").alias("parent"))
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        tasks = set(pdf["task"])
-        children: dict[str, list[str]] = {}
-        waits = dict.fromkeys(tasks, 0)
-        for task, parent in pdf.dropna(subset=["parent"])[["task", "parent"]].drop_duplicates().itertuples(index=False):
-            children.setdefault(parent, []).append(task)
-            waits[task] += 1
-        ready = [t for t, n in waits.items() if n == 0]
-        heapq.heapify(ready)
-        out = []
-        while ready:
-            t = heapq.heappop(ready)
-            out.append(t)
-            for c in children.get(t, ()):
-                waits[c] -= 1
-                if waits[c] == 0:
-                    heapq.heappush(ready, c)
-        plan = pd.Series([pdf["plan"].iloc[0]] * len(out), dtype=object)
-        return pd.DataFrame({"plan": plan, "task": pd.Series(out, dtype=object), "place": pd.Series(range(len(out)), dtype="int64")})
-
     kind = dict(nodes.dtypes)["plan"]
-    return own.unionByName(links).groupBy("plan").applyInPandas(order, f"plan {kind}, task string, place long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans, tasks, places, held, current, of = [], [], [], [], None, None
+
+        def close() -> None:
+            order = _smallest_first(held)
+            plans.extend([current] * len(order))
+            tasks.extend(order)
+            places.extend(range(len(order)))
+            held.clear()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(plans, of), pa.array(tasks, pa.string()), pa.array(places, pa.int64())], names=["plan", "task", "place"])
+            for x in (plans, tasks, places):
+                x.clear()
+            return out
+
+        for b in batches:
+            of = b.schema.field(0).type
+            for plan, task, parent in zip(*(c.to_pylist() for c in b.columns)):
+                if held and plan != current:
+                    close()
+                current = plan
+                held.append((task, parent))
+            if len(plans) > 50_000:
+                yield flush()
+        if held:
+            close()
+        if plans:
+            yield flush()
+
+    return own.unionByName(links).repartition("plan").sortWithinPartitions("plan").mapInArrow(run, f"plan {kind}, task string, place long")
 
 
 def check_ports(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ports: DataFrame) -> DataFrame:
