@@ -14,7 +14,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runloom.llm import bpe, decontam, langid, pii, simhash
+from runloom.llm import bpe, decontam, langid, near_copies, pii
 from runloom.llm.common import table
 from runloom.llm.queries import pii_key
 
@@ -41,9 +41,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id.
 
+    Near-duplicates have a Jaccard similarity of at least 0.8 on shingles of five words.
     Rows without an id stay, as no group can be named after them; of repeated ids one row stays.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    found = near_copies.near_duplicates(docs.select("doc_id", "text"), shingle=5, threshold=0.8)
     best = found.where("id = component").groupBy("id").agg(F.count("*").alias("n")).withColumnRenamed("id", "doc_id")
     kept = docs.join(best, "doc_id")
     once = kept.where("n > 1").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns)))).where("n = 1")
