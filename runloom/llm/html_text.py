@@ -32,6 +32,8 @@ STOP_WORDS = frozenset(
 SHORT, LONG, LOW, HIGH, MAX_LINKS, HEADING_REACH = 70, 200, 0.10, 0.18, 0.5, 200
 
 _SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas audio video textarea select option datalist head title".split())
+#: Of these, elements whose content is no markup: without an end tag they reach to the end of the page.
+_RAW = frozenset("script style noscript iframe textarea title".split())
 _BOILER = frozenset("nav footer aside form menu button dialog fieldset label legend input".split())
 _BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset
@@ -62,6 +64,43 @@ _WORD = re.compile(r"[^\W\d_]+")
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where the content of each closed element of a name begins, and where its end tag ends; of nested ones
+    without enough end tags the outer ones are open."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    raw = "|".join(sorted(_RAW))
+    for m in re.finditer(rf"<!--.*?(?:-->|\Z)|<({raw})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(?P<close>/?){name}(?=[\s/>])", page, re.S | re.I):
+        if m["close"] is None:
+            continue
+        if not m["close"]:
+            if tag := _MARK.match(page, m.start()):
+                if not (tag["attr"] or tag["attr2"] or "").rstrip().endswith("/"):
+                    opened.append(tag.end())
+        elif opened:
+            end = page.find(">", m.end())
+            out[opened.pop()] = end + 1 if end >= 0 else len(page)
+    return out
+
+
+def _open_end(page: str, at: int) -> int:
+    """Where an element without an end tag ends: before the next block, or before the end tag of its container."""
+    inside: list[str] = []
+    for m in _MARK.finditer(page, at):
+        name = (m["name"] or m["name2"] or "").lower()
+        if not name:
+            continue
+        if name in _BLOCKS:
+            return m.start()
+        if m["close"] or m["close2"]:
+            if name not in inside:
+                return m.start()
+            del inside[len(inside) - 1 - inside[::-1].index(name) :]
+        elif name not in _VOID:
+            inside.append(name)
+    return len(page)
+
+
 class Block:
     """One block: its text, characters inside links, and where it lies."""
 
@@ -122,6 +161,7 @@ def blocks(page: str) -> list[Block]:
             if stack[n][0] in until:
                 return
 
+    ends: dict[str, dict[int, int]] = {}
     at, size = 0, len(page)
     while at < size:
         m = _MARK.search(page, at)
@@ -138,7 +178,12 @@ def blocks(page: str) -> list[Block]:
         ending = bool(m["close"] or m["close2"])
         attr = m["attr"] or m["attr2"] or ""
         if name in _SKIPPED and not ending and not attr.rstrip().endswith("/"):
-            if name == "head":
+            if name == "head" or name in _VOID:
+                continue
+            if name not in _RAW:
+                if name not in ends:
+                    ends[name] = _ends(page, name)
+                at = ends[name][at] if at in ends[name] else _open_end(page, at)
                 continue
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else size
