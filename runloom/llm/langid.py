@@ -171,9 +171,11 @@ def identify(rows: DataFrame, models: dict[str, np.ndarray], id_col: str, text_c
 
 
 def page_columns(url: str = "url", html: str = "html") -> tuple[Column, Column, Column]:
-    """(declared, address, host) of web pages: the html element's lang, the first two-letter path segment
+    """(declared, address, host) of web pages: the lang of the first html element outside comments, wherever it begins, the first two-letter path segment
     or else the two-letter suffix of the host, and the host without its port."""
-    declared = F.regexp_extract(F.substring(html, 1, 4096), r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)
+    shown = F.regexp_replace(html, r"(?s)<!--(?:-?>|.*?(?:--!?>|\z))", " ")
+    tag = F.regexp_extract(shown, r"(?i)<html(?=[\s/>])[^>]*", 0)
+    declared = F.regexp_extract(tag, r"(?i)\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     path = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", 1))
     suffix = F.regexp_extract(host, r"\.([a-z]{2})$", 1)
