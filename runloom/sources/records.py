@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Largest settings document that is read, in bytes.
 MAX_DOCUMENT = 1 << 20
+#: Bytes that a file is hashed by.
+HASH_BLOCK = 1 << 20
 #: Path parts of the fact kinds below a root; groups are run, and task and attempt where there are such.
 FACT_PATHS = {
     "run": r"runs/([^/]+)/run\.json$",
@@ -82,14 +91,32 @@ def read_facts(spark: SparkSession, root: str, kind: str, schema: T.StructType)
     return rows.withColumn("path_ok", F.lit(True))
 
 
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each file, read by blocks."""
+    for b in batches:
+        digests = []
+        for uri in b.column(0).to_pylist():
+            store, name = pafs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", uri), safe=":/@[]"))
+            h = hashlib.sha256()
+            with store.open_input_stream(name) as f:
+                while block := f.read(HASH_BLOCK):
+                    h.update(block)
+            digests.append(h.hexdigest())
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.string())], names=[*b.schema.names, "sha256"])
+
+
 def read_inventory(spark: SparkSession, root: str, max_bytes: int = 256 << 20) -> DataFrame:
-    """``path, kind, size_bytes, sha256, mtime`` of every file below ``root``; the digest is null for files
-    above ``max_bytes``, whose content isn't loaded."""
+    """``path, kind, size_bytes, sha256, mtime`` of every file below ``root``.
+
+    Spark loads files up to ``max_bytes`` whole; larger ones are listed only, and tasks hash them by blocks
+    of ``HASH_BLOCK`` bytes. These are opened by Arrow, and a store that it can't open is an error.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.lit(root.rstrip("/").split("://")[-1].removeprefix("file:"))
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), F.concat(F.lit(r"^\Q"), F.regexp_replace(base, "^/*", "/"), F.lit(r"\E/?")), "")
     small = files.where(F.col("length") <= max_bytes).select(path.alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("mtime"))
-    large = files.where(F.col("length") > max_bytes).select(path.alias("path"), F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("sha256"), F.col("modificationTime").alias("mtime"))
+    large = files.where(F.col("length") > max_bytes).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
+    large = large.mapInArrow(_hash_files, "path string, size_bytes long, mtime timestamp, sha256 string").select(path.alias("path"), "size_bytes", "sha256", "mtime")
     return small.unionByName(large).select("path", F.lit("file").alias("kind"), "size_bytes", "sha256", "mtime")
 
 
