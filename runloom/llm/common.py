@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,18 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder is taken.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Write ``df`` to the shared checkpoint folder and cut its lineage there."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only on one machine (a local master) may it be unset, and a
+    temporary folder is taken."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[[^-]*)?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-")
+
+
 def hashed_sample(df: DataFrame, columns: list[str], rows: int, total: int | None = None) -> DataFrame:
     """About ``rows`` rows of ``df``: those whose hash over ``columns`` falls below that share of all values.
 
@@ -49,9 +54,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has long columns ``u`` and ``v``; direction, repeats and self-loops don't matter. The
     result has one row ``(node, component)`` per node of an edge. Alternating large-star and
-    small-star rounds: each is one partially aggregated minimum per node and one equi-join, so a hub
-    with any number of neighbours is split by the map side and by skew-join handling. Rounds end when
-    the edge set stops changing; its size and an order-free hash are all that reach the driver.
+    small-star rounds: each is one partially aggregated minimum per node and one equi-join. The minima are
+    shuffled on their own before the join, so that both of its sides are shuffles and skew-join handling
+    can split a hub's edges. Rounds end when the edge set stops changing; its size and an order-free hash
+    are all that reach the driver.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     e = e.where("u IS NOT NULL AND v IS NOT NULL")
@@ -61,9 +67,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = _state(e)
     for _ in range(max_rounds if before[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).repartition("m")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).repartition("m")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = checkpointed(e)

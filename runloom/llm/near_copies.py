@@ -1,8 +1,10 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash candidates and exact Jaccard similarity of word shingles.
 
-Every pair of texts whose shingle sets have at least ``threshold`` in common is found: if all sets are put
-in one order, two such sets share a shingle among the first ``n - ceil(threshold * n) + 1`` of each (prefix
-filter). Any order gives the same pairs; rare shingles first make few candidates.
+Fingerprints within ``max_bits`` bits, found by the pigeonring of ``simhash``, are candidates, but at a
+similarity of 0.8 fingerprints of 64 bits differ in some ten bits, and chains that wide prune nothing. A
+prefix filter finds the rest: if all shingle sets are put in one order, two sets with ``threshold`` in common
+share a shingle among the first ``n - ceil(threshold * n) + 1`` of each. Any order gives the same pairs; rare
+shingles first make few candidates. Every candidate is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -17,16 +19,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runloom.llm import simhash
 from runloom.llm.common import checkpointed, connected_components, hashed_sample
 
 #: Rows whose shingles tell which are common, and common ones that are put last. Both only bear on speed.
 SAMPLE_ROWS, COMMON = 4_000, 100_000
-#: Nodes of a key that are paired at once; different centres that the nodes of larger keys are held against.
-DENSE, CENTRES = 64, 8
-#: Nodes on each side and pairs, about, of one task's comparison.
-SIDE, PAIRS = 8192, 20_000
+#: Shingles seen so often in the sample are dealt to so many tasks by the text that holds them.
+OFTEN, SALTS = 8, 64
+#: Nodes of a key that are paired at once; those of larger keys are held against one of them first.
+DENSE = 64
+#: Pairs, about, of one task's comparison.
+PAIRS = 2_000
 #: Up to so many ids travel to the texts; beyond them the texts are shuffled to the ids.
-SENT_IDS = 4_000_000
+SENT_IDS = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,45 +59,134 @@ def _least(n: int, threshold: float) -> int:
     return math.ceil(threshold * n - 1e-9)
 
 
-def _longs(x: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, x)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*x, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)))
+def _named(shingle: int):
+    """Id, node and fingerprint of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            both = np.array([[_node(_words(t)), simhash.fingerprint(t, shingle)] for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["id", "node", "fp"])
+
+    return run
+
+
+def _shingles(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(_words(t), shingle).view(np.int64))], names=["x"])
+
+    return run
 
 
 def _prefixes(shingle: int, threshold: float, common: np.ndarray, times: np.ndarray):
+    """The prefix shingles of each different text of a task, with their places in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            nodes, sizes, keys = [], [], []
+            parts = []
             for t in b.column(1).to_pylist():
                 words = _words(t)
+                node = _node(words)
+                if node in seen:
+                    continue
+                seen.add(node)
                 s = shingle_set(words, shingle)
-                nodes.append(_node(words))
-                sizes.append(len(s))
-                if len(common):
+                n, often = len(s), np.zeros(len(s), np.int64)
+                if len(common) and n:
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    s = s[np.lexsort((s, np.where(common[at] == s, times[at], 0)))]
-                keys.append(s[: len(s) - _least(len(s), threshold) + 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _longs(keys)], names=["id", "node", "n", "keys"])
+                    often = np.where(common[at] == s, times[at], 0)
+                    order = np.lexsort((s, often))
+                    s, often = s[order], often[order]
+                k = n - _least(n, threshold) + 1 if n else 0
+                salt = np.where(often[:k] >= OFTEN, 1 + node % SALTS, 0)
+                parts.append((s[:k], salt, np.full(k, node, np.uint64), np.full(k, n), np.arange(k)))
+            if parts:
+                key, salt, node, n, i = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt, pa.int32()), pa.array(node.view(np.int64)), pa.array(n, pa.int32()), pa.array(i, pa.int32())], names=["key", "salt", "node", "n", "i"])
 
     return run
 
 
-def _sets(shingle: int, with_node: bool):
+def _can_link(n, m, i, j, threshold: float):
+    """Whether sets of n and m shingles that share the i-th and j-th, from 0, can be similar (of arrays)."""
+    return np.minimum(i, j) + np.minimum(n - i, m - j) >= threshold / (1 + threshold) * (n + m) - 1e-9
+
+
+def _may_link(threshold: float) -> Column:
+    """:func:`_can_link` of columns."""
+    return F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9
+
+
+_MET = "key long, node long, n int, i int, other long, m int, j int"
+
+
+def _meet(threshold: float, dense: int):
+    """Rows sorted by key, salt and node to pairs (without a key), and to rows of dense or salted keys with the first node they met."""
+
+    def found(k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:, :3] != k[:-1, :3]).any(axis=1)
+        k = k[new]  # a text that several tasks have counts once
+        first = np.ones(len(k), bool)
+        first[1:] = (k[1:, :2] != k[:-1, :2]).any(axis=1)
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(start, len(k)))
+        wide = (size > dense) | (k[start, 1] > 0)
+        for length in np.unique(size[~wide & (size > 1)]).tolist():
+            a, b = np.triu_indices(length, 1)
+            own = start[~wide & (size == length)]
+            step = max(1, 500_000 // len(a))
+            for at in range(0, len(own), step):
+                u, v = k[(own[at : at + step, None] + a).ravel()], k[(own[at : at + step, None] + b).ravel()]
+                ok = _can_link(u[:, 3], v[:, 3], u[:, 4], v[:, 4], threshold)
+                pairs = np.unique(np.stack([u[ok, 2], v[ok, 2]], axis=1), axis=0)
+                yield batch(None, pairs[:, 0], pairs[:, 1])
+        many = np.repeat(wide, size)
+        if many.any():
+            head = k[np.repeat(start, size)][many]
+            yield batch(k[many], head[:, 2], None, head)
+
+    def batch(rows, a, b, head=None) -> pa.RecordBatch:
+        if rows is None:
+            none = pa.nulls(len(a), pa.int64())
+            cols = [none, a, none, none, b, none, none]
+        else:
+            cols = [rows[:, 0], rows[:, 2], rows[:, 3], rows[:, 4], a, head[:, 3], head[:, 4]]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, kinds)], names=[c.split()[0] for c in _MET.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for b in batches:
-            words = [_words(t) for t in b.column(1).to_pylist()]
-            sets = _longs([shingle_set(w, shingle) for w in words])
-            nodes = pa.array(np.array([_node(w) for w in words], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([nodes, sets] if with_node else [sets], names=["node", "s"] if with_node else ["s"])
+            if not b.num_rows:
+                continue
+            k = np.stack([c.to_numpy().astype(np.int64) for c in b.columns], axis=1)
+            if (k[0, :2] == k[-1, :2]).all() and (not held or (held[-1][-1, :2] == k[0, :2]).all()):
+                held.append(k)
+                continue
+            cut = len(k) - 1 - int(np.argmax((k[::-1, :2] != k[-1, :2]).any(axis=1))) + 1 if (k[0, :2] != k[-1, :2]).any() else 0
+            yield from found(np.concatenate([*held, k[:cut]]))
+            held = [k[cut:]]
+        if held:
+            yield from found(np.concatenate(held))
 
     return run
 
 
-def _similar(threshold: float):
-    """The pairs of one block whose sets are similar."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        nodes = np.array([_node(_words(t)) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), b.column(1)], names=["node", "t"])
+
 
-    def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        s = {node: np.asarray(x, np.int64).view(np.uint64) for node, x in zip(sets["node"], sets["s"])}
+def _similar(shingle: int, threshold: float):
+    """The pairs of one bucket whose sets are similar."""
+
+    def run(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        s = {node: shingle_set(_words(bytes(t)), shingle) for node, t in zip(texts["node"], texts["t"])}
         ok = []
         for u, v in zip(pairs["u"], pairs["v"]):
             a, b = s[u], s[v]
@@ -100,7 +194,7 @@ def _similar(threshold: float):
                 a, b = b, a
             at = np.searchsorted(b, a)
             at[at == len(b)] = len(b) - 1
-            both = int((b[at] == a).sum())
+            both = int((b[at] == a).sum()) if len(a) else 0
             ok.append(both >= threshold * (len(a) + len(b) - both) - 1e-9)
         return pairs.loc[ok, ["u", "v"]]
 
@@ -108,31 +202,25 @@ def _similar(threshold: float):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Those of the candidate ``pairs`` that are similar; each text goes once to each block that needs it."""
+    """Those of the candidate ``pairs`` that are similar.
+
+    Pairs are dealt into buckets by their second node, of which a node has few; each text goes once to each
+    bucket that needs it. Only texts of candidates are moved.
+    """
     pairs = checkpointed(pairs.distinct())
     n = pairs.count()
     if not n:
         return pairs
-    asked = checkpointed(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct())
-    many = asked.count()
-    side = max(math.ceil(many / SIDE), math.ceil(math.sqrt(n / PAIRS)))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
-    dealt = pairs.withColumn("a", block("u")).withColumn("b", block("v"))
-    ids = nodes.join(asked, "node").select("id").distinct()
-    ids = F.broadcast(ids) if many <= SENT_IDS else ids
-    sets = texts.join(ids, "id", "left_semi").select("id", "t").mapInArrow(_sets(shingle, True), "node long, s array<long>")
-    place = [F.col("a").alias("p"), F.col("b").alias("q")]
-    needed = dealt.select(F.col("u").alias("node"), *place).unionByName(dealt.select(F.col("v").alias("node"), *place)).distinct()
-    return checkpointed(dealt.groupBy("a", "b").cogroup(needed.join(sets, "node").groupBy("p", "q")).applyInPandas(_similar(threshold), "u long, v long"))
-
-
-def _may_link(n: str, m: str, i: str, j: str, threshold: float) -> Column:
-    """Whether sets of n and m shingles that share the i-th and j-th, from 0, can be similar."""
-    both = F.least(i, j) + 1 + F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) - 1
-    return both >= threshold / (1 + threshold) * (F.col(n) + F.col(m)) - 1e-9
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, dense: int = DENSE) -> DataFrame:
+    dealt = pairs.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(math.ceil(n / PAIRS))))
+    needed = checkpointed(dealt.select(F.col("u").alias("node"), "bucket").unionByName(dealt.select(F.col("v").alias("node"), "bucket")).distinct())
+    asked = checkpointed(nodes.join(needed.select("node").distinct(), "node").select("id").distinct())
+    few = asked.count() <= SENT_IDS
+    mine = texts.join(F.broadcast(asked) if few else asked, "id", "left_semi").select("id", "t").mapInArrow(_texts, "node long, t binary")
+    sent = needed.join(mine, "node").groupBy("bucket")
+    return checkpointed(dealt.groupBy("bucket").cogroup(sent).applyInPandas(_similar(shingle, threshold), "u long, v long"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, max_bits: int = 2, dense: int = DENSE) -> DataFrame:
     """``(id, component)`` per row: the smallest id reachable by links of similar texts.
 
     Two texts link if the Jaccard similarity of their sets of ``shingle`` words is at least ``threshold``,
@@ -140,39 +228,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows of one id are one. Rows without an id have the component of the rows with equal words, null if
     there is none.
 
-    Equal texts are one node before any candidate is made. Nodes that share a prefix shingle are paired;
-    where more than ``dense`` share one, each is first held against a few centres, and then only against
-    those that are not in its component yet.
+    Equal texts are one node before any candidate is made. Prefix shingles are shuffled once, as numbers;
+    texts are read again instead of being moved with them. Nodes that share a prefix shingle are paired;
+    where more than ``dense`` share one, each is first held against one of them, and then only against those
+    that are not in its component yet. Shingles that are frequent in a sample are dealt to several tasks.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    seen = hashed_sample(texts, ["id", "t"], SAMPLE_ROWS).mapInArrow(_sets(shingle, False), "s array<long>").select(F.explode("s").alias("x"))
+    seen = hashed_sample(texts, ["id", "t"], SAMPLE_ROWS).mapInArrow(_shingles(shingle), "x long")
     often = seen.groupBy("x").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "x").limit(COMMON).collect()
     common, times = np.array([r.x for r in often], np.int64).view(np.uint64), np.array([r.n for r in often], np.int64)
     order = np.argsort(common)
-    rows = checkpointed(texts.mapInArrow(_prefixes(shingle, threshold, common[order], times[order]), "id long, node long, n int, keys array<long>"))
+    rows = checkpointed(texts.mapInArrow(_named(shingle), "id long, node long, fp long"))
     known = rows.where("id IS NOT NULL")
-    nodes = checkpointed(known.groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")))
-
-    keyed = nodes.select("node", "n", F.posexplode("keys").alias("i", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    met = checkpointed(keyed.join(shared, "key"))
-    few = met.where(F.col("many") <= dense)
-    other = few.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"))
-    pairs = few.join(other, "key").where(F.col("node") < F.col("v")).where(_may_link("n", "m", "i", "j", threshold)).select(F.col("node").alias("u"), "v")
-    hot = met.where(F.col("many") > dense)
-    centre = hot.groupBy("key").agg(F.min_by(F.struct("node", "n", "i"), F.xxhash64("node", F.pmod("key", F.lit(CENTRES)))).alias("c"))
-    stars = hot.join(centre, "key").select("node", "n", "i", F.col("c.node").alias("v"), F.col("c.n").alias("m"), F.col("c.i").alias("j"))
-    stars = stars.where("node <> v").where(_may_link("n", "m", "i", "j", threshold)).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
+    nodes = checkpointed(known.groupBy("node").agg(F.min("id").alias("id"), F.any_value("fp").alias("fp")))
+
+    by_print = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
+    alike = nodes.join(by_print, "fp").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    close = simhash.links(by_print.select(F.col("rep").alias("node"), "fp"), max_bits)
+    keyed = texts.where("id IS NOT NULL").mapInArrow(_prefixes(shingle, threshold, common[order], times[order]), "key long, salt int, node long, n int, i int")
+    met = keyed.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_meet(threshold, dense), _MET)
+    met = checkpointed(met)
+    hot = met.where("key IS NOT NULL")
+    centres = hot.select("key", F.col("other").alias("node"), F.col("m").alias("n"), F.col("j").alias("i")).distinct()
+    lead = centres.groupBy("key").agg(F.min(F.struct("node", "n", "i")).alias("c")).select("key", F.col("c.node").alias("other"), F.col("c.n").alias("m"), F.col("c.i").alias("j"))
+    stars = hot.unionByName(centres.join(lead, "key")).where("node <> other").where(_may_link(threshold)).select(F.col("node").alias("u"), F.col("other").alias("v"))
+    found = met.where("key IS NULL").select(F.col("node").alias("u"), F.col("other").alias("v")).unionByName(stars).unionByName(alike).unionByName(close)
+    found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     repeated = known.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v").select("id", "u")
     one = known.join(repeated, "id").select("u", F.col("node").alias("v")).distinct()
-    edges = _links(pairs.unionByName(stars), texts, nodes, shingle, threshold).unionByName(one)
+    edges = _links(found, texts, nodes, shingle, threshold).unionByName(one)
     comp = checkpointed(connected_components(edges))
 
-    parts = hot.join(comp, "node", "left").withColumn("part", F.coalesce("component", "node")).select("key", "node", "n", "i", "part")
+    parts = hot.select("key", "node", "n", "i").distinct().join(comp, "node", "left").withColumn("part", F.coalesce("component", "node"))
     split = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    parts = checkpointed(parts.join(split, "key"))
-    other = parts.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("part").alias("far"))
-    rest = parts.join(other, "key").where("part < far").where(_may_link("n", "m", "i", "j", threshold)).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
+    parts = checkpointed(parts.join(split, "key").select("key", "node", "n", "i", "part"))
+    other = parts.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("part").alias("far"))
+    rest = parts.join(other, "key").where("part < far").where(_may_link(threshold)).select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
     late = _links(rest, texts, nodes, shingle, threshold)
     if late.head(1):
         roots = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
