@@ -114,6 +114,11 @@ def _add(*parts: Column) -> Column:
     return out
 
 
+def language_tag(declared: Column) -> Column:
+    """The first part of a language tag, lower-cased; the empty text if it has none of two or three letters."""
+    return F.lower(F.regexp_extract(F.coalesce(declared.cast("string"), F.lit("")), r"^\s*([A-Za-z]{2,3})", 1))
+
+
 def identify(rows: DataFrame, models: dict[str, np.ndarray], id_col: str, text_col: str, declared: Column, address: Column, host: Column, html: bool = False) -> DataFrame:
     """Per row: ``id, lang, posterior, declared, address, host, n_trigrams``.
 
@@ -129,7 +134,7 @@ def identify(rows: DataFrame, models: dict[str, np.ndarray], id_col: str, text_c
     picked = rows.select(
         F.col(id_col).alias("id"),
         F.col(text_col).cast("string").alias("t"),
-        F.lower(F.regexp_extract(F.coalesce(declared.cast("string"), F.lit("")), r"^\s*([A-Za-z]{2,3})", 1)).alias("declared"),
+        language_tag(declared).alias("declared"),
         F.lower(F.coalesce(address.cast("string"), F.lit(""))).alias("address"),
         F.lower(F.coalesce(host.cast("string"), F.lit(""))).alias("host"),
     )
