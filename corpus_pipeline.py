@@ -1,13 +1,15 @@
 """A corpus pipeline over ``documents``: language, near-duplicates, contamination, private data, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
-as the next one's docs. All but the last return the columns of ``documents``. Verdicts are joined back to
-whole rows by a 64-bit hash of the row (``_KEY``), so rows without an id and repeated ids are handled.
+as the next one's docs. All but the last return the columns of ``documents``. Texts are not shuffled for
+verdicts: only rows with an exceptional verdict are gathered, and up to ``SENT_ROWS`` of them travel to the
+documents; beyond that Spark joins both by shuffles. Verdicts are joined by a 128-bit hash of the row
+(``_KEY``), so rows without an id and repeated ids are handled, or by the id. Further columns of ``docs``
+are dropped only by the last stage; none may be named ``corpus_pipeline_row`` or ``corpus_pipeline_pii``.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers as tokenizers
@@ -15,14 +17,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runloom.llm import bpe, decontam, langid, near_copies, pii
-from runloom.llm.common import table
+from runloom.llm.common import checkpointed, shared_folder, table
 from runloom.llm.queries import pii_key
 
 _KEY = "corpus_pipeline_row"
+#: Up to so many verdicts, of some 50 bytes each, are broadcast; their number is counted first.
+SENT_ROWS = 1_000_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_KEY, F.xxhash64(*[F.col(c) for c in ("doc_id", "text", "lang", "source")]))
+    row = [F.col(c) for c in ("doc_id", "text", "lang", "source")]
+    return docs.withColumn(_KEY, F.struct(F.xxhash64(*row).alias("a"), F.xxhash64(F.lit(1), *row).alias("b")))
+
+
+def _sized(verdicts: DataFrame) -> DataFrame:
+    """``verdicts`` written down, to be broadcast if they are few enough."""
+    verdicts = checkpointed(verdicts)
+    return F.broadcast(verdicts) if verdicts.count() <= SENT_ROWS else verdicts
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +41,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The declared language is the column ``lang``, the host is ``source``; text models are fitted on a
     bounded sample of labelled rows. A document goes only if it has next to no letters or if no
-    language gets most of the evidence.
+    language gets most of the evidence. Exceptional verdicts are those other than the declared language.
     """
     rows = _keyed(docs)
     found = langid.identify(rows, langid.fit(docs), _KEY, "text", F.col("lang"), F.lit(None), F.col("source"))
-    told = found.where("lang IS NOT NULL").groupBy("id").agg(F.max("lang").alias("told")).withColumnRenamed("id", _KEY)
-    return rows.join(told, _KEY).select(*[F.col("told").alias("lang") if c == "lang" else c for c in docs.columns])
+    odd = found.where("lang IS NULL OR lang <> declared").groupBy("id").agg(F.max("lang").alias("told"))
+    odd = odd.select(F.struct(F.col("id").alias("key"), "told").alias("corpus_pipeline_odd"))
+    joined = rows.join(_sized(odd), F.col(_KEY) == F.col("corpus_pipeline_odd.key"), "left")
+    told = F.coalesce(F.col("corpus_pipeline_odd.told"), langid.language_tag(F.col("lang")))
+    kept = joined.where(F.col("corpus_pipeline_odd").isNull() | F.col("corpus_pipeline_odd.told").isNotNull())
+    return kept.select(*[told.alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +59,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Near-duplicates have a Jaccard similarity of at least 0.8 on shingles of five words.
     Rows without an id stay, as no group can be named after them; of repeated ids one row stays.
     """
-    found = near_copies.near_duplicates(docs.select("doc_id", "text"), shingle=5, threshold=0.8)
-    best = found.where("id = component").groupBy("id").agg(F.count("*").alias("n")).withColumnRenamed("id", "doc_id")
-    kept = docs.join(best, "doc_id")
-    once = kept.where("n > 1").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns)))).where("n = 1")
-    return kept.where("n = 1").select(*docs.columns).unionByName(once.select(*docs.columns)).unionByName(docs.where("doc_id IS NULL"))
+    found = checkpointed(near_copies.near_duplicates(docs.select("doc_id", "text"), shingle=5, threshold=0.8).where("id IS NOT NULL"))
+    kept = docs.join(_sized(found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_anti").select(*docs.columns)
+    again = _sized(found.where("id = component").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    once = kept.join(again, "doc_id", "left_semi").withColumn(_KEY, F.row_number().over(order)).where(F.col(_KEY) == 1)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +74,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows = _keyed(docs)
     found = decontam.contamination(rows, table(spark, sf_dir, "benchmark", "item_id", "text"), _KEY, "text")
     hit = found.where("n_hit > 0").select(F.col("id").alias(_KEY)).distinct()
-    return rows.join(hit, _KEY, "left_anti").select(*docs.columns)
+    return rows.join(_sized(hit), _KEY, "left_anti").select(*docs.columns)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,8 +103,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written to the shared checkpoint folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    to = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    to = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{to}/{n}-{name}")
