@@ -178,41 +178,73 @@ def test_decontamination_against_brute_force(spark, max_bytes):
 # op4
 
 
-def test_elias_fano_round_trip(tmp_path):
+def test_elias_fano_reads_and_finds_in_place(tmp_path):
     rng = np.random.default_rng(1)
-    for n, top in ((0, 1), (1, 1), (5, 3), (1000, 10), (1000, 1 << 40), (300, 1 << 62)):
+    for n, top in ((0, 1), (1, 1), (5, 3), (1000, 10), (70_000, 1 << 40), (300, 1 << 62), (1000, 1000)):
         values = np.sort(rng.integers(0, top, n).astype(np.uint64))
-        assert (ngram_lm.EliasFano(values).decode() == values).all()
-        assert (ngram_lm.EliasFano(values).mapped(tmp_path / f"x{n}{top % 97}").decode() == values).all()
-
-
-def test_language_model_against_plain_counts(spark):
-    rng = random.Random(6)
-    rows = [(i, text(rng, rng.randrange(0, 60))) for i in range(60)] + [(60, None), (61, " \n"), (62, "Unseen WORDS only"), (None, "the of"), (5, "the the the"), (63, text(rng, 5000))]
-    got = [(r.id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.score(docs_frame(spark, rows)).collect()]
+        for coded in (ngram_lm.EliasFano(values), ngram_lm.EliasFano(values).mapped(tmp_path / f"x{n}{top % 97}")):
+            at = rng.integers(0, max(1, n), 500 if n else 0)
+            assert (coded.get(at) == values[at]).all()
+            asked = np.concatenate([values[at], rng.integers(0, 2 * top, 500).astype(np.uint64)])
+            start = rng.integers(0, n + 1, len(asked))
+            end = np.minimum(start + rng.integers(0, n + 1, len(asked)), n)
+            left, right = np.searchsorted(values, asked), np.searchsorted(values, asked, side="right")
+            first = np.maximum(left, start)
+            want = np.where(first < np.minimum(right, end), first, -1)
+            assert (coded.find(asked, start, end) == want).all()
+
+
+def plain_model(rows, mu):
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
     split = lambda t: [*re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split(), None]
-    uni, bi, n_docs = Counter(), Counter(), 0
+    uni, bi, tri, n_docs = Counter(), Counter(), Counter(), 0
     for i, t in rows:
         if not held(i):
-            w = split(t)
+            w = ["<s>", "<s>", *split(t)]
             n_docs += 1
-            uni.update(w)
-            bi.update(zip(["<s>", *w], w))
-    n, v, mu = sum(uni.values()), len(uni), ngram_lm.MU
+            uni.update(w[2:])
+            bi.update(zip(w[1:], w[2:]))
+            tri.update(zip(w, w[1:], w[2:]))
+    uni["<s>"] = bi["<s>", "<s>"] = n_docs
+    n, known = sum(uni.values()) - n_docs, len(uni) - 1
     want = []
     for i, t in rows:
-        w = split(t)
-        p1 = lambda x: (uni[x] + 1) / (n + v + 1)
-        s = sum(math.log10((bi[a, x] + mu * p1(x)) / ((n_docs if a == "<s>" else uni[a]) + mu)) for a, x in zip(["<s>", *w], w))
-        want.append((i, held(i), len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), s))
+        w = ["<s>", "<s>", *split(t)]
+        score = base = 0.0
+        for a, b, c in zip(w, w[1:], w[2:]):
+            p = (uni[c] + 1) / (n + known + 1)
+            base += math.log10(p)
+            p = (bi[b, c] + mu[0] * p) / (uni[b] + mu[0])
+            score += math.log10((tri[a, b, c] + mu[1] * p) / (bi[a, b] + mu[1]))
+        want.append((i, held(i), len(w) - 2, sum(uni[x] > 0 for x in w[2:]), n, base, score))
+    return want
+
+
+@pytest.mark.parametrize("tokens", [2_000_000, 300])
+def test_language_model_against_plain_counts(spark, monkeypatch, tokens):
+    rng = random.Random(6)
+    rows = [(i, text(rng, rng.randrange(0, 60))) for i in range(60)] + [(60, None), (61, " \n"), (62, "Unseen WORDS only"), (None, "the of"), (5, "the the the"), (63, text(rng, 5000))]
+    rows += [(100 + i, "a passage that many texts share, word by word") for i in range(60)]
+    monkeypatch.setattr(ngram_lm, "CHUNK_TOKENS", tokens)
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", tokens)
+    got = [(r.id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.score(docs_frame(spark, rows)).collect()]
     order = lambda r: (r[0] is None, r[0] or 0, r[2])
-    for a, b in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+    for a, b in zip(sorted(got, key=order), sorted(plain_model(rows, ngram_lm.MU), key=order), strict=True):
         assert a[:5] == b[:5]
         assert a[5] == pytest.approx(b[5], rel=1e-12)
         assert a[6] == pytest.approx(b[6], abs=1e-3 * b[2])
 
 
+def test_hot_words_and_pairs_are_named(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 100)
+    rows = [(f"a b c{i} d{i % 3}".encode(),) for i in range(300)]
+    total, distinct, n_docs, shards, hot, pairs = ngram_lm.statistics(spark.createDataFrame(rows, "t binary"), 4)
+    h = lambda w: xxhash.xxh64_intdigest(w)
+    assert (total, distinct, n_docs, shards) == (1500, 306, 300, 15)
+    assert hot == {h(b"a"): 300, h(b"b"): 300, h(ngram_lm.END): 300}
+    assert pairs == {(h(b"a"), h(b"b")): 300, (h(ngram_lm.BEGIN), h(b"a")): 300}
+
+
 def test_language_model_empty_and_unlearned(spark):
     assert ngram_lm.score(docs_frame(spark, [])).count() == 0
     r = ngram_lm.score(docs_frame(spark, [(None, "a b")])).first()
