@@ -27,9 +27,13 @@ SAMPLE_ROWS, COMMON = 4_000, 100_000
 #: Shingles seen so often in the sample are dealt to so many tasks by the text that holds them.
 OFTEN, SALTS = 8, 64
 #: Nodes of a key that are paired at once; those of larger keys are held against one of them first.
-DENSE = 64
+DENSE = 32
+#: Texts whose shingles a task holds at a time.
+SLICE = 500
 #: Pairs, about, of one task's comparison.
 PAIRS = 2_000
+#: Texts on each side of one comparison between parts, and shingles that are counted at a time.
+TILE, COLUMNS = 128, 8192
 #: Up to so many ids travel to the texts; beyond them the texts are shuffled to the ids.
 SENT_IDS = 1_000_000
 
@@ -85,7 +89,7 @@ def _prefixes(shingle: int, threshold: float, common: np.ndarray, times: np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             parts = []
             for t in b.column(1).to_pylist():
                 words = _words(t)
@@ -124,7 +128,13 @@ _MET = "key long, node long, n int, i int, other long, m int, j int"
 
 
 def _meet(threshold: float, dense: int):
-    """Rows sorted by key, salt and node to pairs (without a key), and to rows of dense or salted keys with the first node they met."""
+    """Rows sorted by key, salt and node to pairs (without a key), and to rows of dense or salted keys (without another node)."""
+
+    def batch(k: np.ndarray, other: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(k), pa.int64())
+        cols = [k[:, 0] if other is None else none, *k.T[2:], *([none] * 3 if other is None else other.T[2:])]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, kinds)], names=[c.split()[0] for c in _MET.split(", ")])
 
     def found(k: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(k), bool)
@@ -138,38 +148,27 @@ def _meet(threshold: float, dense: int):
         for length in np.unique(size[~wide & (size > 1)]).tolist():
             a, b = np.triu_indices(length, 1)
             own = start[~wide & (size == length)]
-            step = max(1, 500_000 // len(a))
+            step = max(1, 50_000 // len(a))
             for at in range(0, len(own), step):
                 u, v = k[(own[at : at + step, None] + a).ravel()], k[(own[at : at + step, None] + b).ravel()]
                 ok = _can_link(u[:, 3], v[:, 3], u[:, 4], v[:, 4], threshold)
-                pairs = np.unique(np.stack([u[ok, 2], v[ok, 2]], axis=1), axis=0)
-                yield batch(None, pairs[:, 0], pairs[:, 1])
+                yield batch(u[ok], v[ok])
         many = np.repeat(wide, size)
         if many.any():
-            head = k[np.repeat(start, size)][many]
-            yield batch(k[many], head[:, 2], None, head)
-
-    def batch(rows, a, b, head=None) -> pa.RecordBatch:
-        if rows is None:
-            none = pa.nulls(len(a), pa.int64())
-            cols = [none, a, none, none, b, none, none]
-        else:
-            cols = [rows[:, 0], rows[:, 2], rows[:, 3], rows[:, 4], a, head[:, 3], head[:, 4]]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, kinds)], names=[c.split()[0] for c in _MET.split(", ")])
+            yield batch(k[many], None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[np.ndarray] = []  # rows of the last key, which may go on
         for b in batches:
             if not b.num_rows:
                 continue
             k = np.stack([c.to_numpy().astype(np.int64) for c in b.columns], axis=1)
-            if (k[0, :2] == k[-1, :2]).all() and (not held or (held[-1][-1, :2] == k[0, :2]).all()):
-                held.append(k)
-                continue
-            cut = len(k) - 1 - int(np.argmax((k[::-1, :2] != k[-1, :2]).any(axis=1))) + 1 if (k[0, :2] != k[-1, :2]).any() else 0
-            yield from found(np.concatenate([*held, k[:cut]]))
-            held = [k[cut:]]
+            other = np.flatnonzero((k[:, :2] != k[-1, :2]).any(axis=1))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut or (held and (held[-1][-1, :2] != k[0, :2]).any()):
+                yield from found(np.concatenate([*held, k[:cut]]))
+                held = []
+            held.append(k[cut:])
         if held:
             yield from found(np.concatenate(held))
 
@@ -201,11 +200,19 @@ def _similar(shingle: int, threshold: float):
     return run
 
 
+def _sent(texts: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
+    """``needed`` with the text ``t`` of each row's ``node``; only texts that are needed are moved."""
+    asked = checkpointed(nodes.join(needed.select("node").distinct(), "node").select("id").distinct())
+    few = asked.count() <= SENT_IDS
+    mine = texts.join(F.broadcast(asked) if few else asked, "id", "left_semi").select("id", "t").mapInArrow(_texts, "node long, t binary")
+    return needed.join(mine, "node")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """Those of the candidate ``pairs`` that are similar.
 
     Pairs are dealt into buckets by their second node, of which a node has few; each text goes once to each
-    bucket that needs it. Only texts of candidates are moved.
+    bucket that needs it.
     """
     pairs = checkpointed(pairs.distinct())
     n = pairs.count()
@@ -213,13 +220,59 @@ def _links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, t
         return pairs
     dealt = pairs.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(math.ceil(n / PAIRS))))
     needed = checkpointed(dealt.select(F.col("u").alias("node"), "bucket").unionByName(dealt.select(F.col("v").alias("node"), "bucket")).distinct())
-    asked = checkpointed(nodes.join(needed.select("node").distinct(), "node").select("id").distinct())
-    few = asked.count() <= SENT_IDS
-    mine = texts.join(F.broadcast(asked) if few else asked, "id", "left_semi").select("id", "t").mapInArrow(_texts, "node long, t binary")
-    sent = needed.join(mine, "node").groupBy("bucket")
+    sent = _sent(texts, nodes, needed).groupBy("bucket")
     return checkpointed(dealt.groupBy("bucket").cogroup(sent).applyInPandas(_similar(shingle, threshold), "u long, v long"))
 
 
+def _tile(shingle: int, threshold: float):
+    """Links between different parts in one tile pair, of its rows of ``side`` 0 with those of side 1."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["side", "node"])
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        x, y = ([shingle_set(_words(bytes(t)), shingle) for t in side["t"]] for side in (a, b))
+        if not len(a) or not len(b):
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        both = np.zeros((len(x), len(y)), np.float32)
+        known = np.intersect1d(np.concatenate(x), np.concatenate(y))
+        for at in range(0, len(known), COLUMNS):
+            own = known[at : at + COLUMNS]
+            has = []
+            for side in (x, y):
+                m = np.zeros((len(side), len(own)), np.float32)
+                for i, s in enumerate(side):
+                    m[i, np.searchsorted(own, s[np.isin(s, own, assume_unique=True)])] = 1
+                has.append(m)
+            both += has[0] @ has[1].T
+        sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+        i, j = np.nonzero((both >= threshold * (sizes - both) - 1e-6) & (a["part"].to_numpy()[:, None] != b["part"].to_numpy()[None, :]))
+        return pd.DataFrame({"u": a["node"].to_numpy()[i], "v": b["node"].to_numpy()[j]})
+
+    return run
+
+
+def _across(hot: DataFrame, lead: DataFrame, comp: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links between the parts that nodes of dense keys are in, of those that were held against the same node.
+
+    Nodes outside that node's part ("outer") are compared with all of its keys' nodes in tiles, whose number
+    grows with both; no pair is written down that doesn't link.
+    """
+    part = F.coalesce("component", "node")
+    members = hot.join(lead.select("key", F.col("other").alias("lead")), "key").select("lead", "node").distinct().join(comp, "node", "left").select("lead", "node", part.alias("part"))
+    main = members.where("node = lead").select("lead", F.col("part").alias("main"))
+    members = checkpointed(members.join(main, "lead").withColumn("outer", F.col("part") != F.col("main")))
+    size = members.groupBy("lead").agg(F.count("*").alias("n"), F.count_if("outer").alias("n_outer")).where("n_outer > 0")
+    rows = members.join(size, "lead").withColumn("ta", F.ceil(F.col("n_outer") / TILE)).withColumn("tb", F.ceil(F.col("n") / TILE))
+    at = lambda tiles: F.pmod(F.xxhash64("node"), F.col(tiles))
+    every = lambda tiles: F.explode(F.sequence(F.lit(0).cast("long"), F.col(tiles) - 1))
+    keep = ["lead", "node", "part"]
+    looked_up = rows.where("outer").select(*keep, at("ta").alias("a"), every("tb").alias("b"), F.lit(0).alias("side"))
+    needed = checkpointed(looked_up.unionByName(rows.select(*keep, every("ta").alias("a"), at("tb").alias("b"), F.lit(1).alias("side"))))
+    if needed.isEmpty():
+        return needed.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    return checkpointed(_sent(texts, nodes, needed).groupBy("lead", "a", "b").applyInPandas(_tile(shingle, threshold), "u long, v long"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, max_bits: int = 2, dense: int = DENSE) -> DataFrame:
     """``(id, component)`` per row: the smallest id reachable by links of similar texts.
 
@@ -229,9 +282,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     there is none.
 
     Equal texts are one node before any candidate is made. Prefix shingles are shuffled once, as numbers;
-    texts are read again instead of being moved with them. Nodes that share a prefix shingle are paired;
-    where more than ``dense`` share one, each is first held against one of them, and then only against those
-    that are not in its component yet. Shingles that are frequent in a sample are dealt to several tasks.
+    texts are read again instead of being moved with them. Nodes that share a prefix shingle are paired, and
+    a pair is verified unless the prefix shingles that it shares, and all that may follow the last of them, are
+    too few. Where more than ``dense`` share a shingle, each is first held against that of them which shares
+    most such shingles, and then only against those that are not in its component yet. Shingles that are
+    frequent in a sample are dealt to several tasks.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
     seen = hashed_sample(texts, ["id", "t"], SAMPLE_ROWS).mapInArrow(_shingles(shingle), "x long")
@@ -248,23 +303,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = texts.where("id IS NOT NULL").mapInArrow(_prefixes(shingle, threshold, common[order], times[order]), "key long, salt int, node long, n int, i int")
     met = keyed.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_meet(threshold, dense), _MET)
     met = checkpointed(met)
-    hot = met.where("key IS NOT NULL")
-    centres = hot.select("key", F.col("other").alias("node"), F.col("m").alias("n"), F.col("j").alias("i")).distinct()
-    lead = centres.groupBy("key").agg(F.min(F.struct("node", "n", "i")).alias("c")).select("key", F.col("c.node").alias("other"), F.col("c.n").alias("m"), F.col("c.i").alias("j"))
-    stars = hot.unionByName(centres.join(lead, "key")).where("node <> other").where(_may_link(threshold)).select(F.col("node").alias("u"), F.col("other").alias("v"))
-    found = met.where("key IS NULL").select(F.col("node").alias("u"), F.col("other").alias("v")).unionByName(stars).unionByName(alike).unionByName(close)
+    hot = met.where("key IS NOT NULL").select("key", "node", "n", "i")
+    wide = checkpointed(hot.groupBy("node").agg(F.count("*").alias("w")))
+    hot = checkpointed(hot.join(wide, "node"))
+    pairs = met.where("key IS NULL").groupBy(F.col("node").alias("u"), F.col("other").alias("v")).agg(F.count("*").alias("both"), F.max("n").alias("n"), F.max("i").alias("i"), F.max("m").alias("m"), F.max("j").alias("j"))
+    for node in ("u", "v"):
+        pairs = pairs.join(wide.select(F.col("node").alias(node), F.col("w").alias(f"w{node}")), node, "left")
+    most = F.col("both") + F.least(F.coalesce("wu", F.lit(0)), F.coalesce("wv", F.lit(0))) + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
+    pairs = pairs.where(most >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9)
+    lead = hot.groupBy("key").agg(F.max(F.struct("w", "node", "n", "i")).alias("c")).select("key", F.col("c.node").alias("other"), F.col("c.n").alias("m"), F.col("c.i").alias("j"))
+    lead = checkpointed(lead)
+    stars = hot.join(lead, "key").where("node <> other").where(_may_link(threshold)).select(F.col("node").alias("u"), F.col("other").alias("v"))
+    found = pairs.select("u", "v").unionByName(stars).unionByName(alike).unionByName(close)
     found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     repeated = known.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v").select("id", "u")
     one = known.join(repeated, "id").select("u", F.col("node").alias("v")).distinct()
     edges = _links(found, texts, nodes, shingle, threshold).unionByName(one)
     comp = checkpointed(connected_components(edges))
 
-    parts = hot.select("key", "node", "n", "i").distinct().join(comp, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    split = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    parts = checkpointed(parts.join(split, "key").select("key", "node", "n", "i", "part"))
-    other = parts.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("part").alias("far"))
-    rest = parts.join(other, "key").where("part < far").where(_may_link(threshold)).select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
-    late = _links(rest, texts, nodes, shingle, threshold)
+    late = _across(hot, lead, comp, texts, nodes, shingle, threshold)
     if late.head(1):
         roots = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
         comp = checkpointed(connected_components(roots.unionByName(late)))
