@@ -1,16 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are mapped to the symbols of five transducers: insult, threat, target, negation and reported
-speech. Their composition reads a clause from left to right and emits a weight per matched pattern:
+A lexicon maps each word of a text to a symbol: insult, threat, target, negation, verb of saying, other; marks
+are symbols too. Small transducers read the symbols in lockstep, each seeing what those before it have marked:
 
-    insult                a hostile word
-    insult + target       a hostile word near "you", "they", ...
-    threat + target       a threatening verb aimed at someone
-    negated               either of them under a negation ("not", "nicht", ...)
-    reported              either of them inside quotation marks or after a verb of saying
+    target, negation, saying, quotation    mark words that a symbol behind them reaches in the sentence
+    hostile    holds an insult or threat until its clause is decided, and marks it aimed, piled, denied or bare
+    discourse  marks a bare insult that follows another hostile clause within WITHIN sentences
 
-Scores come from matched clauses; single words that match no pattern weigh nothing. The weights of the
-patterns, and which words are hostile beyond the built-in ones, are learned from labelled rows.
+Their composition is one transducer whose states are tuples of theirs; its transitions are computed as they are
+first needed and then looked up, one for each word. It emits the matched clauses:
+
+    insult_target   a hostile word within reach of "you", "they", ...
+    threat_target   a threatening verb aimed at someone
+    piled           two hostile words in one clause
+    sustained       a hostile word on its own after another hostile clause
+    negated         any of them under a negation ("not", "nicht", ...)
+    reported        any of them inside quotation marks or after a verb of saying
+
+An isolated hostile word matches nothing and weighs nothing. The weights of the patterns, and which words are
+hostile beyond the built-in ones, are learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -35,78 +43,142 @@ REPORTING = "said says called calls wrote writes claimed quoted sagte nannte sch
 #: Labelled training rows, about, that hostile words are learned from, chosen by a hash of their id.
 SAMPLE_ROWS = 20_000
 #: Names of the matched patterns, in the order in which their counts are kept.
-PATTERNS = ("insult", "insult_target", "threat_target", "negated", "reported")
-#: Words that a negation or a verb of saying reaches, and that a target may be away.
-REACH, NEAR = 4, 3
+PATTERNS = ("insult_target", "threat_target", "piled", "sustained", "negated", "reported")
+#: Words that a negation reaches (a verb of saying twice as many), words that a target may be away, and sentences
+#: after a hostile clause in which another hostile word continues it.
+REACH, NEAR, WITHIN = 4, 3, 30
 #: Counts of a pattern in one text are told apart up to this many (log-spaced beyond).
 LEVELS = (0, 1, 2, 4, 8)
 #: A word becomes hostile if it is in this many toxic rows and its odds are this many times those of others.
 MIN_ROWS, MIN_ODDS = 8, 12.0
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]|[\"“”«»„]")
+_QUOTES, _STOPS = frozenset("\"“”«»„"), frozenset(".!?;:")
 _SYMBOL = {w: s for s, ws in (("T", THREAT), ("Y", TARGET), ("N", NEGATION), ("R", REPORTING), ("I", INSULT)) for w in ws}
 
 
 def symbols(hostile: set[str]) -> dict[str, str]:
-    """Symbol of each word that the transducers know; learned words act as insults."""
+    """Symbol of each word that the lexicon knows; learned words act as insults."""
     return {w: "I" for w in hostile if w not in _SYMBOL} | _SYMBOL
 
 
-def clauses(text: str, known: dict[str, str]) -> np.ndarray:
-    """Counts of the patterns in ``text``.
+#: Symbols of words; the others are S (end of a sentence), P (end of a line) and Q (quotation mark).
+_WORDS = "ITYNRO"
+
+
+def reaching(trigger: str, reach: int, mark: str):
+    """Transducer that marks up to ``reach`` words after ``trigger`` in its sentence. State: words left."""
 
-    States: words since the last negation, verb of saying and target, and whether a quotation is open;
-    sentence marks reset the first three. A hostile word or threat waits up to ``NEAR`` words for a
-    target behind it before its clause is emitted.
-    """
-    out = np.zeros(len(PATTERNS), dtype=np.int64)
-    low = text.lower()
-    negated = reported = target = 1 << 30
-    quoted = False
-    waiting: list[list] = []  # symbol, words left, had a target, suppressed pattern
-
-    def emit(symbol: str, aimed: bool, suppressed: int) -> None:
-        if symbol == "T" and not aimed:
-            return
-        out[suppressed if suppressed else 2 if symbol == "T" else 1 if aimed else 0] += 1
-
-    for token in _TOKEN.findall(low):
-        symbol = known.get(token)
-        if symbol is None and (len(token) > 1 or token.isalpha()):
-            negated, reported, target = negated + 1, reported + 1, target + 1
-            if waiting:
-                for w in waiting:
-                    w[1] -= 1
-                while waiting and waiting[0][1] < 0:
-                    s, _, aimed, kind = waiting.pop(0)
-                    emit(s, aimed, kind)
-            continue
-        if symbol is None:
-            if token in "\"“”«»„":
-                quoted = not quoted
-                continue
-            for s, _, aimed, kind in waiting:
-                emit(s, aimed, kind)
-            waiting.clear()
-            negated = reported = target = 1 << 30
-            if token == "\n":
-                quoted = False
-            continue
-        negated, reported, target = negated + 1, reported + 1, target + 1
-        if symbol == "N":
-            negated = 0
-        elif symbol == "R":
-            reported = 0
-        elif symbol == "Y":
-            target = 0
-            for w in waiting:
-                w[2] = True
-        else:
-            suppressed = 3 if negated <= REACH else 4 if quoted or reported <= 2 * REACH else 0
-            waiting.append([symbol, NEAR, target <= NEAR, suppressed])
-    for s, _, aimed, kind in waiting:
-        emit(s, aimed, kind)
-    return out
+    def step(left: int, symbol: str, marks: frozenset) -> tuple[int, frozenset]:
+        if symbol not in _WORDS:
+            return (left if symbol == "Q" else 0), marks
+        now = marks | {mark} if left else marks
+        return (reach if symbol == trigger else max(0, left - 1)), now
+
+    return 0, step
+
+
+def quotation():
+    """Transducer that marks words between quotation marks of one line as reported. State: whether one is open."""
+
+    def step(open_: bool, symbol: str, marks: frozenset) -> tuple[bool, frozenset]:
+        if symbol in "QP":
+            return symbol == "Q" and not open_, marks
+        return open_, marks | {"under saying"} if open_ else marks
+
+    return False, step
+
+
+def hostile_clause():
+    """Transducer that decides hostile words. State: the one that waits (symbol, words left, what denies it)."""
+
+    def settled(held: tuple | None) -> set:
+        return set() if held is None else {held[2]} if held[2] else {"bare"} if held[0] == "I" else set()
+
+    def step(held: tuple | None, symbol: str, marks: frozenset) -> tuple[tuple | None, frozenset]:
+        if symbol == "Q":
+            return held, marks
+        if symbol in "SP":
+            return None, marks | settled(held)
+        if symbol in "IT":
+            denied = "negated" if "under negation" in marks else "reported" if "under saying" in marks else ""
+            piled = held is not None and not held[2] and not denied
+            out = {"piled"} if piled else settled(held)
+            if "aimed" in marks:
+                return None, marks | out | {denied or ("insult_target" if symbol == "I" else "threat_target")}
+            return (symbol, NEAR, denied), marks | out
+        if held is None:
+            return None, marks
+        if symbol == "Y":
+            return None, marks | {held[2] or ("insult_target" if held[0] == "I" else "threat_target")}
+        if held[1] == 1:
+            return None, marks | settled(held)
+        return (held[0], held[1] - 1, held[2]), marks
+
+    return None, step
+
+
+def discourse():
+    """Transducer that marks bare insults after a hostile clause. State: sentences that are left of its reach."""
+
+    def step(left: int, symbol: str, marks: frozenset) -> tuple[int, frozenset]:
+        out = marks | {"sustained"} if "bare" in marks and left else marks
+        if marks & {"bare", "insult_target", "threat_target", "piled"}:
+            left = WITHIN
+        return (max(0, left - 1) if symbol in "SP" else left), out
+
+    return 0, step
+
+
+class Composed:
+    """The composition of transducers: a table of (state, symbol) to (state, patterns), filled as it is needed."""
+
+    def __init__(self, *parts) -> None:
+        self.steps = [step for _, step in parts]
+        self.states: dict[tuple, int] = {}
+        self.names: list[tuple] = []
+        self.table: list[dict[str, tuple[int, tuple[int, ...]]]] = []
+        self.start = self._number(tuple(start for start, _ in parts))
+
+    def _number(self, state: tuple) -> int:
+        if state not in self.states:
+            self.states[state] = len(self.names)
+            self.names.append(state)
+            self.table.append({})
+        return self.states[state]
+
+    def move(self, at: int, symbol: str) -> tuple[int, tuple[int, ...]]:
+        found = self.table[at].get(symbol)
+        if found is None:
+            marks: frozenset = frozenset()
+            state = []
+            for own, step in zip(self.names[at], self.steps):
+                own, marks = step(own, symbol, marks)
+                state.append(own)
+            found = self.table[at][symbol] = (self._number(tuple(state)), tuple(k for k, p in enumerate(PATTERNS) if p in marks))
+        return found
+
+    def run(self, symbols: list[str]) -> np.ndarray:
+        out = np.zeros(len(PATTERNS), dtype=np.int64)
+        at, table = self.start, self.table
+        for s in symbols:
+            found = table[at].get(s) or self.move(at, s)
+            at = found[0]
+            for k in found[1]:
+                out[k] += 1
+        return out
+
+
+GRAMMAR = Composed(reaching("Y", NEAR, "aimed"), reaching("N", REACH, "under negation"), reaching("R", 2 * REACH, "under saying"), quotation(), hostile_clause(), discourse())
+
+
+def clauses(text: str, known: dict[str, str]) -> np.ndarray:
+    """Counts of the patterns in ``text``; its end is the end of a sentence."""
+    tokens = _TOKEN.findall(text.lower())
+    found = list(map(known.get, tokens))
+    if "I" not in found and "T" not in found:
+        return np.zeros(len(PATTERNS), dtype=np.int64)
+    return GRAMMAR.run([s or ("Q" if t in _QUOTES else "P" if t == "\n" else "S" if t in _STOPS else "O") for s, t in zip(found, tokens)] + ["P"])
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -172,7 +244,7 @@ def fit(cells: list[tuple[list[int], int, int]], rounds: int = 60, ridge: float
 
 
 #: Weights where no label can be learned from: bias, then one per pattern level.
-PRIOR = np.array([-3.0, 2.0, 2.5, 3.0, 0.3, 0.3])
+PRIOR = np.array([-3.0, 2.5, 3.0, 2.5, 2.0, 0.3, 0.3])
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None, train: str = "crc32(cast(cast(id as string) as binary)) % 5 <> 0", id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
@@ -184,7 +256,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, train: str = "crc32(
     Null and empty texts match nothing and get the score of a text without matches. Without both labels
     in the training rows the weights are ``PRIOR``. Hostile words come from a bounded sample of labelled
     rows, whose ids and labels are broadcast; pattern weights from all of them, as counts of each
-    distinct cell of pattern levels, at most ``5 ** 5``.
+    distinct cell of pattern levels, at most ``5 ** 6``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     rows = rows.withColumn("held_out", ~F.coalesce(F.expr(train), F.lit(False)))

@@ -268,15 +268,71 @@ def test_language_model_sums_to_one(spark):
 
 def test_toxicity_clauses():
     known = toxicity.symbols(set())
-    count = lambda t: dict(zip(toxicity.PATTERNS, toxicity.clauses(t, known).tolist()))
-    assert count("You are an idiot") == {"insult": 0, "insult_target": 1, "threat_target": 0, "negated": 0, "reported": 0}
-    assert count("IDIOT### of the worthless!! kind")["insult"] == 2
-    assert count("I will kill you")["threat_target"] == 1
-    assert count("Kill the process")["threat_target"] == 0
-    assert count("It is not stupid")["negated"] == 1
-    assert count('He said "what an idiot" then left')["reported"] == 1
-    assert sum(count("").values()) == 0
-    assert count("not now. stupid")["insult"] == 1
+    count = lambda t: {p: n for p, n in zip(toxicity.PATTERNS, toxicity.clauses(t, known).tolist()) if n}
+    assert count("You are an idiot") == {"insult_target": 1}
+    assert count("IDIOT### of the worthless!! kind") == {"piled": 1, "sustained": 1}
+    assert count("I will kill you") == {"threat_target": 1}
+    assert count("Kill the process") == count("the idiot") == count("") == {}, "isolated words match nothing"
+    assert count("It is not stupid") == {"negated": 1}
+    assert count('He said "what an idiot" then left') == {"reported": 1}
+    assert count("what a moron. It was trash") == {"sustained": 1}
+    assert count("idiot" + " x." * (toxicity.WITHIN + 1) + " trash") == {}
+    assert count("not now. you stupid") == {"insult_target": 1}
+    assert count("idiot not said not said not said you") == {}, "a target beyond the clause's reach"
+
+
+def plain_clauses(symbols):
+    """The patterns from places in the sequence, without states."""
+    out = Counter()
+    word = lambda k: symbols[k] in "ITYNRO"
+    sentence = lambda k: max([j for j in range(k) if symbols[j] in "SP"], default=-1)
+    words_between = lambda j, k: sum(word(x) for x in range(j + 1, k))
+
+    def reached(k, trigger, reach):
+        return any(symbols[j] == trigger and words_between(j, k) < reach for j in range(sentence(k) + 1, k))
+
+    events, last = [], None
+    for k, s in enumerate(symbols):
+        if s not in "IT":
+            continue
+        line = max([j for j in range(k) if symbols[j] == "P"], default=-1)
+        said = reached(k, "R", 2 * toxicity.REACH) or sum(symbols[j] == "Q" for j in range(line + 1, k)) % 2 == 1
+        denied = "negated" if reached(k, "N", toxicity.REACH) else "reported" if said else ""
+        end = min([j for j in range(k + 1, len(symbols)) if symbols[j] in "SP" or (word(j) and words_between(k, j) == toxicity.NEAR - 1) or symbols[j] in "ITY"], default=len(symbols))
+        follower = symbols[end] if end < len(symbols) else "S"
+        if last is not None and last[0] == k:
+            if not last[1] and not denied:
+                events.append((k, "piled"))
+            else:
+                events.append((k, last[1] or ("bare" if last[2] == "I" else "")))
+        last = None
+        aim = denied or ("insult_target" if s == "I" else "threat_target")
+        if reached(k, "Y", toxicity.NEAR):
+            events.append((k, aim))
+        elif follower == "Y":
+            events.append((end, aim))
+        elif follower in "IT":
+            last = (end, denied, s)
+        else:
+            events.append((end, denied or ("bare" if s == "I" else "")))
+    seen = None
+    for at, e in sorted((x for x in events if x[1]), key=lambda x: x[0]):
+        if e == "bare" and seen is not None and sum(symbols[j] in "SP" for j in range(seen, at)) < toxicity.WITHIN:
+            out["sustained"] += 1
+        if e != "bare":
+            out[e] += 1
+        if e in ("bare", "insult_target", "threat_target", "piled"):
+            seen = at
+    return [out[p] for p in toxicity.PATTERNS]
+
+
+def test_toxicity_grammar_against_places(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(4000):
+        symbols = rng.choices("ITYNROOOOSPQ", k=rng.randrange(1, 60)) + ["P"]
+        assert toxicity.GRAMMAR.run(symbols).tolist() == plain_clauses(symbols), symbols
+    words = [("idiot", "stupid")[k % 2] + " said not x you \"" [k % 3 :] for k in range(150_000)]
+    assert toxicity.clauses(" ".join(words), toxicity.symbols(set())).sum() > 0, "linear in the length"
 
 
 def test_toxicity_learns_and_holds_out(spark):
