@@ -1,8 +1,10 @@
 """Main text of web pages by two-pass block rules.
 
-Pass one looks at each block alone: the container it lies in, its length, its share of link text and its
-density of stop words make it good, bad, nearly good or short. Pass two lets the undecided blocks inherit
-from the nearest decided ones before and after.
+Pass one looks at each block alone: its length, its share of link text and its density of stop words make it
+good, bad, nearly good or short. Pass two lets the undecided blocks inherit from the nearest decided ones before
+and after. Containers that aren't prose by their element, role or full name (``nav``, ``role=search``,
+``class="cookie-notice"``) are bad beforehand; a name that only has such a word among others
+(``related-work``) decides nothing.
 """
 
 from __future__ import annotations
@@ -41,20 +43,27 @@ _BLOCKS = frozenset(
     th thead tr ul""".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Words of class and id names of boilerplate: sure ones, ones that the main text's containers may have as well, and
+#: ones that may stand beside either. A name counts only if it is made of such words alone.
 _STRONG = frozenset(
     """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist disqus replies reply
     respond cookie cookies consent gdpr newsletter subscribe signup popup modal overlay related recommended recommendations share sharing
     social breadcrumb breadcrumbs pagination pager copyright login notice alert paywall teaser teasers outbrain taboola skip""".split()
 )
 _WEAK = frozenset("sidebar side nav navbar navigation menu footer header masthead banner topbar toolbar widget widgets search tags meta".split())
+_BESIDE = frozenset(
+    """area articles bar bars block blocks box boxes btn btns button buttons col column container content div form group icons inner item items
+    left right top bottom main site page primary secondary global link links list lists more news outer panel post posts read row section
+    slot stories thread title unit us wrap wrapper you also popular latest follow sticky fixed mobile desktop""".split()
+)
 _MAIN = frozenset("article articlebody content main entry post story blog text body".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _CLOSES_P = _BLOCKS - {"body", "html", "option", "optgroup"}
 
-#: Attributes are read up to bounded lengths, so that broken markup takes linear time.
+#: Attributes are read without going back, so that broken markup takes linear time.
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:_-]{0,60}+)(?P<attr>(?:[^<>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'){0,99}+)>"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:_-]{0,60}+)(?P<attr>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:_-]{0,60}+)(?P<attr2>[^<>]*+)>",
     re.S,
 )
@@ -117,25 +126,25 @@ def _place(name: str, attr: str, in_main: bool) -> tuple[bool, bool]:
     if not attr or name in ("html", "body"):
         return boiler, main
     values = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(attr)}
-    names = f"{values.get('class', '')} {values.get('id', '')}"
-    tokens = {t.lower() for t in _TOKEN.findall(names)} if names != " " else set()
+    names = [{t.lower() for t in _TOKEN.findall(n)} for n in f"{values.get('class', '')} {values.get('id', '')}".split()]
     style = values.get("style", "").replace(" ", "").lower()
     role = values.get("role", "").lower()
     if re.search(r"(?:^|\s)hidden(?:\s|$)", attr) or values.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or role in _ROLES:
         return True, False
     if values.get("itemprop", "").lower() == "articlebody" or role in ("main", "article"):
         main = True
-    if tokens & _STRONG:
+    if any(n & _STRONG and n <= _STRONG | _WEAK | _BESIDE for n in names):
         return True, False
-    if tokens & _MAIN and name in ("div", "section", "td"):
+    if any(n & _MAIN and not n & (_STRONG | _WEAK) for n in names) and name in ("div", "section", "td"):
         return boiler, True
-    return boiler or (bool(tokens & _WEAK) and not main), main
+    return boiler or (any(n & _WEAK and n <= _STRONG | _WEAK | _BESIDE for n in names) and not main), main
 
 
 def blocks(page: str) -> list[Block]:
     """The non-empty text blocks of a page, in order; white space inside a block becomes one space."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # element, boilerplate, main
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by name
     parts: list[tuple[str, bool]] = []
     boiler = main = linked = broken = False
     heading = 0
@@ -150,16 +159,18 @@ def blocks(page: str) -> list[Block]:
 
     def pop_to(n: int) -> None:
         nonlocal boiler, main
+        for x, _, _ in stack[n:]:
+            places[x].pop()
         del stack[n:]
         boiler, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
+    def push(name: str) -> None:
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, boiler, main))
+
     def close(name: str, until: frozenset) -> None:
-        for n in range(len(stack) - 1, -1, -1):
-            if stack[n][0] == name:
-                pop_to(n)
-                return
-            if stack[n][0] in until:
-                return
+        if (own := places.get(name)) and all(not (x := places.get(u)) or x[-1] <= own[-1] for u in until):
+            pop_to(own[-1])
 
     ends: dict[str, dict[int, int]] = {}
     at, size = 0, len(page)
@@ -201,9 +212,9 @@ def blocks(page: str) -> list[Block]:
         if name not in _BLOCKS:
             if not ending and name not in _VOID and attr and (place := _place(name, attr, main))[0] and not attr.endswith("/"):
                 flush()
-                stack.append((name, True, main))
                 boiler = True
-            elif ending and stack and any(s[0] == name for s in stack):
+                push(name)
+            elif ending and places.get(name):
                 flush()
                 close(name, frozenset())
             continue
@@ -228,7 +239,7 @@ def blocks(page: str) -> list[Block]:
             bad, good = _place(name, attr, main)
             boiler = boiler or bad
             main = (main or good) and not boiler
-            stack.append((name, boiler, main))
+            push(name)
     flush()
     return out
 
@@ -297,7 +308,7 @@ def classify(found: list[Block]) -> list[Block]:
     for i, b in enumerate(found):
         if b.heading and b.label == "bad" and first[i] == "short":
             distance = 0
-            for c in found[i + 1 :]:
+            for c in (found[k] for k in range(i + 1, len(found))):
                 if distance > HEADING_REACH:
                     break
                 if c.label == "good":
@@ -317,10 +328,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
 
     Null and empty pages, and pages without a good block, have the empty text. Pages are independent of
     each other: there is no shuffle, and repeated rows give repeated results. Broken markup is read as
-    far as it goes; whole pages are read whatever their length.
+    far as it goes; whole pages are read, in linear time, whatever their length and nesting. ``keep`` may
+    not name id, text or n_chars.
     """
-    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"), *keep)
-    names = [n for n in rows.columns if n != "html"]
+    if clash := {"id", "text", "n_chars"} & set(keep):
+        raise ValueError(f"rename the kept columns {sorted(clash)}: the result has columns of that name")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("main_text_html"), *keep)
+    names = [n for n in rows.columns if n != "main_text_html"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,5 +342,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
             cols = [c for i, c in enumerate(b.columns) if i != 1]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())], names=[*names, "text"])
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "html")
+    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "main_text_html")
     return rows.mapInArrow(run, f"{fields}, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -20,6 +20,8 @@ from runloom.llm.common import checkpointed, hashed_sample
 
 #: Labelled rows, about, that the trigram models are fitted on, chosen by a hash of all their columns.
 SAMPLE_ROWS = 4_000
+#: Sampled rows without which a language has no model; so there are at most SAMPLE_ROWS / LEAST_ROWS or so models.
+LEAST_ROWS = 10
 #: Slots that byte trigrams are hashed to, pseudo-count of a slot.
 SLOTS, SMOOTH = 1 << 16, 0.05
 #: A text's likelihood counts as that of this many trigrams at most: they are far from independent.
@@ -59,6 +61,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
     """Log-likelihoods per language and slot, from a bounded sample of whole labelled texts.
 
+    A language needs ``LEAST_ROWS`` rows in the sample, which bounds the number of models on the driver.
     Rows without a text or language are left out; without any labelled row there are no languages. Pass a
     column that tells rows apart (an id), so that copies of one text are chosen one by one. Texts stay
     where they are: each task counts the slots of its own chosen rows, and only counts, of ``SLOTS``
@@ -67,6 +70,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     told = F.lower(F.trim(F.col(lang_col).cast("string"))) != ""
     chosen = hashed_sample(labelled.where(told), labelled.columns, sample_rows, labelled.where(told).select(lang_col).count())
     rows = chosen.select(F.lower(F.trim(F.col(lang_col).cast("string"))).alias("lang"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
+    enough = [r.lang for r in rows.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).collect()]
+    rows = rows.where(F.col("lang").isin(*enough)) if enough else rows.limit(0)
     counted = rows.mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     sums: dict[str, np.ndarray] = {}
     for r in counted.collect():

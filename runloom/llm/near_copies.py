@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ SLICE = 500
 #: Pairs, about, of one task's comparison.
 PAIRS = 2_000
 #: Texts on each side of one comparison between parts, and shingles that are counted at a time.
-TILE, COLUMNS = 128, 8192
+TILE, COLUMNS = 256, 8192
 #: Up to so many ids travel to the texts; beyond them the texts are shuffled to the ids.
 SENT_IDS = 1_000_000
 
@@ -176,16 +177,23 @@ def _meet(threshold: float, dense: int):
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Node and compressed words of each text."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
-        nodes = np.array([_node(_words(t)) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), b.column(1)], names=["node", "t"])
+        words = [_words(t) for t in b.column(1).to_pylist()]
+        nodes = np.array([_node(w) for w in words], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([pack(b" ".join(w)) for w in words], pa.binary())], names=["node", "t"])
+
+
+def _set_of(packed: bytes, shingle: int) -> np.ndarray:
+    return shingle_set(zstandard.ZstdDecompressor().decompress(bytes(packed)).split(), shingle)
 
 
 def _similar(shingle: int, threshold: float):
     """The pairs of one bucket whose sets are similar."""
 
     def run(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        s = {node: shingle_set(_words(bytes(t)), shingle) for node, t in zip(texts["node"], texts["t"])}
+        s = {node: _set_of(t, shingle) for node, t in zip(texts["node"], texts["t"])}
         ok = []
         for u, v in zip(pairs["u"], pairs["v"]):
             a, b = s[u], s[v]
@@ -211,16 +219,20 @@ def _sent(texts: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """Those of the candidate ``pairs`` that are similar.
 
-    Pairs are dealt into buckets by their second node, of which a node has few; each text goes once to each
-    bucket that needs it.
+    Pairs are dealt into buckets by the first node that their second one meets, so that a group's texts go to one
+    bucket, and by the second one itself where that makes more than ``PAIRS``; each text goes once to each bucket
+    that needs it.
     """
     pairs = checkpointed(pairs.distinct())
     n = pairs.count()
     if not n:
         return pairs
-    dealt = pairs.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(math.ceil(n / PAIRS))))
-    needed = checkpointed(dealt.select(F.col("u").alias("node"), "bucket").unionByName(dealt.select(F.col("v").alias("node"), "bucket")).distinct())
-    sent = _sent(texts, nodes, needed).groupBy("bucket")
+    label = checkpointed(pairs.groupBy("v").agg(F.min("u").alias("label"), F.count("*").alias("c")))
+    parts = label.groupBy("label").agg(F.ceil(F.sum("c") / PAIRS).alias("parts"))
+    bucket = F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("v"), F.col("parts"))), F.lit(math.ceil(n / PAIRS)))
+    dealt = checkpointed(pairs.join(label.join(parts, "label"), "v").select("u", "v", bucket.alias("bucket")))
+    needed = checkpointed(dealt.select(F.col("u").alias("node"), F.col("bucket").alias("at")).unionByName(dealt.select(F.col("v").alias("node"), F.col("bucket").alias("at"))).distinct())
+    sent = _sent(texts, nodes, needed).groupBy("at")
     return checkpointed(dealt.groupBy("bucket").cogroup(sent).applyInPandas(_similar(shingle, threshold), "u long, v long"))
 
 
@@ -230,7 +242,7 @@ def _tile(shingle: int, threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["side", "node"])
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        x, y = ([shingle_set(_words(bytes(t)), shingle) for t in side["t"]] for side in (a, b))
+        x, y = ([_set_of(t, shingle) for t in side["t"]] for side in (a, b))
         if not len(a) or not len(b):
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
         both = np.zeros((len(x), len(y)), np.float32)
@@ -254,23 +266,33 @@ def _tile(shingle: int, threshold: float):
 def _across(hot: DataFrame, lead: DataFrame, comp: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """Links between the parts that nodes of dense keys are in, of those that were held against the same node.
 
-    Nodes outside that node's part ("outer") are compared with all of its keys' nodes in tiles, whose number
-    grows with both; no pair is written down that doesn't link.
+    What shares a key of no dense run has been decided. So a text has at most its ``w`` dense keys and the
+    ``threshold * n`` shingles behind its prefix in common with one of another part, and of two with few dense
+    keys ("weak") none can be similar. Nodes outside the common node's part ("outer") are compared with all others,
+    weak ones with strong ones only, in tiles, whose number grows with both; no pair is written down that
+    doesn't link.
     """
     part = F.coalesce("component", "node")
-    members = hot.join(lead.select("key", F.col("other").alias("lead")), "key").select("lead", "node").distinct().join(comp, "node", "left").select("lead", "node", part.alias("part"))
+    weak = F.col("w") <= threshold * (1 - threshold) / (1 + threshold) * F.col("n") + 1e-9
+    members = hot.join(lead.select("key", F.col("other").alias("lead")), "key").groupBy("lead", "node").agg(F.any_value(weak).alias("weak"))
+    members = members.join(comp, "node", "left").select("lead", "node", part.alias("part"), "weak")
     main = members.where("node = lead").select("lead", F.col("part").alias("main"))
     members = checkpointed(members.join(main, "lead").withColumn("outer", F.col("part") != F.col("main")))
-    size = members.groupBy("lead").agg(F.count("*").alias("n"), F.count_if("outer").alias("n_outer")).where("n_outer > 0")
-    rows = members.join(size, "lead").withColumn("ta", F.ceil(F.col("n_outer") / TILE)).withColumn("tb", F.ceil(F.col("n") / TILE))
     at = lambda tiles: F.pmod(F.xxhash64("node"), F.col(tiles))
     every = lambda tiles: F.explode(F.sequence(F.lit(0).cast("long"), F.col(tiles) - 1))
-    keep = ["lead", "node", "part"]
-    looked_up = rows.where("outer").select(*keep, at("ta").alias("a"), every("tb").alias("b"), F.lit(0).alias("side"))
-    needed = checkpointed(looked_up.unionByName(rows.select(*keep, every("ta").alias("a"), at("tb").alias("b"), F.lit(1).alias("side"))))
+    keep = ["lead", "family", "node", "part"]
+    needed = None
+    for family, (own, others) in enumerate((("outer AND NOT weak", "true"), ("outer AND weak", "NOT weak"))):
+        size = members.groupBy("lead").agg(F.ceil(F.count_if(F.expr(own)) / TILE).alias("ta"), F.ceil(F.count_if(F.expr(others)) / TILE).alias("tb")).where("ta > 0 AND tb > 0")
+        rows = members.join(size, "lead").withColumn("family", F.lit(family))
+        looked_up = rows.where(own).select(*keep, at("ta").alias("a"), every("tb").alias("b"), F.lit(0).alias("side"))
+        among = rows.where(others).select(*keep, every("ta").alias("a"), at("tb").alias("b"), F.lit(1).alias("side"))
+        both = looked_up.unionByName(among)
+        needed = both if needed is None else needed.unionByName(both)
+    needed = checkpointed(needed)
     if needed.isEmpty():
         return needed.select(F.col("node").alias("u"), F.col("node").alias("v"))
-    return checkpointed(_sent(texts, nodes, needed).groupBy("lead", "a", "b").applyInPandas(_tile(shingle, threshold), "u long, v long"))
+    return checkpointed(_sent(texts, nodes, needed).groupBy("lead", "family", "a", "b").applyInPandas(_tile(shingle, threshold), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, max_bits: int = 2, dense: int = DENSE) -> DataFrame:
@@ -285,7 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts are read again instead of being moved with them. Nodes that share a prefix shingle are paired, and
     a pair is verified unless the prefix shingles that it shares, and all that may follow the last of them, are
     too few. Where more than ``dense`` share a shingle, each is first held against that of them which shares
-    most such shingles, and then only against those that are not in its component yet. Shingles that are
+    most of its shingles so, and then only against those that are not in its component yet. Shingles that are
     frequent in a sample are dealt to several tasks.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
@@ -311,7 +333,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.join(wide.select(F.col("node").alias(node), F.col("w").alias(f"w{node}")), node, "left")
     most = F.col("both") + F.least(F.coalesce("wu", F.lit(0)), F.coalesce("wv", F.lit(0))) + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
     pairs = pairs.where(most >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9)
-    lead = hot.groupBy("key").agg(F.max(F.struct("w", "node", "n", "i")).alias("c")).select("key", F.col("c.node").alias("other"), F.col("c.n").alias("m"), F.col("c.i").alias("j"))
+    share = (F.col("w") / F.col("n")).alias("share")  # nearly all of what a group's origin has is shared
+    lead = hot.groupBy("key").agg(F.max(F.struct(share, "node", "n", "i")).alias("c")).select("key", F.col("c.node").alias("other"), F.col("c.n").alias("m"), F.col("c.i").alias("j"))
     lead = checkpointed(lead)
     stars = hot.join(lead, "key").where("node <> other").where(_may_link(threshold)).select(F.col("node").alias("u"), F.col("other").alias("v"))
     found = pairs.select("u", "v").unionByName(stars).unionByName(alike).unionByName(close)

@@ -3,7 +3,8 @@
 A value that passes its kind's validation (check digits, calendar, number ranges) becomes a whole number
 below the count of valid values of its format, a keyed permutation of that range maps it to another,
 and that is written in the same format. The permutation depends on the key, the kind and the format
-alone, so equal values stay equal in all documents and different ones stay different.
+alone, so equal values of one format stay equal in all documents and different ones stay different. Numbers
+written with other separators are equal values; dates are linked within one order of day, month and year.
 """
 
 from __future__ import annotations
@@ -103,24 +104,65 @@ def _ssn(m: re.Match, key: bytes) -> str | None:
 
 
 _FIRST, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
+_MONTHS = "January February March April May June July August September October November December".split()
+
+
+@lru_cache(maxsize=1)
+def _numeric_dates() -> tuple[list[tuple[int, int, int]], dict[tuple[int, int, int], int]]:
+    """All (first, second, year) that are a date month first or else day first, in order, and their places."""
+    found = []
+    for day in range(_DAYS):
+        d = date.fromordinal(_FIRST + day)
+        found.append((d.month, d.day, d.year))
+        if d.day > 12:
+            found.append((d.day, d.month, d.year))
+    return found, {x: i for i, x in enumerate(found)}
+
+
+def _padded(value: int, like: str) -> str:
+    return f"{value:0{len(like)}d}"
 
 
 def _date(m: re.Match, key: bytes) -> str | None:
-    a, sep, b, c = m["y"] or m["a"], m["sep"], m["b"], m["c"]
-    orders = ["ymd"] if len(a) == 4 else ["dmy"] if sep == "." else ["mdy", "dmy"]
-    for order in orders:
-        part = dict(zip(order, (a, b, c)))
-        try:
-            day = date(int(part["y"]), int(part["m"]), int(part["d"])).toordinal() - _FIRST
-        except ValueError:
-            continue
-        if not 0 <= day < _DAYS:
-            continue
-        d = date.fromordinal(permute(day, _DAYS, key, f"date{order}{sep}") + _FIRST)
-        short = {k: len(v) == 1 for k, v in part.items()}
-        text = {"y": f"{d.year:04d}", "m": str(d.month) if short["m"] else f"{d.month:02d}", "d": str(d.day) if short["d"] else f"{d.day:02d}"}
-        return sep.join(text[k] for k in order)
-    return None
+    sep, b, c = m["sep"], m["b"], m["c"]
+    if not m["y"] and sep != ".":  # month first or day first: which can't be told, so both are one range of values
+        dates, places = _numeric_dates()
+        at = places.get((int(m["a"]), int(b), int(c)))
+        if at is None:
+            return None
+        x, y, year = dates[permute(at, len(dates), key, f"date{sep}")]
+        return sep.join((_padded(x, m["a"]), _padded(y, b), f"{year:04d}"))
+    year, month, day = (m["y"], b, c) if m["y"] else (c, b, m["a"])
+    d = _moved(int(year), int(month), int(day), key, f"date{'ymd' if m['y'] else 'dmy'}{sep}")
+    if d is None:
+        return None
+    parts = [f"{d.year:04d}", _padded(d.month, month), _padded(d.day, day)]
+    return sep.join(parts if m["y"] else parts[::-1])
+
+
+def _moved(year: int, month: int, day: int, key: bytes, tweak: str) -> date | None:
+    """The pseudonym of a day of 1900-2099."""
+    try:
+        at = date(year, month, day).toordinal() - _FIRST
+    except ValueError:
+        return None
+    return date.fromordinal(permute(at, _DAYS, key, tweak) + _FIRST) if 0 <= at < _DAYS else None
+
+
+def _spelled(m: re.Match, key: bytes) -> str | None:
+    """12 March 1999, March 12, 1999 and the like; full and short names of months are the same values."""
+    name, day = m["m1"] or m["m2"], m["d1"] or m["d2"]
+    month = next((i for i, x in enumerate(_MONTHS, 1) if name in (x, x[:3])), 0)
+    d = _moved(int(m["y"]), month, int(day), key, "spelled")
+    if d is None:
+        return None
+    new = _MONTHS[d.month - 1][: None if len(name) > 3 or name == "May" else 3]
+    parts = [(m.start(g) - m.start(), m.end(g) - m.start(), t) for g, t in (("d1", _padded(d.day, day)), ("m1", new), ("m2", new), ("d2", _padded(d.day, day)), ("y", f"{d.year:04d}")) if m[g]]
+    out, last = "", 0
+    for start, end, t in parts:
+        out += m[0][last:start] + t
+        last = end
+    return out
 
 
 def _phone(m: re.Match, key: bytes) -> str | None:
@@ -160,33 +202,49 @@ def _iban(m: re.Match, key: bytes) -> str | None:
 
 
 _OCTET = r"[0-9]{1,3}"
+_NAMES = "|".join([*_MONTHS, *[x[:3] for x in _MONTHS if x != "May"]])
 #: In order of precedence where matches begin together.
 _RULES: list[tuple[str, re.Pattern, Callable[[re.Match, bytes], str | None]]] = [
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"), _iban),
     ("ip", re.compile(rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"), _ip),
     ("date", re.compile(r"(?<![0-9./-])(?:(?P<y>[0-9]{4})|(?P<a>[0-9]{1,2}))(?P<sep>[-/.])(?P<b>[0-9]{1,2})(?P=sep)(?P<c>(?(y)[0-9]{1,2}|[0-9]{4}))(?![0-9]|[-/.][0-9])"), _date),
+    ("date", re.compile(rf"\b(?:(?P<d1>[0-9]{{1,2}})\x20(?P<m1>{_NAMES})|(?P<m2>{_NAMES})\x20(?P<d2>[0-9]{{1,2}}),?)\x20(?P<y>[0-9]{{4}})\b"), _spelled),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"), _ssn),
     ("card", re.compile(r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}(?P<s>[ -])[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{1,7}|[0-9]{4}(?P<t>[ -])[0-9]{6}(?P=t)[0-9]{5})(?![0-9]|[.-][0-9])"), _card),
     ("phone", re.compile(r"(?<![0-9.+])(?:(?P<cc>\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-][0-9]{2,5}){0,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9]|[.-][0-9])"), _phone),
 ]
 _MAY = re.compile(r"[0-9]")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: Letters that are permuted together; what is longer is cut into pieces of so many.
+_PIECE = 64
 
 
 @lru_cache(maxsize=100_000)
 def _email(local: str, domain: str, key: bytes) -> str:
-    return _alphabetic(local, key, "email" + domain.lower()) + domain
+    pieces = [local[at : at + _PIECE] for at in range(0, len(local), _PIECE)]
+    return "".join(_alphabetic(p, key, f"email{n or ''}{domain.lower()}") for n, p in enumerate(pieces)) + domain
+
+
+def _emails(text: str, key: bytes) -> Iterator[tuple[int, int, int, str, str]]:
+    """Addresses; the local part is read back to where it begins, whatever its length."""
+    last = 0
+    for m in _AT.finditer(text):
+        at = m.start()
+        while at > last and text[at - 1] in _LOCAL:
+            at -= 1
+        while at < m.start() and text[at] == ".":
+            at += 1
+        if at < m.start():
+            yield at, -1, m.end(), "email", _email(text[at : m.start()], m[0], key)
+        last = m.end()
 
 
 def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of each value, disjoint, in order of start."""
     found = []
     if "@" in text:
-        for m in _AT.finditer(text):
-            local = _LOCAL.search(text, max(0, m.start() - 64), m.start())
-            if local and (part := local[0].lstrip(".")):
-                found.append((m.start() - len(part), -1, m.end(), "email", _email(part, m[0], key)))
+        found += _emails(text, key)
     if _MAY.search(text):
         for n, (kind, pattern, change) in enumerate(_RULES):
             for m in pattern.finditer(text):
@@ -220,6 +278,8 @@ def transform(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: st
     Other columns pass through, whatever their names; a column named ``spans_col`` must not exist. Rows
     are independent: no order, no shuffle, repeated rows give repeated results.
     """
+    if not 16 <= len(key) <= 64:
+        raise ValueError("the key must have 16 to 64 bytes")
     span = "array<struct<kind:string,start:long,end:long>>"
     names = docs.columns
     if spans_col in names:

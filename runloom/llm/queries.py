@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from secrets import token_hex
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.llm import bpe, decontam, embeddings, html_text, langid, ngram_lm, pii, secrets, simhash, toxicity
-from runloom.llm.common import table
+from runloom.llm.common import shared_folder, table
 
 
 def pii_key(spark: SparkSession) -> bytes:
-    """The pseudonym key: the session's ``spark.runloom.pii.key``, or a fixed one for trials."""
-    return spark.conf.get("spark.runloom.pii.key", "runloom trial key").encode()[:64]
+    """The pseudonym key of the session: its ``spark.runloom.pii.key``, of at least 16 characters.
+
+    There is no built-in key. Where none is set a random one is drawn for the session, so pseudonyms are
+    linked within it but can't be told from outside. A key is hashed to 64 bytes.
+    """
+    name = "spark.runloom.pii.key"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, token_hex(32))
+    text = spark.conf.get(name)
+    if len(text) < 16:
+        raise ValueError(f"{name} is too short")
+    return hashlib.blake2b(text.encode()).digest()
 
 
 def op1_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +79,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = secrets.findings(table(spark, sf_dir, "documents", "doc_id", "text"))
+    folder = spark.conf.get("spark.runloom.secrets.ledger", None) or f"{shared_folder(spark)}/secrets-{uuid.uuid4().hex}"
+    out = secrets.incremental(table(spark, sf_dir, "documents", "doc_id", "text"), folder)
     span = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
     base = F.filter("found", lambda x: x["kind"].isin(*secrets.BASE))
     n = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -12,11 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runloom.llm.common import checkpointed
+
 #: Changes whenever a rule changes, so that blobs are scanned anew.
-RULES_VERSION = "2025-1"
+RULES_VERSION = "2025-2"
 #: Kinds in the order in which ties are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "bearer", "jwt", "prefixed", "url")
 BASE = KINDS[:3]
@@ -24,14 +27,49 @@ BASE = KINDS[:3]
 _ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{16,}")  # greedy runs: the same as all runs, the short ones dropped
-_PEM = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[\x09-\x0D\x20-\x7E]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+#: Encapsulation boundaries of textual encodings whose label ends in PRIVATE KEY (RFC 7468), and what can't lie between.
+_PEM = re.compile(rb"-----(BEGIN|END)\x20((?:[A-Z0-9]+\x20)*)PRIVATE\x20KEY-----")
+_UNPRINTED = re.compile(rb"[^\x09-\x0D\x20-\x7E]")
 _BEARER = re.compile(rb"bearer\x20+([A-Za-z0-9+/_.~=-]{20,})", re.I)
-_JWT = re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*")
+_JWT = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*")
 _PREFIXED = re.compile(rb"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})")
-_URL = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20/:@\"']+:[^\x00-\x20/@\"']+@")
+#: An address with a password, from its colon on; the scheme is read back from there.
+_USER = re.compile(rb"://[^\x00-\x20/:@\"']+:[^\x00-\x20/@\"']+@")
+_SCHEME = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+#: Up to so many names of unseen blobs travel to the texts; beyond them the texts are shuffled to the names.
+SENT_BLOBS = 500_000
 _NEEDLES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 
+def _private_keys(t: bytes) -> Iterator[tuple[int, int, int]]:
+    """Blocks from a BEGIN to the next END of the same label, no other BEGIN between; each byte is read once."""
+    begin = None
+    for m in _PEM.finditer(t):
+        if m[1] == b"BEGIN":
+            begin = m
+        elif begin is not None:
+            if m[2] == begin[2] and not _UNPRINTED.search(t, begin.end(), m.start()):
+                yield begin.start(), 3, m.end()
+            begin = None
+
+
+def _addresses(t: bytes) -> Iterator[tuple[int, int, int]]:
+    """Addresses with a user and a password; a scheme is read back to its first letter, no further than the last mark."""
+    last = 0
+    at = t.find(b"://")
+    while at >= 0:
+        if m := _USER.match(t, at):
+            start = at
+            while start > last and t[start - 1] in _SCHEME:
+                start -= 1
+            while start < at and not chr(t[start]).isalpha():
+                start += 1
+            if start < at:
+                yield start, 7, m.end()
+        last = at + 3
+        at = t.find(b"://", last)
+
+
 def find(text: bytes | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each secret in UTF-8 ``text``, in code points, by start and then kind."""
     t = text or b""
@@ -43,7 +81,7 @@ def find(text: bytes | None) -> list[tuple[str, int, int]]:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(t) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(t)]
     if b"-----BEGIN " in t:
-        found += [(m.start(), 3, m.end()) for m in _PEM.finditer(t)]
+        found += _private_keys(t)
     if b"bearer" in low:
         found += [(m.start(), 4, m.end()) for m in _BEARER.finditer(t)]
     if b"eyJ" in t:
@@ -51,7 +89,7 @@ def find(text: bytes | None) -> list[tuple[str, int, int]]:
     if any(n in t for n in (b"gh", b"xox", b"sk_live_", b"AIza")):
         found += [(m.start(), 6, m.end()) for m in _PREFIXED.finditer(t)]
     if b"://" in t:
-        found += [(m.start(), 7, m.end()) for m in _URL.finditer(t)]
+        found += _addresses(t)
     if not found:
         return []
     found.sort()
@@ -101,7 +139,8 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, text_col: str
     blobs = docs.select(F.sha2(text, 256).alias("blob"), text.cast("binary").alias("t"))
     if ledger is not None:
         done = ledger.where(F.col("version") == version).select("blob").distinct()
-        blobs = blobs.join(done, "blob", "left_anti")
+        unseen = checkpointed(docs.select(F.sha2(text, 256).alias("blob")).distinct().join(done, "blob", "left_anti"))
+        blobs = blobs.join(F.broadcast(unseen) if unseen.count() <= SENT_BLOBS else unseen, "blob", "left_semi")
     first = blobs.mapInArrow(_first_seen, "blob string, t binary").repartition("blob")
     found = first.mapInArrow(_scan, "blob string, found array<struct<kind:string,start:long,end:long>>")
     return found.select("blob", F.lit(version).alias("version"), "found")
@@ -116,7 +155,34 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "do
     """
     new = scan_unseen(docs, ledger, text_col, version)
     known = new if ledger is None else new.unionByName(ledger.where(F.col("version") == version).select("blob", "version", "found"))
+    return _joined(docs, known, id_col, text_col), new
+
+
+def _joined(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every row of ``docs`` with what the ledger rows ``known`` have for its blob."""
     hit = known.where(F.size("found") > 0).select("blob", "found")
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     out = paths(docs, id_col, text_col).join(hit, "blob", "left")
-    return out.select("id", "blob", F.coalesce("found", empty).alias("found")), new
+    return out.select("id", "blob", F.coalesce("found", empty).alias("found"))
+
+
+LEDGER = "blob string, version string, found array<struct<kind:string,start:long,end:long>>"
+
+
+def incremental(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", version: str = RULES_VERSION) -> DataFrame:
+    """:func:`findings` by the ledger in ``folder``, to which what was scanned anew is appended first.
+
+    A folder that doesn't exist is an empty ledger. Every blob of ``docs`` is in the ledger when findings are
+    joined back, so the result is read from it alone; a run that is repeated scans nothing.
+    """
+    spark = docs.sparkSession
+    try:
+        ledger = spark.read.schema(LEDGER).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ledger = None
+    scan_unseen(docs, ledger, text_col, version).write.mode("append").parquet(folder)
+    whole = spark.read.schema(LEDGER).parquet(folder)
+    own = whole.where(F.col("version") == version).dropDuplicates(["blob"])  # runs at the same time may scan the same
+    return _joined(docs, own, id_col, text_col)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from runloom.llm import pii
+from runloom.llm import langid, pii
 from runloom.llm.queries import pii_key
 from tests.llm.test_operators import WORDS, language_rows, plain_contamination, plain_fingerprint, reach
 
@@ -60,6 +61,36 @@ def test_run_and_registry(spark, sf_dir):
     assert corpus_pipeline.run(spark, path).count() == len(rows)
 
 
+def test_clashing_and_further_columns(spark, sf_dir):
+    path, rows, _ = sf_dir
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    more = docs
+    for c in ("n", "told", "id", "component", "key", "odd", "t", "kind"):
+        more = more.withColumn(c, F.lit("x"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, wide = stage(spark, docs, path), stage(spark, more, path)
+        assert wide.columns == more.columns
+        assert sorted(wide.select(*docs.columns).collect(), key=repr) == sorted(plain.collect(), key=repr)
+    assert corpus_pipeline.tokenise(spark, more, path).count() == len(rows)
+
+
+def test_language_labels_are_those_of_the_operator(spark, sf_dir):
+    path, rows, _ = sf_dir
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 4 == 0, "xx").otherwise(F.col("lang")))
+    found = langid.identify(docs, langid.fit(docs), "doc_id", "text", F.col("lang"), F.lit(None), F.col("source"))
+    want = sorted((r.id if r.id is not None else -1, r.lang) for r in found.where("lang IS NOT NULL").collect())
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.lang) for r in corpus_pipeline.language(spark, docs, path).collect()) == want
+
+
+def test_verdicts_join_alike_without_a_broadcast(spark, sf_dir, monkeypatch):
+    path, _, _ = sf_dir
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    stages = [s for _, s in corpus_pipeline.STAGES[:3]]
+    sent = [sorted(s(spark, docs, path).collect(), key=repr) for s in stages]
+    monkeypatch.setattr(corpus_pipeline, "SENT_ROWS", -1)
+    assert [sorted(s(spark, docs, path).collect(), key=repr) for s in stages] == sent
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
