@@ -58,26 +58,27 @@ def check_structure(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ext
     return out
 
 
-def levels(nodes: DataFrame, e: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def levels(nodes: DataFrame, e: DataFrame) -> DataFrame:
     """``(plan, task, level)``: longest path from a root; null for tasks on or behind a cycle.
 
-    All plans are peeled together: a round takes the tasks without an open parent, so there are as many
-    rounds as the deepest plan has levels. Each round is two anti-joins and a shared-folder checkpoint.
+    All plans are peeled together: a round takes the edges out of the tasks placed last, and the children
+    that no other edge holds are placed next, so there are as many rounds as the deepest plan has levels and
+    each reads only the edges that are left. It goes on until nothing more can be placed.
     """
-    left = checkpointed(nodes.select("plan", "task").distinct())
+    tasks = nodes.select("plan", "task").distinct()
     open_ = checkpointed(e.where("parent IS NOT NULL").select("plan", "parent", "child").distinct())
-    done = None
-    for level in range(max_rounds):
-        ready = left.join(open_.select("plan", F.col("child").alias("task")), ["plan", "task"], "left_anti")
-        ready = checkpointed(ready)
-        if ready.isEmpty():
-            break
-        found = ready.select("plan", "task", F.lit(level).cast("long").alias("level"))
-        done = found if done is None else done.unionByName(found)
-        open_ = checkpointed(open_.join(ready.select("plan", F.col("task").alias("parent")), ["plan", "parent"], "left_anti"))
-        left = checkpointed(left.join(ready, ["plan", "task"], "left_anti"))
-    rest = left.select("plan", "task", F.lit(None).cast("long").alias("level"))
-    return rest if done is None else done.unionByName(rest)
+    ready = checkpointed(tasks.join(open_.select("plan", F.col("child").alias("task")), ["plan", "task"], "left_anti"))
+    done, level = ready.select("plan", "task", F.lit(0).cast("long").alias("level")), 0
+    while not ready.isEmpty():
+        placed = ready.select("plan", F.col("task").alias("parent"), F.lit(True).alias("gone"))
+        marked = checkpointed(open_.join(placed, ["plan", "parent"], "left"))
+        open_ = marked.where("gone IS NULL").select("plan", "parent", "child")
+        freed = marked.where("gone").select("plan", F.col("child").alias("task")).distinct()
+        ready = checkpointed(freed.join(open_.select("plan", F.col("child").alias("task")), ["plan", "task"], "left_anti"))
+        level += 1
+        done = done.unionByName(ready.select("plan", "task", F.lit(level).cast("long").alias("level")))
+    rest = tasks.join(done.select("plan", "task"), ["plan", "task"], "left_anti")
+    return done.unionByName(rest.select("plan", "task", F.lit(None).cast("long").alias("level")))
 
 
 def cycles(leveled: DataFrame) -> DataFrame:
@@ -149,21 +150,25 @@ def topological_order(nodes: DataFrame, e: DataFrame) -> DataFrame:
     return own.unionByName(links).repartition("plan").sortWithinPartitions("plan").mapInArrow(run, f"plan {kind}, task string, place long")
 
 
-def check_ports(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ports: DataFrame) -> DataFrame:
+def check_ports(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ports: DataFrame, operations: DataFrame | None = None) -> DataFrame:
     """Tasks against the port contracts of their operations.
 
-    ``tasks``: plan_id, task_id, operation_id. ``inputs``: plan_id, task_id, port, src_task, src_port.
-    ``outputs``: plan_id, task_id, port, schema_id, profile_id, count. ``ports`` (small, broadcast):
-    operation_id, direction, port, schema_id, profile_id, min_count, max_count. An output of count n
-    feeds n inputs; sources outside the plan are unverified.
+    ``tasks``: plan_id, task_id, operation_id, and with ``operations`` the array capabilities of what runs
+    them. ``inputs``: plan_id, task_id, port, src_task, src_port, and for sources outside the plan schema_id.
+    ``outputs``: plan_id, task_id, port, schema_id, profile_id, count. ``ports``: operation_id, direction, port,
+    schema_id, profile_id, min_count, max_count. ``operations``: operation_id, required_capabilities. An
+    output of count n feeds n inputs; sources outside the plan are unverified, and so is their profile where
+    one is asked for.
     """
     subject = F.concat_ws("/", "plan_id", "task_id")
     key = ["plan_id", "task_id", "port"]
-    want = tasks.select("plan_id", "task_id", "operation_id").join(F.broadcast(ports), "operation_id")
+    want = tasks.select("plan_id", "task_id", "operation_id").join(ports, "operation_id")
     want_in, want_out = want.where("direction = 'input'"), want.where("direction = 'output'")
-    src = outputs.select("plan_id", F.col("task_id").alias("src_task"), F.col("port").alias("src_port"), F.col("schema_id").alias("got_schema"), F.col("profile_id").alias("got_profile"), F.col("count").alias("n"))
-    flow = inputs.join(src, ["plan_id", "src_task", "src_port"], "left")
-    per = flow.groupBy(*key).agg(F.sum(F.coalesce("n", F.lit(1))).alias("total"), F.count_if(F.col("src_task").isNull()).alias("n_external"))
+    src = outputs.select("plan_id", F.col("task_id").alias("src_task"), F.col("port").alias("src_port"), F.col("schema_id").alias("made_schema"), F.col("profile_id").alias("made_profile"), F.col("count").alias("n"))
+    own = F.col("schema_id") if "schema_id" in inputs.columns else F.lit(None).cast("string")
+    flow = inputs.select(*key, "src_task", "src_port", own.alias("own_schema")).join(src, ["plan_id", "src_task", "src_port"], "left")
+    outside = F.col("src_task").isNull()
+    per = flow.groupBy(*key).agg(F.sum(F.coalesce("n", F.lit(1))).alias("total"), F.count_if(outside).alias("n_external"))
     counted = want_in.join(per, key, "full_outer")
     total = F.coalesce("total", F.lit(0))
     unknown = F.col("direction").isNull()
@@ -172,14 +177,16 @@ def check_ports(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ports:
         subject,
         issue(unknown, "PLAN_PORT_SET", F.col("port")),
         issue(~unknown & ((total < F.col("min_count")) | F.coalesce(total > F.col("max_count"), F.lit(False))), "PLAN_INPUT_COUNT", F.col("port")),
-        issue(F.col("n_external") > 0, "EXTERNAL_RECORD_UNVERIFIED", F.col("port"), UNVERIFIED),
+        issue(F.col("n_external") > 0, "PLAN_EXTERNAL_RECORD_UNVERIFIED", F.col("port"), UNVERIFIED),
+        issue((F.col("n_external") > 0) & F.col("profile_id").isNotNull(), "PLAN_EXTERNAL_PROFILE_UNVERIFIED", F.col("port"), UNVERIFIED),
     )
-    typed = flow.where("src_task IS NOT NULL AND got_schema IS NOT NULL").join(want_in, key)
+    got = F.when(outside, F.col("own_schema")).otherwise(F.col("made_schema"))
+    typed = flow.withColumn("got_schema", got).where("got_schema IS NOT NULL").join(want_in, key)
     odd = all_issues(
         typed,
         subject,
         issue(F.col("got_schema") != F.col("schema_id"), "PLAN_INPUT_SCHEMA", F.col("port")),
-        issue(F.col("profile_id").isNotNull() & ~F.col("got_profile").eqNullSafe(F.col("profile_id")), "PLAN_INPUT_PROFILE", F.col("port")),
+        issue(~outside & F.col("profile_id").isNotNull() & ~F.col("made_profile").eqNullSafe(F.col("profile_id")), "PLAN_INPUT_PROFILE", F.col("port")),
     ).distinct()
     declared = outputs.select(*key, F.col("schema_id").alias("got_schema"), F.col("profile_id").alias("got_profile"), F.col("count").alias("n"))
     made = declared.join(want_out, key, "full_outer")
@@ -187,10 +194,15 @@ def check_ports(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ports:
     out = out.unionByName(odd).unionByName(
         all_issues(made, subject, issue(F.col("direction").isNull() | F.col("n").isNull(), "PLAN_PORT_SET", F.col("port")), issue(F.coalesce(contract, F.lit(False)), "PLAN_OUTPUT_CONTRACT", F.col("port")))
     )
-    return out
+    if operations is None:
+        return out
+    able = tasks.select("plan_id", "task_id", "operation_id", "capabilities").join(operations, "operation_id")
+    none = F.array().cast("array<string>")
+    lacking = F.array_except("required_capabilities", F.coalesce("capabilities", none))
+    return out.unionByName(all_issues(able, subject, issue(F.size(lacking) > 0, "PLAN_CAPABILITY", F.array_join(F.array_sort(lacking), ","))))
 
 
-def blocked(e: DataFrame, states: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def blocked(e: DataFrame, states: DataFrame) -> DataFrame:
     """``(plan, task, blocked_by)``: transitive descendants of failed or blocked tasks that have not ended,
     with their direct blockers, sorted.
 
@@ -200,7 +212,7 @@ def blocked(e: DataFrame, states: DataFrame, max_rounds: int = 10_000) -> DataFr
     open_ = states.where(~F.col("state").isin("succeeded", "failed")).select("plan", "task")
     bad = checkpointed(states.where(F.col("state").isin("failed", "blocked")).select("plan", "task").distinct())
     front = bad
-    for _ in range(max_rounds):
+    while True:
         reached = e.join(front.select("plan", F.col("task").alias("parent")), ["plan", "parent"], "left_semi").select("plan", F.col("child").alias("task")).distinct()
         front = checkpointed(reached.join(open_, ["plan", "task"], "left_semi").join(bad, ["plan", "task"], "left_anti"))
         if front.isEmpty():

@@ -10,6 +10,8 @@ event_no, state.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,11 +166,11 @@ def check_receipts(receipts: DataFrame, started: DataFrame, runs: DataFrame) ->
     )
 
 
-def resume_chain(runs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def resume_chain(runs: DataFrame) -> DataFrame:
     """``(run_id, ancestor, depth, broken)`` along resume_of, a run being its own ancestor at depth 0.
 
     ``broken`` marks an ancestor that repeats, or of another scope or plan; the walk ends there. One
-    join per generation of resumes.
+    join per generation of resumes, until no run has a further ancestor.
     """
     link = runs.select(F.col("run_id").alias("ancestor"), F.col("resume_of").alias("parent"), "scope_id", "plan_digest")
     parent = runs.select(F.col("run_id").alias("parent"), F.col("scope_id").alias("p_scope"), F.col("plan_digest").alias("p_plan"))
@@ -176,7 +178,7 @@ def resume_chain(runs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     step = checkpointed(step)
     front = checkpointed(runs.select("run_id", F.col("run_id").alias("ancestor"), F.array("run_id").alias("seen"), F.lit(False).alias("broken")))
     out = front.select("run_id", "ancestor", F.lit(0).cast("long").alias("depth"), "broken")
-    for depth in range(1, max_rounds):
+    for depth in itertools.count(1):
         front = front.where("NOT broken").join(step, "ancestor").select("run_id", F.col("parent").alias("ancestor"), F.concat("seen", F.array("parent")).alias("seen"), (F.col("bad") | F.array_contains("seen", F.col("parent"))).alias("broken"))
         front = checkpointed(front)
         if front.isEmpty():

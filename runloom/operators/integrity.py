@@ -73,13 +73,12 @@ def suppress_uncertain(issues: DataFrame, uncertain: DataFrame, opaque: DataFram
     ``uncertain``: dir_id, prefix. ``opaque``: dir_id, path. A path is exploded into itself and its
     ancestors, so both rules are equi-joins.
     """
-    own = issues.withColumn("issue_no", F.monotonically_increasing_id())
-    up = own.select("issue_no", "subject_id", "code", F.explode(F.concat(ancestors(F.col("location")), F.array("location"), F.array(F.lit("")))).alias("prefix"), "location")
-    hidden = up.where("prefix <> location").join(opaque.select(F.col("dir_id").cast("string").alias("subject_id"), F.col("path").alias("prefix")), ["subject_id", "prefix"], "left_semi").select("issue_no")
-    unread = up.where("code = 'member-missing'").join(uncertain.select(F.col("dir_id").cast("string").alias("subject_id"), "prefix"), ["subject_id", "prefix"], "left_semi").select("issue_no")
     key = ["subject_id", "kind", "code", "location"]
-    drop = own.join(hidden.unionByName(unread).distinct(), "issue_no", "left_semi").select(*key).distinct()
-    return issues.join(drop, key, "left_anti")
+    prefixes = F.concat(ancestors(F.col("location")), F.array("location"), F.array(F.lit("")))
+    up = issues.select(*key, F.explode(prefixes).alias("prefix"))
+    hidden = up.where("prefix <> location").join(opaque.select(F.col("dir_id").cast("string").alias("subject_id"), F.col("path").alias("prefix")), ["subject_id", "prefix"], "left_semi").select(*key)
+    unread = up.where("code = 'member-missing'").join(uncertain.select(F.col("dir_id").cast("string").alias("subject_id"), "prefix"), ["subject_id", "prefix"], "left_semi").select(*key)
+    return issues.join(hidden.unionByName(unread).distinct(), key, "left_anti")
 
 
 #: Severity classes of directory issues at one path, in order.

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runloom.sources.shared import checkpointed
+
 ERROR, UNVERIFIED = "error", "unverified"
 SCHEMA = "subject_id string, kind string, code string, location string"
 
@@ -41,13 +43,14 @@ def rollup(issues: DataFrame, subjects: DataFrame, subject: str) -> DataFrame:
 def apply_checks(df: DataFrame, subject: str, checks: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Issues of user-supplied checks, each a function from the table to an issue table.
 
-    A check that can't be planned, or returns another shape, gives one unverified issue with a safe code;
-    its message is not reported.
+    Each check is run to its end and written to the shared checkpoint folder. One that can't be planned, fails
+    while it runs or returns another shape gives one unverified issue with a safe code; its message is not
+    reported.
     """
     out = None
     for name, check in checks.items():
         try:
-            got = check(df).select(*[c.split()[0] for c in SCHEMA.split(", ")])
+            got = checkpointed(check(df).select(*[F.col(c.split()[0]).cast("string") for c in SCHEMA.split(", ")]))
         except Exception:  # noqa: BLE001 - code of the user's, whatever it raises
             got = df.select(F.lit(None).cast("string").alias("subject_id"), F.lit(UNVERIFIED).alias("kind"), F.lit("CHECK_FAILED").alias("code"), F.lit(name).alias("location")).limit(1)
         out = got if out is None else out.unionByName(got)

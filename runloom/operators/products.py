@@ -116,7 +116,7 @@ def check_cardinality(products: DataFrame, requirements: DataFrame, members: Dat
     products without any member count as zero.
     """
     on = on or ["profile_id", "profile_version"]
-    asked = products.select(product, *on).join(F.broadcast(requirements), on) if on else products.select(product).crossJoin(F.broadcast(requirements))
+    asked = products.select(product, *on).join(requirements, on)
     r, m = asked.alias("r"), members.withColumn("member_found", F.lit(1)).alias("m")
     joined = r.join(m, (F.col(f"r.{product}") == F.col(f"m.{product}")) & F.coalesce(matches, F.lit(False)), "left")
     n = joined.groupBy(F.col(f"r.{product}").alias("subject"), F.col("r.requirement_id").alias("requirement_id"), F.col("r.min_count").alias("min_count"), F.col("r.max_count").alias("max_count")).agg(F.count("m.member_found").alias("observed_count"))
@@ -133,7 +133,7 @@ def check_profile(products: DataFrame, profiles: DataFrame) -> DataFrame:
     the profile they are held against in ``expected_profile``.
     """
     p = profiles.select(F.col("profile_id").alias("expected_profile"), F.col("profile_version").alias("want_version"), "allowed_product_kinds")
-    rows = products.join(F.broadcast(p), "expected_profile")
+    rows = products.join(p, "expected_profile")
     return all_issues(
         rows,
         F.col("product_id"),

@@ -13,8 +13,9 @@ from runloom.operators.issues import ERROR
 def scan_nested(df: DataFrame, subject: str, json_col: str) -> DataFrame:
     """One issue per row whose JSON holds a secret key or value at any depth.
 
-    Keys and strings are taken from the text itself; ``authentication_required`` with a boolean or null
-    is the one exempt key. Rows that aren't JSON are scanned alike, null rows have no issue.
+    Keys and strings are taken from the text itself and their escapes are decoded; ``authentication_required``
+    with a boolean or null is the one exempt key. Rows that aren't JSON are scanned alike, null rows have no
+    issue.
     """
     text = F.col(json_col)
     key = r'"((?:[^"\\]|\\.)*)"\s*:'
@@ -22,7 +23,8 @@ def scan_nested(df: DataFrame, subject: str, json_col: str) -> DataFrame:
     stripped = F.regexp_replace(text, exempt, '"_":0')
     keys = F.regexp_extract_all(stripped, F.lit(key), F.lit(1))
     strings = F.regexp_extract_all(stripped, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
-    bad_key, bad_value = F.exists(keys, is_secret_key), F.exists(strings, lambda s: has_secret_value(F.regexp_replace(s, r"\\/", "/")))
+    plain = lambda s: F.when(s.contains("\\"), F.coalesce(F.from_json(F.concat(F.lit('["'), s, F.lit('"]')), "array<string>")[0], s)).otherwise(s)
+    bad_key, bad_value = F.exists(F.transform(keys, plain), is_secret_key), F.exists(F.transform(strings, plain), lambda s: has_secret_value(s))
     rows = df.select(F.col(subject).cast("string").alias("subject_id"), F.coalesce(bad_key, F.lit(False)).alias("k"), F.coalesce(bad_value, F.lit(False)).alias("v"))
     code = F.when(F.col("k"), "secret-key").otherwise("secret-value")
     return rows.where("k OR v").select("subject_id", F.lit(ERROR).alias("kind"), code.alias("code"), F.lit(json_col).alias("location"))

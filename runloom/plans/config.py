@@ -33,7 +33,7 @@ LEAVES = [
     ("outputs.figures.dpi", "CASE WHEN c_custkey % 2 = 0 THEN '0' ELSE 'true' END", "c_custkey % 29 = 0"),
 ]
 _ROWS = " UNION ALL ".join(f"SELECT c_custkey AS config_id, '{p}' AS path, {v} AS value_json FROM customer WHERE {w}" for p, v, w in LEAVES)
-BASE_SQL = f"leaves AS ({_ROWS.replace('STRING', 'VARCHAR')})"
+BASE_SQL = f"leaves AS MATERIALIZED ({_ROWS.replace('STRING', 'VARCHAR')})"
 _NULL = "NULL"
 _VALUES = ", ".join(
     f"('{p}', '{path}', '{k[0]}', {k[1] if k[1] is not None else _NULL}, {k[2] if k[2] is not None else _NULL}, {list(c or ())!r}, {_NULL if d is None else repr(d)}, {_NULL if o is None else repr(o)}, {str(path in C.NULLABLE).lower()})"
@@ -48,7 +48,7 @@ OVERRIDES = """overrides AS (SELECT c_custkey AS config_id, 'outputs.figures.dpi
   UNION ALL SELECT c_custkey, 'data.provider', '"asf"' FROM customer WHERE c_custkey % 8 = 0 UNION ALL SELECT c_custkey, 'workflow.type', '"pair"' FROM customer WHERE c_custkey % 33 = 0 UNION ALL SELECT c_custkey, 'outputs.figures.dpi', '151' FROM customer WHERE c_custkey % 100 = 1)"""
 CANON = """canon AS (SELECT config_id, path, CASE WHEN ends_with(path, '_date') AND length(value_json) = 10 THEN substr(value_json, 1, 5) || '-' || substr(value_json, 6, 2) || '-' || substr(value_json, 8, 3) WHEN value_json = '"S1A"' THEN '"Sentinel-1A"' ELSE value_json END AS value_json FROM leaves)"""
 FULL = f"""{BASE_SQL}, {RULES}, {PROFILE}, {CANON}, prov AS (SELECT config_id, value_json AS provider FROM canon WHERE path = 'data.provider'),
-filled AS (SELECT p.config_id, p.profile, r.path, CASE WHEN c.value_json IS NULL AND r.path = 'data.catalog.timeout_seconds' THEN CASE WHEN provider = '"cdse"' THEN '90' ELSE '60' END ELSE coalesce(c.value_json, r.default_json) END AS value_json,
+filled AS MATERIALIZED (SELECT p.config_id, p.profile, r.path, CASE WHEN c.value_json IS NULL AND r.path = 'data.catalog.timeout_seconds' THEN CASE WHEN provider = '"cdse"' THEN '90' ELSE '60' END ELSE coalesce(c.value_json, r.default_json) END AS value_json,
   CASE WHEN c.value_json IS NOT NULL THEN 'yaml' ELSE default_origin END AS origin, CASE WHEN c.value_json IS NULL AND r.path = 'data.catalog.timeout_seconds' THEN 'data.provider' ELSE '' END AS dependencies
   FROM profiles p JOIN rules r ON r.profile = p.profile LEFT JOIN canon c ON c.config_id = p.config_id AND c.path = r.path LEFT JOIN prov ON prov.config_id = p.config_id)"""
 DIRS = ", ".join(f"('{p}', '{s}')" for p, s in C.DIRECTORIES.items())

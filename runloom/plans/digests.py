@@ -45,9 +45,9 @@ def dig3_directory_digest(t: Tables) -> DataFrame:
     return out.select("l_orderkey", "identity.value", F.array_join("identity.reasons", ",").alias("reasons"))
 
 
-@query(f"WITH {FILES} SELECT l_suppkey, CASE WHEN bool_and(digest <> 'weak') THEN " + dsql("runloom.code.v1", f"'[' || {MEMBERS} || ']'") + " END AS value FROM (SELECT DISTINCT l_suppkey, path, digest FROM f WHERE l_linenumber = 1) GROUP BY l_suppkey")
+@query(f"WITH {FILES} SELECT l_suppkey, CASE WHEN bool_and(digest <> 'weak') THEN " + dsql("runloom.code.v1", f"'[' || {MEMBERS} || ']'") + " END AS value FROM (SELECT DISTINCT l_suppkey, path, digest FROM f) GROUP BY l_suppkey")
 def dig4_scope_digest(t: Tables) -> DataFrame:
-    files = lines(t).where("l_linenumber = 1").select("l_suppkey", "path", "digest").distinct()
+    files = lines(t).select("l_suppkey", "path", "digest").distinct()
     return D.scope_digest(files, "l_suppkey", "path", "digest").select("l_suppkey", "identity.value")
 
 

@@ -72,7 +72,7 @@ def exp10_canonical_alias(t: Tables) -> DataFrame:
     return t.events.select("event_id", X.canonical_alias(F.when(F.col("event_id") % 6 < 5, short).otherwise(F.col("event_type")), "platform").alias("platform"))
 
 
-@query("""SELECT d.doc_id, trim(left(text, 150)) <> '' AND length(left(text, 150)) <= 128 AND NOT regexp_matches(text[:150], '[\\n\\r\\x0B\\x0C]') AS label_ok,
+@query("""SELECT d.doc_id, trim(text) <> '' AND length(text) <= 128 AND NOT regexp_matches(text, '[\\n\\r\\x0B\\x0C]') AS label_ok,
   CASE WHEN l.doc_id IS NOT NULL THEN l.quality IS NOT NULL ELSE d.doc_id % 2 = 0 END AS semantic_ok,
   CASE d.doc_id % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE true END AS nodata_ok
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
@@ -83,7 +83,7 @@ def exp11_value_rules(t: Tables) -> DataFrame:
     m = F.col("doc_id") % 4
     kind = F.when(m == 0, "none").when(m == 1, "finite_value").when(m == 2, "mask").otherwise("nan")
     nodata = X.nodata_ok(kind, F.when(m.isin(1, 2), F.col("n_chars").cast("double")), F.lit(None).cast("string"))
-    return d.select("doc_id", X.label_ok(F.substring("text", 1, 150)).alias("label_ok"), X.semantic_ok(status, F.col("quality"), reason).alias("semantic_ok"), nodata.alias("nodata_ok"))
+    return d.select("doc_id", X.label_ok(F.col("text")).alias("label_ok"), X.semantic_ok(status, F.col("quality"), reason).alias("semantic_ok"), nodata.alias("nodata_ok"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN sha256(event_type) END AS value, event_id % 3 = 0 AS reusable,
@@ -101,7 +101,7 @@ FROM (SELECT page_id, url, {PATH} AS p FROM pages)""")
 def exp13_location_ok(t: Tables) -> DataFrame:
     m, p = F.col("page_id") % 3, F.expr(PATH)
     kind = F.when(m == 0, "remote_reference").when(m == 1, "manifest_relative").otherwise("absolute_local")
-    value = F.when(m == 0, F.col("url")).when(m == 1, F.substring(p, 2, 10_000)).otherwise(p)
+    value = F.when(m == 0, F.col("url")).when(m == 1, F.substr(p, F.lit(2))).otherwise(p)
     return t.pages.select("page_id", X.location_ok(kind, value, F.when(m == 1, F.lit("/data"))).alias("location_ok"))
 
 

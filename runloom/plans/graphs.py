@@ -55,9 +55,11 @@ def dag4_levels(t: Tables) -> DataFrame:
     return G.levels(nodes(t), edges(t))
 
 
-@query(f"WITH {NODES} SELECT plan, CAST(task AS VARCHAR) AS task, row_number() OVER (PARTITION BY plan ORDER BY task) - 1 AS place FROM n")
+#: The largest task of a plan feeds its smallest, which so comes last.
+@query(f"WITH {NODES}, m AS (SELECT plan, min(task) AS low FROM n GROUP BY plan) SELECT n.plan, CAST(task AS VARCHAR) AS task, row_number() OVER (PARTITION BY n.plan ORDER BY task = low, task) - 1 AS place FROM n JOIN m ON m.plan = n.plan")
 def dag5_topological_order(t: Tables) -> DataFrame:
-    return G.topological_order(nodes(t), edges(t))
+    last = nodes(t).groupBy("plan").agg(F.max("task").alias("parent"), F.min("task").alias("child")).where("parent > child")
+    return G.topological_order(nodes(t), last)
 
 
 @query(f"""WITH RECURSIVE {EDGES}, k AS (SELECT plan, parent, child FROM e UNION SELECT plan, max(task), min(task) FROM n WHERE plan % 3 = 0 GROUP BY plan HAVING count(*) > 1),
@@ -68,18 +70,28 @@ def dag6_cycles(t: Tables) -> DataFrame:
     return G.cycles(G.levels(nodes(t), edges(t).unionByName(back.select("plan", "parent", "child"))))
 
 
-@query(f"""WITH {EDGES}, k AS (SELECT n.plan, n.task, count(e.parent) AS total FROM n LEFT JOIN e ON e.plan = n.plan AND e.child = n.task GROUP BY n.plan, n.task)
-SELECT CAST(plan AS VARCHAR) || '/' || CAST(task AS VARCHAR) AS subject_id, 'error' AS kind, 'PLAN_INPUT_COUNT' AS code, 'in' AS location FROM k WHERE total < 1 OR total > CASE WHEN task % 2 = 0 THEN 1 ELSE 2 END
-UNION ALL SELECT CAST(plan AS VARCHAR) || '/' || CAST(task AS VARCHAR), 'error', 'PLAN_OUTPUT_CONTRACT', 'out' FROM n WHERE task = 5
-UNION ALL SELECT DISTINCT CAST(plan AS VARCHAR) || '/' || CAST(child AS VARCHAR), 'error', 'PLAN_INPUT_SCHEMA', 'in' FROM e WHERE parent = 5""")
+@query(f"""WITH {EDGES}, k AS (SELECT n.plan, n.task, count(e.parent) AS made FROM n LEFT JOIN e ON e.plan = n.plan AND e.child = n.task GROUP BY n.plan, n.task),
+x AS (SELECT CAST(plan AS VARCHAR) || '/' || CAST(task AS VARCHAR) AS subject_id, plan, task, made, CASE WHEN task = 1 AND plan % 4 > 0 THEN 1 ELSE 0 END AS outside FROM k)
+SELECT subject_id, 'error' AS kind, 'PLAN_INPUT_COUNT' AS code, 'in' AS location FROM x WHERE made + outside < 1 OR made + outside > CASE WHEN task % 2 = 0 THEN 1 ELSE 2 END
+UNION ALL SELECT subject_id, 'error', 'PLAN_OUTPUT_CONTRACT', 'out' FROM x WHERE task = 5
+UNION ALL SELECT DISTINCT CAST(plan AS VARCHAR) || '/' || CAST(child AS VARCHAR), 'error', 'PLAN_INPUT_SCHEMA', 'in' FROM e WHERE parent = 5
+UNION ALL SELECT subject_id, 'error', 'PLAN_INPUT_SCHEMA', 'in' FROM x WHERE outside = 1 AND plan % 4 = 3
+UNION ALL SELECT subject_id, 'unverified', unnest(['PLAN_EXTERNAL_RECORD_UNVERIFIED', 'PLAN_EXTERNAL_PROFILE_UNVERIFIED']), 'in' FROM x WHERE outside = 1
+UNION ALL SELECT DISTINCT CAST(plan AS VARCHAR) || '/' || CAST(child AS VARCHAR), 'error', 'PLAN_INPUT_PROFILE', 'in' FROM e WHERE child % 2 = 1 AND parent % 2 = 0
+UNION ALL SELECT subject_id, 'error', 'PLAN_CAPABILITY', CASE WHEN plan % 5 = 0 THEN 'gpu,mpi' ELSE 'mpi' END FROM x WHERE plan % 5 < 2 AND task % 2 = 0""")
 def dag7_check_ports(t: Tables) -> DataFrame:
     n = nodes(t).select(F.col("plan").alias("plan_id"), F.col("task").alias("task_id"))
-    tasks = n.withColumn("operation_id", F.when(F.col("task_id") % 2 == 0, "even").otherwise("odd"))
-    inputs = task_inputs(t).select("plan_id", "task_id", F.lit("in").alias("port"), "src_task", F.lit("out").alias("src_port"))
-    outputs = n.select("plan_id", "task_id", F.lit("out").alias("port"), F.when(F.col("task_id") == 5, "other").otherwise("s").alias("schema_id"), F.lit(None).cast("string").alias("profile_id"), F.lit(1).alias("count"))
-    rows = [("even", "input", "in", "s", None, 1, 1), ("odd", "input", "in", "s", None, 1, 2), ("even", "output", "out", "s", None, 1, 1), ("odd", "output", "out", "s", None, 1, 1)]
+    m = F.col("plan_id") % 5
+    able = F.when(m == 0, F.array(F.lit("cpu"))).when(m == 1, F.array(F.lit("gpu"))).otherwise(F.array(F.lit("mpi"), F.lit("gpu")))
+    tasks = n.select("plan_id", "task_id", F.when(F.col("task_id") % 2 == 0, "even").otherwise("odd").alias("operation_id"), able.alias("capabilities"))
+    none = F.lit(None).cast("string")
+    inside = task_inputs(t).select("plan_id", "task_id", F.lit("in").alias("port"), "src_task", F.lit("out").alias("src_port"), none.alias("schema_id"))
+    outside = n.where("task_id = 1 AND plan_id % 4 > 0").select("plan_id", "task_id", F.lit("in").alias("port"), F.lit(None).cast("int").alias("src_task"), none.alias("src_port"), F.when(F.col("plan_id") % 4 == 3, "other").otherwise("s").alias("schema_id"))
+    outputs = n.select("plan_id", "task_id", F.lit("out").alias("port"), F.when(F.col("task_id") == 5, "other").otherwise("s").alias("schema_id"), F.when(F.col("task_id") % 2 == 1, "p").alias("profile_id"), F.lit(1).alias("count"))
+    rows = [("even", "input", "in", "s", None, 1, 1), ("odd", "input", "in", "s", "p", 1, 2), ("even", "output", "out", "s", None, 1, 1), ("odd", "output", "out", "s", "p", 1, 1)]
     ports = t.spark.createDataFrame(rows, "operation_id string, direction string, port string, schema_id string, profile_id string, min_count int, max_count int")
-    return G.check_ports(tasks, inputs, outputs, ports)
+    operations = t.spark.createDataFrame([("even", ["mpi", "gpu"]), ("odd", [])], "operation_id string, required_capabilities array<string>")
+    return G.check_ports(tasks, inside.unionByName(outside), outputs, ports, operations)
 
 
 STATES = f"{EDGES}, s AS (SELECT plan, task, CASE WHEN plan % 4 = 0 AND task = 2 THEN 'failed' WHEN task = 1 OR (plan % 4 = 1 AND task < 4) THEN 'succeeded' ELSE 'pending' END AS state FROM n)"

@@ -289,3 +289,25 @@ def test_failing_user_checks_leave_subjects_unverified(spark):
     found = issues.apply_checks(df, "k", {"broken": broken}).collect()
     assert [(r.code, r.location) for r in found] == [("CHECK_FAILED", "broken")]
     assert all(r.is_valid and not r.is_fully_verified for r in issues.verified_by(df, "k", {"broken": broken}).collect())
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    n = 60
+    nodes = spark.createDataFrame([("p", i) for i in range(n)] + [("q", 0), ("q", 1)], "plan string, task int")
+    e = spark.createDataFrame([("p", i, i + 1) for i in range(n - 1)] + [("q", 0, 1), ("q", 1, 0)], "plan string, parent int, child int")
+    assert {(r.plan, r.task, r.level) for r in G.levels(nodes, e).collect()} == {("p", i, i) for i in range(n)} | {("q", 0, None), ("q", 1, None)}
+    states = nodes.withColumn("state", F.when(F.col("task") == 0, "failed").otherwise("pending"))
+    assert {(r.plan, r.task) for r in G.blocked(e, states).collect()} == {("p", i) for i in range(1, n)} | {("q", 1)}
+
+
+def test_escaped_secret_keys_are_found(spark):
+    docs = [(1, '{"\\u0070assword":"x"}'), (2, '{"a":"https:\\/\\/u:p@h"}'), (3, '{"a":"b\\n\\u0041"}'), (4, '{"authentication_required":true}')]
+    assert codes(secrets.scan_nested(spark.createDataFrame(docs, "id int, doc string"), "id", "doc")) == [("1", "secret-key"), ("2", "secret-value")]
+
+
+def test_a_check_that_fails_while_it_runs_is_a_safe_code(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "1")], "id string, v string")
+    good = lambda df: df.where("id = 'a'").select(F.col("id").alias("subject_id"), F.lit("error").alias("kind"), F.lit("bad").alias("code"), F.lit("v").alias("location"))
+    late = lambda df: df.select(F.raise_error(F.lit("secret message")).cast("string").alias("subject_id"), F.lit("error").alias("kind"), F.lit("x").alias("code"), F.lit("y").alias("location"))
+    found = issues.apply_checks(rows, "id", {"good": good, "late": late}).collect()
+    assert sorted((r.subject_id or "", r.kind, r.code, r.location) for r in found) == [("", "unverified", "CHECK_FAILED", "late"), ("a", "error", "bad", "v")]
