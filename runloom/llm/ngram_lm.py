@@ -179,9 +179,11 @@ class Trie:
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
+    """Arrays, byte by byte of their values (the high ones of small numbers are all alike), compressed."""
     body, head = b"", []
     for name, a in arrays.items():
-        raw = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+        raw = zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
         head.append(f"{name},{a.dtype.str},{len(raw)}")
         body += raw
     return ";".join(head).encode() + b"\n" + body
@@ -192,7 +194,8 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for part in head.decode().split(";"):
         name, kind, size = part.split(",")
-        out[name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(body[at : at + int(size)]), dtype=kind)
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body[at : at + int(size)]), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+        out[name] = np.ascontiguousarray(planes.T).view(kind).ravel()
         at += int(size)
     return out
 
@@ -281,6 +284,21 @@ def statistics(docs: DataFrame, shards: int) -> tuple[int, int, int, int, dict[i
     return total, distinct, n_docs, shards, hot, pairs
 
 
+def _turned(h: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes mixed anew, so that the same word counts differently in another place."""
+    x = (h ^ (h >> np.uint64(bits))) * np.uint64(0x9E3779B97F4A7C15 + 2 * bits)
+    return x ^ (x >> np.uint64(29))
+
+
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different ids, the most frequent first, and the place of each id among them."""
+    named, back, n = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    place = np.empty(len(order), "<u4")
+    place[order] = np.arange(len(order))
+    return named[order], place[back]
+
+
 def _scatter(shards: int, hot: dict[int, int], hot_pairs: dict[tuple[int, int], int]):
     """Different trigrams of a task's chunks by shard of the last word, and one row that describes each chunk."""
     heavy = np.array(sorted(hot), dtype=np.uint64)
@@ -299,10 +317,12 @@ def _scatter(shards: int, hot: dict[int, int], hot_pairs: dict[tuple[int, int],
         before[first] = len(h) - 1
         before2[1:] = before[:-1]
         before2[first] = len(h) - 1
-        _, pair = np.unique(tok * len(h) + before, return_inverse=True)
-        _, at, of = np.unique(pair * len(h) + before2, return_index=True, return_inverse=True)
+        _, at, of = np.unique(h[tok] ^ _turned(h, 21)[before] ^ _turned(h, 42)[before2], return_index=True, return_inverse=True)
         times = np.bincount(of, weights=learn).astype(np.int64)
-        again = np.flatnonzero(at[of] != np.arange(len(tok)))
+        same = at[of]
+        again = np.flatnonzero(same != np.arange(len(tok)))
+        at = np.flatnonzero(same == np.arange(len(tok)))
+        times = times[of[at]]
         w, v, u = h[tok[at]], h[before[at]], h[before2[at]]
         shard = w % np.uint64(shards)
         if len(heavy):
@@ -311,18 +331,19 @@ def _scatter(shards: int, hot: dict[int, int], hot_pairs: dict[tuple[int, int],
         if len(heavy_pairs):
             is_hot = np.isin(mixed(v, w), heavy_pairs)
             shard[is_hot] = (w[is_hot] ^ _spread(v[is_hot]) ^ _spread(u[is_hot], 31)) % np.uint64(shards)
-        shard = shard.astype(np.int64)
-        order = np.lexsort((at, shard))
+        shard = shard.astype(np.uint16 if shards <= 1 << 16 else np.int64)
+        order = np.argsort(shard, kind="stable")  # within a shard by place
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             mine = order[cuts[s] : cuts[s + 1]]
             place = at[mine]
-            named, back = np.unique(np.concatenate([tok[place], before[place], before2[place]]), return_inverse=True)
-            w_at, v_at, u_at = back.astype("<u4").reshape(3, -1)
-            yield row(s, chunk, 0, _pack(h=h[named], w=w_at, v=v_at, u=u_at, n=times[mine].astype("<u4"), place=np.diff(place, prepend=0).astype("<u4")))
+            named, w_at = _ranked(tok[place])
+            contexts, back = _ranked(np.concatenate([before[place], before2[place]]))
+            v_at, u_at = back.reshape(2, -1)
+            yield row(s, chunk, 0, _pack(h=h[named], c=(h[contexts] >> np.uint64(32)).astype("<u4"), w=w_at, v=v_at, u=u_at, n=times[mine].astype("<u4"), place=np.diff(place, prepend=0).astype("<u4")))
         about = _pack(
             id=np.array([i or 0 for i, _, _ in docs], dtype="<i8"), null=np.array([i is None for i, _, _ in docs], dtype=np.uint8),
-            train=np.array([t for _, t, _ in docs], dtype=np.uint8), size=sizes.astype("<i8"), again=np.diff(again, prepend=0).astype("<u4"), same=at[of][again].astype("<u4"),
+            train=np.array([t for _, t, _ in docs], dtype=np.uint8), size=sizes.astype("<i8"), again=np.diff(again, prepend=0).astype("<u4"), same=same[again].astype("<u4"),
         )
         yield row(int(_spread(np.array([chunk], np.uint64))[0]) % shards, chunk, 1, about)
 
@@ -356,9 +377,9 @@ def _score(hot: dict[int, int], hot_pairs: dict[tuple[int, int], int]):
         if rows.empty:
             return about
         parts = [_unpack(p) for p in rows["payload"]]
-        vocabulary = np.unique(np.concatenate([p["h"][np.unique(p["w"])] for p in parts]))
+        vocabulary = np.unique(np.concatenate([p["h"] for p in parts]))
         word = np.concatenate([np.searchsorted(vocabulary, p["h"])[p["w"]] for p in parts])
-        v, u = (np.concatenate([(p["h"] >> wide)[p[x]] for p in parts]) for x in "vu")
+        v, u = (np.concatenate([p["c"][p[x]] for p in parts]).astype(np.uint64) for x in "vu")
         n = np.concatenate([p["n"] for p in parts]).astype(np.int64)
         counts = np.bincount(word, weights=n, minlength=len(vocabulary)).astype(np.int64)
         for h, c in hot.items():
