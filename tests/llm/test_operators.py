@@ -90,6 +90,21 @@ def test_embeddings_against_brute_force(spark, spread):
         assert (got[i].n_links, got[i].component, got[i].kept) == (n[i], comp[i], comp[i] == i), i
 
 
+def test_passes_follow_the_number_and_the_density(spark, monkeypatch):
+    assert [embeddings.passes_for(n, 1024, 0.95) for n in (100, 1024, 50_000, 10**9)] == [1, 1, 7, 37]
+    monkeypatch.setattr(embeddings, "TILE", 64)
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(32)
+    loose = centre + 0.33 * rng.standard_normal((500, 32))  # all alike, few of them linked: windows alone miss links
+    vectors = [v.tolist() for v in np.concatenate([loose, rng.standard_normal((300, 32))])]
+    got = {r.id: r for r in embeddings.near_duplicates(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"), block=64, window=8).collect()}
+    pairs = brute_links(vectors)
+    n, comp = Counter(i for p in pairs for i in p), reach(len(vectors), pairs)
+    assert len(pairs) > 20
+    right = sum((got[i].n_links, got[i].component) == (n[i], comp[i]) for i in range(len(vectors)))
+    assert right >= 0.99 * len(vectors)
+
+
 def test_embeddings_edge_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_duplicates(empty).count() == 0
