@@ -67,9 +67,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = _state(e)
     for _ in range(max_rounds if before[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).repartition("m")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).repartition("u", "m")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).repartition("m")
+        low = large.groupBy("u").agg(F.min("v").alias("m")).repartition("u", "m")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = checkpointed(e)
