@@ -15,7 +15,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runloom.functions.exprs import is_digest
+from runloom.functions.exprs import is_digest, path_key
 from runloom.operators.issues import ERROR, all_issues, issue
 from runloom.sources.shared import checkpointed
 
@@ -26,18 +26,116 @@ ERROR_CODES = {"retryable": "EXECUTION_RETRYABLE", "contract": "CONTRACT_INVALID
 OTHER_ERROR = "EXECUTION_FAILED"
 
 
-def check_facts(finished: DataFrame) -> DataFrame:
-    """Cross-field rules of finished facts; each broken rule is an issue."""
-    outcome, code = F.col("outcome"), F.col("error_code")
-    return all_issues(
-        finished,
-        F.col("attempt_id"),
-        issue(F.coalesce(~outcome.isin("succeeded", "failed", "interrupted"), F.lit(True)), "RECORD_VALUE", "outcome"),
-        issue((outcome == "succeeded") != F.col("receipt").isNotNull(), "RECORD_OUTCOME", "receipt"),
-        issue(F.col("retryable") != F.coalesce(code == "EXECUTION_RETRYABLE", F.lit(False)), "RECORD_OUTCOME", "retryable"),
-        issue((outcome == "succeeded") & code.isNotNull(), "RECORD_OUTCOME", "error_code"),
-        issue(F.coalesce(F.col("ended_at") < 0, F.lit(True)), "RECORD_VALUE", "ended_at"),
-    )
+RETRYABLE = "EXECUTION_RETRYABLE"
+# States, outcomes and codes that facts may hold.
+STATES = ("pending", "running", "succeeded", "failed", "blocked")
+ATTEMPT_CODES = (RETRYABLE, OTHER_ERROR, "CONTRACT_INVALID", "OUTPUT_INVALID", "INTERRUPTED")
+RESOLUTION_CODES = ("UPSTREAM_FAILED", "RESTART_FORBIDDEN", "PREFLIGHT_FAILED", *ATTEMPT_CODES)
+
+
+def _sure(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def _is_text(c: Column) -> Column:
+    return _sure(c != "")
+
+
+def _is_key(c: Column) -> Column:
+    return _sure(c.rlike(r"\A[0-9a-f]{32}\z"))
+
+
+def _weak_or(c: Column) -> Column:
+    return c.isNull() | _sure(is_digest(c))
+
+
+def _is_moment(c: Column) -> Column:
+    return _sure((c >= 0) & (c < float("inf")) & ~F.isnan(c))
+
+
+def _identity_ok(c: Column) -> Column:
+    return _sure(_weak_or(c["value"]) & (c["reusable"] == c["value"].isNotNull()) & F.forall(c["reasons"], _is_text))
+
+
+def _input_rules() -> list[tuple[str, str, Column]]:
+    """Rules of recorded inputs: (code, field, what must hold)."""
+    inputs = F.col("inputs")
+    ports = F.transform(inputs, lambda i: i["port"])
+    whole = F.forall(inputs, lambda i: _is_text(i["port"]) & _sure(F.forall(i["semantic_digests"], lambda d: _sure(is_digest(d)))))
+    return [("RECORD_INPUTS", "inputs", inputs.isNull() | _sure(whole)), ("RECORD_INPUT_PORTS", "inputs", inputs.isNull() | _sure(F.array_sort(F.array_distinct(ports)) == ports))]
+
+
+def _effective_inputs() -> Column:
+    """Digests of the resolved inputs, by port and in order; null if any is missing."""
+    entries = F.array_sort(F.transform(F.map_entries("resolved_inputs"), lambda e: F.struct(e["key"].alias("port"), F.transform(e["value"], lambda x: x["effective_digest"]).alias("semantic_digests"))))
+    return F.when(~F.exists(entries, lambda e: F.exists(e["semantic_digests"], lambda d: d.isNull())), entries)
+
+
+def fact_rules(kind: str) -> list[tuple[str, str, Column]]:
+    """(code, field, what must hold) of a fact kind, over its columns."""
+    c = F.col
+    value = lambda **fields: [("RECORD_VALUE", name, rule) for name, rule in fields.items()]
+    keys = lambda *names: {n: _is_key(c(n)) for n in names}
+    weak = lambda *names: {n: _weak_or(c(n)) for n in names}
+    if kind == "run":
+        identities = F.array_append(F.map_values("implementations"), c("engine_identity"))
+        origin = c("code_provenance")
+        revision = origin["source_revision"]
+        return value(
+            **keys("run_id", "scope_id"), resume_of=c("resume_of").isNull() | _is_key(c("resume_of")), plan_digest=_sure(is_digest(c("plan_digest"))),
+            source_kind=_sure(c("source_kind") == "programmatic"), config_refs=c("config_refs").isNotNull(),
+        ) + [
+            ("RECORD_IDENTITY", "engine_identity", _sure(F.forall(identities, _identity_ok))),
+            ("RECORD_CODE_PROVENANCE", "code_provenance", _is_text(origin["package_version"]) & (revision.isNull() | _sure(revision.rlike(r"\A[0-9a-f]{40}\z")))),
+        ]
+    if kind == "started":
+        a = c("allocation")
+        placed = F.forall(F.flatten(F.map_values("resolved_inputs")), lambda x: _is_text(x["manifest_location"]) & _weak_or(x["effective_digest"]))
+        return value(
+            **keys("run_id", "scope_id", "attempt_id"), task_id=_is_text(c("task_id")), sequence=_sure(c("sequence") >= 1), plan_digest=_sure(is_digest(c("plan_digest"))), **weak("fingerprint", "execution"),
+            allocation=_sure((a["cpu_cores"] >= 1) & (a["gpu_count"] >= 0) & (a["memory_bytes"].isNull() | (a["memory_bytes"] > 0))), prepared=c("prepared").isNotNull(), started_at=_is_moment(c("started_at")),
+        ) + _input_rules() + [
+            ("RECORD_RESOLVED_INPUTS", "resolved_inputs", _sure(placed)), ("RECORD_EFFECTIVE_INPUT_BINDING", "resolved_inputs", _effective_inputs().eqNullSafe(c("inputs"))),
+        ]
+    if kind == "finished":
+        done, code = c("outcome") == "succeeded", c("error_code")
+        return value(
+            attempt_id=_is_key(c("attempt_id")), outcome=_sure(c("outcome").isin("succeeded", "failed", "interrupted")), retryable=_sure(~c("retryable") | (c("outcome") == "failed")),
+            error_code=code.isNull() | _sure(code.isin(*ATTEMPT_CODES)), ended_at=_is_moment(c("ended_at")), receipt=c("receipt").isNull() | _is_text(c("receipt")), evidence=c("evidence").isNotNull(),
+        ) + [
+            ("RECORD_OUTCOME", "receipt", _sure(done == c("receipt").isNotNull())), ("RECORD_OUTCOME", "retryable", _sure(c("retryable") == _sure(code == RETRYABLE))),
+            ("RECORD_OUTCOME", "error_code", _sure(~done | code.isNull())),
+        ]
+    if kind == "receipt":
+        made = F.map_entries("outputs")
+        whole = (F.size(made) > 0) & F.forall(made, lambda e: _is_text(e["key"]) & _sure(F.size(e["value"]) > 0))
+        return value(
+            **keys("attempt_id", "scope_id"), task_id=_is_text(c("task_id")), **weak("fingerprint", "execution"), outputs=_sure(whole), cache_policy=_sure(c("cache_policy").isin("auto", "disabled")),
+        ) + _input_rules()
+    if kind == "resolution":
+        return value(
+            task_id=_is_text(c("task_id")), state=_sure(c("state").isin(*TERMINAL)), disposition=c("disposition").isNull() | _sure(c("disposition").isin("executed", "cache_reused")),
+            receipt=c("receipt").isNull() | _is_text(c("receipt")), blocked_by=_sure(F.forall("blocked_by", _is_text)), error_code=c("error_code").isNull() | _sure(c("error_code").isin(*RESOLUTION_CODES)),
+        ) + [("RECORD_RESOLUTION_EVIDENCE", "fingerprint", _weak_or(c("fingerprint")) & _weak_or(c("execution")) & _sure(F.forall("cache_reasons", _is_text)))]
+    if kind == "summary":
+        states = F.map_entries("states")
+        return value(
+            run_id=_is_key(c("run_id")), status=_sure(c("status").isin("SUCCEEDED", "FAILED", "INTERRUPTED")),
+            states=_sure(F.forall(states, lambda e: _is_text(e["key"]) & _sure(e["value"].isin(*STATES)))), completion_order=_sure(F.forall("completion_order", _is_text)),
+        )
+    if kind == "recovery":
+        sound = lambda a: _is_key(a["attempt_id"]) & _sure(((a["outcome"] == "succeeded") & _is_text(a["receipt"])) | ((a["outcome"] == "interrupted") & a["receipt"].isNull()))
+        return value(source_run=_is_key(c("source_run")), status=_sure(c("status") == "INTERRUPTED"), attempts=c("attempts").isNotNull()) + [("RECORD_RECOVERY", "attempts", _sure(F.forall("attempts", sound)))]
+    if kind == "index":
+        return value(receipt=_is_text(c("receipt")), receipt_digest=_sure(is_digest(c("receipt_digest"))))
+    if kind == "transition":
+        return value(task_id=_is_text(c("task_id")), state=_sure(c("state").isin(*STATES)))
+    raise ValueError(f"no such fact kind: {kind}")
+
+
+def check_facts(kind: str, facts: DataFrame, subject: Column) -> DataFrame:
+    """An issue for every rule of its kind that a fact breaks."""
+    return all_issues(facts, subject, *[issue(~rule, code, field) for code, field, rule in fact_rules(kind)])
 
 
 def pair_attempts(started: DataFrame, finished: DataFrame) -> DataFrame:
@@ -46,6 +144,27 @@ def pair_attempts(started: DataFrame, finished: DataFrame) -> DataFrame:
     return started.join(end, "attempt_id", "left").withColumn("open", F.col("outcome").isNull())
 
 
+def check_attempts(paired: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Attempts that aren't their run's, their plan's or their path's, and successes without their own receipt.
+
+    ``paired``: rows of :func:`pair_attempts` with ``path``, the folder of the attempt below the root; ``tasks``:
+    plan_digest, task_id.
+    """
+    r = runs.select("run_id", F.col("scope_id").alias("r_scope"), F.col("plan_digest").alias("r_plan"), F.lit(True).alias("r_there"))
+    known = tasks.select("plan_digest", "task_id", F.lit(True).alias("t_there")).distinct()
+    rows = paired.join(r, "run_id", "left").join(known, ["plan_digest", "task_id"], "left")
+    own = F.concat_ws("/", F.lit("runs"), "run_id", F.lit("attempts"), path_key(F.col("task_id").cast("string")), "attempt_id")
+    return all_issues(
+        rows,
+        F.col("attempt_id"),
+        issue(F.col("r_there").isNull() | ~F.col("scope_id").eqNullSafe(F.col("r_scope")), "ATTEMPT_HISTORY_BINDING", "scope_id"),
+        issue(~F.col("plan_digest").eqNullSafe(F.col("r_plan")), "ATTEMPT_HISTORY_BINDING", "plan_digest"),
+        issue(F.col("t_there").isNull(), "ATTEMPT_HISTORY_BINDING", "task_id"),
+        issue(~F.col("path").eqNullSafe(own), "ATTEMPT_HISTORY_BINDING", "path"),
+        issue((F.col("outcome") == "succeeded") & ~F.col("receipt").eqNullSafe(F.concat("path", F.lit("/result.json"))), "ATTEMPT_HISTORY_INVALID", "receipt"),
+    )
+
+
 def check_sequence(attempts: DataFrame, by: list[str]) -> DataFrame:
     """Attempts whose sequence isn't their place: it must run 1..n over a task's whole scope."""
     w = Window.partitionBy(*by).orderBy("sequence", "attempt_id")
@@ -150,9 +269,15 @@ def completion_order(events: DataFrame, run: str, task: str, order: list[str]) -
 
 
 def check_receipts(receipts: DataFrame, started: DataFrame, runs: DataFrame) -> DataFrame:
-    """Receipts that disagree with their started fact, and started facts that disagree with their run."""
-    columns = ["scope_id", "task_id", "fingerprint", "execution"]
-    s = started.select("attempt_id", "run_id", "plan_digest", *[F.col(c).alias(f"s_{c}") for c in columns])
+    """Receipts that disagree with their started fact, and started facts that disagree with their run.
+
+    Where both have ``inputs`` those must agree too; where ``started`` has ``path`` its run and attempt must be
+    those of the path, and where it has ``recomputed_execution`` (:func:`execution_identity` over what was
+    prepared) that must be what it recorded.
+    """
+    columns = ["scope_id", "task_id", "fingerprint", "execution", *(["inputs"] if "inputs" in started.columns and "inputs" in receipts.columns else [])]
+    extra = [c for c in ("path", "recomputed_execution") if c in started.columns]
+    s = started.select("attempt_id", "run_id", "plan_digest", *extra, *[F.col(c).alias(f"s_{c}") for c in columns])
     r = runs.select("run_id", F.col("scope_id").alias("r_scope"), F.col("plan_digest").alias("r_plan"))
     rows = receipts.select("attempt_id", *columns).join(s, "attempt_id", "left").join(r, "run_id", "left")
     there = F.col("run_id").isNotNull()
@@ -163,6 +288,8 @@ def check_receipts(receipts: DataFrame, started: DataFrame, runs: DataFrame) ->
         *[issue(there & ~F.col(c).eqNullSafe(F.col(f"s_{c}")), "RECEIPT_BINDING", c) for c in columns],
         issue(there & ~F.col("s_scope_id").eqNullSafe(F.col("r_scope")), "START_BINDING", "scope_id"),
         issue(there & ~F.col("plan_digest").eqNullSafe(F.col("r_plan")), "START_BINDING", "plan_digest"),
+        *([issue(there & ~(F.regexp_extract("path", r"runs/([^/]+)/", 1).eqNullSafe(F.col("run_id").cast("string")) & F.regexp_extract("path", r"/([^/]+)$", 1).eqNullSafe(F.col("attempt_id").cast("string"))), "RECEIPT_ATTEMPT", "path")] if "path" in extra else []),
+        *([issue(there & ~F.col("recomputed_execution").eqNullSafe(F.col("s_execution")), "RECEIPT_EXECUTION_EVIDENCE", "execution")] if "recomputed_execution" in extra else []),
     )
 
 
@@ -197,11 +324,16 @@ def adopted_identity(runs: DataFrame, resolutions: DataFrame) -> DataFrame:
     return rows.groupBy("run_id", "task_id").agg(F.min_by(F.struct("fingerprint", "execution", "depth"), "depth").alias("a")).select("run_id", "task_id", "a.*")
 
 
-def replan_required(current: DataFrame, adopted: DataFrame, by: list[str]) -> DataFrame:
-    """Per run whether any identity is weak or differs from the adopted one."""
+def replan_required(current: DataFrame, adopted: DataFrame, by: list[str], history: DataFrame | None = None) -> DataFrame:
+    """Per run whether any identity is weak or differs from the adopted one, or from that of any attempt in
+    ``history`` (by, fingerprint, execution)."""
     rows = current.join(adopted.select(*by, F.col("fingerprint").alias("was_fp"), F.col("execution").alias("was_ex")), by, "left")
     weak = ~F.coalesce(is_digest(F.col("fingerprint")) & is_digest(F.col("execution")), F.lit(False))
     other = F.col("was_fp").isNotNull() & ~(F.col("fingerprint").eqNullSafe(F.col("was_fp")) & F.col("execution").eqNullSafe(F.col("was_ex")))
+    if history is not None:
+        tried = history.select(*by, F.struct(F.col("fingerprint").alias("f"), F.col("execution").alias("e")).alias("t")).groupBy(*by).agg(F.collect_set("t").alias("tried"))
+        rows = rows.join(tried, by, "left")
+        other = other | F.coalesce(F.exists("tried", lambda t: ~(t["f"].eqNullSafe(F.col("fingerprint")) & t["e"].eqNullSafe(F.col("execution")))), F.lit(False))
     return rows.groupBy(by[0]).agg(F.bool_or(weak | other).alias("replan_required"))
 
 

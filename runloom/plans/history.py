@@ -50,11 +50,73 @@ def runs(t: Tables) -> DataFrame:
 BY = ["run_id", "task_id"]
 
 
-@query(f"""WITH {A}, f AS (SELECT event_id, outcome, CASE WHEN event_id % 17 = 0 THEN 'EXECUTION_FAILED' WHEN retryable THEN 'EXECUTION_RETRYABLE' WHEN outcome = 'failed' THEN 'EXECUTION_FAILED' END AS code, retryable, outcome = 'succeeded' AND event_id % 13 <> 0 AS receipt FROM p)
-SELECT CAST(event_id AS VARCHAR) AS subject_id, 'error' AS kind, 'RECORD_OUTCOME' AS code, location FROM (
-SELECT event_id, 'receipt' AS location FROM f WHERE (outcome = 'succeeded') <> receipt UNION ALL SELECT event_id, 'retryable' FROM f WHERE retryable <> coalesce(code = 'EXECUTION_RETRYABLE', false) UNION ALL SELECT event_id, 'error_code' FROM f WHERE outcome = 'succeeded' AND code IS NOT NULL)""")
+#: What is broken in every ninth event's fact of a kind, by (kind, variant): code and field.
+BROKEN = {
+    (0, 1): [("RECORD_VALUE", "run_id")], (0, 2): [("RECORD_IDENTITY", "engine_identity")], (0, 3): [("RECORD_CODE_PROVENANCE", "code_provenance")],
+    (1, 1): [("RECORD_VALUE", "sequence")], (1, 2): [("RECORD_INPUT_PORTS", "inputs"), ("RECORD_EFFECTIVE_INPUT_BINDING", "resolved_inputs")], (1, 3): [("RECORD_EFFECTIVE_INPUT_BINDING", "resolved_inputs")],
+    (2, 1): [("RECORD_VALUE", "outcome")], (2, 2): [("RECORD_OUTCOME", "receipt")], (2, 3): [("RECORD_OUTCOME", "retryable")],
+    (3, 1): [("RECORD_VALUE", "outputs")], (3, 2): [("RECORD_VALUE", "cache_policy")], (3, 3): [("RECORD_INPUTS", "inputs")],
+    (4, 1): [("RECORD_VALUE", "state")], (4, 2): [("RECORD_RESOLUTION_EVIDENCE", "fingerprint")], (4, 3): [("RECORD_VALUE", "error_code")],
+    (5, 1): [("RECORD_VALUE", "status")], (5, 2): [("RECORD_VALUE", "states")], (5, 3): [("RECORD_VALUE", "completion_order")],
+    (6, 1): [("RECORD_VALUE", "status")], (6, 2): [("RECORD_RECOVERY", "attempts")], (6, 3): [("RECORD_RECOVERY", "attempts")],
+    (7, 1): [("RECORD_VALUE", "receipt")], (7, 2): [("RECORD_VALUE", "receipt_digest")], (7, 3): [("RECORD_VALUE", "receipt"), ("RECORD_VALUE", "receipt_digest")],
+    (8, 1): [("RECORD_VALUE", "state")], (8, 2): [("RECORD_VALUE", "task_id")], (8, 3): [("RECORD_VALUE", "task_id"), ("RECORD_VALUE", "state")],
+}
+_BROKEN_SQL = ", ".join(f"({k}, {b}, '{code}', '{field}')" for (k, b), found in BROKEN.items() for code, field in found)
+
+
+def facts(t: Tables) -> dict[str, DataFrame]:
+    """A fact of one of the nine kinds per event; three of four of them break a rule."""
+    i = F.col("event_id")
+    b = F.floor(i / 9) % 4
+    key, digest, none = F.md5(i.cast("string")), F.sha2(i.cast("string"), 256), F.lit(None).cast("string")
+    strings = lambda *x: F.array(*x).cast("array<string>")
+    identity = F.struct(F.when(b != 2, digest).alias("value"), F.lit(True).alias("reusable"), strings().alias("reasons"))
+    port = lambda p, d: F.struct(F.lit(p).alias("port"), F.array(d).alias("semantic_digests"))
+    source = lambda d: F.array(F.struct(none.alias("artifact"), F.lit("m.json").alias("manifest_location"), d.alias("effective_digest"), none.alias("evidence")))
+    other = F.when(b == 3, F.sha2(F.lit("other"), 256)).otherwise(digest)
+    started_inputs = F.when(b == 2, F.array(port("b", digest), port("a", digest))).otherwise(F.array(port("a", other), port("b", digest)))
+    done = F.when(b == 2, "succeeded").when(b == 1, "done").otherwise("failed")
+    columns = {
+        "run": dict(run_id=F.when(b == 1, "short").otherwise(key), scope_id=key, resume_of=none, plan_digest=digest, engine_identity=identity, implementations=F.create_map(F.lit("p"), F.struct(digest.alias("value"), F.lit(True).alias("reusable"), strings().alias("reasons"))),
+                    source_kind=F.lit("programmatic"), config_refs=strings(), code_provenance=F.struct(F.lit("1").alias("package_version"), F.when(b == 3, "zz").alias("source_revision"))),
+        "started": dict(run_id=key, scope_id=key, task_id=F.lit("t"), attempt_id=key, sequence=F.when(b == 1, 0).otherwise(1), plan_digest=digest, fingerprint=digest, execution=none, inputs=started_inputs,
+                        allocation=F.struct(F.lit(1).alias("cpu_cores"), F.lit(0).alias("gpu_count"), F.lit(None).cast("long").alias("memory_bytes")), prepared=F.lit("{}"), started_at=F.lit(1.5), resolved_inputs=F.create_map(F.lit("b"), source(digest), F.lit("a"), source(digest))),
+        "finished": dict(attempt_id=key, outcome=done, error_code=F.when(b == 0, "EXECUTION_RETRYABLE").when(b == 3, "EXECUTION_FAILED"), retryable=b.isin(0, 3), ended_at=F.lit(2.0), receipt=none, evidence=strings()),
+        "receipt": dict(attempt_id=key, task_id=F.lit("t"), scope_id=key, fingerprint=digest, execution=digest, inputs=F.array(port("a", F.when(b == 3, "weak").otherwise(digest))), outputs=F.when(b == 1, F.create_map().cast("map<string,array<string>>")).otherwise(F.create_map(F.lit("o"), strings(key))),
+                        cache_policy=F.when(b == 2, "maybe").otherwise("auto")),
+        "resolution": dict(task_id=F.lit("t"), state=F.when(b == 1, "running").otherwise("failed"), disposition=none, receipt=none, error_code=F.when(b == 3, "X").otherwise("UPSTREAM_FAILED"), blocked_by=strings(F.lit("s")), fingerprint=F.when(b == 2, "weak"), execution=none, cache_reasons=strings()),
+        "summary": dict(run_id=key, status=F.when(b == 1, "DONE").otherwise("FAILED"), states=F.create_map(F.lit("t"), F.when(b == 2, "odd").otherwise("failed")), completion_order=strings(F.when(b == 3, "").otherwise("t"))),
+        "recovery": dict(source_run=key, status=F.when(b == 1, "OK").otherwise("INTERRUPTED"), attempts=F.array(F.struct(key.alias("attempt_id"), F.when(b == 2, "succeeded").otherwise("interrupted").alias("outcome"), F.when(b == 3, "r").alias("receipt")))),
+        "index": dict(receipt=F.when(b.isin(1, 3), "").otherwise("r"), receipt_digest=F.when(b.isin(2, 3), "weak").otherwise(digest)),
+        "transition": dict(task_id=F.when(b.isin(2, 3), "").otherwise("t"), state=F.when(b.isin(1, 3), "gone").otherwise("running")),
+    }
+    return {kind: t.events.where(i % 9 == k).select(i.alias("fact_no"), *[x.alias(n) for n, x in cols.items()]) for k, (kind, cols) in enumerate(columns.items())}
+
+
+@query(f"SELECT CAST(event_id AS VARCHAR) AS subject_id, 'error' AS kind, code, location FROM events JOIN (VALUES {_BROKEN_SQL}) AS x(k, b, code, location) ON event_id % 9 = k AND (event_id // 9) % 4 = b")
 def his1_check_facts(t: Tables) -> DataFrame:
-    return H.check_facts(finished(t))
+    out = None
+    for kind, rows in facts(t).items():
+        found = H.check_facts(kind, rows, F.col("fact_no"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(f"""WITH {A}, {RUNS}, s AS (SELECT *, event_id % 11 <> 0 AS ended FROM a)
+SELECT CAST(event_id AS VARCHAR) AS subject_id, 'error' AS kind, code, location FROM (
+SELECT event_id, 'ATTEMPT_HISTORY_BINDING' AS code, 'scope_id' AS location FROM s JOIN r ON r.run_id = s.run_id WHERE s.run_id % 5 <> r.scope_id
+UNION ALL SELECT event_id, 'ATTEMPT_HISTORY_BINDING', 'plan_digest' FROM s JOIN r ON r.run_id = s.run_id WHERE r.plan_digest <> 'plan'
+UNION ALL SELECT event_id, 'ATTEMPT_HISTORY_BINDING', 'task_id' FROM s WHERE task_id = 'click'
+UNION ALL SELECT event_id, 'ATTEMPT_HISTORY_BINDING', 'path' FROM s WHERE event_id % 19 = 0
+UNION ALL SELECT event_id, 'ATTEMPT_HISTORY_INVALID', 'receipt' FROM s WHERE ended AND outcome = 'succeeded' AND (event_id % 13 = 0 OR event_id % 7 = 0))""")
+def his2_check_attempts(t: Tables) -> DataFrame:
+    i = F.col("attempt_id")
+    own = F.concat_ws("/", F.lit("runs"), "run_id", F.lit("attempts"), F.sha2("task_id", 256), "attempt_id")
+    paired = H.pair_attempts(started(t), finished(t)).withColumn("path", F.when(i % 19 == 0, F.concat(own, F.lit("x"))).otherwise(own))
+    receipt = F.when(F.col("receipt").isNotNull(), F.concat(F.when(i % 7 == 0, F.lit("elsewhere")).otherwise(F.col("path")), F.lit("/result.json")))
+    tasks = t.events.where("event_type <> 'click'").select(F.lit("plan").alias("plan_digest"), F.col("event_type").alias("task_id")).distinct()
+    return H.check_attempts(paired.withColumn("receipt", receipt), runs(t), tasks)
 
 
 @query(f"WITH {A} SELECT run_id, task_id, event_id AS attempt_id, CASE WHEN event_id % 11 <> 0 THEN outcome END AS outcome, event_id % 11 = 0 AS open FROM a")
@@ -165,13 +227,20 @@ def his15_completion_order(t: Tables) -> DataFrame:
     return H.completion_order(done, "run_id", "task_id", ["ts", "event_id"]).withColumn("completion_order", F.array_join("completion_order", ","))
 
 
-@query(f"""WITH {RUNS}, s AS (SELECT event_id, user_id AS run_id, user_id % 5 AS scope_id FROM events)
+@query(f"""WITH {RUNS}, s AS (SELECT event_id, user_id AS run_id, user_id % 5 AS scope_id FROM events WHERE event_id % 33 <> 0)
 SELECT CAST(event_id AS VARCHAR) AS subject_id, 'error' AS kind, code, location FROM (
-SELECT event_id, 'RECEIPT_BINDING' AS code, 'fingerprint' AS location FROM s WHERE event_id % 33 <> 0 AND event_id % 22 <> 0
-UNION ALL SELECT event_id, 'START_BINDING', 'scope_id' FROM s JOIN r ON r.run_id = s.run_id WHERE event_id % 33 <> 0 AND s.scope_id <> r.scope_id
-UNION ALL SELECT event_id, 'START_BINDING', 'plan_digest' FROM s JOIN r ON r.run_id = s.run_id WHERE event_id % 33 <> 0 AND r.plan_digest <> 'plan')""")
+SELECT event_id, 'RECEIPT_BINDING' AS code, 'fingerprint' AS location FROM s WHERE event_id % 22 <> 0
+UNION ALL SELECT event_id, 'RECEIPT_BINDING', 'inputs' FROM s WHERE event_id % 5 = 0
+UNION ALL SELECT event_id, 'RECEIPT_ATTEMPT', 'path' FROM s WHERE event_id % 19 = 0
+UNION ALL SELECT event_id, 'RECEIPT_EXECUTION_EVIDENCE', 'execution' FROM s WHERE event_id % 23 = 0
+UNION ALL SELECT event_id, 'START_BINDING', 'scope_id' FROM s JOIN r ON r.run_id = s.run_id WHERE s.scope_id <> r.scope_id
+UNION ALL SELECT event_id, 'START_BINDING', 'plan_digest' FROM s JOIN r ON r.run_id = s.run_id WHERE r.plan_digest <> 'plan')""")
 def his16_check_receipts(t: Tables) -> DataFrame:
-    return H.check_receipts(sealed(t), started(t), runs(t))
+    i = F.col("attempt_id")
+    digests = lambda c: F.array(F.struct(F.lit("in").alias("port"), F.array(F.sha2(c, 256)).alias("semantic_digests")))
+    path = F.concat_ws("/", F.lit("runs"), "run_id", F.lit("attempts"), F.sha2("task_id", 256), F.when(i % 19 == 0, "x").otherwise(i.cast("string")))
+    first = started(t).withColumn("inputs", digests(i.cast("string"))).withColumn("path", path).withColumn("recomputed_execution", F.when(i % 23 != 0, F.col("execution")))
+    return H.check_receipts(sealed(t).withColumn("inputs", digests(F.when(i % 5 == 0, "x").otherwise(i.cast("string")))), first, runs(t))
 
 
 ADOPTED = f"""WITH RECURSIVE {RUNS}, c(run_id, ancestor, depth, broken) AS (SELECT run_id, run_id, CAST(0 AS BIGINT), false FROM r
@@ -191,10 +260,12 @@ def his17_adopted_identity(t: Tables) -> DataFrame:
 
 
 @query(ADOPTED + """, k AS (SELECT DISTINCT user_id AS run_id, event_type AS task_id FROM events)
-SELECT k.run_id, bool_or(k.run_id % 10 = 0 OR coalesce(x.depth > 0, false)) AS replan_required FROM k LEFT JOIN x ON x.run_id = k.run_id AND x.task_id = k.task_id GROUP BY k.run_id""")
+SELECT k.run_id, bool_or(k.run_id % 10 = 0 OR coalesce(x.depth > 0, false) OR (k.run_id % 7 = 0 AND k.task_id = 'view')) AS replan_required FROM k LEFT JOIN x ON x.run_id = k.run_id AND x.task_id = k.task_id GROUP BY k.run_id""")
 def his18_replan_required(t: Tables) -> DataFrame:
     now = attempts(t).select(*BY).distinct().select(*BY, F.when(F.col("run_id") % 10 != 0, F.sha2("task_id", 256)).alias("fingerprint"), F.sha2(F.col("run_id").cast("string"), 256).alias("execution"))
-    return H.replan_required(now, adopted(t), BY)
+    tried = F.when((F.col("run_id") % 7 == 0) & (F.col("task_id") == "view"), F.sha2(F.lit("x"), 256)).otherwise(F.when(F.col("run_id") % 10 != 0, F.sha2("task_id", 256)))
+    past = attempts(t).select(*BY, tried.alias("fingerprint"), F.sha2(F.col("run_id").cast("string"), 256).alias("execution"))
+    return H.replan_required(now, adopted(t), BY, past)
 
 
 @query("""SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 3 = 1 THEN sha256(o_orderstatus) END AS effective_digest, o_orderkey % 3 = 2 AS conflict FROM orders""")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -13,14 +12,15 @@ from runloom.operators import history as H
 from runloom.plans.history import MOVES, moves
 from runloom.plans.products import INDEX, receipts
 from runloom.plans.registry import Tables, query
+from runloom.functions.exprs import path_key
 from runloom.sources import records
+from runloom.sources.shared import shared_folder
 from runloom.streaming import live
 
 
-def shared_folder(t: Tables) -> str:
-    """A new folder below the shared checkpoint folder; a temporary one only where that is unset."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/runloom-{uuid.uuid4().hex}"
+def new_folder(t: Tables) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{shared_folder(t.spark)}/runloom-{uuid.uuid4().hex}"
 
 
 def _run(stream: DataFrame, to: str) -> None:
@@ -31,7 +31,7 @@ def _run(stream: DataFrame, to: str) -> None:
 def str1_live_state(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    to = shared_folder(t)
+    to = new_folder(t)
     w = Window.partitionBy("run_id", "task_id").orderBy("ts", "event_id")
     facts = moves(t).select(F.col("run_id").cast("string").alias("run_id"), "task_id", F.row_number().over(w).cast("long").alias("event_no"), "state")
     facts.write.json(f"{to}/in")
@@ -47,7 +47,7 @@ def str1_live_state(t: Tables) -> DataFrame:
 
 @query("SELECT event_id AS attempt_id, ts AS started_at FROM events WHERE event_id % 6 = 0 AND ts < (SELECT least(max(ts), max(ts) FILTER (event_id % 6 <> 0) + INTERVAL 10 MINUTE) FROM events) - INTERVAL 70 MINUTE")
 def str2_open_attempts(t: Tables) -> DataFrame:
-    to = shared_folder(t)
+    to = new_folder(t)
     t.events.select(F.col("event_id").alias("attempt_id"), F.col("ts").cast("timestamp").alias("started_at")).write.parquet(f"{to}/started")
     t.events.where("event_id % 6 <> 0").select(F.col("event_id").alias("finished_id"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 10 MINUTE")).alias("ended_at")).write.parquet(f"{to}/finished")
     s = t.spark.readStream.schema("attempt_id long, started_at timestamp").parquet(f"{to}/started")
@@ -56,33 +56,46 @@ def str2_open_attempts(t: Tables) -> DataFrame:
     return t.spark.read.schema("attempt_id long, started_at timestamp").parquet(f"{to}/out").withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
 
 
-@query("SELECT CAST(r_regionkey AS VARCHAR) AS run_id, r_name AS scope_id, true AS path_ok FROM region")
+@query("""SELECT user_id, event_type AS task_id, n, CASE WHEN n % 5 = 1 THEN 'RUNTIME_RECORD_VERSION_UNSUPPORTED' WHEN n % 5 = 2 THEN 'RECORD_FIELDS' WHEN n % 5 = 3 THEN 'RECORD_JSON' END AS reject_code,
+  CASE WHEN n % 5 IN (0, 4) THEN n % 5 = 0 END AS path_ok FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)""")
 def src2_read_facts(t: Tables) -> DataFrame:
-    to = shared_folder(t)
-    rows = t.region.select(F.col("r_regionkey").cast("string").alias("run_id"), F.col("r_name").alias("scope_id"))
-    rows.select("run_id", F.to_json(F.struct("run_id", "scope_id")).alias("value")).repartition("run_id").write.partitionBy("run_id").text(f"{to}/raw")
-    schema = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("scope_id", T.StringType())])
-    texts = t.spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(f"{to}/raw").withColumn("path", F.input_file_name())
-    facts = texts.select(F.regexp_extract("path", "run_id=([^/]+)/", 1).alias("path_id"), F.from_json("value", schema).alias("r"))
-    return facts.select("r.*", F.col("r.run_id").eqNullSafe(F.col("path_id")).alias("path_ok"))
-
-
-@query("SELECT 'file' AS kind, CAST(strlen(n_name) + 1 AS BIGINT) AS size_bytes, sha256(n_name || chr(10)) AS sha256 FROM nation")
+    """A resolution fact per user and event type, some of them broken, read back and told apart by their paths."""
+    to = new_folder(t)
+    groups = t.events.groupBy("user_id", F.col("event_type").alias("task_id")).agg(F.count("*").alias("n"))
+    m, none = F.col("n") % 5, F.lit(None).cast("string")
+    payload = F.struct(
+        "task_id", F.lit("succeeded").alias("state"), F.lit("executed").alias("disposition"), none.alias("receipt"), none.alias("error_code"), F.array().cast("array<string>").alias("blocked_by"),
+        none.alias("fingerprint"), none.alias("execution"), F.array().cast("array<string>").alias("cache_reasons"),
+    )
+    fact = F.to_json(F.struct(F.when(m == 1, 1).otherwise(2).alias("schema_version"), F.lit("resolution").alias("kind"), payload.alias("payload")), {"ignoreNullFields": "false"})
+    value = F.when(m == 2, F.regexp_replace(fact, '"disposition"', '"other"')).when(m == 3, F.concat(F.lit('{"kind":"x",'), F.substr(fact, F.lit(2)))).otherwise(fact)
+    key = path_key(F.col("task_id"))
+    path = F.concat(F.lit("runs/"), F.col("user_id"), F.lit("/resolutions/"), F.when(m == 4, F.concat(key, F.lit("x"))).otherwise(key), F.lit(".json"))
+    named = groups.select("user_id", "task_id", "n", path.alias("path"))
+    records.write_fact_files(groups.select(path.alias("path"), value.alias("value")), f"{to}/facts")
+    facts, rejects = records.read_facts(t.spark, f"{to}/facts", "resolution")
+    short = F.regexp_extract("path", r"(runs/.*)$", 1).alias("path")
+    found = facts.select(short, F.lit(None).cast("string").alias("reject_code"), "path_ok").unionByName(rejects.select(short, "reject_code", F.lit(None).cast("boolean").alias("path_ok")))
+    return named.join(found, "path").select("user_id", "task_id", "n", "reject_code", "path_ok")
+
+
+@query("SELECT 'file' AS kind, CAST(strlen(s_name) + 1 AS BIGINT) AS size_bytes, sha256(s_name || chr(10)) AS sha256 FROM supplier")
 def src3_read_inventory(t: Tables) -> DataFrame:
-    to = shared_folder(t)
-    t.nation.select("n_nationkey", "n_name").repartition("n_nationkey").write.partitionBy("n_nationkey").text(f"{to}/files")
-    return records.read_inventory(t.spark, f"{to}/files").where("path LIKE '%.txt'").select("kind", "size_bytes", "sha256")
+    to = new_folder(t)
+    files = t.supplier.select(F.concat(F.lit("d"), F.col("s_suppkey") % 10, F.lit("/"), "s_suppkey", F.lit(".txt")).alias("path"), F.concat("s_name", F.lit("\n")).alias("value"))
+    records.write_fact_files(files, f"{to}/files")
+    return records.read_inventory(t.spark, f"{to}/files").select("kind", "size_bytes", "sha256")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders")
 def snk2_write_resolved(t: Tables) -> DataFrame:
-    to = shared_folder(t)
+    to = new_folder(t)
     records.write_resolved(t.orders.select("o_orderkey", "o_custkey"), f"{to}/resolved")
     return t.spark.read.parquet(f"{to}/resolved")
 
 
 @query(INDEX)
 def snk4_rebuild_reuse_index(t: Tables) -> DataFrame:
-    to = shared_folder(t)
+    to = new_folder(t)
     records.publish_reuse_index(receipts(t), f"{to}/index")
     return t.spark.read.schema("fingerprint string, receipt string, recipe_prefix string").parquet(f"{to}/index")

@@ -9,10 +9,12 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runloom.functions.exprs import path_key
+
 #: Largest settings document that is read, in bytes.
 MAX_DOCUMENT = 1 << 20
 #: Bytes that a file is hashed by.
@@ -27,8 +29,36 @@ FACT_PATHS = {
     "summary": r"runs/([^/]+)/summary\.json$",
     "recovery": r"runs/([^/]+)/recovery\.json$",
     "index": r"cache/([^/]+)/([^/]+)\.json$",
-    "transition": r"runs/([^/]+)/events/([^/]+)\.json$",
+    "transition": r"runs/([^/]+)/transitions/([^/]+)\.json$",
+}
+# The fields of each fact kind's payload, and the version of the envelope around it.
+FACT_FIELDS = {
+    "run": "run_id scope_id resume_of plan_digest engine_identity implementations source_kind config_refs code_provenance",
+    "started": "run_id scope_id task_id attempt_id sequence plan_digest fingerprint execution inputs allocation prepared started_at resolved_inputs",
+    "finished": "attempt_id outcome error_code retryable ended_at receipt evidence",
+    "receipt": "attempt_id task_id scope_id fingerprint execution inputs outputs cache_policy",
+    "resolution": "task_id state disposition receipt error_code blocked_by fingerprint execution cache_reasons",
+    "summary": "run_id status states completion_order",
+    "recovery": "source_run status attempts",
+    "index": "receipt receipt_digest",
+    "transition": "task_id state",
 }
+FACT_VERSION = 2
+_IDENTITY = "struct<value:string,reusable:boolean,reasons:array<string>>"
+_REF = "struct<record_id:string,schema_id:string,schema_version:bigint,semantic_digest:string,manifest_digest:string,locator:string>"
+_INPUTS = "array<struct<port:string,semantic_digests:array<string>>>"
+#: Types of the payload fields that are read into columns; free JSON stays a text.
+FACT_TYPES = {
+    "engine_identity": _IDENTITY, "implementations": f"map<string,{_IDENTITY}>", "config_refs": f"array<{_REF}>", "code_provenance": "struct<package_version:string,source_revision:string>", "sequence": "bigint",
+    "inputs": _INPUTS, "allocation": "struct<cpu_cores:bigint,gpu_count:bigint,memory_bytes:bigint>", "started_at": "double", "ended_at": "double", "retryable": "boolean",
+    "resolved_inputs": f"map<string,array<struct<artifact:{_REF},manifest_location:string,effective_digest:string,evidence:string>>>", "evidence": "array<string>", "outputs": f"map<string,array<{_REF}>>",
+    "blocked_by": "array<string>", "cache_reasons": "array<string>", "states": "map<string,string>", "completion_order": "array<string>", "attempts": "array<struct<attempt_id:string,outcome:string,receipt:string>>",
+}
+
+
+def fact_schema(kind: str) -> T.StructType:
+    """The columns of a fact kind."""
+    return T.StructType.fromDDL(", ".join(f"{f} {FACT_TYPES.get(f, 'string')}" for f in FACT_FIELDS[kind].split()))
 
 
 def _kinds(field: T.DataType) -> str:
@@ -78,17 +108,56 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, schema_id
     return parse_records(texts.withColumn("path", F.input_file_name()), schema, schema_id, schema_version)
 
 
-def read_facts(spark: SparkSession, root: str, kind: str, schema: T.StructType) -> DataFrame:
-    """Facts of one kind, with the ids that their paths give in ``path_ids`` and ``path_ok``: whether a
-    payload's run id, where it has one, is the path's."""
+def _exact_keys(text: Column, names: list[str]) -> Column:
+    keys = F.json_object_keys(text)
+    return F.coalesce((F.size(keys) == len(names)) & (F.size(F.array_except(keys, F.array(*map(F.lit, names)))) == 0), F.lit(False))
+
+
+def read_facts(spark: SparkSession, root: str, kind: str, schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facts, rejects) of one kind below ``root``.
+
+    A file is an envelope of schema_version, kind and payload, with exactly the payload fields of the kind.
+    Others are refused by a code. Facts carry ``path``, the ids in it (``path_ids``) and ``path_ok``: whether
+    those ids are the payload's, tasks standing there as :func:`path_key`.
+    """
     texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root).withColumn("path", F.input_file_name())
     pattern = FACT_PATHS[kind]
-    mine = texts.where(F.col("path").rlike(pattern))
     ids = F.array(*[F.regexp_extract("path", pattern, i) for i in range(1, pattern.count("(") + 1)])
-    rows = mine.select("path", ids.alias("path_ids"), F.from_json("value", schema).alias("r")).select("path", "path_ids", "r.*")
-    if "run_id" in schema.names:
-        return rows.withColumn("path_ok", F.col("run_id").eqNullSafe(F.col("path_ids")[0]))
-    return rows.withColumn("path_ok", F.lit(True))
+    v = F.try_parse_json("value")
+    rows = texts.where(F.col("path").rlike(pattern)).select("path", "value", ids.alias("path_ids"), v.alias("fact_variant"))
+    payload = F.to_json(F.variant_get("fact_variant", "$.payload", "variant"))
+    version = F.variant_get("fact_variant", "$.schema_version", "variant")
+    current = (F.schema_of_variant(version) == "BIGINT") & (F.try_variant_get("fact_variant", "$.schema_version", "int") == FACT_VERSION)
+    same = F.try_variant_get("fact_variant", "$.kind", "string") == kind
+    reason = (
+        F.when(F.col("fact_variant").isNull(), "RECORD_JSON")
+        .when(~_exact_keys(F.to_json("fact_variant"), ["schema_version", "kind", "payload"]), "RECORD_FIELDS")
+        .when(~F.coalesce(current & same, F.lit(False)), "RUNTIME_RECORD_VERSION_UNSUPPORTED")
+        .when(~_exact_keys(payload, FACT_FIELDS[kind].split()), "RECORD_FIELDS")
+    )
+    rows = rows.select("path", "path_ids", payload.alias("payload"), reason.alias("reject_code"))
+    facts = rows.where("reject_code IS NULL").select("path", "path_ids", F.from_json("payload", schema or fact_schema(kind)).alias("r")).select("path", "path_ids", "r.*")
+    place = {"run": {"run_id": 0}, "started": {"run_id": 0, "task_id": 1, "attempt_id": 2}, "finished": {"attempt_id": 2}, "receipt": {"task_id": 1, "attempt_id": 2}, "resolution": {"task_id": 1}, "summary": {"run_id": 0}}
+    ok = F.lit(True)
+    for column, at in place.get(kind, {}).items():
+        told = path_key(F.col(column)) if column == "task_id" else F.col(column)
+        ok = ok & told.eqNullSafe(F.col("path_ids")[at])
+    return facts.withColumn("path_ok", ok), rows.where("reject_code IS NOT NULL").select("path", "reject_code")
+
+
+def write_fact_files(facts: DataFrame, root: str) -> None:
+    """One file per row of ``facts`` (``path`` below ``root``, ``value``), written by the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                store, at = pafs.FileSystem.from_uri(f"{re.sub('^file:/+|^/', 'file:///', root)}/{name}")
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(at) as f:
+                    f.write(value.encode())
+            yield b
+
+    facts.select("path", "value").mapInArrow(run, "path string, value string").write.format("noop").mode("overwrite").save()
 
 
 def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -244,16 +244,18 @@ def test_secret_scans(spark):
 
 
 def test_readers_and_writers(spark, tmp_path):
-    (tmp_path / "in/runs/r1/events").mkdir(parents=True)
+    (tmp_path / "in/runs/r1/transitions").mkdir(parents=True)
     (tmp_path / "in/runs/r1/run.json").write_text('{"run_id":"r1","n":1}')
-    (tmp_path / "in/runs/r1/events/0001.json").write_text('{"run_id":"rX","n":2}')
+    fact = {"schema_version": 2, "kind": "transition", "payload": {"task_id": "t", "state": "running"}}
+    broken = [fact | {"schema_version": 1}, fact | {"schema_version": True}, fact | {"kind": "run"}, fact | {"more": 1}, fact | {"payload": {"task_id": "t"}}]
+    for n, x in enumerate([fact, *broken]):
+        (tmp_path / f"in/runs/r1/transitions/{n}.json").write_text(json.dumps(x))
+    facts, refused = records.read_facts(spark, f"file://{tmp_path}/in", "transition")
+    assert [(r.path_ids, r.task_id, r.state, r.path_ok) for r in facts.collect()] == [(["r1", "0"], "t", "running", True)]
+    assert sorted(r.reject_code for r in refused.collect()) == ["RECORD_FIELDS"] * 2 + ["RUNTIME_RECORD_VERSION_UNSUPPORTED"] * 3
     schema = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("n", T.LongType())])
-    run = records.read_facts(spark, f"file://{tmp_path}/in", "run", schema).first()
-    assert (run.path_ids, run.path_ok, run.n) == (["r1"], True, 1)
-    event = records.read_facts(spark, f"file://{tmp_path}/in", "transition", schema).first()
-    assert (event.path_ids, event.path_ok) == (["r1", "0001"], False)
     good, rejects = records.read_records(spark, f"file://{tmp_path}/in", schema)
-    assert good.count() == 2 and rejects.count() == 0
+    assert good.count() == 1 and rejects.count() == 6
     seen = {r.path: (r.size_bytes, r.sha256) for r in records.read_inventory(spark, f"file://{tmp_path}/in").collect()}
     assert seen["runs/r1/run.json"] == (21, hashlib.sha256(b'{"run_id":"r1","n":1}').hexdigest())
     df = spark.range(3).withColumnRenamed("id", "k")
