@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from runloom.functions.exprs import fingerprint_struct, is_digest
 
@@ -27,31 +22,6 @@ def canonical(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
-@F.pandas_udf(T.StringType())
-def canonical_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Canonical form of free JSON: sorted keys, compact, non-ASCII kept; null if it isn't strict JSON.
-
-    Numbers keep their kind (1 and 1.0 differ), which is why this isn't a VARIANT round trip.
-    """
-
-    def strict(pairs):
-        if len({k for k, _ in pairs}) != len(pairs):
-            raise ValueError("duplicate key")
-        return dict(pairs)
-
-    def refuse(name):
-        raise ValueError(name)
-
-    def one(t):
-        try:
-            return json.dumps(json.loads(t, object_pairs_hook=strict, parse_constant=refuse), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
-        except (ValueError, TypeError, RecursionError):
-            return None
-
-    for s in texts:
-        yield s.map(one)
-
-
 def ordered(group: DataFrame, by: list[str], order: list[str], value: Column, separator: str = ",") -> DataFrame:
     """One text per group: ``value`` of its rows, in order, repeats kept. Ties of the order are broken by the value."""
     row = F.struct(*[F.col(o) for o in order], value.alias("digest_value"))
@@ -93,20 +63,36 @@ def input_identities(inputs: DataFrame, by: list[str], port: str = "port", order
     return out.withColumn("inputs", F.when(F.col("strong"), F.col("inputs")))
 
 
-def execution_identity(prepared: DataFrame, digests: str = "digests", resources: tuple[str, ...] = ("cpu", "gpu"), required: tuple[str, ...] = ("engine", "environment"), domain: str = f"{PREFIX}.execution.v1") -> DataFrame:
-    """``prepared`` with ``identity``: the named digests plus the allocation, memory left out.
+def execution_identity(prepared: DataFrame, domain: str = f"{PREFIX}.execution.v1") -> DataFrame:
+    """``prepared`` with ``identity``: what was prepared plus the allocation of cores, memory left out.
 
-    The first failing rule is the one reason: a missing or extra name, then a weak digest, then a
-    missing allocation.
+    Columns: status and ``evidence`` (digests of what proves it, an array) of the prepared identity; its
+    schema_version, wrapper_digest, ``native_components`` (map of name to executable_digest and the map
+    dependency_digests), ``settings`` (canonical JSON of an object) and ``external_resource_digests`` (map),
+    null where absent; cpu_cores and gpu_count. The first rule that fails is the one reason.
     """
-    keys = F.array_sort(F.map_keys(digests))
-    weak = ~F.forall(F.map_values(digests), lambda d: F.coalesce(is_digest(d), F.lit(False)))
+    c = F.col
+    strong = lambda m: F.coalesce(F.forall(F.map_values(m), lambda d: F.coalesce(is_digest(d), F.lit(False))), F.lit(False))
+    native = F.forall(F.map_values("native_components"), lambda n: F.coalesce(is_digest(n["executable_digest"]), F.lit(False)) & strong(n["dependency_digests"]))
+    bad = lambda ok: ~F.coalesce(ok, F.lit(False))
     reason = (
-        F.when(F.col(digests).isNull() | (keys != F.array(*[F.lit(k) for k in sorted(required)])), "EXECUTION_KEYS")
-        .when(weak, "EXECUTION_WEAK")
-        .when(F.greatest(*[F.col(r).isNull() for r in resources]), "EXECUTION_ALLOCATION")
+        F.when(c("status") == "unknown", "EXECUTION_IDENTITY_UNKNOWN")
+        .when(bad(c("status") == "known"), "EXECUTION_IDENTITY_INCOMPLETE")
+        .when(c("schema_version").isNull() | c("native_components").isNull() | c("settings").isNull() | c("external_resource_digests").isNull(), "EXECUTION_IDENTITY_INCOMPLETE")
+        .when(c("schema_version") != 1, "EXECUTION_IDENTITY_VERSION")
+        .when(bad(is_digest(c("wrapper_digest"))), "WRAPPER_IDENTITY_WEAK")
+        .when(bad(native), "NATIVE_IDENTITY_WEAK")
+        .when(~strong(c("external_resource_digests")), "RESOURCE_IDENTITY_WEAK")
+        .when(bad(F.forall("evidence", lambda d: F.coalesce(is_digest(d), F.lit(False)))), "EXECUTION_EVIDENCE_WEAK")
+        .when(bad((c("cpu_cores") >= 1) & (c("gpu_count") >= 0)), "IDENTITY_ALLOCATION")
     )
-    text = canonical(allocation=F.struct(*[F.col(r) for r in sorted(resources)]), digests=F.map_from_entries(F.array_sort(F.map_entries(digests))))
+    ordered_map = lambda m: F.map_from_entries(F.array_sort(F.map_entries(m)))
+    parts = F.transform(F.array_sort(F.map_keys("native_components")), lambda n: F.concat(F.to_json(F.array(n)).substr(F.lit(2), F.length(F.to_json(F.array(n))) - 2), F.lit(":"), F.to_json(F.struct(ordered_map(c("native_components")[n]["dependency_digests"]).alias("dependency_digests"), c("native_components")[n]["executable_digest"].alias("executable_digest")))))
+    data = F.concat(
+        F.lit('{"external_resource_digests":'), F.to_json(ordered_map(c("external_resource_digests"))), F.lit(',"native_components":{'), F.array_join(parts, ","), F.lit('},"schema_version":'), c("schema_version").cast("string"),
+        F.lit(',"settings":'), c("settings"), F.lit(',"wrapper_digest":"'), c("wrapper_digest"), F.lit('"}'),
+    )
+    text = F.concat(F.lit('{"cpu_cores":'), c("cpu_cores").cast("string"), F.lit(',"evidence_semantic_digests":'), F.to_json("evidence"), F.lit(',"gpu_count":'), c("gpu_count").cast("string"), F.lit(',"prepared":'), data, F.lit("}"))
     reasons = F.when(reason.isNull(), F.array().cast("array<string>")).otherwise(F.array(reason))
     return prepared.withColumn("identity", fingerprint_struct(domain_digest(domain, text), reasons))
 

@@ -60,7 +60,8 @@ def decide(candidates: DataFrame, ports: DataFrame | None = None, outputs: DataF
     ``candidates`` carry the columns of :func:`task_reason`. ``ports``: key, port, and booleans contract_ok,
     count_ok, commit_ok. ``outputs``: key, port, ord, and a boolean column per output code in lower case,
     true where that rule rejects (missing columns reject nothing). The verdict is the first in task, then
-    port order, then output order: one minimum per candidate, partially aggregated.
+    port order, then output order: one minimum per candidate, partially aggregated. :func:`output_rules` works the
+    output columns out from the facts.
     """
     own = candidates.select(key, F.struct(F.lit("").alias("port"), F.lit(-1).alias("ord"), F.lit(0).alias("rule"), task_reason().alias("reason")).alias("v")).where("v.reason IS NOT NULL")
     verdicts = own.select(key, F.lit(0).alias("level"), "v")
@@ -79,6 +80,47 @@ def decide(candidates: DataFrame, ports: DataFrame | None = None, outputs: DataF
     return candidates.select(key).distinct().join(first, key, "left").select(key, F.col("reason").isNull().alias("accepted"), "reason")
 
 
+def output_rules(outputs: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """``outputs`` with a boolean column per output code, as :func:`decide` takes them, worked out from the facts.
+
+    A row is an output of a candidate: key, port, ord, ``ref`` (record_id, schema_id, schema_version,
+    manifest_digest, semantic_digest), ``want`` (schema_id, schema_version, profile) of the port, ``manifest``
+    (bytes), decoder_missing and record_invalid of :func:`decide_records`, ``record`` (schema_id,
+    schema_version, record_id, profile, producer, fingerprint, output_port, execution, lineage and asset_ids
+    arrays, is_product) as decoded, ``task`` (producer, fingerprint, execution, lineage) as it would run now,
+    ``assets`` (array of asset_id, same, strong) as supplied, fully_verified (of the port's validator) and
+    ``identity``, the recomputed result identity or null.
+    """
+    c, ref, want, record, task = F.col, F.col("ref"), F.col("want"), F.col("record"), F.col("task")
+    differ = lambda a, b: ~a.eqNullSafe(b)
+    product = F.coalesce(record["is_product"], F.lit(False))
+    text = c("manifest").cast("string")
+    v = F.try_parse_json(text)
+    told = F.try_variant_get(v, "$.schema_id", "string")
+    version = F.try_variant_get(v, "$.schema_version", "int")
+    supplied = F.array_sort(F.transform("assets", lambda a: a["asset_id"]))
+    nth = F.row_number().over(Window.partitionBy(key, "ref.record_id").orderBy("port", "ord"))
+    return outputs.withColumns(
+        {
+            "duplicate_record": nth > 1,
+            "schema": differ(ref["schema_id"], want["schema_id"]) | differ(ref["schema_version"], want["schema_version"]),
+            "manifest_digest": ~F.coalesce(is_digest(ref["manifest_digest"]) & (F.sha2("manifest", 256) == ref["manifest_digest"]), F.lit(False)),
+            "manifest_schema": differ(told, ref["schema_id"]) | differ(version, ref["schema_version"]),
+            "record_schema": differ(record["schema_id"], ref["schema_id"]) | differ(record["schema_version"], ref["schema_version"]),
+            "product_producer": product & (differ(record["record_id"], ref["record_id"]) | differ(record["producer"], task["producer"])),
+            "profile": product & want["profile"].isNotNull() & differ(record["profile"], want["profile"]),
+            "product_lineage": product & differ(record["lineage"], task["lineage"]),
+            "product_production": product & (differ(record["fingerprint"], task["fingerprint"]) | differ(record["output_port"], c("port")) | differ(record["execution"], task["execution"])),
+            "assets_missing": product & differ(supplied, F.array_sort(record["asset_ids"])),
+            "asset_unverified": product & F.exists("assets", lambda a: ~F.coalesce(a["same"] & a["strong"], F.lit(False))),
+            "record_assets_or_profile": ~product & ((F.size("assets") > 0) | want["profile"].isNotNull()),
+            "record_id": ~product & differ(record["record_id"], ref["record_id"]),
+            "record_unverified": ~F.coalesce(c("fully_verified"), F.lit(False)),
+            "result_identity": ~F.coalesce(is_digest(c("identity")) & (c("identity") == ref["semantic_digest"]), F.lit(False)),
+        }
+    )
+
+
 def decide_records(outputs: DataFrame, decoders: dict, content: str = "content", schema: str = "schema_id") -> DataFrame:
     """``outputs`` decoded by the user's functions, one per schema id, from bytes to a JSON text or None.
 
@@ -143,9 +185,3 @@ def check_candidates(candidates: DataFrame, key: str = "candidate_id") -> DataFr
 def reuse_stats(resolutions: DataFrame, run: str = "run_id") -> DataFrame:
     """Tasks executed and reused per run."""
     return resolutions.groupBy(run, "disposition").agg(F.count("*").alias("n_tasks"))
-
-
-def rank_candidates(candidates: DataFrame, by: list[str]) -> DataFrame:
-    """Candidates with ``candidate_rank`` in the order in which they are tried."""
-    w = Window.partitionBy(*by).orderBy(F.col("own_scope").desc(), F.when(F.col("own_scope"), -F.col("sequence")), "path")
-    return candidates.withColumn("candidate_rank", F.row_number().over(w).cast("long"))

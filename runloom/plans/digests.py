@@ -65,16 +65,26 @@ def dig5_input_identities(t: Tables) -> DataFrame:
     return inputs(t).select("l_orderkey", "strong", F.to_json("inputs").alias("inputs"))
 
 
-EXECUTION = """e AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 7 = 0 THEN 'EXECUTION_KEYS' WHEN o_custkey % 7 = 1 THEN 'EXECUTION_WEAK' WHEN o_custkey % 7 = 2 THEN 'EXECUTION_ALLOCATION' END AS reason,
-  '{"allocation":{"cpu":' || CAST(o_custkey % 4 AS VARCHAR) || ',"gpu":' || CAST(o_custkey % 2 AS VARCHAR) || '},"digests":{"engine":"' || sha256(o_orderpriority) || '","environment":"' || sha256(o_orderstatus) || '"}}' AS text FROM orders)"""
+#: What was prepared for each order; its customer's number says what is weak.
+REASONS = ["EXECUTION_IDENTITY_UNKNOWN", "EXECUTION_IDENTITY_INCOMPLETE", "EXECUTION_IDENTITY_VERSION", "WRAPPER_IDENTITY_WEAK", "NATIVE_IDENTITY_WEAK", "RESOURCE_IDENTITY_WEAK", "EXECUTION_EVIDENCE_WEAK", "IDENTITY_ALLOCATION"]
+EXECUTION = f"""e AS (SELECT o_orderkey, o_custkey, CASE {" ".join(f"WHEN o_custkey % 20 = {n} THEN '{r}'" for n, r in enumerate(REASONS))} END AS reason,
+  '{{"cpu_cores":' || CAST(1 + o_custkey % 4 AS VARCHAR) || ',"evidence_semantic_digests":["' || sha256(o_orderpriority) || '"],"gpu_count":' || CAST(o_custkey % 2 AS VARCHAR) || ',"prepared":{{"external_resource_digests":{{"dem":"' || sha256(o_orderstatus) || '"}},"native_components":{{'
+  || '"isce":{{"dependency_digests":{{"fftw":"' || sha256('f') || '","gdal":"' || sha256('g') || '"}},"executable_digest":"' || sha256('i') || '"}},"snaphu":{{"dependency_digests":{{}},"executable_digest":"' || sha256('s') || '"}}}},"schema_version":1,"settings":{{"looks":' || CAST(o_custkey % 3 AS VARCHAR) || '}},"wrapper_digest":"' || sha256(o_orderpriority) || '"}}}}' AS text FROM orders)"""
 
 
 def execution(t: Tables) -> DataFrame:
-    m = F.col("o_custkey") % 7
-    env = F.when(m == 1, "weak").otherwise(F.sha2("o_orderstatus", 256))
-    engine = F.sha2("o_orderpriority", 256)
-    digests = F.when(m == 0, F.create_map(F.lit("engine"), engine)).otherwise(F.create_map(F.lit("environment"), env, F.lit("engine"), engine))
-    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", digests.alias("digests"), F.when(m != 2, F.col("o_custkey") % 4).alias("cpu"), (F.col("o_custkey") % 2).alias("gpu"))
+    m, h = F.col("o_custkey") % 20, lambda x: F.sha2(F.lit(x), 256)
+    bad = lambda reason, weak, good: F.when(m == REASONS.index(reason), weak).otherwise(good)
+    component = lambda executable, *dependencies: F.struct(executable.alias("executable_digest"), (F.create_map(*dependencies) if dependencies else F.create_map().cast("map<string,string>")).alias("dependency_digests"))
+    native = F.create_map(F.lit("snaphu"), component(h("s")), F.lit("isce"), component(h("i"), F.lit("gdal"), bad("NATIVE_IDENTITY_WEAK", F.lit("weak"), h("g")), F.lit("fftw"), h("f")))
+    rows = t.orders.select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", bad("EXECUTION_IDENTITY_UNKNOWN", F.lit("unknown"), F.lit("known")).alias("status"),
+        F.array(bad("EXECUTION_EVIDENCE_WEAK", F.lit("weak"), F.sha2("o_orderpriority", 256))).alias("evidence"), bad("EXECUTION_IDENTITY_VERSION", F.lit(2), F.lit(1)).alias("schema_version"),
+        bad("WRAPPER_IDENTITY_WEAK", F.lit(None).cast("string"), F.sha2("o_orderpriority", 256)).alias("wrapper_digest"), native.alias("native_components"),
+        bad("EXECUTION_IDENTITY_INCOMPLETE", F.lit(None).cast("string"), F.concat(F.lit('{"looks":'), F.col("o_custkey") % 3, F.lit("}"))).alias("settings"),
+        F.create_map(F.lit("dem"), bad("RESOURCE_IDENTITY_WEAK", F.lit("weak"), F.sha2("o_orderstatus", 256))).alias("external_resource_digests"),
+        bad("IDENTITY_ALLOCATION", F.lit(0).cast("long"), 1 + F.col("o_custkey") % 4).alias("cpu_cores"), (F.col("o_custkey") % 2).alias("gpu_count"),
+    )
     return D.execution_identity(rows)
 
 

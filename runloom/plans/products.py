@@ -39,6 +39,22 @@ def prd3_check_references(t: Tables) -> DataFrame:
     return P.check_references(t.documents, t.labels, {"doc_id": "doc_id"}, "doc_id", "source", "missing-label", F.col("lang") != "en")
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS subject_id, 'error' AS kind, code, 'l1' AS location FROM (
+SELECT o_orderkey, 'missing-asset-reference' AS code FROM orders WHERE o_custkey % 4 = 0
+UNION ALL SELECT o_orderkey, 'missing-geometry-reference' FROM orders WHERE o_custkey % 2 = 0 AND o_orderkey % 3 = 0
+UNION ALL SELECT o_orderkey, 'missing-mask-layer-reference' FROM orders WHERE o_custkey % 5 = 0)""")
+def prd3_check_layers(t: Tables) -> DataFrame:
+    """Two layers an order: the first names an asset, a geometry and a mask, the second nothing but the asset."""
+    product, c = F.col("o_orderkey").alias("product_id"), F.col("o_custkey")
+    known = lambda when, **fields: F.struct(F.when(when, "known").otherwise("unknown").alias("status"), *[v.alias(k) for k, v in fields.items()])
+    mask = lambda when, ref: known(when, value=F.struct(F.lit("mask").alias("kind"), ref.alias("mask_layer_ref")))
+    first = t.orders.select(product, F.lit("l1").alias("layer_id"), F.when(c % 4 == 0, "x").otherwise("a").alias("asset_id"), known(c % 2 == 0, value=F.lit("g")).alias("geometry_ref"), mask(F.lit(True), F.when(c % 5 == 0, "zz").otherwise("l2")).alias("nodata"))
+    second = t.orders.select(product, F.lit("l2").alias("layer_id"), F.lit("a").alias("asset_id"), known(F.lit(False), value=F.lit("g")).alias("geometry_ref"), mask(F.lit(False), F.lit("zz")).alias("nodata"))
+    assets = t.orders.select(product, F.lit("a").alias("asset_id"))
+    geometries_ = t.orders.where("o_orderkey % 3 > 0").select(product, F.lit("g").alias("geometry_id"))
+    return P.check_layers(first.unionByName(second), assets, geometries_)
+
+
 @query("""SELECT CAST(vec_id AS VARCHAR) AS subject_id, 'error' AS kind, code, CAST(vec_id AS VARCHAR) AS location FROM (
   SELECT vec_id, CASE WHEN len(embedding) <> 63 + vec_id % 2 THEN 'geometry-axis-count-mismatch' END AS code FROM embeddings
   UNION ALL SELECT vec_id, CASE WHEN label = 0 THEN 'invalid-geometry-shape' END FROM embeddings
@@ -74,6 +90,54 @@ def prd6_check_cardinality(t: Tables) -> DataFrame:
     return P.check_cardinality(orders, asked, members, P.asset_matches(), "asset-requirement-unsatisfied")
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS subject_id, 'error' AS kind, code, location FROM (
+SELECT o_orderkey, 'profile-id-mismatch' AS code, 'profile_id' AS location FROM orders WHERE o_custkey % 3 = 0
+UNION ALL SELECT o_orderkey, 'profile-version-mismatch', 'profile_version' FROM orders WHERE o_custkey % 4 = 0
+UNION ALL SELECT o_orderkey, 'product-kind-not-allowed', 'product_kind' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus <> 'O')""")
+def prd6_check_profile(t: Tables) -> DataFrame:
+    c = F.col("o_custkey")
+    rows = t.orders.select(F.col("o_orderkey").alias("product_id"), F.when(F.col("o_orderkey") % 2 == 0, "even").otherwise("odd").alias("expected_profile"), F.col("o_orderstatus").alias("product_kind"), F.when(c % 4 == 0, 1).otherwise(2).alias("profile_version"))
+    rows = rows.join(t.orders.select(F.col("o_orderkey").alias("product_id"), (c % 3 == 0).alias("astray")), "product_id").withColumn("profile_id", F.when(F.col("astray"), "else").otherwise(F.col("expected_profile")))
+    profiles = t.spark.createDataFrame([("even", 2, ["O"]), ("odd", 2, [])], "profile_id string, profile_version int, allowed_product_kinds array<string>")
+    return P.check_profile(rows, profiles)
+
+
+GEOMETRY = """g AS (SELECT l_orderkey AS p, l_linestatus AS domain, CASE WHEN l_linenumber % 3 = 0 THEN 'x' ELSE 'xy' END AS axes, l_partkey % 2 = 0 AS registered, l_suppkey % 2 = 0 AS referenced FROM lineitem)"""
+
+
+@query(f"""WITH {GEOMETRY}, n AS (SELECT o_orderkey, requirement_id, low, high, count(g.p) AS observed_count
+FROM orders CROSS JOIN (VALUES ('domain', 'O', '', false, false, 1, NULL), ('axes', NULL, 'y', false, false, 1, 3), ('known', NULL, 'x', true, true, 0, 1)) AS r(requirement_id, domain, role, registration, reference, low, high)
+LEFT JOIN g ON g.p = o_orderkey AND (r.domain IS NULL OR g.domain = r.domain) AND contains(axes, role) AND (NOT registration OR registered) AND (NOT reference OR referenced) GROUP BY 1, 2, 3, 4)
+SELECT CAST(o_orderkey AS VARCHAR) AS subject_id, 'error' AS kind, 'geometry-requirement-unsatisfied' AS code, requirement_id AS location, observed_count FROM n WHERE observed_count < low OR observed_count > high""")
+def prd6_geometry_requirements(t: Tables) -> DataFrame:
+    rows = [("p", 1, "domain", "O", [], False, False, 1, None), ("p", 1, "axes", None, ["y"], False, False, 1, 3), ("p", 1, "known", None, ["x"], True, True, 0, 1)]
+    asked = t.spark.createDataFrame(rows, "profile_id string, profile_version int, requirement_id string, domain_id string, required_axis_roles array<string>, require_known_registration boolean, require_known_coordinate_reference boolean, min_count int, max_count int")
+    status = lambda c: F.when(F.col(c) % 2 == 0, "known").otherwise("unknown")
+    axes = F.when(F.col("l_linenumber") % 3 == 0, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("y")))
+    members = t.lineitem.select(F.col("l_orderkey").alias("product_id"), F.col("l_linestatus").alias("domain"), axes.alias("axis_roles"), status("l_partkey").alias("registration_status"), status("l_suppkey").alias("coordinate_reference_status"))
+    orders = t.orders.select(F.col("o_orderkey").alias("product_id"), F.lit("p").alias("profile_id"), F.lit(1).alias("profile_version"))
+    return P.check_cardinality(orders, asked, members, P.geometry_matches(), "geometry-requirement-unsatisfied")
+
+
+@query("""WITH m AS (SELECT l_orderkey AS p, l_returnflag AS role, CASE WHEN l_linenumber % 4 > 0 THEN l_linestatus END AS selector, l_partkey % 2 = 0 AS known, l_partkey % 3 AS value, l_suppkey % 2 = 0 AS placed, CASE WHEN l_suppkey % 2 = 0 THEN l_linestatus END AS domain FROM lineitem),
+r AS (SELECT * FROM (VALUES ('role', 'R', NULL, false, NULL, false, NULL, 0, 1), ('selector', NULL, 'O', false, NULL, false, NULL, 1, 4), ('quantity', NULL, NULL, true, 1, false, NULL, 0, 0), ('geometry', NULL, NULL, false, NULL, true, 'F', 1, NULL)) AS r(requirement_id, role, selector, quantity, value, geometry, domain, low, high)),
+n AS (SELECT o_orderkey, r.requirement_id, low, high, count(m.p) AS observed_count FROM orders CROSS JOIN r LEFT JOIN m ON m.p = o_orderkey AND (r.role IS NULL OR m.role = r.role) AND (r.selector IS NULL OR m.selector = r.selector) AND (NOT quantity OR known) AND (r.value IS NULL OR (known AND m.value = r.value)) AND (NOT geometry OR placed) AND (r.domain IS NULL OR m.domain = r.domain) GROUP BY 1, 2, 3, 4)
+SELECT CAST(o_orderkey AS VARCHAR) AS subject_id, 'error' AS kind, 'layer-requirement-unsatisfied' AS code, requirement_id AS location, observed_count FROM n WHERE observed_count < low OR observed_count > high""")
+def prd6_layer_requirements(t: Tables) -> DataFrame:
+    names = "profile_id string, profile_version int, requirement_id string, role string, selector_kind string, require_known_quantity boolean, quantity_kind string, require_known_unit boolean, unit_id string, require_known_sign boolean, sign_convention_id string, require_known_geometry boolean, geometry_domain_id string, min_count int, max_count int"
+    no = (False, None, False, None)
+    rows = [("p", 1, "role", "R", None, False, None, *no, False, None, 0, 1), ("p", 1, "selector", None, "O", False, None, *no, False, None, 1, 4), ("p", 1, "quantity", None, None, True, "1", *no, False, None, 0, 0), ("p", 1, "geometry", None, None, False, None, *no, True, "F", 1, None)]
+    known = F.when(F.col("l_partkey") % 2 == 0, "known").otherwise("unknown")
+    placed = F.col("l_suppkey") % 2 == 0
+    same = [x for f in ("unit", "sign") for x in (known.alias(f"{f}_status"), F.lit("v").alias(f"{f}_value"))]
+    members = t.lineitem.select(
+        F.col("l_orderkey").alias("product_id"), F.col("l_returnflag").alias("role"), F.when(F.col("l_linenumber") % 4 > 0, F.col("l_linestatus")).alias("selector_format"), known.alias("quantity_status"), (F.col("l_partkey") % 3).cast("string").alias("quantity_value"), *same,
+        F.when(placed, "known").otherwise("unknown").alias("geometry_status"), F.when(placed, F.col("l_linestatus")).alias("geometry_domain"),
+    )
+    orders = t.orders.select(F.col("o_orderkey").alias("product_id"), F.lit("p").alias("profile_id"), F.lit(1).alias("profile_version"))
+    return P.check_cardinality(orders, t.spark.createDataFrame(rows, names), members, P.layer_matches(), "layer-requirement-unsatisfied")
+
+
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS subject_id, 'error' AS kind, 'lineage-conflict' AS code, l_linestatus || ':' || CAST(l_partkey AS VARCHAR) AS location FROM lineitem GROUP BY l_orderkey, l_linestatus, l_partkey HAVING count(DISTINCT l_suppkey) > 1")
 def prd8_check_lineage(t: Tables) -> DataFrame:
     return P.check_lineage(t.lineitem, "l_orderkey", "l_linestatus", "l_partkey", F.col("l_suppkey"))

@@ -53,6 +53,39 @@ def cch2_decide(t: Tables) -> DataFrame:
     return R.decide(candidates(t), ports(t), outputs(t))
 
 
+#: One output an event; its rule number breaks, 0 none. Products have even, other records odd numbers of hundreds.
+BREAKS = ["", "SCHEMA", "MANIFEST_DIGEST", "MANIFEST_SCHEMA", "DECODER_MISSING", "RECORD_SCHEMA", "PRODUCT_PRODUCER", "PROFILE", "PRODUCT_LINEAGE", "PRODUCT_PRODUCTION", "ASSETS_MISSING", "ASSET_UNVERIFIED", "RECORD_UNVERIFIED", "RESULT_IDENTITY", "RECORD_ASSETS_OR_PROFILE", "RECORD_ID", "DUPLICATE_RECORD"]
+
+
+@query(f"""SELECT event_id AS candidate_id, k = 0 AS accepted, 'CACHE_' || CASE {" ".join(f"WHEN k = {n} THEN '{c}'" for n, c in enumerate(BREAKS) if c)} END AS reason FROM (SELECT event_id, event_id % {len(BREAKS)} AS k FROM events)""")
+def cch2_output_rules(t: Tables) -> DataFrame:
+    """Every output rule from the facts: an output breaks the rule that its event's number names."""
+    k = F.col("event_id") % len(BREAKS)
+    when = lambda code, bad, good: F.when(k == BREAKS.index(code), bad).otherwise(good)
+    h = lambda x: F.sha2(F.lit(x), 256)
+    other = k.isin(BREAKS.index("RECORD_ASSETS_OR_PROFILE"), BREAKS.index("RECORD_ID"))
+    manifest = F.concat(F.lit('{"schema_id":"'), when("MANIFEST_SCHEMA", F.lit("z"), F.lit("s")), F.lit('","schema_version":1,"n":'), F.col("event_id"), F.lit("}"))
+    struct = lambda **fields: F.struct(*[v.alias(n) for n, v in fields.items()])
+    lineage = lambda d: F.array(struct(role=F.lit("in"), digest=d))
+    assets = F.array(struct(asset_id=when("ASSETS_MISSING", F.lit("x"), F.lit("a")), same=F.lit(True), strong=when("ASSET_UNVERIFIED", F.lit(False), F.lit(True))))
+    rows = t.events.select(
+        F.col("event_id").alias("candidate_id"), F.lit("out").alias("port"), F.lit(0).alias("ord"), manifest.cast("binary").alias("manifest"),
+        struct(record_id=F.lit("r"), schema_id=F.lit("s"), schema_version=F.lit(1), manifest_digest=when("MANIFEST_DIGEST", h("x"), F.sha2(manifest.cast("binary"), 256)), semantic_digest=h("id")).alias("ref"),
+        struct(schema_id=when("SCHEMA", F.lit("q"), F.lit("s")), schema_version=F.lit(1), profile=F.when(~other, F.lit("p"))).alias("want"),
+        (k == BREAKS.index("DECODER_MISSING")).alias("decoder_missing"), F.lit(False).alias("record_invalid"),
+        struct(
+            is_product=~other, schema_id=when("RECORD_SCHEMA", F.lit("q"), F.lit("s")), schema_version=F.lit(1), record_id=when("RECORD_ID", F.lit("x"), F.lit("r")), profile=when("PROFILE", F.lit("q"), F.lit("p")),
+            producer=when("PRODUCT_PRODUCER", F.lit("x"), F.lit("plugin")), fingerprint=when("PRODUCT_PRODUCTION", h("x"), h("f")), output_port=F.lit("out"), execution=h("e"), lineage=lineage(when("PRODUCT_LINEAGE", h("x"), h("i"))), asset_ids=F.array(F.lit("a")),
+        ).alias("record"),
+        struct(producer=F.lit("plugin"), fingerprint=h("f"), execution=h("e"), lineage=lineage(h("i"))).alias("task"),
+        F.when(k == BREAKS.index("RECORD_ID"), F.slice(assets, 1, 0)).otherwise(assets).alias("assets"), (k != BREAKS.index("RECORD_UNVERIFIED")).alias("fully_verified"), when("RESULT_IDENTITY", h("x"), h("id")).alias("identity"),
+    )
+    again = rows.where(F.col("candidate_id") % len(BREAKS) == BREAKS.index("DUPLICATE_RECORD")).withColumn("ord", F.lit(1))
+    fine = candidates(t)
+    good = {"policy": F.lit("auto"), "recipe_reusable": F.lit(True), "execution_reusable": F.lit(True), "committed": F.lit(True), **{f"c_{x}": F.col(x) for x in ("recipe", "execution", "inputs")}, "c_ports": F.col("task_ports"), "b_operation": F.col("operation"), "c_outputs": F.col("b_outputs")}
+    return R.decide(fine.withColumns(good), None, R.output_rules(rows.unionByName(again)))
+
+
 @query(f"WITH {DECISIONS}, a AS (SELECT *, candidate_id % 4 < 2 AS own, sha256(CAST(candidate_id AS VARCHAR)) AS path FROM c WHERE code IS NULL) SELECT user_id, event_type, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY own DESC, CASE WHEN own THEN -candidate_id END, path) AS n FROM a) WHERE n = 1")
 def cch3_select_candidate(t: Tables) -> DataFrame:
     d = R.decide(candidates(t), ports(t), outputs(t)).select("candidate_id", "accepted")
