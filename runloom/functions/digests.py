@@ -110,6 +110,31 @@ def task_recipe(tasks: DataFrame, by: list[str], parts: list[str], strong: dict[
     return tasks.withColumn("recipe", fingerprint_struct(domain_digest(domain, text), reasons))
 
 
+def workflow_recipe(tasks: DataFrame, domain: str = f"{PREFIX}.recipe.v1") -> DataFrame:
+    """``tasks`` with ``recipe``: the digest of everything that determines a task's result, in thirteen parts.
+
+    Columns: core_semantics_revision, engine_code_identity, operation_id, operation_api_version,
+    validator_revision, plugin_kind, plugin_id, plugin_api_version, plugin_implementation_identity,
+    semantic_execution_identity, ``parameters`` (canonical JSON), parameters_verified, ``inputs`` (of
+    :func:`input_identities`) and ``outputs`` (array of port, schema_id, schema_version, profile_id,
+    profile_version, count). Weak identities and inputs are reasons that add up; parameters that aren't
+    verified are one only where there is no other.
+    """
+    c = F.col
+    weak = lambda name, reason: F.when(~F.coalesce(is_digest(c(name)), F.lit(False)), F.lit(reason))
+    reasons = F.array_compact(
+        F.array(
+            weak("engine_code_identity", "ENGINE_IDENTITY_WEAK"), weak("plugin_implementation_identity", "IMPLEMENTATION_IDENTITY_WEAK"), weak("semantic_execution_identity", "EXECUTION_IDENTITY_WEAK"),
+            F.when(c("inputs").isNull(), F.lit("INPUT_IDENTITY_WEAK")),
+        )
+    )
+    reasons = F.when((F.size(reasons) == 0) & ~F.coalesce("parameters_verified", F.lit(False)), F.array(F.lit("PARAMETERS_UNVERIFIED"))).otherwise(reasons)
+    names = ["core_semantics_revision", "engine_code_identity", "operation_id", "operation_api_version", "plugin_kind", "plugin_id", "plugin_api_version", "plugin_implementation_identity", "semantic_execution_identity"]
+    head = canonical(declared_output_contracts=c("outputs"), ordered_input_ports=c("inputs"), **{n: c(n) for n in names})
+    text = F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"validated_semantic_parameters":'), c("parameters"), F.lit(',"validator_revision":'), canonical(v=c("validator_revision")).substr(F.lit(6), F.length(canonical(v=c("validator_revision")))  - 6), F.lit("}"))
+    return tasks.withColumn("recipe", fingerprint_struct(domain_digest(domain, text), reasons))
+
+
 def content_digest(products: DataFrame, key: str, parts: list[str], needed: str, domain: str = f"{PREFIX}.product.content.v1") -> DataFrame:
     """``(key, content_digest)`` over ``parts``; null if any of the array ``needed`` isn't a digest."""
     ok = F.forall(needed, lambda d: F.coalesce(is_digest(d), F.lit(False)))

@@ -292,9 +292,25 @@ def explain(resolved: DataFrame, normalizations: DataFrame) -> DataFrame:
     return rows.unionByName(later)
 
 
+# Kinds of raw diagnostics by the code that they get; what is in none is a wrong type.
+DIAGNOSTICS = {
+    "CONFIG_REQUIRED": ("missing",), "CONFIG_UNKNOWN_KEY": ("extra_forbidden",), "CONFIG_UNSUPPORTED": ("literal_error",),
+    "CONFIG_RANGE": ("greater_than", "greater_than_equal", "less_than", "less_than_equal", "too_short", "too_long", "finite_number", "value_error", "string_pattern_mismatch"),
+}
+
+
+def diagnostic_issues(found: DataFrame, subject: str = "config_id", kind: str = "kind", path: str = "path") -> DataFrame:
+    """Raw diagnostics of a document as issues with stable codes; a kind that is a code already keeps it."""
+    code = F.when(F.col(kind).startswith("CONFIG_"), F.col(kind))
+    for name, kinds in DIAGNOSTICS.items():
+        code = code.when(F.col(kind).isin(*kinds), name)
+    code = code.otherwise("CONFIG_TYPE")
+    return found.select(F.col(subject).cast("string").alias("subject_id"), F.lit(ERROR).alias("kind"), code.alias("code"), F.col(path).alias("location"), *[c for c in ("line",) if c in found.columns])
+
+
 def rank_issues(issues: DataFrame) -> DataFrame:
-    """Issues with ``issue_rank`` by (location, code) inside a subject; the first is the headline."""
-    w = Window.partitionBy("subject_id").orderBy("location", "code", "kind")
+    """Issues with ``issue_rank`` by (location, code, line where there is one) inside a subject; the first is the headline."""
+    w = Window.partitionBy("subject_id").orderBy("location", "code", *[c for c in ("line",) if c in issues.columns], "kind")
     return issues.withColumn("issue_rank", F.row_number().over(w).cast("long")).withColumn("headline", F.col("issue_rank") == 1)
 
 

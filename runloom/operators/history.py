@@ -345,13 +345,37 @@ def effective_inputs(refs: DataFrame, evidence: DataFrame, key: str = "record_id
     return rows.withColumn("effective_digest", F.when(~conflict, F.col("recomputed"))).withColumn("conflict", conflict)
 
 
-def local_evidence(refs: DataFrame, outputs: DataFrame, key: str = "record_id", reference: str = "reference") -> DataFrame:
-    """Issues for references whose committed output, found by record id, is another one.
+def local_evidence(refs: DataFrame, receipts: DataFrame, started: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(evidence, issues) for references whose locator is that of a manifest of a committed attempt.
 
-    ``outputs``: key, reference of receipts' outputs, one row each."""
-    own = outputs.select(key, F.col(reference).alias("committed"))
-    rows = refs.join(own, key)
-    return all_issues(rows, F.col(key), issue(~F.col(reference).eqNullSafe(F.col("committed")), "INPUT_EVIDENCE_CONFLICT", "reference")).distinct()
+    ``refs``: record_id, locator, reference (the whole reference as a text). A locator counts if it reads
+    runs/RUN/attempts/TASK/ATTEMPT/manifests/NAME. ``receipts``: attempt_id, task_id, scope_id, fingerprint,
+    execution, and outputs (array of port, record_id, reference); ``started``: the same first five and run_id.
+    Evidence is record_id, fingerprint, port and attempt_id; a receipt without a fingerprint gives none.
+    """
+    parts = F.split("locator", "/")
+    at = lambda n: F.try_element_at(parts, F.lit(n + 1))
+    shaped = (F.size(parts) == 7) & (at(0) == "runs") & (at(2) == "attempts") & (at(5) == "manifests")
+    mine = refs.where(shaped).select("record_id", "reference", at(1).alias("l_run"), at(4).alias("l_attempt"))
+    bound = ["task_id", "scope_id", "fingerprint", "execution"]
+    r = receipts.select(F.col("attempt_id").cast("string").alias("l_attempt"), "outputs", *[F.col(c).alias(f"r_{c}") for c in bound])
+    s = started.select(F.col("attempt_id").cast("string").alias("l_attempt"), F.col("run_id").cast("string").alias("s_run"), *[F.col(c).alias(f"s_{c}") for c in bound])
+    rows = mine.join(r, "l_attempt").join(s, "l_attempt", "left")
+    same = F.lit(True)
+    for c in bound:
+        same = same & F.col(f"r_{c}").eqNullSafe(F.col(f"s_{c}"))
+    own = F.element_at(F.filter("outputs", lambda o: o["record_id"].eqNullSafe(F.col("record_id"))), 1)
+    rows = rows.withColumn("own", F.when(F.exists("outputs", lambda o: o["record_id"].eqNullSafe(F.col("record_id"))), own)).withColumn("placed", F.col("l_run").eqNullSafe(F.col("s_run"))).withColumn("same", same)
+    conflict = F.col("same") & F.col("placed") & F.col("own").isNotNull() & ~F.col("own.reference").eqNullSafe(F.col("reference"))
+    issues = all_issues(
+        rows,
+        F.col("record_id"),
+        issue(~F.col("same"), "INPUT_RECEIPT_BINDING", "receipt"),
+        issue(F.col("same") & ~F.col("placed"), "INPUT_RECEIPT_LOCATION", "locator"),
+        issue(conflict, "INPUT_COMMITTED_REF_CONFLICT", "reference"),
+    )
+    good = rows.where(F.col("same") & F.col("placed") & F.col("own").isNotNull() & F.col("own.reference").eqNullSafe(F.col("reference")) & F.col("r_fingerprint").isNotNull())
+    return good.select("record_id", F.col("r_fingerprint").alias("fingerprint"), "own.port", F.col("l_attempt").alias("attempt_id")), issues
 
 
 def classify_errors(df: DataFrame, cause: str = "cause") -> DataFrame:

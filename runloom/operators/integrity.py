@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runloom.functions.digests import PREFIX, directory_digest
 from runloom.functions.exprs import ancestors, fingerprint_struct, is_digest
 from runloom.operators.issues import ERROR, UNVERIFIED, all_issues, first_issue, issue
 
@@ -123,4 +124,25 @@ def asset_identities(assets: DataFrame, inventory: DataFrame) -> DataFrame:
     return rows.select("asset_id", fingerprint_struct(F.col("o_digest"), reasons).alias("identity"))
 
 
-__all__ = ["ERROR", "UNVERIFIED", "asset_identities", "inventory_diff", "order_directory_issues", "reconcile_directory", "suppress_uncertain", "verify_assets"]
+def directory_identities(assets: DataFrame, manifests: DataFrame, members: DataFrame, issues: DataFrame, domain: str = f"{PREFIX}.directory.v1") -> DataFrame:
+    """``(asset_id, identity)`` of directory assets: the digest over their members, or the first reason for none.
+
+    ``assets``: asset_id, manifest_digest as referred to; ``manifests``: asset_id, content (bytes); ``members``:
+    dir_id, path, kind, algorithm, digest as the manifest lists them; ``issues`` of
+    :func:`reconcile_directory`, which leave a directory unverified, as does a member without a SHA-256.
+    """
+    at = lambda df, name: df.withColumn("asset_id", F.col(name).cast("string"))
+    listed = members.withColumn("digest", F.when((F.col("kind") != "file") | (F.lower("algorithm") == "sha256"), F.col("digest")))
+    made = at(directory_digest(listed, "dir_id", domain=domain), "dir_id").select("asset_id", F.col("identity").alias("made"))
+    bad = issues.select(F.col("subject_id").alias("asset_id"), F.lit(True).alias("bad")).distinct()
+    rows = at(assets, "asset_id").join(at(manifests, "asset_id").select("asset_id", F.sha2("content", 256).alias("got")), "asset_id", "left").join(made, "asset_id", "left").join(bad, "asset_id", "left")
+    reason = (
+        F.when(F.col("got").isNull() | ~F.coalesce(is_digest(F.col("manifest_digest")), F.lit(False)), "DIRECTORY_MANIFEST_MISSING")
+        .when(F.col("got") != F.col("manifest_digest"), "DIRECTORY_MANIFEST_MISMATCH")
+        .when(F.col("bad") | ~F.coalesce(F.col("made.reusable"), F.lit(False)), "DIRECTORY_CONTENT_UNVERIFIED")
+    )
+    reasons = F.when(reason.isNull(), F.array().cast("array<string>")).otherwise(F.array(reason))
+    return rows.select("asset_id", fingerprint_struct(F.col("made.value"), reasons).alias("identity"))
+
+
+__all__ = ["ERROR", "UNVERIFIED", "asset_identities", "directory_identities", "inventory_diff", "order_directory_issues", "reconcile_directory", "suppress_uncertain", "verify_assets"]

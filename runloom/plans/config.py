@@ -218,3 +218,13 @@ _NOTES = " UNION ALL ".join(
 @query(f"{_MAPS} UNION ALL {_NOTES}")
 def cfg13_translation_audit(t: Tables) -> DataFrame:
     return C.translation_audit(options(t))
+
+
+@query("""WITH d AS (SELECT event_id, user_id, event_id % 9 AS line, CASE event_id % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'extra_forbidden' WHEN 2 THEN 'literal_error' WHEN 3 THEN 'too_long' WHEN 4 THEN 'value_error' WHEN 5 THEN 'int_type' ELSE 'CONFIG_PATH' END AS kind FROM events),
+c AS (SELECT user_id, event_id, line, CASE kind WHEN 'missing' THEN 'CONFIG_REQUIRED' WHEN 'extra_forbidden' THEN 'CONFIG_UNKNOWN_KEY' WHEN 'literal_error' THEN 'CONFIG_UNSUPPORTED' WHEN 'too_long' THEN 'CONFIG_RANGE' WHEN 'value_error' THEN 'CONFIG_RANGE' WHEN 'int_type' THEN 'CONFIG_TYPE' ELSE kind END AS code FROM d)
+SELECT CAST(user_id AS VARCHAR) AS subject_id, code, CAST(event_id AS VARCHAR) AS location, line, row_number() OVER (PARTITION BY user_id ORDER BY CAST(event_id AS VARCHAR), code, line) AS issue_rank FROM c""")
+def cfg11_diagnostic_issues(t: Tables) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("missing", "extra_forbidden", "literal_error", "too_long", "value_error", "int_type", "CONFIG_PATH")))
+    i = F.col("event_id")
+    raw = t.events.select("user_id", F.element_at(kinds, (i % 7 + 1).cast("int")).alias("kind"), i.cast("string").alias("path"), (i % 9).alias("line"))
+    return C.rank_issues(C.diagnostic_issues(raw, "user_id")).select("subject_id", "code", "location", "line", "issue_rank")

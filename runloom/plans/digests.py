@@ -108,6 +108,23 @@ def dig7_task_recipe(t: Tables) -> DataFrame:
     return recipes(t).select("o_orderkey", "recipe.value", F.array_join("recipe.reasons", ",").alias("reasons"))
 
 
+@query(f"""WITH {INPUTS}, x AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, r.inputs FROM orders JOIN r ON r.l_orderkey = o_orderkey),
+t AS (SELECT *, list_filter([CASE WHEN c % 7 = 0 THEN 'ENGINE_IDENTITY_WEAK' END, CASE WHEN c % 5 = 0 THEN 'EXECUTION_IDENTITY_WEAK' END, CASE WHEN c % 11 = 0 THEN 'IMPLEMENTATION_IDENTITY_WEAK' END, CASE WHEN inputs IS NULL THEN 'INPUT_IDENTITY_WEAK' END], lambda z: z IS NOT NULL) AS w FROM x),
+u AS (SELECT *, CASE WHEN len(w) = 0 AND c % 3 = 0 THEN ['PARAMETERS_UNVERIFIED'] ELSE w END AS reasons FROM t)
+SELECT k AS o_orderkey, CASE WHEN len(reasons) = 0 THEN """ + dsql("runloom.recipe.v1", """'{"core_semantics_revision":"r1","declared_output_contracts":[{"port":"out","schema_id":"s","schema_version":1,"profile_id":null,"profile_version":null,"count":' || CAST(c % 2 + 1 AS VARCHAR) || '}],"engine_code_identity":"' || sha256('engine') || '","operation_api_version":1,"operation_id":"' || p || '","ordered_input_ports":' || inputs
+  || ',"plugin_api_version":1,"plugin_id":"isce","plugin_implementation_identity":"' || sha256('plugin') || '","plugin_kind":"processor","semantic_execution_identity":"' || sha256(p) || '","validated_semantic_parameters":{"looks":' || CAST(c % 4 AS VARCHAR) || '},"validator_revision":"v2"}'""") + """ END AS value, array_to_string(reasons, ',') AS reasons FROM u""")
+def dig7_workflow_recipe(t: Tables) -> DataFrame:
+    c, h = F.col("o_custkey"), lambda x: F.sha2(x, 256)
+    contract = F.struct(F.lit("out").alias("port"), F.lit("s").alias("schema_id"), F.lit(1).alias("schema_version"), F.lit(None).cast("string").alias("profile_id"), F.lit(None).cast("int").alias("profile_version"), (c % 2 + 1).alias("count"))
+    tasks = t.orders.select(
+        "o_orderkey", F.lit("r1").alias("core_semantics_revision"), F.when(c % 7 != 0, h(F.lit("engine"))).alias("engine_code_identity"), F.col("o_orderpriority").alias("operation_id"), F.lit(1).alias("operation_api_version"), F.lit("v2").alias("validator_revision"),
+        F.lit("processor").alias("plugin_kind"), F.lit("isce").alias("plugin_id"), F.lit(1).alias("plugin_api_version"), F.when(c % 11 == 0, "weak").otherwise(h(F.lit("plugin"))).alias("plugin_implementation_identity"),
+        F.when(c % 5 != 0, h(F.col("o_orderpriority"))).alias("semantic_execution_identity"), F.concat(F.lit('{"looks":'), c % 4, F.lit("}")).alias("parameters"), (c % 3 != 0).alias("parameters_verified"), F.array(contract).alias("outputs"),
+    )
+    rows = tasks.join(inputs(t).withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey")
+    return D.workflow_recipe(rows).select("o_orderkey", "recipe.value", F.array_join("recipe.reasons", ",").alias("reasons"))
+
+
 CONTENT = f"""{FILES}, c AS (SELECT l_orderkey, count(*) AS n, bool_and(digest <> 'weak') AS ok, '[' || string_agg('"' || digest || '"', ',' ORDER BY path, digest) || ']' AS needed FROM f GROUP BY 1),
 k AS (SELECT l_orderkey, CASE WHEN ok THEN {dsql("runloom.product.content.v1", "'{\"n_lines\":' || CAST(n AS VARCHAR) || ',\"needed\":' || needed || '}'")} END AS content_digest FROM c)"""
 

@@ -275,10 +275,19 @@ def his19_effective_inputs(t: Tables) -> DataFrame:
     return H.effective_inputs(refs, proof).select("record_id", "effective_digest", "conflict")
 
 
-@query("SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS subject_id, 'error' AS kind, 'INPUT_EVIDENCE_CONFLICT' AS code, 'reference' AS location FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> l_linestatus")
+@query("""WITH l AS (SELECT event_id AS k FROM events WHERE event_id % 13 <> 0),
+i AS (SELECT k, CASE WHEN k % 5 = 0 THEN 'INPUT_RECEIPT_BINDING' WHEN k % 7 = 0 THEN 'INPUT_RECEIPT_LOCATION' WHEN k % 11 = 0 THEN NULL WHEN k % 3 = 0 THEN 'INPUT_COMMITTED_REF_CONFLICT' END AS code FROM l)
+SELECT CAST(k AS VARCHAR) AS record_id, code, code IS NULL AND k % 11 > 0 AND k % 2 = 1 AS proven FROM i WHERE code IS NOT NULL OR (k % 11 > 0 AND k % 2 = 1)""")
 def his20_local_evidence(t: Tables) -> DataFrame:
-    refs = t.orders.select(F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("reference"))
-    return H.local_evidence(refs, t.lineitem.select(F.col("l_orderkey").alias("record_id"), F.col("l_linestatus").alias("reference")))
+    """A reference, a receipt and a started fact per event."""
+    k, h = F.col("event_id"), lambda x: F.sha2(x, 256)
+    text = k.cast("string")
+    kind = F.when(k % 13 == 0, "elsewhere").otherwise("manifests")
+    refs = t.events.select(text.alias("record_id"), F.concat_ws("/", F.lit("runs"), F.when(k % 7 == 0, "x").otherwise(F.col("user_id").cast("string")), F.lit("attempts"), h(F.col("event_type")), text, kind, F.lit("m.json")).alias("locator"), h(text).alias("reference"))
+    output = F.struct(F.lit("out").alias("port"), F.when(k % 11 == 0, "none").otherwise(text).alias("record_id"), h(F.when(k % 3 == 0, "x").otherwise(text)).alias("reference"))
+    facts = t.events.select(k.alias("attempt_id"), F.col("event_type").alias("task_id"), F.lit("s").alias("scope_id"), F.when(k % 2 == 1, h(text)).alias("fingerprint"), h(F.lit("e")).alias("execution"), F.array(output).alias("outputs"), F.col("user_id").alias("run_id"))
+    proven, found = H.local_evidence(refs, facts.drop("run_id"), facts.withColumn("execution", F.when(F.col("attempt_id") % 5 == 0, h(F.lit("x"))).otherwise(F.col("execution"))))
+    return found.select(F.col("subject_id").alias("record_id"), "code", F.lit(False).alias("proven")).unionByName(proven.select("record_id", F.lit(None).cast("string").alias("code"), F.lit(True).alias("proven")))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'EXECUTION_RETRYABLE' WHEN 'view' THEN 'CONTRACT_INVALID' ELSE 'EXECUTION_FAILED' END AS error_code, event_type = 'click' AS retryable FROM events")

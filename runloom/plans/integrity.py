@@ -102,6 +102,22 @@ def int6_asset_identities(t: Tables) -> DataFrame:
     return out.select("asset_id", "identity.value", "identity.reusable", F.array_join("identity.reasons", ",").alias("reasons"))
 
 
+@query("""WITH m AS (SELECT o_custkey, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS path, CASE WHEN o_orderkey % 40 = 0 THEN NULL ELSE sha256(CAST(o_orderkey AS VARCHAR)) END AS digest FROM orders),
+d AS (SELECT o_custkey, '[' || string_agg('{"path":"' || path || '","kind":"file","digest":"' || digest || '"}', ',' ORDER BY path) || ']' AS text, count(*) = count(digest) AS whole FROM m GROUP BY 1),
+i AS (SELECT o_custkey, text, CASE WHEN o_custkey % 7 = 0 OR o_custkey % 11 = 0 THEN 'DIRECTORY_MANIFEST_MISSING' WHEN o_custkey % 5 = 0 THEN 'DIRECTORY_MANIFEST_MISMATCH' WHEN o_custkey % 6 = 1 OR NOT whole THEN 'DIRECTORY_CONTENT_UNVERIFIED' END AS reason FROM d)
+SELECT CAST(o_custkey AS VARCHAR) AS asset_id, CASE WHEN reason IS NULL THEN sha256('runloom.directory.v1' || chr(0) || text) END AS value, coalesce(reason, '') AS reasons FROM i""")
+def int6_directory_identities(t: Tables) -> DataFrame:
+    """A directory per customer with orders; members are the orders."""
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    members_ = t.orders.select(c.alias("dir_id"), F.lpad(k.cast("string"), 9, "0").alias("path"), F.lit("file").alias("kind"), F.when(k % 40 == 0, "md5").otherwise("SHA256").alias("algorithm"), F.sha2(k.cast("string"), 256).alias("digest"))
+    dirs = t.orders.select("o_custkey").distinct()
+    manifests = dirs.where("o_custkey % 7 > 0").select(c.alias("asset_id"), c.cast("string").cast("binary").alias("content"))
+    refs = dirs.select(c.alias("asset_id"), F.when(c % 11 == 0, None).when(c % 5 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2(c.cast("string"), 256)).alias("manifest_digest"))
+    found = dirs.where("o_custkey % 6 = 1").select(c.cast("string").alias("subject_id"), F.lit("error").alias("kind"), F.lit("member-missing").alias("code"), F.lit("x").alias("location"))
+    out = integrity.directory_identities(refs, manifests, members_, found)
+    return out.select("asset_id", "identity.value", F.array_join("identity.reasons", ",").alias("reasons"))
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 1 THEN 'removed' WHEN o_orderkey % 10 = 2 THEN 'added' ELSE 'changed' END AS change FROM orders
 WHERE o_orderkey % 10 IN (1, 2) OR (o_orderkey % 3 = 0 AND o_orderstatus <> 'P')""")
 def int5_inventory_diff(t: Tables) -> DataFrame:
