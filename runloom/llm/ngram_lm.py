@@ -386,33 +386,34 @@ def _score(hot: dict[int, int], hot_pairs: dict[tuple[int, int], int]):
             i = np.searchsorted(vocabulary, np.uint64(h))
             if i < len(vocabulary) and vocabulary[i] == h:
                 counts[i] = c
-        learn = n > 0
-        pair = word.astype(np.uint64) << wide | v
-        known = {}
+        places = [p["place"] for p in parts]
+        del parts
+        asked, back = np.unique(word.astype(np.uint64) << wide | v, return_inverse=True)
+        del v
+        pair_counts = np.bincount(back, weights=n, minlength=len(asked)).astype(np.int64)
         for (a, b), c in hot_pairs.items():
             i = np.searchsorted(vocabulary, np.uint64(b))
             if i < len(vocabulary) and vocabulary[i] == b:
-                known[i << 32 | a >> 32] = c
-        pairs, at = np.unique(np.concatenate([pair[learn], np.array(list(known), np.uint64)]), return_inverse=True)
-        pair_counts = np.bincount(at[: int(learn.sum())], weights=n[learn], minlength=len(pairs)).astype(np.int64)
-        for i, c in zip(at[int(learn.sum()) :], known.values()):
-            pair_counts[i] = c
-        triple = at[: int(learn.sum())].astype(np.uint64) << wide | u[learn]
-        triples, back = np.unique(triple, return_inverse=True)
-        triple_counts = np.bincount(back, weights=n[learn], minlength=len(triples))
+                key = np.uint64(int(i) << 32 | a >> 32)
+                at = np.searchsorted(asked, key)
+                if at < len(asked) and asked[at] == key:
+                    pair_counts[at] = c
+        seen, learn = pair_counts > 0, n > 0
+        triple = (np.cumsum(seen) - 1)[back[learn]].astype(np.uint64) << wide | u[learn]
+        triples, of = np.unique(triple, return_inverse=True)
+        triple_counts = np.bincount(of, weights=n[learn], minlength=len(triples))
         with tempfile.TemporaryDirectory() as folder:  # this task's own index, read by no other
-            trie = Trie(folder, len(vocabulary), pairs, pair_counts, triples, triple_counts)
-            del pairs, pair_counts, triple, triples, triple_counts, at, back, learn
-            asked, back = np.unique(pair, return_inverse=True)
+            trie = Trie(folder, len(vocabulary), asked[seen], pair_counts[seen], triples, triple_counts)
+            del pair_counts, triple, triples, triple_counts, of, seen, learn, n
             found = trie.child(0, (asked >> wide).astype(np.int64), asked & np.uint64(0xFFFFFFFF))[back]
             two = np.array(trie.codes[0][found])
             three = np.array(trie.codes[1][trie.child(1, found, u)])
-            del trie
+            del trie, found, back, asked, u
         out, start = [], 0
-        for p in parts:
-            mine = slice(start, start := start + len(p["w"]))
-            named, back = np.unique(word[mine], return_inverse=True)
-            out.append(_pack(one=counts[named], at=back.astype("<u4"), two=two[mine], three=three[mine], place=p["place"]))
+        for place in places:
+            mine = slice(start, start := start + len(place))
+            named, back = _ranked(word[mine])
+            out.append(_pack(one=counts[named], at=back, two=two[mine], three=three[mine], place=place))
         return pd.concat([about, pd.DataFrame({"chunk": rows["chunk"].to_numpy(), "kind": 0, "payload": out})])
 
     return run
