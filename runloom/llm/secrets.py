@@ -184,5 +184,6 @@ def incremental(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         ledger = None
     scan_unseen(docs, ledger, text_col, version).write.mode("append").parquet(folder)
     whole = spark.read.schema(LEDGER).parquet(folder)
-    own = whole.where(F.col("version") == version).dropDuplicates(["blob"])  # runs at the same time may scan the same
+    own = whole.where((F.col("version") == version) & (F.size("found") > 0)).dropDuplicates(["blob"])  # runs at the same time may scan the same
+    own = own.repartition("blob", "version")  # so that both sides of the join are shuffled for it, and a blob of many copies can be split
     return _joined(docs, own, id_col, text_col)
