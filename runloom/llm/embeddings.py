@@ -290,6 +290,7 @@ def _count(members: DataFrame, threshold: float) -> DataFrame:
     own = checkpointed(members.withColumn("unit", F.transform("v", lambda x: x / norm)))
     places = own.select("component", F.posexplode("unit").alias("i", "x")).groupBy("component", "i").agg(F.avg("x").alias("x"))
     mean = places.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("mean"))
+    mean = mean.repartition("component", "mean")  # so that the join can split a large component
     length = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda s, x: s + x * x))
     cosine = F.aggregate(F.zip_with("unit", "mean", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / length
     own = own.join(mean, "component").withColumn("outer", ~F.coalesce(cosine >= float(np.cos(half)), F.lit(False))).select("component", "node", "copies", "v", "outer")
@@ -297,7 +298,7 @@ def _count(members: DataFrame, threshold: float) -> DataFrame:
     size = own.groupBy("component").agg(
         F.sum(F.when(F.col("outer"), 0).otherwise(F.col("copies"))).alias("inner_copies"), F.count("*").alias("n"), F.count_if("outer").alias("n_outer")
     )
-    own = own.join(size, "component")
+    own = own.join(size.repartition("component", "n"), "component")
     near = own.where("NOT outer").select("node", (F.col("inner_copies") - F.col("copies")).alias("others"))
     mixed = own.where("n_outer > 0").withColumn("ta", F.ceil(F.col("n_outer") / TILE)).withColumn("tb", F.ceil(F.col("n") / TILE))
     at = lambda tiles: F.pmod(F.xxhash64("node"), F.col(tiles))
