@@ -3,14 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
 as the next one's docs. All but the last return the columns of ``documents``. Texts are not shuffled for
 verdicts: only rows with an exceptional verdict are gathered, and up to ``SENT_ROWS`` of them travel to the
-documents; beyond that Spark joins both by shuffles. Verdicts are joined by a 128-bit hash of the row
+documents; beyond that Spark joins both by shuffles. The stages bound the Arrow batches of their session to
+``BATCH_BYTES``, unless it already has a bound other than Spark's own. Verdicts are joined by a 128-bit hash of the row
 (``_KEY``), so rows without an id and repeated ids are handled, or by the id. Further columns of ``docs``
 are dropped only by the last stage; none may be named ``corpus_pipeline_row`` or ``corpus_pipeline_pii``.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,6 +26,21 @@ from runloom.llm.queries import pii_key
 _KEY = "corpus_pipeline_row"
 #: Up to so many verdicts, of some 50 bytes each, are broadcast; their number is counted first.
 SENT_ROWS = 1_000_000
+#: Bytes of an Arrow batch; Spark's 64 MB take several times that in the executor and again in its Python worker.
+BATCH_BYTES = 4 << 20
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _small_batches(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if spark.conf.get(name) == "67108864b":
+            spark.conf.set(name, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -36,6 +54,7 @@ def _sized(verdicts: DataFrame) -> DataFrame:
     return F.broadcast(verdicts) if verdicts.count() <= SENT_ROWS else verdicts
 
 
+@_small_batches
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, with ``lang`` set to it.
 
@@ -53,6 +72,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[told.alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
+@_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id.
 
@@ -69,6 +89,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
+@_small_batches
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     rows = _keyed(docs)
@@ -77,12 +98,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(_sized(hit), _KEY, "left_anti").select(*docs.columns)
 
 
+@_small_batches
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, private values replaced by pseudonyms of the same format; ``n_chars`` follows."""
     out = pii.transform(docs, pii_key(spark), "text", "corpus_pipeline_pii").drop("corpus_pipeline_pii")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_small_batches
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents (little-endian unsigned 32-bit), with digests of ids and decoded text."""
     out = bpe.encode(docs, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN, with_decoded=False)
