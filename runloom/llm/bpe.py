@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pre-tokens whose ids a worker remembers; beyond it starts over. Only speed depends on it.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 60_000
 #: Text that is split into pre-tokens at a time.
 GROUP_BYTES = 4 << 20
 
@@ -207,13 +207,18 @@ class Tokenizer:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the ids, as little-endian unsigned 32-bit integers."""
-        return self._encode([self.split(text or "") for text in texts])
-
-    def _encode(self, held: list[list[str]]) -> list[bytes]:
+        same: dict[str, str] = {}  # equal pre-tokens are one object, so a group holds references
+        held = []
+        for text in texts:
+            pieces = self.split(text or "")
+            held.append(list(map(same.setdefault, pieces, pieces)))
+        return self._encode(held, same)
+
+    def _encode(self, held: list[list[str]], different: dict[str, str]) -> list[bytes]:
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         cache = self.cache
-        new = list(set().union(*held).difference(cache))
+        new = [p for p in different if p not in cache]
         whole = [p.encode() for p in new]
         known = [self.ranks.get(p) for p in whole]
         rest = iter(merge([p for p, r in zip(whole, known) if r is None], self.byte_ids, self.pairs))
