@@ -9,7 +9,7 @@ from secrets import token_hex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import bpe, decontam, embeddings, html_text, langid, ngram_lm, pii, secrets, simhash, toxicity
+from runloom.llm import bpe, decontam, embeddings, html_text, langid, ngram_lm, pii, secrets, simhash, toxicity, variants, warc, whitening
 from runloom.llm.common import shared_folder, table
 
 
@@ -99,10 +99,25 @@ def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "lang", F.round("posterior", 6).alias("posterior"), "declared", "address", "host", "n_trigrams")
 
 
+def op11_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.page_records(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    found = warc.index(warc.write(records, f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")).where("record_type IN ('response', 'revisit')")
+    return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.words(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding")).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_sorted_projections, op2_simhash_pigeonring, op3_decontamination, op4_ngram_trie, op5_toxicity_grammar,
         op6_pii_feistel, op7_main_text, op8_byte_bpe, op9_secret_ledger, op10_language_fusion,
+        op11_warc_ranges, op12_spelling_variants, op13_whitening,
     )}
 
 
@@ -128,5 +143,27 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
 
 
+#: What is written is read back: sizes and digests of the pages' bytes, and the largest id of equal payloads.
+OP11_SQL = """WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS b, sha1(coalesce(html, '')) AS d, sha256(coalesce(html, '')) AS s FROM pages),
+m AS (SELECT *, CASE WHEN b >= 1000 THEN max(page_id) OVER (PARTITION BY s) END AS last FROM p)
+SELECT page_id, b AS payload_bytes, d AS payload_digest, CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to FROM m"""
+
+#: Near words share what remains when a letter is left out: at the same place (replaced), or of one of them only (inserted).
+#: CRC-32 byte by byte, from its table.
+OP12_SQL = f"""WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents),
+g AS (SELECT d, w, count(*) AS n, list_transform(string_split(d || ':' || w, ''), lambda c: ord(c)) AS cp FROM r GROUP BY d, w),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(cp, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + c // 64, 128 + c % 64] END))), lambda a, b: xor(a // 256, tab[xor(a % 256, b) + 1])), 4294967295) AS h FROM g, t),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN w[1:CAST(h % length(w) AS INT)] || w[CAST(h % length(w) AS INT) + 2:] ELSE w END AS word, n FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+k AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT a.word AS a, b.word AS b, b.n AS bn FROM k a JOIN k b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT k.word, v.word, v.n FROM k JOIN v ON v.word = k.rest UNION SELECT v.word, k.word, k.n FROM k JOIN v ON v.word = k.rest),
+s AS (SELECT a, count(*) AS n_near, max(bn) AS top, arg_min(b, (-bn, b)) AS best FROM e GROUP BY a),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * v.n THEN best END AS form, CASE WHEN top >= 2 * v.n THEN top END AS form_n FROM v LEFT JOIN s ON s.a = v.word),
+w(word, root) AS (SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, w.root FROM f JOIN w ON f.form = w.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN w ON w.word = f.word"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sorted_projections": OP1_SQL, "op3_decontamination": OP3_SQL}
+    return {"op1_sorted_projections": OP1_SQL, "op3_decontamination": OP3_SQL, "op11_warc_ranges": OP11_SQL, "op12_spelling_variants": OP12_SQL}
