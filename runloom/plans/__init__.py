@@ -2,7 +2,7 @@
 
 
 def _load() -> None:
-    from runloom.plans import config, digests, expressions, graphs, history, integrity, products, reuse, streams  # noqa: F401
+    from runloom.plans import config, digests, expressions, graphs, history, integrity, material, products, reuse, streams  # noqa: F401
 
 
 def all_queries() -> dict:
