@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import heapq
+import itertools
+import uuid
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.operators.issues import ERROR, UNVERIFIED, all_issues, issue
-from runloom.sources.shared import checkpointed
+from runloom.operators.walks import LIMIT, split, walk
+from runloom.sources.shared import checkpointed, shared_folder
 
 
 def edges(inputs: DataFrame, plan: str = "plan_id", task: str = "task_id", source: str = "src_task") -> DataFrame:
@@ -58,27 +60,64 @@ def check_structure(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ext
     return out
 
 
-def levels(nodes: DataFrame, e: DataFrame) -> DataFrame:
+def _longest(rows: list[tuple]) -> Iterator[tuple]:
+    """(task, level) of one plan from (task, parent) rows; None for tasks on or behind a cycle."""
+    children: dict = {}
+    waits = {task: 0 for task, parent in rows if parent is None}
+    links = {row for row in rows if row[1] is not None}
+    for task, parent in links:
+        children.setdefault(parent, []).append(task)
+        waits[task] = waits.get(task, 0) + 1
+    level = dict.fromkeys(waits)
+    front, at = [t for t, n in waits.items() if n == 0], 0  # a parent that is no task is never placed
+    while front:
+        following = []
+        for t in front:
+            level[t] = at
+            for c in children.get(t, ()):
+                waits[c] -= 1
+                if waits[c] == 0:
+                    following.append(c)
+        front, at = following, at + 1
+    own = {task for task, parent in rows if parent is None}
+    return ((t, n) for t, n in level.items() if t in own)
+
+
+def levels(nodes: DataFrame, e: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``(plan, task, level)``: longest path from a root; null for tasks on or behind a cycle.
 
-    All plans are peeled together: a round takes the edges out of the tasks placed last, and the children
-    that no other edge holds are placed next, so there are as many rounds as the deepest plan has levels and
-    each reads only the edges that are left. It goes on until nothing more can be placed.
+    Plans of up to ``limit`` tasks and edges are walked, each in one task, in time linear in their size. Larger ones are
+    peeled together: a round takes the edges out of the tasks placed last, and the children that no other edge
+    holds are placed next, so there are as many rounds as the deepest of them has levels. Each round appends what it
+    placed to a table in the shared folder, and reads only the edges that are left.
     """
+    kind = dict(nodes.dtypes)["task"]
     tasks = nodes.select("plan", "task").distinct()
-    open_ = checkpointed(e.where("parent IS NOT NULL").select("plan", "parent", "child").distinct())
+    links = e.where("parent IS NOT NULL").select("plan", "parent", "child").distinct()
+    rows = tasks.withColumn("parent", F.lit(None).cast(kind)).unionByName(links.select("plan", F.col("child").cast(kind).alias("task"), F.col("parent").cast(kind).alias("parent")))
+    small, large = split(rows, "plan", limit)
+    walked = walk(small, "plan", _longest, f"task {kind}, level long")
+    if large is None:
+        return walked
+    return walked.unionByName(_peeled(tasks.join(large, "plan", "left_semi"), links.join(large, "plan", "left_semi")))
+
+
+def _peeled(tasks: DataFrame, links: DataFrame) -> DataFrame:
+    spark = tasks.sparkSession
+    to = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}"
+    tasks = checkpointed(tasks)
+    open_ = checkpointed(links)
     ready = checkpointed(tasks.join(open_.select("plan", F.col("child").alias("task")), ["plan", "task"], "left_anti"))
-    done, level = ready.select("plan", "task", F.lit(0).cast("long").alias("level")), 0
-    while not ready.isEmpty():
+    for level in itertools.count():
+        ready.withColumn("level", F.lit(level).cast("long")).write.mode("append").parquet(to)
         placed = ready.select("plan", F.col("task").alias("parent"), F.lit(True).alias("gone"))
         marked = checkpointed(open_.join(placed, ["plan", "parent"], "left"))
         open_ = marked.where("gone IS NULL").select("plan", "parent", "child")
         freed = marked.where("gone").select("plan", F.col("child").alias("task")).distinct()
         ready = checkpointed(freed.join(open_.select("plan", F.col("child").alias("task")), ["plan", "task"], "left_anti"))
-        level += 1
-        done = done.unionByName(ready.select("plan", "task", F.lit(level).cast("long").alias("level")))
-    rest = tasks.join(done.select("plan", "task"), ["plan", "task"], "left_anti")
-    return done.unionByName(rest.select("plan", "task", F.lit(None).cast("long").alias("level")))
+        if ready.isEmpty():
+            break
+    return tasks.join(spark.read.parquet(to), ["plan", "task"], "left")
 
 
 def cycles(leveled: DataFrame) -> DataFrame:
@@ -115,39 +154,7 @@ def topological_order(nodes: DataFrame, e: DataFrame) -> DataFrame:
     """
     own = nodes.select("plan", F.col("task").cast("string").alias("task"), F.lit(None).cast("string").alias("parent"))
     links = e.select("plan", F.col("child").cast("string").alias("task"), F.col("parent").cast("string").alias("parent"))
-    kind = dict(nodes.dtypes)["plan"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans, tasks, places, held, current, of = [], [], [], [], None, None
-
-        def close() -> None:
-            order = _smallest_first(held)
-            plans.extend([current] * len(order))
-            tasks.extend(order)
-            places.extend(range(len(order)))
-            held.clear()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(plans, of), pa.array(tasks, pa.string()), pa.array(places, pa.int64())], names=["plan", "task", "place"])
-            for x in (plans, tasks, places):
-                x.clear()
-            return out
-
-        for b in batches:
-            of = b.schema.field(0).type
-            for plan, task, parent in zip(*(c.to_pylist() for c in b.columns)):
-                if held and plan != current:
-                    close()
-                current = plan
-                held.append((task, parent))
-            if len(plans) > 50_000:
-                yield flush()
-        if held:
-            close()
-        if plans:
-            yield flush()
-
-    return own.unionByName(links).repartition("plan").sortWithinPartitions("plan").mapInArrow(run, f"plan {kind}, task string, place long")
+    return walk(own.unionByName(links), "plan", lambda rows: ((t, i) for i, t in enumerate(_smallest_first(rows))), "task string, place long")
 
 
 def check_ports(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ports: DataFrame, operations: DataFrame | None = None) -> DataFrame:
@@ -202,24 +209,64 @@ def check_ports(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ports:
     return out.unionByName(all_issues(able, subject, issue(F.size(lacking) > 0, "PLAN_CAPABILITY", F.array_join(F.array_sort(lacking), ","))))
 
 
-def blocked(e: DataFrame, states: DataFrame) -> DataFrame:
+def _spread(rows: list[tuple]) -> Iterator[tuple]:
+    """(task, blocked_by) of one plan from (task, parent, state) rows, which are edges or states."""
+    children: dict = {}
+    bad, open_ = set(), set()
+    for task, parent, state in rows:
+        if parent is not None:
+            children.setdefault(parent, set()).add(task)
+        elif state in ("failed", "blocked"):
+            bad.add(task)
+        if parent is None and state is not None and state not in ("succeeded", "failed"):
+            open_.add(task)
+    front, by = list(bad), {}
+    while front:
+        parent = front.pop()
+        for c in children.get(parent, ()):
+            if c in open_:
+                by.setdefault(c, []).append(parent)
+                if c not in bad:
+                    bad.add(c)
+                    front.append(c)
+    return ((task, sorted(parents)) for task, parents in by.items())
+
+
+def blocked(e: DataFrame, states: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``(plan, task, blocked_by)``: transitive descendants of failed or blocked tasks that have not ended,
     with their direct blockers, sorted.
 
-    ``states``: plan, task, state. A round spreads from the tasks found last, so there are as many rounds
-    as the longest path behind a failure.
+    ``states``: plan, task, state. Plans of up to ``limit`` edges and states are walked, each in one task. In larger
+    ones a round spreads from the tasks found last, so there are as many rounds as the longest path behind a
+    failure; each appends what it reached to a table in the shared folder.
     """
-    open_ = states.where(~F.col("state").isin("succeeded", "failed")).select("plan", "task")
-    bad = checkpointed(states.where(F.col("state").isin("failed", "blocked")).select("plan", "task").distinct())
-    front = bad
+    kind = dict(states.dtypes)["task"]
+    links = e.where("parent IS NOT NULL").select("plan", F.col("child").cast(kind).alias("task"), F.col("parent").cast(kind).alias("parent")).distinct()
+    rows = links.withColumn("state", F.lit(None).cast("string")).unionByName(states.select("plan", "task", F.lit(None).cast(kind).alias("parent"), "state").where("state IS NOT NULL"))
+    small, large = split(rows, "plan", limit)
+    walked = walk(small, "plan", _spread, f"task {kind}, blocked_by array<{kind}>")
+    if large is None:
+        return walked
+    return walked.unionByName(_reached(links.join(large, "plan", "left_semi"), states.join(large, "plan", "left_semi")))
+
+
+def _reached(links: DataFrame, states: DataFrame) -> DataFrame:
+    spark = links.sparkSession
+    to = f"{shared_folder(spark)}/blocked-{uuid.uuid4().hex}"
+    links = checkpointed(links)
+    waiting = checkpointed(states.where(~F.col("state").isin("succeeded", "failed")).select("plan", "task").distinct())
+    front = checkpointed(states.where(F.col("state").isin("failed", "blocked")).select("plan", "task").distinct())
+    open_ = waiting.join(front, ["plan", "task"], "left_anti")  # not bad yet
     while True:
-        reached = e.join(front.select("plan", F.col("task").alias("parent")), ["plan", "parent"], "left_semi").select("plan", F.col("child").alias("task")).distinct()
-        front = checkpointed(reached.join(open_, ["plan", "task"], "left_semi").join(bad, ["plan", "task"], "left_anti"))
+        front.write.mode("append").parquet(to)
+        reached = links.join(front.select("plan", F.col("task").alias("parent")), ["plan", "parent"], "left_semi").select("plan", "task").distinct()
+        front = checkpointed(open_.join(reached, ["plan", "task"], "left_semi"))
         if front.isEmpty():
             break
-        bad = checkpointed(bad.unionByName(front))
-    by = e.join(bad.select("plan", F.col("task").alias("parent")), ["plan", "parent"]).groupBy("plan", F.col("child").alias("task")).agg(F.array_sort(F.collect_set("parent")).alias("blocked_by"))
-    return by.join(open_.distinct(), ["plan", "task"], "left_semi")
+        open_ = checkpointed(open_.join(front, ["plan", "task"], "left_anti"))
+    bad = spark.read.parquet(to).select("plan", F.col("task").alias("parent"))
+    by = links.join(waiting, ["plan", "task"], "left_semi").join(bad, ["plan", "parent"], "left_semi")
+    return by.groupBy("plan", "task").agg(F.array_sort(F.collect_list("parent")).alias("blocked_by"))
 
 
 def ready(e: DataFrame, states: DataFrame, now: float, next_ready: str | None = None) -> DataFrame:
@@ -248,10 +295,20 @@ def resource_feasible(tasks: DataFrame, cpu: int, gpu: int, memory: int | None)
 def resource_timeline(attempts: DataFrame, by: list[str], start: str, end: str, amounts: list[str]) -> DataFrame:
     """Running sums of ``amounts`` at every start and end; ends come before starts at the same time.
 
-    ``by`` splits the timeline (one per run or host); a run's own attempts are what one window orders.
+    ``by`` splits the timeline (one per run or host). Sums have two levels, so that one run or host with most of the
+    attempts is spread over tasks: rows are range-partitioned by group and time, each partition sums up its own, and
+    the totals of the partitions before it in the same group, a row per partition, are added.
     """
     up = attempts.select(*by, F.col(start).alias("at"), F.lit(1).alias("step"), *[F.col(a) for a in amounts])
     down = attempts.where(F.col(end).isNotNull()).select(*by, F.col(end).alias("at"), F.lit(0).alias("step"), *[(-F.col(a)).alias(a) for a in amounts])
     per = up.unionByName(down).groupBy(*by, "at", "step").agg(*[F.sum(a).alias(a) for a in amounts])
-    w = Window.partitionBy(*by).orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per.select(*by, "at", "step", *[F.sum(a).over(w).alias(f"{a}_running") for a in amounts])
+    placed = checkpointed(per.repartitionByRange(*by, "at", "step").withColumn("timeline_part", F.spark_partition_id()))
+    so_far = Window.partitionBy(*by, "timeline_part").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*by).orderBy("timeline_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "timeline_part").agg(*[F.sum(a).alias(a) for a in amounts])
+    offsets = totals.select(*[F.col(b).alias(f"of_{b}") for b in by], F.col("timeline_part").alias("of_part"), *[F.sum(a).over(before).alias(f"{a}_before") for a in amounts])
+    same = F.col("timeline_part") == F.col("of_part")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"of_{b}"))
+    running = placed.select(*by, "at", "step", "timeline_part", *[F.sum(a).over(so_far).alias(a) for a in amounts]).join(offsets, same, "left")
+    return running.select(*by, "at", "step", *[(F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(f"{a}_before"), F.lit(0))).alias(f"{a}_running") for a in amounts])

@@ -10,7 +10,6 @@ event_no, state.
 
 from __future__ import annotations
 
-import itertools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -293,35 +292,50 @@ def check_receipts(receipts: DataFrame, started: DataFrame, runs: DataFrame) ->
     )
 
 
-def resume_chain(runs: DataFrame) -> DataFrame:
-    """``(run_id, ancestor, depth, broken)`` along resume_of, a run being its own ancestor at depth 0.
-
-    ``broken`` marks an ancestor that repeats, or of another scope or plan; the walk ends there. One
-    join per generation of resumes, until no run has a further ancestor.
-    """
-    link = runs.select(F.col("run_id").alias("ancestor"), F.col("resume_of").alias("parent"), "scope_id", "plan_digest")
+def resume_steps(runs: DataFrame) -> DataFrame:
+    """``(run_id, parent, bad)`` of runs that resume a known run; ``bad`` if that is of another scope or plan."""
+    own = runs.where("resume_of IS NOT NULL").select("run_id", F.col("resume_of").alias("parent"), "scope_id", "plan_digest")
     parent = runs.select(F.col("run_id").alias("parent"), F.col("scope_id").alias("p_scope"), F.col("plan_digest").alias("p_plan"))
-    step = link.where("parent IS NOT NULL").join(parent, "parent").select("ancestor", "parent", (~(F.col("scope_id").eqNullSafe(F.col("p_scope")) & F.col("plan_digest").eqNullSafe(F.col("p_plan")))).alias("bad"))
-    step = checkpointed(step)
-    front = checkpointed(runs.select("run_id", F.col("run_id").alias("ancestor"), F.array("run_id").alias("seen"), F.lit(False).alias("broken")))
-    out = front.select("run_id", "ancestor", F.lit(0).cast("long").alias("depth"), "broken")
-    for depth in itertools.count(1):
-        front = front.where("NOT broken").join(step, "ancestor").select("run_id", F.col("parent").alias("ancestor"), F.concat("seen", F.array("parent")).alias("seen"), (F.col("bad") | F.array_contains("seen", F.col("parent"))).alias("broken"))
-        front = checkpointed(front)
-        if front.isEmpty():
-            break
-        out = out.unionByName(front.select("run_id", "ancestor", F.lit(depth).cast("long").alias("depth"), "broken"))
-    return out
+    same = F.col("scope_id").eqNullSafe(F.col("p_scope")) & F.col("plan_digest").eqNullSafe(F.col("p_plan"))
+    return own.join(parent, "parent").select("run_id", "parent", (~same).alias("bad"))
 
 
 def adopted_identity(runs: DataFrame, resolutions: DataFrame) -> DataFrame:
     """``(run_id, task_id, fingerprint, execution, depth)`` of the nearest succeeded resolution along the
-    resume chain. Runs whose chain is broken have none."""
-    chain = resume_chain(runs)
-    broken = chain.where("broken").select("run_id").distinct()
-    good = resolutions.where("state = 'succeeded'").select(F.col("run_id").alias("ancestor"), "task_id", "fingerprint", "execution")
-    rows = chain.join(broken, "run_id", "left_anti").join(good, "ancestor")
-    return rows.groupBy("run_id", "task_id").agg(F.min_by(F.struct("fingerprint", "execution", "depth"), "depth").alias("a")).select("run_id", "task_id", "a.*")
+    resume chain, the run itself being at depth 0. Runs whose chain is broken (it comes back to a run, or a step goes to
+    another scope or plan) have none.
+
+    Path doubling: a run's row points to an ancestor, at first the run that it resumes, and its rows per task hold the
+    nearest success before that one. A round takes over the ancestor's pointer and what it knows further up, which doubles
+    the distance, in one join and one partially aggregated minimum. A chain of n runs takes log2(n) + 1 rounds; a
+    pointer that is still there when the distance exceeds the number of runs goes round in a loop. Nothing grows with
+    depth but what is returned: a row per run and task.
+    """
+    step = checkpointed(resume_steps(runs))
+    n = step.count()
+    good = resolutions.where("state = 'succeeded'").select("run_id", "task_id", "fingerprint", "execution")
+    own = runs.select("run_id").distinct().join(good, "run_id").groupBy("run_id", "task_id").agg(F.min(F.struct(F.lit(0).cast("long").alias("depth"), "fingerprint", "execution")).alias("best"))
+    # a row per run that still points somewhere (link), and rows per run and task
+    pointers = step.select("run_id", F.struct("parent", "bad").alias("link"))
+    no_link, no_task = F.lit(None).cast(pointers.schema["link"].dataType), F.lit(None).cast(own.schema["task_id"].dataType)
+    rows = checkpointed(own.select("run_id", "task_id", "best", no_link.alias("link")).unionByName(pointers.select("run_id", no_task.alias("task_id"), F.lit(None).cast(own.schema["best"].dataType).alias("best"), "link")))
+    distance, broken = 1, None
+    while True:
+        ahead = rows.where("link IS NOT NULL AND link.parent IS NOT NULL").select(F.col("run_id").alias("behind"), F.col("link.parent").alias("run_id"), F.col("link.bad").alias("was_bad"))
+        if distance > n or ahead.isEmpty():
+            break
+        met = ahead.join(rows, "run_id")
+        deeper = F.when(F.col("best").isNotNull(), F.struct((F.col("best.depth") + distance).alias("depth"), F.col("best.fingerprint").alias("fingerprint"), F.col("best.execution").alias("execution")))
+        onward = F.when(F.col("link").isNotNull(), F.struct(F.col("link.parent").alias("parent"), (F.col("link.bad") | F.col("was_bad")).alias("bad")))
+        taken = met.select(F.col("behind").alias("run_id"), "task_id", deeper.alias("best"), onward.alias("link"), F.lit(True).alias("taken"))
+        kept = rows.select("run_id", "task_id", "best", F.when(F.col("link").isNotNull(), F.struct(F.lit(None).cast(step.schema["parent"].dataType).alias("parent"), F.col("link.bad").alias("bad"))).alias("link"), F.lit(False).alias("taken"))
+        # of a run's own link row and the one taken over from its ancestor the pointer is the latter's
+        merged = kept.unionByName(taken).groupBy("run_id", "task_id").agg(F.min("best").alias("best"), F.max("link.parent").alias("parent"), F.bool_or("link.bad").alias("bad"))
+        rows = checkpointed(merged.select("run_id", "task_id", "best", F.when(F.col("bad").isNotNull(), F.struct("parent", "bad")).alias("link")))
+        distance *= 2
+    broken = rows.where("link IS NOT NULL AND (link.bad OR link.parent IS NOT NULL)").select("run_id").distinct()
+    found = rows.where("best IS NOT NULL").join(broken, "run_id", "left_anti")
+    return found.select("run_id", "task_id", "best.fingerprint", "best.execution", "best.depth")
 
 
 def replan_required(current: DataFrame, adopted: DataFrame, by: list[str], history: DataFrame | None = None) -> DataFrame:

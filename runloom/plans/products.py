@@ -204,7 +204,41 @@ def src1_read_records(t: Tables) -> DataFrame:
         .otherwise(F.concat(F.lit('{"schema_id":"s","k":'), k, F.lit("}")))
     )
     schema = T.StructType([T.StructField("schema_id", T.StringType()), T.StructField("k", T.LongType())])
-    return records.parse_records(t.events.select(F.col("event_id").alias("path"), text.alias("value")), schema, "s")[1]
+    return records.parse_records(t.events.select(F.col("event_id").alias("path"), text.alias("value")), schema, "s")[1].drop("reject_path")
+
+
+NESTED = [
+    ("%s", None, None),
+    ("true", "RECORD_TYPE", "$.rows[0].n"),
+    ("%s.5", "RECORD_TYPE", "$.rows[0].n"),
+    ("\"%s\"", "RECORD_TYPE", "$.rows[0].n"),
+    ("99999999999999999999", "RECORD_TYPE", "$.rows[0].n"),
+    ("%s,\"other\":1", "RECORD_FIELDS", "$.rows[0].other"),
+    ("null", None, None),
+    ("%s},{\"n\":1", "RECORD_FIELDS", "$.rows[1].by"),
+    ("%s},{\"by\":{\"k\":{\"x\":[1,2,null]},\"l\":{\"x\":[1,\"2\"]}},\"n\":1", "RECORD_TYPE", "$.rows[1].by.l.x[1]"),
+    ("%s},{\"by\":{\"k\":{}},\"n\":1", "RECORD_FIELDS", "$.rows[1].by.k.x"),
+    ("%s},[1],{\"n\":1", "RECORD_TYPE", "$.rows[1]"),
+]
+
+
+def nested_case(column: int) -> str:
+    quoted = lambda x: "CAST(NULL AS VARCHAR)" if x is None else f"'{x}'"
+    return f"CASE event_id % {len(NESTED)} " + " ".join(f"WHEN {i} THEN {quoted(case[column])}" for i, case in enumerate(NESTED)) + " END"
+
+
+@query(f"""SELECT event_id AS path, {nested_case(1)} AS reject_code, {nested_case(2)} AS reject_path, CASE WHEN {nested_case(1)} IS NULL AND event_id % {len(NESTED)} = 0 THEN CAST(regexp_extract(props, '-?\\d+') AS BIGINT) END AS n FROM events""")
+def src1_nested_types(t: Tables) -> DataFrame:
+    """A record an event, whose rows hold maps of structs of arrays; by the event's number one of them isn't as asked."""
+    k = F.get_json_object("props", "$.k")
+    first = F.lit(None).cast("string")
+    for i, (body, _, _) in reversed(list(enumerate(NESTED))):
+        first = F.when(F.col("event_id") % len(NESTED) == i, F.concat(*[p for part in body.split("%s") for p in (k, F.lit(part))][1:])).otherwise(first)
+    text = F.concat(F.lit('{"schema_id":"s","rows":[{"by":{"k":{"x":[1.5]}},"n":'), first, F.lit("}]}"))
+    schema = T.StructType().add("schema_id", "string").add("rows", T.ArrayType(T.StructType().add("n", "long").add("by", T.MapType(T.StringType(), T.StructType().add("x", T.ArrayType(T.DoubleType()))))))
+    good, refused = records.parse_records(t.events.select(F.col("event_id").alias("path"), text.alias("value")), schema, "s")
+    none = F.lit(None).cast("string")
+    return good.select("path", none.alias("reject_code"), none.alias("reject_path"), F.col("rows")[0]["n"].alias("n")).unionByName(refused.withColumn("n", F.lit(None).cast("long")))
 
 
 @query("SELECT event_id AS config_id, sha256(props) AS sha256, CAST(strlen(props) AS BIGINT) AS size_bytes, props AS text, CAST(NULL AS VARCHAR) AS issue_code FROM events")

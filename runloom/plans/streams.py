@@ -79,6 +79,49 @@ def src2_read_facts(t: Tables) -> DataFrame:
     return named.join(found, "path").select("user_id", "task_id", "n", "reject_code", "path_ok")
 
 
+#: Per fact kind: its path, a payload, and what is put for what to make a place of it another type than asked.
+KINDS = {
+    "run": ("runs/{u}/run.json", '{"run_id":"{u}","scope_id":"{u}","resume_of":null,"plan_digest":"{d}","engine_identity":{"value":"{d}","reusable":true,"reasons":[]},"implementations":{"p":{"value":null,"reusable":false,"reasons":["WEAK"]}},"source_kind":"programmatic","config_refs":[],"code_provenance":{"package_version":"1","source_revision":null}}', '"reusable":false', '"reusable":0', "$.implementations.p.reusable"),
+    "started": ("runs/{u}/attempts/{k}/{u}/started.json", '{"run_id":"{u}","scope_id":"{u}","task_id":"t","attempt_id":"{u}","sequence":1,"plan_digest":"{d}","fingerprint":null,"execution":null,"inputs":[{"port":"in","semantic_digests":["{d}"]}],"allocation":{"cpu_cores":1,"gpu_count":0,"memory_bytes":null},"prepared":{"any":[1,{}]},"started_at":1.5,"resolved_inputs":{"in":[{"artifact":{"record_id":"r","schema_id":"s","schema_version":1,"semantic_digest":"{d}","manifest_digest":"{d}","locator":"l"},"manifest_location":"m","effective_digest":"{d}","evidence":{"any":1}}]}}', '"schema_version":1,', '"schema_version":"1",', "$.resolved_inputs.in[0].artifact.schema_version"),
+    "finished": ("runs/{u}/attempts/{k}/{u}/finished.json", '{"attempt_id":"{u}","outcome":"failed","error_code":null,"retryable":false,"ended_at":2,"receipt":null,"evidence":[{"asset_id":"a"}]}', '"retryable":false', '"retryable":"no"', "$.retryable"),
+    "receipt": ("runs/{u}/attempts/{k}/{u}/result.json", '{"attempt_id":"{u}","task_id":"t","scope_id":"{u}","fingerprint":"{d}","execution":"{d}","inputs":null,"outputs":{"out":[{"record_id":"r","schema_id":"s","schema_version":1,"semantic_digest":null,"manifest_digest":"{d}","locator":"l"}]},"cache_policy":"auto"}', ',"locator":"l"', "", "$.outputs.out[0].locator"),
+    "resolution": ("runs/{u}/resolutions/{k}.json", '{"task_id":"t","state":"blocked","disposition":null,"receipt":null,"error_code":"UPSTREAM_FAILED","blocked_by":["a","b"],"fingerprint":null,"execution":null,"cache_reasons":[]}', '"b"]', "2]", "$.blocked_by[1]"),
+    "summary": ("runs/{u}/summary.json", '{"run_id":"{u}","status":"FAILED","states":{"t":"failed"},"completion_order":["t"]}', ':"failed"', ':["failed"]', "$.states.t"),
+    "recovery": ("runs/{u}/recovery.json", '{"source_run":"{u}","status":"INTERRUPTED","attempts":[{"attempt_id":"{u}","outcome":"succeeded","receipt":"p"}]}', '"receipt":"p"', '"receipt":"p","more":1', "$.attempts[0].more"),
+    "index": ("cache/{u}/{d}.json", '{"receipt":"p","receipt_digest":"{d}"}', '"p"', "1", "$.receipt"),
+    "transition": ("runs/{u}/transitions/{u}.json", '{"task_id":"t","state":"pending"}', '"pending"', "{}", "$.state"),
+}
+
+
+def kind_case(values: list[str]) -> str:
+    return "CASE user_id % 9 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+@query(f"""SELECT user_id, {kind_case(list(KINDS))} AS kind, CASE WHEN user_id // 9 % 2 = 1 THEN CASE WHEN user_id % 9 IN (3, 6) THEN 'RECORD_FIELDS' ELSE 'RECORD_TYPE' END END AS reject_code,
+  CASE WHEN user_id // 9 % 2 = 1 THEN {kind_case([k[4] for k in KINDS.values()])} END AS reject_path, CASE WHEN user_id // 9 % 2 = 0 THEN true END AS path_ok FROM (SELECT DISTINCT user_id FROM events)""")
+def src2_fact_kinds(t: Tables) -> DataFrame:
+    """A fact of one of the nine kinds per user, every other one with a place of another type, read back by kind."""
+    to = new_folder(t)
+    u, d, k = F.md5(F.col("user_id").cast("string")), F.sha2(F.col("user_id").cast("string"), 256), path_key(F.lit("t"))
+    filled = lambda text: F.replace(F.replace(F.replace(F.lit(text), F.lit("{u}"), u), F.lit("{d}"), d), F.lit("{k}"), k)
+    path = value = F.lit(None).cast("string")
+    for i, (kind, (at, payload, was, now, _)) in enumerate(KINDS.items()):
+        own = F.col("user_id") % 9 == i
+        odd = F.when(F.floor(F.col("user_id") / 9) % 2 == 1, filled(payload.replace(was, now, 1))).otherwise(filled(payload))
+        path = F.when(own, filled(at)).otherwise(path)
+        value = F.when(own, F.concat(F.lit(f'{{"schema_version":2,"kind":"{kind}","payload":'), odd, F.lit("}"))).otherwise(value)
+    facts = t.events.select("user_id").distinct().select("user_id", path.alias("path"), value.alias("value"))
+    records.write_fact_files(facts.select("path", "value"), f"{to}/facts")
+    short, found = F.regexp_extract("path", r"/facts/(.*)$", 1).alias("path"), None
+    for kind in KINDS:
+        good, refused = records.read_facts(t.spark, f"{to}/facts", kind)
+        none = F.lit(None).cast("string")
+        both = good.select(short, none.alias("reject_code"), none.alias("reject_path"), "path_ok").unionByName(refused.select(short, "reject_code", "reject_path", F.lit(None).cast("boolean").alias("path_ok")))
+        both = both.withColumn("kind", F.lit(kind))
+        found = both if found is None else found.unionByName(both)
+    return facts.select("user_id", "path").join(found, "path").select("user_id", "kind", "reject_code", "reject_path", "path_ok")
+
+
 @query("SELECT 'file' AS kind, CAST(strlen(s_name) + 1 AS BIGINT) AS size_bytes, sha256(s_name || chr(10)) AS sha256 FROM supplier")
 def src3_read_inventory(t: Tables) -> DataFrame:
     to = new_folder(t)

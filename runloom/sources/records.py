@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.functions.exprs import path_key
+from runloom.sources.strict import first_fault
 
 #: Largest settings document that is read, in bytes.
 MAX_DOCUMENT = 1 << 20
@@ -54,6 +55,8 @@ FACT_TYPES = {
     "resolved_inputs": f"map<string,array<struct<artifact:{_REF},manifest_location:string,effective_digest:string,evidence:string>>>", "evidence": "array<string>", "outputs": f"map<string,array<{_REF}>>",
     "blocked_by": "array<string>", "cache_reasons": "array<string>", "states": "map<string,string>", "completion_order": "array<string>", "attempts": "array<struct<attempt_id:string,outcome:string,receipt:string>>",
 }
+#: Payload values that may be any JSON.
+FACT_FREE = frozenset({"prepared", "evidence[]", "resolved_inputs.evidence"})
 
 
 def fact_schema(kind: str) -> T.StructType:
@@ -61,45 +64,25 @@ def fact_schema(kind: str) -> T.StructType:
     return T.StructType.fromDDL(", ".join(f"{f} {FACT_TYPES.get(f, 'string')}" for f in FACT_FIELDS[kind].split()))
 
 
-def _kinds(field: T.DataType) -> str:
-    """Pattern of the VARIANT types that a strict reading of a field allows."""
-    if isinstance(field, T.BooleanType):
-        return "BOOLEAN|VOID"
-    if isinstance(field, (T.IntegerType, T.LongType)):
-        return "BIGINT|VOID"
-    if isinstance(field, (T.DoubleType, T.FloatType)):
-        return r"BIGINT|DOUBLE|DECIMAL\(.*\)|VOID"
-    if isinstance(field, T.StringType):
-        return "STRING|VOID"
-    if isinstance(field, T.ArrayType):
-        return r"ARRAY<.*>|VOID"
-    return r"OBJECT<.*>|VOID"
-
-
 def parse_records(texts: DataFrame, schema: T.StructType, schema_id: str | None = None, schema_version: int | None = None, text_col: str = "value", source_col: str = "path") -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of JSON texts.
 
-    Refused, with a code and never the payload: text that isn't strict JSON (duplicate keys, NaN), fields
-    other than exactly those of ``schema``, a boolean where a number is asked and the like, another schema
-    id or version.
+    Refused, with a code and the path of the first fault and never the payload: text that isn't strict JSON (duplicate
+    keys, NaN), fields other than exactly those of ``schema`` at any depth, a boolean where a number is asked and
+    the like (:func:`runloom.sources.strict.first_fault`), another schema id or version.
     """
-    names = [f.name for f in schema]
-    v = F.try_parse_json(F.col(text_col))
-    rows = texts.withColumn("record_variant", v)
-    keys = F.json_object_keys(F.to_json("record_variant"))
-    fields = (F.size(F.array_except(keys, F.array(*map(F.lit, names)))) == 0) & (F.size(keys) == len(names))
-    typed = F.lit(True)
-    for f in schema:
-        kind = F.schema_of_variant(F.variant_get("record_variant", f"$.{f.name}", "variant"))
-        typed = typed & F.coalesce(kind.rlike(rf"\A(?:{_kinds(f.dataType)})\z"), F.lit(True))
-    reason = F.when(F.col("record_variant").isNull(), "RECORD_JSON").when(keys.isNull(), "RECORD_FIELDS").when(~fields, "RECORD_FIELDS").when(~typed, "RECORD_TYPE")
+    rows = texts.withColumn("record_variant", F.try_parse_json(F.col(text_col)))
+    v = F.col("record_variant")
+    fault = F.when(~F.schema_of_variant(v).startswith("OBJECT"), F.struct(F.lit("RECORD_FIELDS").alias("code"), F.lit("$").alias("path"))).otherwise(first_fault(v, schema))
+    rows = rows.withColumn("record_fault", fault)
+    reason = F.when(v.isNull(), "RECORD_JSON").otherwise(F.col("record_fault.code"))
     if schema_id is not None:
-        reason = reason.when(~F.try_variant_get("record_variant", "$.schema_id", "string").eqNullSafe(F.lit(schema_id)), "RECORD_SCHEMA")
+        reason = F.coalesce(reason, F.when(~F.try_variant_get(v, "$.schema_id", "string").eqNullSafe(F.lit(schema_id)), "RECORD_SCHEMA"))
     if schema_version is not None:
-        reason = reason.when(~F.try_variant_get("record_variant", "$.schema_version", "int").eqNullSafe(F.lit(schema_version)), "RECORD_VERSION")
+        reason = F.coalesce(reason, F.when(~F.try_variant_get(v, "$.schema_version", "int").eqNullSafe(F.lit(schema_version)), "RECORD_VERSION"))
     rows = rows.withColumn("reject_code", reason)
     good = rows.where("reject_code IS NULL").select(source_col, F.from_json(text_col, schema).alias("r")).select(source_col, "r.*")
-    return good, rows.where("reject_code IS NOT NULL").select(source_col, "reject_code")
+    return good, rows.where("reject_code IS NOT NULL").select(source_col, "reject_code", F.col("record_fault.path").alias("reject_path"))
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType, schema_id: str | None = None, schema_version: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -117,10 +100,12 @@ def read_facts(spark: SparkSession, root: str, kind: str, schema: T.StructType |
     """(facts, rejects) of one kind below ``root``.
 
     A file is an envelope of schema_version, kind and payload, with exactly the payload fields of the kind.
-    Others are refused by a code. Facts carry ``path``, the ids in it (``path_ids``) and ``path_ok``: whether
+    Others are refused by a code and, for values of another type than the kind's schema asks at any depth, their
+    path in the payload. Facts carry ``path``, the ids in it (``path_ids``) and ``path_ok``: whether
     those ids are the payload's, tasks standing there as :func:`path_key`.
     """
     texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root).withColumn("path", F.input_file_name())
+    schema = schema or fact_schema(kind)
     pattern = FACT_PATHS[kind]
     ids = F.array(*[F.regexp_extract("path", pattern, i) for i in range(1, pattern.count("(") + 1)])
     v = F.try_parse_json("value")
@@ -135,14 +120,16 @@ def read_facts(spark: SparkSession, root: str, kind: str, schema: T.StructType |
         .when(~F.coalesce(current & same, F.lit(False)), "RUNTIME_RECORD_VERSION_UNSUPPORTED")
         .when(~_exact_keys(payload, FACT_FIELDS[kind].split()), "RECORD_FIELDS")
     )
-    rows = rows.select("path", "path_ids", payload.alias("payload"), reason.alias("reject_code"))
-    facts = rows.where("reject_code IS NULL").select("path", "path_ids", F.from_json("payload", schema or fact_schema(kind)).alias("r")).select("path", "path_ids", "r.*")
+    fault = first_fault(F.variant_get("fact_variant", "$.payload", "variant"), schema, FACT_FREE)
+    rows = rows.select("path", "path_ids", payload.alias("payload"), reason.alias("envelope_code"), F.when(reason.isNull(), fault).alias("fault"))
+    rows = rows.select("path", "path_ids", "payload", F.coalesce("envelope_code", "fault.code").alias("reject_code"), F.col("fault.path").alias("reject_path"))
+    facts = rows.where("reject_code IS NULL").select("path", "path_ids", F.from_json("payload", schema).alias("r")).select("path", "path_ids", "r.*")
     place = {"run": {"run_id": 0}, "started": {"run_id": 0, "task_id": 1, "attempt_id": 2}, "finished": {"attempt_id": 2}, "receipt": {"task_id": 1, "attempt_id": 2}, "resolution": {"task_id": 1}, "summary": {"run_id": 0}}
     ok = F.lit(True)
     for column, at in place.get(kind, {}).items():
         told = path_key(F.col(column)) if column == "task_id" else F.col(column)
         ok = ok & told.eqNullSafe(F.col("path_ids")[at])
-    return facts.withColumn("path_ok", ok), rows.where("reject_code IS NOT NULL").select("path", "reject_code")
+    return facts.withColumn("path_ok", ok), rows.where("reject_code IS NOT NULL").select("path", "reject_code", "reject_path")
 
 
 def write_fact_files(facts: DataFrame, root: str) -> None:
