@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,16 +38,75 @@ def manifest_digest(df: DataFrame, content: str, declared: str) -> DataFrame:
     return df.withColumn("manifest_digest", got).withColumn("verified", F.coalesce(got == F.col(declared), F.lit(False)))
 
 
+def streamed_digest(rows: DataFrame, by: list[str], order: list[str], text: Column, domain: str, openings: list[str], section: Column | None = None, also: list[Column] | None = None) -> DataFrame:
+    """``(by, digest, n, also)``: the domain digest of a text per group that is put together row by row, ``text`` after text.
+
+    ``openings`` stand before, between and behind the sections of the text; ``section`` (0, 1, ...) tells to which a row
+    belongs, and inside of it rows are joined by commas in ``order`` (nulls first), then by their text, repeats kept. A group
+    of only null texts has empty sections. ``also`` are booleans that must hold for every row (their conjunction). Rows are
+    dealt by group and sorted; a task hashes them as they come and holds one, however many a group has.
+    """
+    also = also or []
+    keys = [f"k{i}" for i in range(len(by))]
+    places = [f"o{i}" for i in range(len(order))]
+    flags = [f"f{i}" for i in range(len(also))]
+    named = rows.select(
+        *[F.col(b).alias(k) for b, k in zip(by, keys)], (F.lit(0) if section is None else section).cast("int").alias("section"), *[F.col(o).alias(p) for o, p in zip(order, places)],
+        text.alias("text"), *[F.coalesce(a, F.lit(False)).alias(f) for a, f in zip(also, flags)],
+    )
+    kinds = [f"`{k}` {named.schema[k].dataType.simpleString()}" for k in keys]
+    schema = ", ".join([*kinds, "digest string", "n long", *[f"{f} boolean" for f in flags]])
+    head = domain.encode() + b"\0"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        types, current, h, at, n, first, held = None, None, None, 0, 0, True, []
+
+        def close() -> None:
+            for x in openings[at:]:
+                h.update(x.encode())
+            done.append((*current, h.hexdigest(), n, *held))
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*done))
+            done.clear()
+            own = [*types, pa.string(), pa.int64(), *[pa.bool_()] * len(flags)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, own)], names=[*keys, "digest", "n", *flags])
+
+        for b in batches:
+            types = [b.schema.field(i).type for i in range(len(keys))]
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                group, part, piece, good = row[: len(keys)], row[len(keys)], row[len(keys) + 1], row[len(keys) + 2 :]
+                if group != current:
+                    if h is not None:
+                        close()
+                        if len(done) == 10_000:
+                            yield flush()
+                    current, h, at, n, first, held = group, hashlib.sha256(head), 0, 0, True, [True] * len(flags)
+                while at <= part:
+                    h.update(openings[at].encode())
+                    at, first = at + 1, True
+                if piece is not None:
+                    h.update(piece.encode() if first else b"," + piece.encode())
+                    n, first = n + 1, False
+                held = [x and y for x, y in zip(held, good)]
+        if h is not None:
+            close()
+        if done:
+            yield flush()
+
+    dealt = named.repartition(*keys).sortWithinPartitions(*keys, "section", *places, "text").select(*keys, "section", "text", *flags)
+    out = dealt.mapInArrow(run, schema)
+    return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "digest", "n", *flags)
+
+
 def directory_digest(members: DataFrame, key: str = "dir_id", path: str = "path", kind: str = "kind", digest: str = "digest", domain: str = f"{PREFIX}.directory.v1") -> DataFrame:
-    """``(key, identity)``: digest over members in order of path; weak if any file's digest is."""
+    """``(key, identity)``: digest over members in order of path; weak if any file's digest is. A directory may have any number of members."""
     strong = (F.col(kind) != "file") | F.coalesce(is_digest(F.col(digest)), F.lit(False))
-    rows = members.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(path).alias("path"), F.col(kind).alias("kind"), F.col(digest).alias("digest")))).alias("m"),
-        F.bool_and(strong).alias("strong"),
-    )
-    text = F.to_json("m", {"ignoreNullFields": "false"})
-    reasons = F.when(F.col("strong"), F.array().cast("array<string>")).otherwise(F.array(F.lit("MEMBER_UNVERIFIED")))
-    return rows.select(key, fingerprint_struct(domain_digest(domain, text), reasons).alias("identity"))
+    text = F.to_json(F.struct(F.col(path).alias("path"), F.col(kind).alias("kind"), F.col(digest).alias("digest")), {"ignoreNullFields": "false"})
+    out = streamed_digest(members, [key], [path, kind, digest], text, domain, ["[", "]"], also=[strong])
+    reasons = F.when(F.col("f0"), F.array().cast("array<string>")).otherwise(F.array(F.lit("MEMBER_UNVERIFIED")))
+    return out.select(key, fingerprint_struct(F.col("digest"), reasons).alias("identity"))
 
 
 def scope_digest(files: DataFrame, key: str = "scope", name: str = "name", digest: str = "digest", domain: str = f"{PREFIX}.code.v1") -> DataFrame:
@@ -63,6 +126,17 @@ def input_identities(inputs: DataFrame, by: list[str], port: str = "port", order
     return out.withColumn("inputs", F.when(F.col("strong"), F.col("inputs")))
 
 
+def input_lineage_digest(inputs: DataFrame, by: list[str], port: str = "port", order: str = "ord", digest: str = "semantic_digest", domain: str = f"{PREFIX}.lineage.v1") -> DataFrame:
+    """``(by, digest, n)`` of what :func:`input_identities` lists, without holding the list: one port may take any number of inputs.
+
+    A text per input, ports in order, the inputs of a port in theirs, repeats kept; null if any digest is weak.
+    """
+    ok = is_digest(F.col(digest))
+    text = F.to_json(F.struct(F.col(port).alias("port"), F.col(digest).alias("semantic_digest")), {"ignoreNullFields": "false"})
+    out = streamed_digest(inputs, by, [port, order], text, domain, ["[", "]"], also=[ok])
+    return out.select(*by, F.when(F.col("f0"), F.col("digest")).alias("digest"), "n")
+
+
 def execution_identity(prepared: DataFrame, domain: str = f"{PREFIX}.execution.v1") -> DataFrame:
     """``prepared`` with ``identity``: what was prepared plus the allocation of cores, memory left out.
 
@@ -156,13 +230,53 @@ def artifact_digest(records: DataFrame, recipe: str = "recipe", port: str = "por
 
 def plan_digest(tasks: DataFrame, plan: str, task: str, parts: list[str], declared: str | None = None, domain: str = f"{PREFIX}.plan.v1") -> DataFrame:
     """``(plan, plan_digest[, verified])`` over tasks sorted by id; order inside array parts is the caller's."""
-    row = F.struct(F.col(task).alias("task"), *[F.col(p) for p in parts])
-    extra = [F.first(declared).alias("declared")] if declared else []
-    out = tasks.groupBy(plan).agg(F.array_sort(F.collect_list(row)).alias("tasks"), *extra)
-    out = out.withColumn("plan_digest", domain_digest(domain, F.to_json("tasks", {"ignoreNullFields": "false"})))
+    text = F.to_json(F.struct(F.col(task).alias("task"), *[F.col(p) for p in parts]), {"ignoreNullFields": "false"})
+    out = streamed_digest(tasks, [plan], [task, *parts], text, domain, ["[", "]"]).select(plan, F.col("digest").alias("plan_digest"))
     if not declared:
-        return out.select(plan, "plan_digest")
-    return out.select(plan, "plan_digest", F.coalesce(F.col("plan_digest") == F.col("declared"), F.lit(False)).alias("verified"))
+        return out
+    said = tasks.groupBy(F.col(plan).alias("of")).agg(F.first(declared).alias("declared"))
+    return out.join(said, F.col(plan).eqNullSafe(F.col("of")), "left").select(plan, "plan_digest", F.coalesce(F.col("plan_digest") == F.col("declared"), F.lit(False)).alias("verified"))
+
+
+#: Fields of a task that stand in its plan as they are.
+TASK_FIELDS = ["schema_version", "plugin_ref", "operation_id", "operation_api_version", "resources", "retry_policy", "restart_safety", "cache_policy"]
+PLAN_SCHEMA, TASK_SCHEMA, PLAN_VERSION = f"{PREFIX}:workflow-plan", f"{PREFIX}:task-spec", 1
+
+
+def workflow_plan_digest(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, externals: DataFrame, declared: DataFrame | None = None, domain: str = f"{PREFIX}.plan.v1") -> DataFrame:
+    """``(plan_id, plan_digest, n_tasks, verified)`` of whole plans, from the rows they consist of, in whatever order those come.
+
+    ``tasks``: plan_id, task_id, ``parameters`` (JSON) and the columns :data:`TASK_FIELDS`. ``inputs``: plan_id, task_id, port,
+    ord and the source, either ``artifact`` (struct) or src_task and src_port. ``outputs``: plan_id, task_id, port, schema_id,
+    schema_version, profile_id, profile_version, count. ``externals``: plan_id, ``artifact``. Tasks stand by id, outputs by port,
+    externals by record id; ports stand by name and their inputs in the order of ``ord``, which counts. Objects have
+    their keys in order. ``declared``: plan_id, plan_digest; ``verified`` tells whether that is the one worked out. Plans without
+    a task have no row, and a plan with parameters that aren't JSON has no digest.
+
+    A task's own ports are put together per task; the plan is then hashed row by row, however many tasks it has.
+    """
+    key = ["plan_id", "task_id"]
+    source = F.when(F.col("artifact").isNotNull(), F.to_json(F.to_variant_object(F.struct(F.lit("artifact").alias("kind"), "artifact")))).otherwise(F.to_json(F.struct(F.lit("output").alias("kind"), F.col("src_port").alias("port"), F.col("src_task").alias("task_id")), {"ignoreNullFields": "false"}))
+    ports = inputs.groupBy(*key, "port").agg(F.array_sort(F.collect_list(F.struct("ord", source.alias("source")))).alias("refs"))
+    ports = ports.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("port", F.transform("refs", lambda r: r["source"]).alias("refs")))).alias("inputs"))
+    names = ["port", "schema_id", "schema_version", "profile_id", "profile_version", "count"]
+    made = outputs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("outputs"))
+    rows = tasks.select(*key, "parameters", *TASK_FIELDS).join(ports, key, "left").join(made, key, "left")
+    own = F.struct(
+        F.lit(TASK_SCHEMA).alias("schema_id"), F.col("task_id").cast("string").alias("task_id"), *TASK_FIELDS, F.try_parse_json("parameters").alias("semantic_parameters"),
+        F.coalesce(F.transform_values("inputs", lambda _, refs: F.transform(refs, lambda r: F.parse_json(r))), F.create_map().cast("map<string,array<variant>>")).alias("inputs"), F.coalesce("outputs", F.array().cast(made.schema["outputs"].dataType)).alias("outputs"),
+    )
+    texts = rows.select("plan_id", F.lit(1).alias("part"), F.col("task_id").cast("string").alias("place"), F.to_json(F.to_variant_object(own)).alias("text"), (F.col("parameters").isNull() | F.try_parse_json("parameters").isNotNull()).alias("good"))
+    outer = externals.select("plan_id", F.lit(0).alias("part"), F.col("artifact.record_id").alias("place"), F.to_json(F.to_variant_object("artifact")).alias("text"), F.lit(True).alias("good"))
+    outer = outer.join(tasks.select("plan_id").distinct(), "plan_id", "left_semi")
+    openings = ['{"external_inputs":[', f'],"schema_id":"{PLAN_SCHEMA}","schema_version":{PLAN_VERSION},"tasks":[', "]}"]
+    out = streamed_digest(texts.unionByName(outer), ["plan_id"], ["place"], F.col("text"), domain, openings, F.col("part"), [F.col("good")])
+    counted = texts.groupBy("plan_id").agg(F.count("*").alias("n_tasks"))
+    out = out.join(counted, "plan_id").select("plan_id", F.when(F.col("f0"), F.col("digest")).alias("plan_digest"), "n_tasks")
+    if declared is None:
+        return out.withColumn("verified", F.lit(None).cast("boolean"))
+    said = declared.select("plan_id", F.col("plan_digest").alias("declared"))
+    return out.join(said, "plan_id", "left").select("plan_id", "plan_digest", "n_tasks", F.coalesce(F.col("plan_digest") == F.col("declared"), F.lit(False)).alias("verified"))
 
 
 def invalidated(before: DataFrame, after: DataFrame, keys: list[str], digest: str = "recipe") -> DataFrame:

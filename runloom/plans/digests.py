@@ -153,6 +153,45 @@ def dig10_plan_digest(t: Tables) -> DataFrame:
     return D.plan_digest(t.orders.withColumn("declared", F.sha2("o_orderstatus", 256)), "o_custkey", "o_orderkey", ["o_orderpriority", "o_orderstatus"], "declared")
 
 
+#: A customer's orders are the tasks of a plan; a line is an input, from outside (even parts) or from another task.
+PLAN = f"""l AS (SELECT o_custkey, l_orderkey, 'p' || CAST(l_linenumber % 2 AS VARCHAR) AS port, l_linenumber AS ord, l_partkey, CASE WHEN l_partkey % 2 = 0 THEN CAST(to_json({{'artifact': {{'locator': 'l', 'record_id': 'part:' || CAST(l_partkey AS VARCHAR)}}, 'kind': 'artifact'}}) AS VARCHAR)
+  ELSE CAST(to_json({{'kind': 'output', 'port': 'out', 'task_id': CAST(l_suppkey AS VARCHAR)}}) AS VARCHAR) END AS src FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+p AS (SELECT o_custkey, l_orderkey, port, '[' || string_agg(src, ',' ORDER BY ord, src) || ']' AS refs FROM l GROUP BY ALL),
+q AS (SELECT l_orderkey, '{{' || string_agg('"' || port || '":' || refs, ',' ORDER BY port) || '}}' AS inputs FROM p GROUP BY l_orderkey),
+t AS (SELECT o_custkey, count(*) AS n_tasks, string_agg(CAST(to_json({{'cache_policy': 'auto', 'inputs': CAST(coalesce(inputs, '{{}}') AS JSON), 'operation_api_version': 1, 'operation_id': o_orderpriority,
+  'outputs': [{{'count': 1, 'port': 'a', 'profile_id': CAST(NULL AS VARCHAR), 'profile_version': CAST(NULL AS INT), 'schema_id': 's', 'schema_version': 1}}, {{'count': CAST(o_orderkey % 3 AS INT), 'port': 'out', 'profile_id': 'f', 'profile_version': 2, 'schema_id': 's', 'schema_version': 1}}],
+  'plugin_ref': {{'api_version': 1, 'kind': 'processor', 'plugin_id': 'isce'}}, 'resources': {{'cpu_cores': CAST(1 + o_orderkey % 4 AS INT), 'gpu_count': 0, 'memory_bytes': CAST(NULL AS BIGINT)}}, 'restart_safety': 'restartable', 'retry_policy': {{'backoff_seconds': 1.5::DOUBLE, 'max_attempts': 2}},
+  'schema_id': '{D.TASK_SCHEMA}', 'schema_version': 1, 'semantic_parameters': {{'looks': [1, o_orderkey % 5], 'status': o_orderstatus}}, 'task_id': CAST(o_orderkey AS VARCHAR)}}) AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) AS tasks FROM orders LEFT JOIN q ON l_orderkey = o_orderkey GROUP BY o_custkey),
+x AS (SELECT o_custkey, string_agg('{{"locator":"l","record_id":"' || r || '"}}', ',' ORDER BY r) AS ext FROM (SELECT DISTINCT o_custkey, 'part:' || CAST(l_partkey AS VARCHAR) AS r FROM l WHERE l_partkey % 2 = 0) GROUP BY o_custkey)"""
+
+
+@query(f"WITH {PLAN} SELECT t.o_custkey AS plan_id, CASE WHEN t.o_custkey % 50 > 0 THEN " + dsql("runloom.plan.v1", f"""'{{"external_inputs":[' || coalesce(ext, '') || '],"schema_id":"{D.PLAN_SCHEMA}","schema_version":1,"tasks":[' || tasks || ']}}'""") + " END AS plan_digest, n_tasks, false AS verified FROM t LEFT JOIN x ON x.o_custkey = t.o_custkey")
+def dig10_workflow_plan(t: Tables) -> DataFrame:
+    own = t.orders.select(F.col("o_custkey").alias("plan_id"), F.col("o_orderkey").alias("task_id"), "o_orderpriority", "o_orderstatus")
+    parameters = F.concat(F.lit('{"status": "'), F.col("o_orderstatus"), F.lit('", "looks": [1, '), F.col("task_id") % 5, F.lit("]}"))
+    tasks = own.select(
+        "plan_id", "task_id", F.when(F.col("plan_id") % 50 == 0, "{").otherwise(parameters).alias("parameters"), F.lit(1).alias("schema_version"),
+        F.struct(F.lit("processor").alias("kind"), F.lit("isce").alias("plugin_id"), F.lit(1).alias("api_version")).alias("plugin_ref"), F.col("o_orderpriority").alias("operation_id"), F.lit(1).alias("operation_api_version"),
+        F.struct((1 + F.col("task_id") % 4).cast("int").alias("cpu_cores"), F.lit(None).cast("bigint").alias("memory_bytes"), F.lit(0).alias("gpu_count")).alias("resources"), F.struct(F.lit(2).alias("max_attempts"), F.lit(1.5).alias("backoff_seconds")).alias("retry_policy"),
+        F.lit("restartable").alias("restart_safety"), F.lit("auto").alias("cache_policy"),
+    )
+    port = lambda name, profile, version, count: F.struct(F.lit(name).alias("port"), F.lit("s").alias("schema_id"), F.lit(1).alias("schema_version"), F.lit(profile).cast("string").alias("profile_id"), F.lit(version).cast("int").alias("profile_version"), count.alias("count"))
+    outputs = own.select("plan_id", "task_id", F.explode(F.array(port("out", "f", 2, (F.col("task_id") % 3).cast("int")), port("a", None, None, F.lit(1)))).alias("o")).select("plan_id", "task_id", "o.*")
+    lines_ = t.lineitem.join(own.select("plan_id", F.col("task_id").alias("l_orderkey")), "l_orderkey")
+    artifact = F.struct(F.concat(F.lit("part:"), F.col("l_partkey")).alias("record_id"), F.lit("l").alias("locator"))
+    even = F.col("l_partkey") % 2 == 0
+    used = lines_.select("plan_id", F.col("l_orderkey").alias("task_id"), F.concat(F.lit("p"), F.col("l_linenumber") % 2).alias("port"), F.col("l_linenumber").alias("ord"), F.when(even, artifact).alias("artifact"), F.col("l_suppkey").cast("string").alias("src_task"), F.lit("out").alias("src_port"))
+    externals = used.where("artifact IS NOT NULL").select("plan_id", "artifact").distinct()
+    declared = own.select("plan_id").distinct().withColumn("plan_digest", F.sha2(F.lit("x"), 256))
+    return D.workflow_plan_digest(tasks, used, outputs, externals, declared)
+
+
+@query(f"""WITH {FILES} SELECT l_suppkey, CASE WHEN bool_and(digest <> 'weak') THEN """ + dsql("runloom.lineage.v1", """'[' || string_agg('{"port":"p' || CAST(l_linenumber % 3 AS VARCHAR) || '","semantic_digest":"' || digest || '"}', ',' ORDER BY l_linenumber % 3, path, l_orderkey, digest) || ']'""") + """ END AS digest, count(*) AS n FROM f GROUP BY l_suppkey""")
+def dig5_input_lineage(t: Tables) -> DataFrame:
+    rows = lines(t).select("l_suppkey", F.concat(F.lit("p"), F.col("l_linenumber") % 3).alias("port"), F.struct("path", "l_orderkey").alias("ord"), "digest")
+    return D.input_lineage_digest(rows, ["l_suppkey"], "port", "ord", "digest")
+
+
 @query("""SELECT o_orderkey, sha256('p:' || o_orderpriority || ':' || CAST(o_custkey AS VARCHAR)) AS was, sha256('p:' || CASE WHEN o_custkey % 5 = 0 THEN 'changed' ELSE o_orderpriority END || ':' || CAST(o_custkey AS VARCHAR)) AS now FROM orders WHERE o_custkey % 5 = 0""")
 def dig11_invalidated(t: Tables) -> DataFrame:
     recipe = lambda p: F.sha2(F.concat_ws(":", F.lit("p"), p, "o_custkey"), 256).alias("recipe")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.operators import history as H
+from runloom.operators import integrity
 from runloom.plans.history import MOVES, moves
 from runloom.plans.products import INDEX, receipts
 from runloom.plans.registry import Tables, query
 from runloom.functions.exprs import path_key
-from runloom.sources import records
+from runloom.sources import listing, records
 from runloom.sources.shared import shared_folder
 from runloom.streaming import live
 
@@ -130,6 +131,45 @@ def src3_read_inventory(t: Tables) -> DataFrame:
     return records.read_inventory(t.spark, f"{to}/files").select("kind", "size_bytes", "sha256")
 
 
+LISTED = """f AS (SELECT s_suppkey AS k, 'd' || CAST(s_suppkey % 10 AS VARCHAR) AS top, s_name || chr(10) AS body FROM supplier),
+o AS (SELECT DISTINCT top AS path, 'directory' AS kind, CAST(NULL AS BIGINT) AS size_bytes, CAST(NULL AS VARCHAR) AS sha256 FROM f UNION ALL SELECT top || '/' || CAST(k AS VARCHAR), 'directory', NULL, NULL FROM f
+  UNION ALL SELECT top || '/' || CAST(k AS VARCHAR) || '/f.txt', 'file', CAST(strlen(body) AS BIGINT), sha256(body) FROM f WHERE k % 3 > 0)"""
+
+
+def supplier_folder(t: Tables) -> DataFrame:
+    """A directory per supplier, every third of them empty, below ten others; as a row of roots."""
+    to = new_folder(t)
+    own = F.concat(F.lit("d"), F.col("s_suppkey") % 10, F.lit("/"), F.col("s_suppkey"))
+    full = F.col("s_suppkey") % 3 > 0
+    records.write_fact_files(t.supplier.select(F.when(full, F.concat(own, F.lit("/f.txt"))).otherwise(own).alias("path"), F.when(full, F.concat("s_name", F.lit("\n"))).alias("value")), f"{to}/tree")
+    return t.spark.createDataFrame([(1, f"{to}/tree")], "dir_id long, root string")
+
+
+@query(f"WITH {LISTED} SELECT path, kind, size_bytes, sha256 FROM o")
+def src3_list_directories(t: Tables) -> DataFrame:
+    return listing.directory_inventory(supplier_folder(t))[0].select("path", "kind", "size_bytes", "sha256")
+
+
+@query(f"""WITH {LISTED}, m AS (SELECT path, CASE WHEN kind = 'directory' AND path LIKE '%/%5' THEN 'file' ELSE kind END AS kind, size_bytes, CASE WHEN path LIKE '%7/f.txt' THEN sha256('x') ELSE sha256 END AS sha256 FROM o WHERE path NOT LIKE '%4/f.txt'
+  UNION ALL SELECT 'missing/' || CAST(k AS VARCHAR), 'file', 1, sha256('x') FROM f WHERE k % 20 = 0)
+SELECT '1' AS subject_id, 'error' AS kind, CASE WHEN o.path IS NULL THEN 'member-missing' WHEN m.path IS NULL THEN 'member-unexpected' WHEN m.kind <> o.kind THEN 'member-kind-mismatch' ELSE 'member-integrity-mismatch' END AS code, coalesce(m.path, o.path) AS location
+FROM m FULL JOIN o ON o.path = m.path WHERE o.path IS NULL OR m.path IS NULL OR m.kind <> o.kind OR m.sha256 <> o.sha256""")
+def int2_listed_directory(t: Tables) -> DataFrame:
+    """A manifest held against what a listing found: what is read again of the same suppliers, with some members off."""
+    inventory, uncertain, opaque, found = listing.directory_inventory(supplier_folder(t))
+    k, file = F.col("s_suppkey"), F.lit("file")
+    own = F.concat(F.lit("d"), k % 10, F.lit("/"), k)
+    body = F.concat("s_name", F.lit("\n"))
+    row = lambda path, kind, size, digest: [path.alias("path"), kind.alias("member_kind"), size.cast("long").alias("size_bytes"), digest.cast("string").alias("digest")]
+    tops = t.supplier.select(*row(F.concat(F.lit("d"), k % 10), F.lit("directory"), F.lit(None), F.lit(None))).distinct()
+    places = t.supplier.select(*row(own, F.when(k % 10 == 5, "file").otherwise("directory"), F.lit(None), F.lit(None)))
+    inside = t.supplier.where("s_suppkey % 3 > 0 AND s_suppkey % 10 <> 4").select(*row(F.concat(own, F.lit("/f.txt")), file, F.octet_length(body), F.when(k % 10 == 7, F.sha2(F.lit("x"), 256)).otherwise(F.sha2(body, 256))))
+    gone = t.supplier.where("s_suppkey % 20 = 0").select(*row(F.concat(F.lit("missing/"), k), file, F.lit(1), F.sha2(F.lit("x"), 256)))
+    members = tops.unionByName(places).unionByName(inside).unionByName(gone).select(F.lit(1).cast("long").alias("dir_id"), "*", F.lit("sha256").alias("algorithm"))
+    issues = integrity.suppress_uncertain(integrity.reconcile_directory(members, inventory), uncertain, opaque)
+    return issues.select("subject_id", "kind", "code", "location").unionByName(found)
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders")
 def snk2_write_resolved(t: Tables) -> DataFrame:
     to = new_folder(t)

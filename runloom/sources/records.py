@@ -133,13 +133,15 @@ def read_facts(spark: SparkSession, root: str, kind: str, schema: T.StructType |
 
 
 def write_fact_files(facts: DataFrame, root: str) -> None:
-    """One file per row of ``facts`` (``path`` below ``root``, ``value``), written by the tasks."""
+    """One file per row of ``facts`` (``path`` below ``root``, ``value``), written by the tasks; an empty directory where the value is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 store, at = pafs.FileSystem.from_uri(f"{re.sub('^file:/+|^/', 'file:///', root)}/{name}")
-                store.create_dir(at.rpartition("/")[0], recursive=True)
+                store.create_dir(at if value is None else at.rpartition("/")[0], recursive=True)
+                if value is None:
+                    continue
                 with store.open_output_stream(at) as f:
                     f.write(value.encode())
             yield b
