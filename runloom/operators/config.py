@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.exprs import canonical_alias, iso_date, label_ok, lexical_abspath, path_ok
 from runloom.operators.issues import ERROR, all_issues, issue
+from runloom.sources.shared import checkpointed
 
 _ALL, _PAIR = ("manual", "event", "stack"), ("manual", "event")
 _POS, _FLAG = ("int", 1, None), ("bool", None, None)
@@ -389,6 +390,43 @@ def translation_audit(rows: DataFrame) -> DataFrame:
     return maps.unionByName(w.select("command_id", F.explode(found).alias("e")).select("command_id", "e.*"))
 
 
+# What stands behind a default that a translated command doesn't give, where that isn't its origin.
+DEFAULT_BASES = {
+    "legacy_parser_default": ["data.provider", "mission.platform", "workflow.stage", "resources.num_proc", "data.download.zip_check_backend"],
+    "legacy_fallback": ["data.search.half_width_deg"],
+    "legacy_inheritance": ["processing.roi.half_width_deg"],
+    "legacy_selection_policy": ["mission.relative_orbit"],
+    "legacy_layout_derivation": ["data.paths.slc_dir", "data.paths.orbit_dir", "data.paths.dem_dir", "data.paths.aux_dir", "outputs.paths.process_dir", "outputs.paths.results_dir"],
+    "legacy_hardcoded_profile": [
+        "workflow.pair.half_window_days", "processing.isce2.pair.swaths", "processing.isce2.pair.range_looks", "processing.isce2.pair.azimuth_looks", "processing.isce2.pair.filter_strength", "processing.isce2.pair.unwrap", "processing.isce2.pair.unwrapper",
+        "processing.isce2.pair.dense_offsets", "processing.isce2.pair.esd", "processing.isce2.pair.use_gpu", "processing.isce2.stack.use_gpu", "data.catalog.timeout_seconds", "data.catalog.request_size", "qc.pair_export.min_coherence", "outputs.stack_advice.enabled",
+        "outputs.stack_advice.temporal_neighbors", "outputs.stack_advice.quicklook_range_looks", "outputs.stack_advice.quicklook_azimuth_looks", "outputs.figures.dpi",
+    ],
+    "schema_default": ["outputs.pair.phase_products", "outputs.pair.offset_products"],
+}
+
+
+def translation_defaults(rows: DataFrame, folders: DataFrame) -> DataFrame:
+    """``(command_id, path, value_json, basis, dependencies)``: every setting that a translated command leaves to a default.
+
+    ``rows`` are option rows as in :func:`translate_options`, ``folders`` (command_id, folder) the absolute folder in which a
+    command ran. The translated settings are resolved like any document; what they don't supply is a default, with
+    the settings that it was worked out from and the basis that the translation gives it, else its origin. The type
+    of workflow is one where the command gives no mode. Commands with an issue have no rows.
+    """
+    leaves = checkpointed(translate_options(rows)[0])  # else every later step would work the translation out again
+    base = folders.select(F.col("command_id").alias("config_id"), F.col("folder").alias("base"))
+    mine = leaves.select("config_id").distinct().join(base, "config_id").select("config_id", F.lit("project.work_dir").alias("path"), F.concat(F.lit('"'), "base", F.lit('"')).alias("value_json"))
+    supplied = canonical_leaves(leaves.unionByName(mine)).withColumn("origin", F.lit("yaml"))
+    full, _ = fill_defaults(supplied, select_profile(leaves), rules(rows.sparkSession))
+    used = derive_fields(full, base).where("origin <> 'yaml'")
+    bases = F.create_map(*[F.lit(x) for basis, paths in DEFAULT_BASES.items() for path in paths for x in (path, basis)])
+    out = used.select(F.col("config_id").alias("command_id"), "path", "value_json", F.coalesce(F.try_element_at(bases, F.col("path")), F.col("origin")).alias("basis"), "dependencies")
+    told = rows.where("option = 'mode'").select("command_id").distinct()
+    typed = leaves.where("path = 'workflow.type'").withColumnRenamed("config_id", "command_id").join(told, "command_id", "left_anti")
+    return out.unionByName(typed.select("command_id", "path", "value_json", F.lit("legacy_parser_default").alias("basis"), F.array().cast("array<string>").alias("dependencies")))
+
+
 def resolve(leaves: DataFrame, overrides: DataFrame, base: DataFrame, table: DataFrame) -> dict[str, DataFrame]:
     """All steps: ``resolved`` leaves, ``issues`` and ``normalizations``."""
     profiles = select_profile(leaves)
@@ -401,13 +439,6 @@ def resolve(leaves: DataFrame, overrides: DataFrame, base: DataFrame, table: Dat
     return {"resolved": resolved, "issues": issues, "normalizations": audit_normalizations(leaves, resolved)}
 
 
-def as_document(resolved: DataFrame) -> DataFrame:
-    """Resolved settings as one JSON object of path to value per document."""
-    pair = F.struct(F.col("path"), F.col("value_json"))
-    body = F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.concat(F.lit('"'), p["path"], F.lit('":'), p["value_json"]))
-    return resolved.groupBy("config_id").agg(F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")).alias("document"))
-
-
 def leaves_of(spark: SparkSession, documents: dict[str, dict]) -> DataFrame:
     """Leaf rows of Python documents (for small examples)."""
 

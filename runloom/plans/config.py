@@ -125,7 +125,15 @@ def cfg5_fill_defaults(t: Tables) -> DataFrame:
     return full(t).select("config_id", "path", "value_json", "origin", F.array_join("dependencies", ",").alias("dependencies"))
 
 
-@query(f"WITH {DERIVED} SELECT config_id, path, value_json, origin, dependencies FROM resolved")
+#: The same as DERIVED in one pass: what other settings need of a document stands beside each of its rows.
+@query(f"""WITH {BASE_SQL}, {RULES}, {PROFILE}, canon AS (SELECT config_id, path, CASE WHEN ends_with(path, '_date') AND length(value_json) = 10 THEN substr(value_json, 1, 5) || '-' || substr(value_json, 6, 2) || '-' || substr(value_json, 8, 3) WHEN value_json = '"S1A"' THEN '"Sentinel-1A"' ELSE value_json END AS value_json FROM leaves),
+j AS (SELECT p.config_id, r.path, c.value_json AS given, r.default_json, r.default_origin FROM profiles p JOIN rules r ON r.profile = p.profile LEFT JOIN canon c ON c.config_id = p.config_id AND c.path = r.path),
+s AS (SELECT *, max(given) FILTER (path = 'data.provider') OVER o AS provider, max(coalesce(given, default_json)) FILTER (path = 'data.search.half_width_deg') OVER o AS width,
+  CASE max(coalesce(given, default_json)) FILTER (path = 'project.work_dir') OVER o WHEN '"."' THEN '/cfg' ELSE '/cfg/d' || CAST(config_id % 10 AS VARCHAR) END AS work FROM j WINDOW o AS (PARTITION BY config_id)),
+f AS (SELECT *, given IS NULL AND path = 'data.catalog.timeout_seconds' AS timed, coalesce(given, CASE WHEN path <> 'data.catalog.timeout_seconds' THEN default_json WHEN provider = '"cdse"' THEN '90' ELSE '60' END) AS v, map([{", ".join(repr(p) for p in C.DIRECTORIES)}], [{", ".join(repr(x) for x in C.DIRECTORIES.values())}])[path] AS suffix FROM s)
+SELECT config_id, path, CASE WHEN path = 'project.work_dir' THEN '"' || work || '"' WHEN suffix IS NOT NULL AND v = 'null' THEN '"' || work || '/' || suffix || '"' WHEN suffix IS NOT NULL THEN '"/cfg/' || replace(v, '"', '') || '"' WHEN path = 'processing.roi.half_width_deg' AND v = 'null' THEN width ELSE v END AS value_json,
+  CASE WHEN v = 'null' AND (suffix IS NOT NULL OR path = 'processing.roi.half_width_deg') THEN 'derived' WHEN given IS NOT NULL THEN 'yaml' ELSE default_origin END AS origin,
+  CASE WHEN v = 'null' AND suffix IS NOT NULL THEN 'project.work_dir' WHEN v = 'null' AND path = 'processing.roi.half_width_deg' THEN 'data.search.half_width_deg' WHEN timed THEN 'data.provider' ELSE '' END AS dependencies FROM f WHERE v IS NOT NULL""")
 def cfg6_derive_fields(t: Tables) -> DataFrame:
     return resolved(t).select("config_id", "path", "value_json", "origin", F.array_join("dependencies", ",").alias("dependencies"))
 
@@ -220,6 +228,22 @@ def cfg13_translation_audit(t: Tables) -> DataFrame:
     return C.translation_audit(options(t))
 
 
+_TRANSLATED = " UNION ALL ".join(f"SELECT c_custkey AS config_id, '{p}' AS path, {v} AS value_json FROM customer WHERE ({w}) AND NOT ({BAD})" for p, v, w in _LEAF_SQL)
+_BASES = ", ".join(f"('{p}', '{b}')" for b, ps in C.DEFAULT_BASES.items() for p in ps)
+
+
+@query(f"""WITH leaves AS MATERIALIZED ({_TRANSLATED}), {RULES}, {PROFILE}, bases AS (SELECT * FROM (VALUES {_BASES}) AS b(path, basis)), dirs AS (SELECT * FROM (VALUES {DIRS}) AS d(path, suffix)),
+j AS (SELECT p.config_id, r.path, l.value_json AS given, r.default_json, r.default_origin FROM profiles p JOIN rules r ON r.profile = p.profile LEFT JOIN leaves l ON l.config_id = p.config_id AND l.path = r.path),
+s AS (SELECT *, max(given) FILTER (path = 'data.provider') OVER o AS provider, max(coalesce(given, default_json)) FILTER (path = 'data.search.half_width_deg') OVER o AS width FROM j WINDOW o AS (PARTITION BY config_id))
+SELECT config_id AS command_id, s.path, CASE WHEN s.path = 'data.catalog.timeout_seconds' THEN CASE WHEN provider = '"cdse"' THEN '90' ELSE '60' END WHEN suffix IS NOT NULL THEN '"/cwd/' || (config_id % 4) || '/' || suffix || '"' WHEN s.path = 'processing.roi.half_width_deg' THEN width ELSE default_json END AS value_json,
+  coalesce(basis, CASE WHEN suffix IS NOT NULL THEN 'derived' ELSE default_origin END) AS basis, CASE WHEN s.path = 'data.catalog.timeout_seconds' THEN 'data.provider' WHEN suffix IS NOT NULL THEN 'project.work_dir' WHEN s.path = 'processing.roi.half_width_deg' THEN 'data.search.half_width_deg' ELSE '' END AS dependencies
+FROM s LEFT JOIN bases b ON b.path = s.path LEFT JOIN dirs d ON d.path = s.path WHERE given IS NULL AND s.path <> 'project.work_dir' AND (default_json IS NOT NULL OR s.path = 'data.catalog.timeout_seconds')
+UNION ALL SELECT c_custkey, 'workflow.type', '"pair"', 'legacy_parser_default', '' FROM customer WHERE c_custkey % 3 > 0 AND NOT ({BAD})""")
+def cfg13_translation_defaults(t: Tables) -> DataFrame:
+    folders = t.customer.select(F.col("c_custkey").alias("command_id"), F.concat(F.lit("/cwd/"), F.col("c_custkey") % 4).alias("folder"))
+    return C.translation_defaults(options(t), folders).withColumn("dependencies", F.array_join("dependencies", ","))
+
+
 @query("""WITH d AS (SELECT event_id, user_id, event_id % 9 AS line, CASE event_id % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'extra_forbidden' WHEN 2 THEN 'literal_error' WHEN 3 THEN 'too_long' WHEN 4 THEN 'value_error' WHEN 5 THEN 'int_type' ELSE 'CONFIG_PATH' END AS kind FROM events),
 c AS (SELECT user_id, event_id, line, CASE kind WHEN 'missing' THEN 'CONFIG_REQUIRED' WHEN 'extra_forbidden' THEN 'CONFIG_UNKNOWN_KEY' WHEN 'literal_error' THEN 'CONFIG_UNSUPPORTED' WHEN 'too_long' THEN 'CONFIG_RANGE' WHEN 'value_error' THEN 'CONFIG_RANGE' WHEN 'int_type' THEN 'CONFIG_TYPE' ELSE kind END AS code FROM d)
 SELECT CAST(user_id AS VARCHAR) AS subject_id, code, CAST(event_id AS VARCHAR) AS location, line, row_number() OVER (PARTITION BY user_id ORDER BY CAST(event_id AS VARCHAR), code, line) AS issue_rank FROM c""")

@@ -39,11 +39,8 @@ def digest_of(prefix: str, key: str) -> str:
     return f"sha256('{prefix}:' || CAST({key} AS VARCHAR))"
 
 
-ASSET_ID = F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey")
-
-
 def distinct_lines(t: Tables) -> DataFrame:
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().withColumn("asset_id", ASSET_ID)
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().withColumn("asset_id", F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey"))
 
 
 def products(t: Tables) -> DataFrame:

@@ -186,6 +186,72 @@ def prd11_qc_by_status(t: Tables) -> DataFrame:
     return P.qc_tables(reports(t))["by_status"]
 
 
+QC = """c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, role, length(text) AS n FROM conversations)"""
+
+
+def full_reports(t: Tables) -> DataFrame:
+    """A report a conversation: a metric a turn, named after the role, and a finding for every long one."""
+    turn = F.struct("turn", "role", "text")
+    nested = t.conversations.groupBy(F.col("conv_id").alias("report_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    metric = lambda x: F.struct(x["role"].alias("metric_id"), F.length(x["text"]).alias("value"))
+    finding = lambda x: F.struct(F.lit("LONG").alias("finding_code"), F.length(x["text"]).alias("size"))
+    return nested.select("report_id", F.lit("pass").alias("status"), F.transform("turns", metric).alias("metrics"), F.transform(F.filter("turns", lambda x: F.length(x["text"]) > 100), finding).alias("findings"))
+
+
+@query(f"WITH {QC} SELECT conv_id AS report_id, pos, role AS metric_id, n AS value FROM c")
+def prd11_qc_metrics(t: Tables) -> DataFrame:
+    return P.qc_tables(full_reports(t))["metrics"].withColumn("pos", F.col("pos").cast("long")).withColumn("value", F.col("value").cast("long"))
+
+
+@query(f"WITH {QC} SELECT conv_id AS report_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS pos, 'LONG' AS finding_code, n AS size FROM c WHERE n > 100")
+def prd11_qc_findings(t: Tables) -> DataFrame:
+    return P.qc_tables(full_reports(t))["findings"].withColumn("pos", F.col("pos").cast("long")).withColumn("size", F.col("size").cast("long"))
+
+
+@query(f"WITH {QC} SELECT CAST(conv_id AS VARCHAR) AS subject_id, 'error' AS kind, 'duplicate-metric-id' AS code, CAST(pos AS VARCHAR) AS location FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY pos) AS nth FROM c) WHERE nth > 1")
+def prd11_qc_duplicates(t: Tables) -> DataFrame:
+    return P.qc_tables(full_reports(t))["issues"]
+
+
+def whole_products(t: Tables) -> dict[str, DataFrame]:
+    """Tables of parts as products: suppliers are layers and ancestors, sizes axes of a geometry."""
+    lines_ = t.lineitem.select("l_partkey", "l_suppkey").distinct().groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.array_sort(F.collect_list("l_suppkey")).alias("suppliers"))
+    rows = t.part.join(lines_, "p_partkey")
+    axes = F.transform(F.sequence(F.lit(1), F.col("p_size") % 3 + 1), lambda i: F.struct(F.concat(F.lit("x"), i.cast("string")).alias("axis_id"), F.lit("range").alias("role")))
+    nested = rows.select(
+        F.col("p_partkey").alias("product_id"), F.transform("suppliers", lambda k: F.struct(F.concat(F.lit("l"), k.cast("string")).alias("layer_id"), F.lit("band").alias("role"))).alias("layers"),
+        F.array(F.struct(F.lit("g").alias("geometry_id"), F.lit("radar").alias("domain"), axes.alias("axes"))).alias("geometries"), F.transform("suppliers", lambda k: F.struct(F.lit("source").alias("role"), k.alias("artifact"))).alias("lineage"),
+        F.transform("suppliers", lambda k: F.struct(k.alias("record_id"))).alias("acquisition_refs"), F.create_map(F.lit("brand"), F.struct(F.lit("known").alias("status"), F.col("p_brand").alias("value"))).alias("semantic_metadata"),
+        F.create_map(F.lit("x:size"), F.col("p_size").cast("string"), F.lit("x:type"), F.col("p_type")).alias("extensions"),
+    )
+    return P.explode_products(nested)
+
+
+SUPPLIED = "s AS (SELECT DISTINCT l_partkey AS product_id, l_suppkey AS k FROM lineitem JOIN part ON p_partkey = l_partkey), r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY k) - 1 AS pos FROM s), p AS (SELECT * FROM part WHERE p_partkey IN (SELECT product_id FROM s))"
+CHILD_SQL = {
+    "layers": "SELECT product_id, pos, 'l' || CAST(k AS VARCHAR) || ':band' AS said FROM r",
+    "geometries": "SELECT p_partkey, 0, 'g:radar' FROM p",
+    "axes": "SELECT p_partkey, unnest(range(p_size % 3 + 1)), 'g:x' || CAST(unnest(range(1, p_size % 3 + 2)) AS VARCHAR) || ':range' FROM p",
+    "lineage": "SELECT product_id, pos, 'source:' || CAST(k AS VARCHAR) FROM r",
+    "acquisition_refs": "SELECT product_id, pos, CAST(k AS VARCHAR) FROM r",
+    "semantic_metadata": "SELECT p_partkey, NULL, 'brand:known:' || p_brand FROM p",
+    "extensions": "SELECT p_partkey, NULL, unnest(['x:size:' || CAST(p_size AS VARCHAR), 'x:type:' || p_type]) FROM p",
+}
+
+
+@query(f"WITH {SUPPLIED} SELECT child, product_id, CAST(pos AS BIGINT) AS pos, said FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS child, * FROM ({q}) AS x(product_id, pos, said)" for c, q in CHILD_SQL.items()) + ")")
+def prd1_child_tables(t: Tables) -> DataFrame:
+    found, tables = None, whole_products(t)
+    text = {
+        "layers": ["layer_id", "role"], "geometries": ["geometry_id", "domain"], "axes": ["geometry_id", "axis_id", "role"], "lineage": ["role", "artifact"], "acquisition_refs": ["record_id"], "semantic_metadata": ["name", "value.status", "value.value"], "extensions": ["name", "value"],
+    }
+    for child, columns in text.items():
+        pos = F.col("pos").cast("long") if "pos" in tables[child].columns else F.lit(None).cast("long")
+        rows = tables[child].select(F.lit(child).alias("child"), "product_id", pos.alias("pos"), F.concat_ws(":", *[F.col(c).cast("string") for c in columns]).alias("said"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query("SELECT event_id AS record_id, 'k' AS name, 'known' AS status, CAST(json_extract(props, '$.k') AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS reason_code FROM events")
 def prd12_acquisition_attributes(t: Tables) -> DataFrame:
     known = F.transform_values(F.from_json("props", "map<string,string>"), lambda _, v: F.struct(F.lit("known").alias("status"), v.alias("value"), F.lit(None).cast("string").alias("reason_code")))
