@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +37,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or tempfile.mkdtemp(prefix="spark-")
 
 
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, giving what its task freed back to the machine when it ends: a worker that is used again else keeps the
+    memory of the largest task that it ever ran beside what its next one takes."""
+
+    @functools.wraps(run)
+    def freeing(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return freeing
+
+
 def hashed_sample(df: DataFrame, columns: list[str], rows: int, total: int | None = None) -> DataFrame:
     """About ``rows`` rows of ``df``: those whose hash over ``columns`` falls below that share of all values.
 

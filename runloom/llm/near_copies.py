@@ -21,12 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm import simhash
-from runloom.llm.common import checkpointed, connected_components, hashed_sample
+from runloom.llm.common import checkpointed, connected_components, hashed_sample, releasing
 
 #: Rows whose shingles tell which are common, and common ones that are put last. Both only bear on speed.
 SAMPLE_ROWS, COMMON = 4_000, 100_000
-#: Shingles seen so often in the sample are dealt to so many tasks by the text that holds them.
-OFTEN, SALTS = 8, 64
+#: Shingles seen so often in the sample are dealt to tasks by the text that holds them: to so many at least, and to one for
+#: about so many texts.
+OFTEN, SALTS, SALT_ROWS = 8, 64, 1 << 16
 #: Nodes of a key that are paired at once; those of larger keys are held against one of them first.
 DENSE = 32
 #: Texts whose shingles a task holds at a time.
@@ -85,8 +86,8 @@ def _shingles(shingle: int):
     return run
 
 
-def _prefixes(shingle: int, threshold: float, common: np.ndarray, times: np.ndarray):
-    """The prefix shingles of each different text of a task, with their places in it."""
+def _prefixes(shingle: int, threshold: float, common: np.ndarray, times: np.ndarray, rows_each: float):
+    """The prefix shingles of each different text of a task, with their places in it. A row of the sample stands for ``rows_each``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -106,7 +107,8 @@ def _prefixes(shingle: int, threshold: float, common: np.ndarray, times: np.ndar
                     order = np.lexsort((s, often))
                     s, often = s[order], often[order]
                 k = n - _least(n, threshold) + 1 if n else 0
-                salt = np.where(often[:k] >= OFTEN, 1 + node % SALTS, 0)
+                salts = np.maximum(SALTS, np.ceil(often[:k] * (rows_each / SALT_ROWS))).astype(np.uint64)
+                salt = np.where(often[:k] >= OFTEN, 1 + (np.uint64(node) % salts).astype(np.int64), 0)
                 parts.append((s[:k], salt, np.full(k, node, np.uint64), np.full(k, n), np.arange(k)))
             if parts:
                 key, salt, node, n, i = (np.concatenate(x) for x in zip(*parts))
@@ -212,7 +214,7 @@ def _sent(texts: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
     """``needed`` with the text ``t`` of each row's ``node``; only texts that are needed are moved."""
     asked = checkpointed(nodes.join(needed.select("node").distinct(), "node").select("id").distinct())
     few = asked.count() <= SENT_IDS
-    mine = texts.join(F.broadcast(asked) if few else asked, "id", "left_semi").select("id", "t").mapInArrow(_texts, "node long, t binary")
+    mine = texts.join(F.broadcast(asked) if few else asked, "id", "left_semi").select("id", "t").mapInArrow(releasing(_texts), "node long, t binary")
     return needed.join(mine, "node")
 
 
@@ -220,8 +222,8 @@ def _links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, t
     """Those of the candidate ``pairs`` that are similar.
 
     Pairs are dealt into buckets by the first node that their second one meets, so that a group's texts go to one
-    bucket, and by the second one itself where that makes more than ``PAIRS``; each text goes once to each bucket
-    that needs it.
+    bucket, by the second one itself where that makes more than ``PAIRS``, and by both where the second one has more
+    than ``PAIRS`` alone; each text goes once to each bucket that needs it.
     """
     pairs = checkpointed(pairs.distinct())
     n = pairs.count()
@@ -229,7 +231,8 @@ def _links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, t
         return pairs
     label = checkpointed(pairs.groupBy("v").agg(F.min("u").alias("label"), F.count("*").alias("c")))
     parts = label.groupBy("label").agg(F.ceil(F.sum("c") / PAIRS).alias("parts"))
-    bucket = F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("v"), F.col("parts"))), F.lit(math.ceil(n / PAIRS)))
+    salt = F.when(F.col("c") > PAIRS, F.pmod(F.xxhash64("u"), F.ceil(F.col("c") / PAIRS))).otherwise(0)
+    bucket = F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("v"), F.col("parts")), salt), F.lit(math.ceil(n / PAIRS)))
     dealt = checkpointed(pairs.join(label.join(parts, "label"), "v").select("u", "v", bucket.alias("bucket")))
     needed = checkpointed(dealt.select(F.col("u").alias("node"), F.col("bucket").alias("at")).unionByName(dealt.select(F.col("v").alias("node"), F.col("bucket").alias("at"))).distinct())
     sent = _sent(texts, nodes, needed).groupBy("at")
@@ -311,19 +314,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent in a sample are dealt to several tasks.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    seen = hashed_sample(texts, ["id", "t"], SAMPLE_ROWS).mapInArrow(_shingles(shingle), "x long")
+    total = texts.count()
+    seen = hashed_sample(texts, ["id", "t"], SAMPLE_ROWS, total).mapInArrow(releasing(_shingles(shingle)), "x long")
     often = seen.groupBy("x").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "x").limit(COMMON).collect()
     common, times = np.array([r.x for r in often], np.int64).view(np.uint64), np.array([r.n for r in often], np.int64)
     order = np.argsort(common)
-    rows = checkpointed(texts.mapInArrow(_named(shingle), "id long, node long, fp long"))
+    rows = checkpointed(texts.mapInArrow(releasing(_named(shingle)), "id long, node long, fp long"))
     known = rows.where("id IS NOT NULL")
     nodes = checkpointed(known.groupBy("node").agg(F.min("id").alias("id"), F.any_value("fp").alias("fp")))
 
     by_print = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     alike = nodes.join(by_print, "fp").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
     close = simhash.links(by_print.select(F.col("rep").alias("node"), "fp"), max_bits)
-    keyed = texts.where("id IS NOT NULL").mapInArrow(_prefixes(shingle, threshold, common[order], times[order]), "key long, salt int, node long, n int, i int")
-    met = keyed.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_meet(threshold, dense), _MET)
+    keyed = texts.where("id IS NOT NULL").mapInArrow(releasing(_prefixes(shingle, threshold, common[order], times[order], max(1.0, total / SAMPLE_ROWS))), "key long, salt int, node long, n int, i int")
+    met = keyed.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(releasing(_meet(threshold, dense)), _MET)
     met = checkpointed(met)
     hot = met.where("key IS NOT NULL").select("key", "node", "n", "i")
     wide = checkpointed(hot.groupBy("node").agg(F.count("*").alias("w")))
