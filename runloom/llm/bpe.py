@@ -21,10 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runloom.llm.common import releasing
+
 #: Distinct pre-tokens whose ids a worker remembers; beyond it starts over. Only speed depends on it.
 CACHE_ENTRIES = 60_000
 #: Text that is split into pre-tokens at a time.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 
 class RankQueue:
@@ -286,4 +288,4 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(kept, pa.binary()), pa.array(decoded, pa.binary()), pa.array(a), pa.array(d)]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(releasing(run), f"id {kind}, n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string")
