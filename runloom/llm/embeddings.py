@@ -26,8 +26,8 @@ from runloom.llm.common import checkpointed, connected_components
 
 #: Projections of a pass, neighbours compared on each side, and rows that a task compares at a time.
 BITS, WINDOW, BLOCK = 62, 1024, 8192
-#: Passes of a round at most, and rounds after which vectors that are still too dense are compared in tiles.
-ROUND, ROUNDS = 8, 4
+#: Rounds after which vectors that are still too dense are compared in tiles.
+ROUNDS = 4
 #: Chance at which a link at the threshold may be missed.
 MISS = 0.01
 #: Vectors on each side of one exact comparison.
@@ -143,7 +143,10 @@ def _compare(threshold: float, window: int, block: int, shallow: int):
 
 
 def _passes(nodes: DataFrame, n: int, passes: list[int], threshold: float, window: int, block: int, seed: int, miss: float) -> tuple[DataFrame, DataFrame]:
-    """(edges, nodes whose links may be missed with more than a chance of ``miss``) of some passes over ``n`` nodes."""
+    """(edges, nodes whose links may be missed with more than a chance of ``miss``) of some passes over ``n`` nodes.
+
+    ``missed`` of a node is the logarithm of that chance, after the rounds so far; the nodes come back with theirs.
+    """
     shallow = math.ceil(math.log2(max(1.0, n / window)))
     keyed = nodes.select("node", F.size("v").alias("dim"), "v").mapInArrow(_keys(passes, seed), "node long, dim int, pass int, key long")
     order = ["pass", "dim", "key", "node"]
@@ -168,9 +171,10 @@ def _passes(nodes: DataFrame, n: int, passes: list[int], threshold: float, windo
     log_missed = lambda bits: F.log1p(-F.pow(F.lit(agreement(threshold)), bits))
     rest = float(math.log1p(-(agreement(threshold) ** shallow))) if shallow else -math.inf
     if not shallow:
-        return edges, nodes.limit(0)
+        return edges, nodes.limit(0).select("node", "missed")
     deep = found.where("v = -1 AND bits > 0").groupBy("u", "pass").agg(F.max("bits").alias("bits")).groupBy("u").agg((F.sum(log_missed(F.col("bits"))) + (len(passes) - F.count("*")) * rest).alias("missed"))
-    return edges, deep.where(F.col("missed") > math.log(miss)).select(F.col("u").alias("node"))
+    deep = deep.select(F.col("u").alias("node"), F.col("missed").alias("now")).join(nodes.select("node", "missed"), "node").select("node", (F.col("now") + F.col("missed")).alias("missed"))
+    return edges, deep.where(F.col("missed") > math.log(miss))
 
 
 def _half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,13 +262,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     usable = rows.where(good & F.col("id").isNotNull())
     nodes = checkpointed(usable.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
 
-    active, n, first, edges = nodes, nodes.count(), 0, None
-    for turn in range(ROUNDS):
-        many = passes_for(n, window, threshold, miss) if turn == 0 else ROUND
+    active, n, first, edges = nodes.withColumn("missed", F.lit(0.0)), nodes.count(), 0, None
+    for _ in range(ROUNDS):
+        many = passes_for(n, window, threshold, miss)
         found, dense = _passes(active, n, list(range(first, first + many)), threshold, window, block, seed, miss)
         edges = found if edges is None else edges.unionByName(found)
         first += many
-        active = checkpointed(active.join(dense, "node", "left_semi"))
+        active = checkpointed(active.drop("missed").join(dense, "node"))
         n = active.count()
         if n <= TILE * 4:
             break
