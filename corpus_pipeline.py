@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 as the next one's docs. All but the last return the columns of ``documents``. Texts are not shuffled for
 verdicts: only rows with an exceptional verdict are gathered, and up to ``SENT_ROWS`` of them travel to the
 documents; beyond that Spark joins both by shuffles. The stages bound the Arrow batches of their session to
-``BATCH_BYTES``, unless it already has a bound other than Spark's own. Verdicts are joined by a 128-bit hash of the row
+``BATCH_BYTES``, unless it already has a bound other than Spark's own; :func:`run` puts the session's back. Verdicts are joined by a 128-bit hash of the row
 (``_KEY``), so rows without an id and repeated ids are handled, or by the id. Further columns of ``docs``
 are dropped only by the last stage; none may be named ``corpus_pipeline_row`` or ``corpus_pipeline_pii``.
 """
@@ -28,6 +28,7 @@ _KEY = "corpus_pipeline_row"
 SENT_ROWS = 1_000_000
 #: Bytes of an Arrow batch; Spark's 64 MB take several times that in the executor and again in its Python worker.
 BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -35,9 +36,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def _small_batches(stage: Stage) -> Stage:
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        name = "spark.sql.execution.arrow.maxBytesPerBatch"
-        if spark.conf.get(name) == "67108864b":
-            spark.conf.set(name, BATCH_BYTES)
+        if spark.conf.get(_BATCHES) == "67108864b":
+            spark.conf.set(_BATCHES, BATCH_BYTES)
         return stage(spark, docs, sf_dir)
 
     return run
@@ -128,7 +128,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written to the shared checkpoint folder and read again."""
     to = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for n, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{to}/{n}-{name}")
-        docs = spark.read.parquet(f"{to}/{n}-{name}")
+    before = spark.conf.get(_BATCHES)
+    try:
+        for n, (name, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{to}/{n}-{name}")
+            docs = spark.read.parquet(f"{to}/{n}-{name}")
+    finally:
+        spark.conf.set(_BATCHES, before)
     return docs
