@@ -2,18 +2,24 @@
 
 A value that passes its kind's validation (check digits, calendar, number ranges) becomes a whole number
 below the count of valid values of its format, a keyed permutation of that range maps it to another,
-and that is written in the same format. The permutation depends on the key, the kind and the format
-alone, so equal values of one format stay equal in all documents and different ones stay different. Numbers
-written with other separators are equal values; dates are linked within one order of day, month and year.
+and that is written in the same format. The permutation depends on the key, the kind and the range
+alone, so equal values stay equal in all documents and different ones stay different. Numbers written with other
+separators are equal values, and so are dates however they are written if their order can be told: year first,
+day first with points, month spelled. Of those with slashes or hyphens and the year last, month and day can't be told
+apart; they are linked among themselves, whatever their separator. Dates of 1900-2099 become such dates, those of
+the other years from 1000 to 2999 one of those. An address keeps its domain.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from calendar import isleap
 from collections.abc import Callable, Iterator
-from datetime import date
+from datetime import date, timedelta
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -103,22 +109,48 @@ def _ssn(m: re.Match, key: bytes) -> str | None:
     return f"{a:03d}-{g + 1:02d}-{s + 1:04d}"
 
 
-_FIRST, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
+#: Years that dates are moved within: the usual ones among themselves, and the rest of these.
+_NEAR, _FAR = range(1900, 2100), [*range(1000, 1900), *range(2100, 3000)]
 _MONTHS = "January February March April May June July August September October November December".split()
 
 
-@lru_cache(maxsize=1)
-def _numeric_dates() -> tuple[list[tuple[int, int, int]], dict[tuple[int, int, int], int]]:
-    """All (first, second, year) that are a date month first or else day first, in order, and their places."""
+def _years(year: int) -> tuple[str, list[int] | range] | None:
+    return ("", _NEAR) if year in _NEAR else ("far", _FAR) if 1000 <= year < 3000 else None
+
+
+@lru_cache(maxsize=4)
+def _forms(leap: bool, numeric: bool) -> tuple[list[tuple[int, int]], dict[tuple[int, int], int]]:
+    """All (month, day) of a year in order, and their places; numeric ones have those as well that can only be day first."""
     found = []
-    for day in range(_DAYS):
-        d = date.fromordinal(_FIRST + day)
-        found.append((d.month, d.day, d.year))
-        if d.day > 12:
-            found.append((d.day, d.month, d.year))
+    d = date(2000 if leap else 2001, 1, 1)
+    while d.year < 2002 - leap:
+        found.append((d.month, d.day))
+        if numeric and d.day > 12:
+            found.append((d.day, d.month))
+        d += timedelta(days=1)
     return found, {x: i for i, x in enumerate(found)}
 
 
+@lru_cache(maxsize=4)
+def _starts(far: str, numeric: bool) -> list[int]:
+    """Before each year the number of dates in the years before it, and that of all at the end."""
+    return list(accumulate((len(_forms(isleap(y), numeric)[0]) for y in (_FAR if far else _NEAR)), initial=0))
+
+
+def _moved(year: int, first: int, second: int, key: bytes, numeric: bool = False) -> tuple[int, int, int] | None:
+    """The pseudonym of a date as (year, first, second): month and day, or for numeric forms either of which may be first."""
+    if (found := _years(year)) is None:
+        return None
+    far, years = found
+    at = _forms(isleap(year), numeric)[1].get((first, second))
+    if at is None:
+        return None
+    starts = _starts(far, numeric)
+    to = permute(starts[years.index(year)] + at, starts[-1], key, f"date{far}{'?' if numeric else ''}")
+    i = bisect_right(starts, to) - 1
+    return (years[i], *_forms(isleap(years[i]), numeric)[0][to - starts[i]])
+
+
 def _padded(value: int, like: str) -> str:
     return f"{value:0{len(like)}d}"
 
@@ -126,38 +158,26 @@ def _padded(value: int, like: str) -> str:
 def _date(m: re.Match, key: bytes) -> str | None:
     sep, b, c = m["sep"], m["b"], m["c"]
     if not m["y"] and sep != ".":  # month first or day first: which can't be told, so both are one range of values
-        dates, places = _numeric_dates()
-        at = places.get((int(m["a"]), int(b), int(c)))
-        if at is None:
-            return None
-        x, y, year = dates[permute(at, len(dates), key, f"date{sep}")]
-        return sep.join((_padded(x, m["a"]), _padded(y, b), f"{year:04d}"))
+        new = _moved(int(c), int(m["a"]), int(b), key, numeric=True)
+        return new and sep.join((_padded(new[1], m["a"]), _padded(new[2], b), f"{new[0]:04d}"))
     year, month, day = (m["y"], b, c) if m["y"] else (c, b, m["a"])
-    d = _moved(int(year), int(month), int(day), key, f"date{'ymd' if m['y'] else 'dmy'}{sep}")
-    if d is None:
+    new = _moved(int(year), int(month), int(day), key)
+    if new is None:
         return None
-    parts = [f"{d.year:04d}", _padded(d.month, month), _padded(d.day, day)]
+    parts = [f"{new[0]:04d}", _padded(new[1], month), _padded(new[2], day)]
     return sep.join(parts if m["y"] else parts[::-1])
 
 
-def _moved(year: int, month: int, day: int, key: bytes, tweak: str) -> date | None:
-    """The pseudonym of a day of 1900-2099."""
-    try:
-        at = date(year, month, day).toordinal() - _FIRST
-    except ValueError:
-        return None
-    return date.fromordinal(permute(at, _DAYS, key, tweak) + _FIRST) if 0 <= at < _DAYS else None
-
-
 def _spelled(m: re.Match, key: bytes) -> str | None:
     """12 March 1999, March 12, 1999 and the like; full and short names of months are the same values."""
     name, day = m["m1"] or m["m2"], m["d1"] or m["d2"]
     month = next((i for i, x in enumerate(_MONTHS, 1) if name in (x, x[:3])), 0)
-    d = _moved(int(m["y"]), month, int(day), key, "spelled")
-    if d is None:
+    moved = _moved(int(m["y"]), month, int(day), key)
+    if moved is None:
         return None
-    new = _MONTHS[d.month - 1][: None if len(name) > 3 or name == "May" else 3]
-    parts = [(m.start(g) - m.start(), m.end(g) - m.start(), t) for g, t in (("d1", _padded(d.day, day)), ("m1", new), ("m2", new), ("d2", _padded(d.day, day)), ("y", f"{d.year:04d}")) if m[g]]
+    year, month, to = moved
+    new = _MONTHS[month - 1][: None if len(name) > 3 or name == "May" else 3]
+    parts = [(m.start(g) - m.start(), m.end(g) - m.start(), t) for g, t in (("d1", _padded(to, day)), ("m1", new), ("m2", new), ("d2", _padded(to, day)), ("y", f"{year:04d}")) if m[g]]
     out, last = "", 0
     for start, end, t in parts:
         out += m[0][last:start] + t
@@ -173,18 +193,34 @@ def _phone(m: re.Match, key: bytes) -> str | None:
     return _fill(m[0], fixed + _number(d[len(fixed) :], key, "phone"))
 
 
+@lru_cache(maxsize=4096)
+def _alphabet(c: str) -> str:
+    """The characters that one may become: ASCII letters of its case, digits, of other cased letters those of its case
+    among the 64 code points around it, else itself."""
+    if c.isascii():
+        return "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() else "0123456789" if c.isdigit() else c
+    if not _is_cased(c):
+        return c
+    base = ord(c) & ~63
+    return "".join(x for x in map(chr, range(base, base + 64)) if _is_cased(x) and x.islower() == c.islower())
+
+
+def _is_cased(c: str) -> bool:
+    return c.isalpha() and c.lower() != c.upper()
+
+
 def _alphabetic(text: str, key: bytes, tweak: str) -> str:
     """Letters to letters of the same case and digits to digits; the rest stays."""
-    sizes = [26 if c.isascii() and c.isalpha() else 10 if c.isascii() and c.isdigit() else 1 for c in text]
+    alphabets = [_alphabet(c) for c in text]
     n, x = 1, 0
-    for c, size in zip(text, sizes):
-        n *= size
-        x = x * size + (ord(c.lower()) - 97 if size == 26 else int(c) if size == 10 else 0)
-    x = permute(x, n, key, tweak + re.sub("[A-Za-z]", "a", re.sub("[0-9]", "0", text)))
+    for c, letters in zip(text, alphabets):
+        n *= len(letters)
+        x = x * len(letters) + letters.index(c)
+    x = permute(x, n, key, tweak + "".join("a" if c.isascii() and c.isalpha() else letters[0] for c, letters in zip(text, alphabets)))
     out = []
-    for c, size in zip(reversed(text), reversed(sizes)):
-        x, r = divmod(x, size)
-        out.append(c if size == 1 else str(r) if size == 10 else chr(r + (65 if c.isupper() else 97)))
+    for letters in reversed(alphabets):
+        x, r = divmod(x, len(letters))
+        out.append(letters[r])
     return "".join(reversed(out))
 
 
@@ -231,7 +267,7 @@ def _emails(text: str, key: bytes) -> Iterator[tuple[int, int, int, str, str]]:
     last = 0
     for m in _AT.finditer(text):
         at = m.start()
-        while at > last and text[at - 1] in _LOCAL:
+        while at > last and (text[at - 1] in _LOCAL or not text[at - 1].isascii() and _is_cased(text[at - 1])):
             at -= 1
         while at < m.start() and text[at] == ".":
             at += 1
