@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +33,8 @@ STOP_WORDS = frozenset(
 )
 #: Blocks shorter than LONG characters may be short; stop-word densities; highest share of link text; how far a heading may lie before a good block.
 SHORT, LONG, LOW, HIGH, MAX_LINKS, HEADING_REACH = 70, 200, 0.10, 0.18, 0.5, 200
+#: Share of a page's text in blocks dense in stop words below which it is in no language that is listed.
+LISTED = 0.1
 
 _SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas audio video textarea select option datalist head title".split())
 #: Of these, elements whose content is no markup: without an end tag they reach to the end of the page.
@@ -67,9 +70,10 @@ _MARK = re.compile(
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:_-]{0,60}+)(?P<attr2>[^<>]*+)>",
     re.S,
 )
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTR = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _WORD = re.compile(r"[^\W\d_]+")
+_OTHER_SCRIPT = re.compile(r"[^\x00-\u024f\u1e00-\u1eff]")  # beyond the blocks of Latin letters
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
@@ -95,6 +99,7 @@ def _ends(page: str, name: str) -> dict[int, int]:
 def _open_end(page: str, at: int) -> int:
     """Where an element without an end tag ends: before the next block, or before the end tag of its container."""
     inside: list[str] = []
+    open_: Counter[str] = Counter()
     for m in _MARK.finditer(page, at):
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
@@ -102,11 +107,15 @@ def _open_end(page: str, at: int) -> int:
         if name in _BLOCKS:
             return m.start()
         if m["close"] or m["close2"]:
-            if name not in inside:
+            if not open_[name]:
                 return m.start()
-            del inside[len(inside) - 1 - inside[::-1].index(name) :]
+            last = ""
+            while last != name:
+                last = inside.pop()
+                open_[last] -= 1
         elif name not in _VOID:
             inside.append(name)
+            open_[name] += 1
     return len(page)
 
 
@@ -267,8 +276,25 @@ def _nearest(found: list[Block], labels: list[str], skip: tuple[str, ...], back:
     return out
 
 
+def _is_listed(found: list[Block]) -> bool:
+    """Whether the stop words are those of a page's language.
+
+    Told by its blocks of some length that aren't links: they aren't if most letters are of another script, or if next
+    to nothing of a text of some length is dense in them (a language of which no words are listed).
+    """
+    length = dense = letters = other = 0
+    for b in found:
+        if not b.boiler and len(b.text) >= SHORT and b.links <= MAX_LINKS * len(b.text):
+            length += len(b.text)
+            dense += len(b.text) if stop_density(b.text) >= LOW else 0
+            words = "".join(_WORD.findall(b.text))
+            letters, other = letters + len(words), other + len(_OTHER_SCRIPT.findall(words))
+    return 2 * other <= letters and (length < LONG or dense >= LISTED * length)
+
+
 def classify(found: list[Block]) -> list[Block]:
     """Set the label of every block to good or bad."""
+    listed = _is_listed(found)
     for b in found:
         n = len(b.text)
         if b.boiler or b.links > MAX_LINKS * n:
@@ -276,7 +302,7 @@ def classify(found: list[Block]) -> list[Block]:
         elif not b.main and ("©" in b.text or "|" in b.text and b.links):
             b.label = "bad"
         else:
-            dense = stop_density(b.text)
+            dense = stop_density(b.text) if listed else HIGH if n >= SHORT else 0.0  # unlisted: length and links decide
             if b.main:
                 b.label = "good" if n >= SHORT or dense >= LOW else "short"
             elif n < SHORT:
