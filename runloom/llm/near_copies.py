@@ -218,25 +218,30 @@ def _sent(texts: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
     return needed.join(mine, "node")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Those of the candidate ``pairs`` that are similar.
+def dealt(pairs: DataFrame, n: int) -> DataFrame:
+    """``n`` ``pairs`` (u, v) with the ``bucket`` in which each is compared.
 
     Pairs are dealt into buckets by the first node that their second one meets, so that a group's texts go to one
     bucket, by the second one itself where that makes more than ``PAIRS``, and by both where the second one has more
-    than ``PAIRS`` alone; each text goes once to each bucket that needs it.
+    than ``PAIRS`` alone.
     """
-    pairs = checkpointed(pairs.distinct())
-    n = pairs.count()
-    if not n:
-        return pairs
     label = checkpointed(pairs.groupBy("v").agg(F.min("u").alias("label"), F.count("*").alias("c")))
     parts = label.groupBy("label").agg(F.ceil(F.sum("c") / PAIRS).alias("parts"))
     salt = F.when(F.col("c") > PAIRS, F.pmod(F.xxhash64("u"), F.ceil(F.col("c") / PAIRS))).otherwise(0)
     bucket = F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("v"), F.col("parts")), salt), F.lit(math.ceil(n / PAIRS)))
-    dealt = checkpointed(pairs.join(label.join(parts, "label"), "v").select("u", "v", bucket.alias("bucket")))
-    needed = checkpointed(dealt.select(F.col("u").alias("node"), F.col("bucket").alias("at")).unionByName(dealt.select(F.col("v").alias("node"), F.col("bucket").alias("at"))).distinct())
+    return checkpointed(pairs.join(label.join(parts, "label"), "v").select("u", "v", bucket.alias("bucket")))
+
+
+def _links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Those of the candidate ``pairs`` that are similar. A text goes once to each bucket of :func:`dealt` that needs it."""
+    pairs = checkpointed(pairs.distinct())
+    n = pairs.count()
+    if not n:
+        return pairs
+    placed = dealt(pairs, n)
+    needed = checkpointed(placed.select(F.col("u").alias("node"), F.col("bucket").alias("at")).unionByName(placed.select(F.col("v").alias("node"), F.col("bucket").alias("at"))).distinct())
     sent = _sent(texts, nodes, needed).groupBy("at")
-    return checkpointed(dealt.groupBy("bucket").cogroup(sent).applyInPandas(_similar(shingle, threshold), "u long, v long"))
+    return checkpointed(placed.groupBy("bucket").cogroup(sent).applyInPandas(_similar(shingle, threshold), "u long, v long"))
 
 
 def _tile(shingle: int, threshold: float):

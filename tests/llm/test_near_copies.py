@@ -57,3 +57,23 @@ def test_pipeline_drops_near_copies(spark):
     rows = [(k, " ".join(t), "en", "s", 1) for k, t in enumerate([words, near, far])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2]
+
+
+def test_hubs_and_frequent_keys_are_split(spark, monkeypatch):
+    """The same links when a bucket takes few pairs, so that one text's pairs are dealt to many, and keys to many tasks."""
+    for name, value in (("PAIRS", 7), ("OFTEN", 2), ("SALTS", 5), ("SALT_ROWS", 3), ("TILE", 8)):
+        monkeypatch.setattr(near_copies, name, value)
+    rows = near_rows()
+    want = {(r.id, r.component) for r in near_copies.near_duplicates(docs_frame(spark, rows), dense=4).collect()}
+    monkeypatch.undo()
+    assert want == {(r.id, r.component) for r in near_copies.near_duplicates(docs_frame(spark, rows)).collect()}
+
+
+def test_a_hub_goes_to_many_buckets(spark):
+    """The second node of a thousand pairs doesn't take them all into one bucket."""
+    from pyspark.sql import functions as F
+
+    pairs = spark.range(2000).select(F.col("id").alias("u"), F.lit(5000).cast("long").alias("v"))
+    dealt = near_copies.dealt(pairs, 2000)
+    sizes = [r["count"] for r in dealt.groupBy("bucket").count().collect()]
+    assert sum(sizes) == 2000 and len(sizes) >= 3 and max(sizes) <= 3 * near_copies.PAIRS
