@@ -169,37 +169,43 @@ def check_ports(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ports:
     """
     subject = F.concat_ws("/", "plan_id", "task_id")
     key = ["plan_id", "task_id", "port"]
-    want = tasks.select("plan_id", "task_id", "operation_id").join(ports, "operation_id")
-    want_in, want_out = want.where("direction = 'input'"), want.where("direction = 'output'")
     src = outputs.select("plan_id", F.col("task_id").alias("src_task"), F.col("port").alias("src_port"), F.col("schema_id").alias("made_schema"), F.col("profile_id").alias("made_profile"), F.col("count").alias("n"))
     own = F.col("schema_id") if "schema_id" in inputs.columns else F.lit(None).cast("string")
     flow = inputs.select(*key, "src_task", "src_port", own.alias("own_schema")).join(src, ["plan_id", "src_task", "src_port"], "left")
     outside = F.col("src_task").isNull()
-    per = flow.groupBy(*key).agg(F.sum(F.coalesce("n", F.lit(1))).alias("total"), F.count_if(outside).alias("n_external"))
-    counted = want_in.join(per, key, "full_outer")
-    total = F.coalesce("total", F.lit(0))
-    unknown = F.col("direction").isNull()
-    out = all_issues(
-        counted,
-        subject,
-        issue(unknown, "PLAN_PORT_SET", F.col("port")),
-        issue(~unknown & ((total < F.col("min_count")) | F.coalesce(total > F.col("max_count"), F.lit(False))), "PLAN_INPUT_COUNT", F.col("port")),
-        issue(F.col("n_external") > 0, "PLAN_EXTERNAL_RECORD_UNVERIFIED", F.col("port"), UNVERIFIED),
-        issue((F.col("n_external") > 0) & F.col("profile_id").isNotNull(), "PLAN_EXTERNAL_PROFILE_UNVERIFIED", F.col("port"), UNVERIFIED),
-    )
+    # what is asked of a port, what flows into it and what is declared for it are rows of one table, and meet in one aggregate
+    asked = tasks.select("plan_id", "task_id", "operation_id").join(ports, "operation_id")
+    asked = asked.select(*key, "direction", F.struct("schema_id", "profile_id", "min_count", "max_count").alias("want"))
     got = F.when(outside, F.col("own_schema")).otherwise(F.col("made_schema"))
-    typed = flow.withColumn("got_schema", got).where("got_schema IS NOT NULL").join(want_in, key)
-    odd = all_issues(
-        typed,
+    flowing = flow.select(*key, F.lit("input").alias("direction"), F.struct(got.alias("schema"), F.col("made_profile").alias("profile"), F.coalesce("n", F.lit(1)).cast("long").alias("n"), outside.alias("outside")).alias("one"))
+    declared = outputs.select(*key, F.lit("output").alias("direction"), F.struct(F.col("schema_id").alias("schema"), F.col("profile_id").alias("profile"), F.col("count").cast("long").alias("n"), F.lit(False).alias("outside")).alias("one"))
+    rows = flowing.unionByName(declared)
+    rows = rows.withColumn("want", F.lit(None).cast(asked.schema["want"].dataType)).unionByName(asked.withColumn("one", F.lit(None).cast(rows.schema["one"].dataType)))
+    there, one = F.col("one").isNotNull(), lambda name: F.col(f"one.{name}")
+    typed = there & ~one("outside") & (one("schema").isNotNull() | (F.col("direction") == "output"))
+    met = rows.groupBy(*key, "direction").agg(
+        F.max("want").alias("want"), F.count_if(there).alias("n_rows"), F.coalesce(F.sum(one("n")), F.lit(0)).alias("total"), F.count_if(one("outside")).alias("n_external"), F.min(one("schema")).alias("low"), F.max(one("schema")).alias("high"),
+        F.count_if(typed & one("profile").isNull()).alias("n_bare"), F.min(F.when(typed, one("profile"))).alias("low_profile"), F.max(F.when(typed, one("profile"))).alias("high_profile"), F.min(one("n")).alias("least"), F.max(one("n")).alias("most"),
+    )
+    want = lambda name: F.col(f"want.{name}")
+    given, into = F.col("want").isNotNull(), F.col("direction") == "input"
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    schema = yes((F.col("low") != want("schema_id")) | (F.col("high") != want("schema_id")))
+    profile = (F.col("n_bare") > 0) | yes((F.col("low_profile") != want("profile_id")) | (F.col("high_profile") != want("profile_id")))
+    made_profile = F.when(want("profile_id").isNull(), F.col("low_profile").isNotNull()).otherwise(profile)
+    number = yes((F.col("least") != want("min_count")) | (F.col("most") != want("min_count")))
+    port = F.col("port")
+    out = all_issues(
+        met,
         subject,
-        issue(F.col("got_schema") != F.col("schema_id"), "PLAN_INPUT_SCHEMA", F.col("port")),
-        issue(~outside & F.col("profile_id").isNotNull() & ~F.col("made_profile").eqNullSafe(F.col("profile_id")), "PLAN_INPUT_PROFILE", F.col("port")),
-    ).distinct()
-    declared = outputs.select(*key, F.col("schema_id").alias("got_schema"), F.col("profile_id").alias("got_profile"), F.col("count").alias("n"))
-    made = declared.join(want_out, key, "full_outer")
-    contract = (F.col("got_schema") != F.col("schema_id")) | ~F.col("got_profile").eqNullSafe(F.col("profile_id")) | (F.col("n") != F.col("min_count"))
-    out = out.unionByName(odd).unionByName(
-        all_issues(made, subject, issue(F.col("direction").isNull() | F.col("n").isNull(), "PLAN_PORT_SET", F.col("port")), issue(F.coalesce(contract, F.lit(False)), "PLAN_OUTPUT_CONTRACT", F.col("port")))
+        issue(into & ~given, "PLAN_PORT_SET", port),
+        issue(into & given & ((F.col("total") < want("min_count")) | yes(F.col("total") > want("max_count"))), "PLAN_INPUT_COUNT", port),
+        issue(into & (F.col("n_external") > 0), "PLAN_EXTERNAL_RECORD_UNVERIFIED", port, UNVERIFIED),
+        issue(into & (F.col("n_external") > 0) & want("profile_id").isNotNull(), "PLAN_EXTERNAL_PROFILE_UNVERIFIED", port, UNVERIFIED),
+        issue(into & given & schema, "PLAN_INPUT_SCHEMA", port),
+        issue(into & given & want("profile_id").isNotNull() & profile, "PLAN_INPUT_PROFILE", port),
+        issue(~into & (~given | (F.col("n_rows") == 0)), "PLAN_PORT_SET", port),
+        issue(~into & given & (F.col("n_rows") > 0) & (schema | made_profile | number), "PLAN_OUTPUT_CONTRACT", port),
     )
     if operations is None:
         return out
