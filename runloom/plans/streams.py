@@ -114,8 +114,9 @@ def src2_fact_kinds(t: Tables) -> DataFrame:
     facts = t.events.select("user_id").distinct().select("user_id", path.alias("path"), value.alias("value"))
     records.write_fact_files(facts.select("path", "value"), f"{to}/facts")
     short, found = F.regexp_extract("path", r"/facts/(.*)$", 1).alias("path"), None
+    texts = records.fact_texts(t.spark, f"{to}/facts")
     for kind in KINDS:
-        good, refused = records.read_facts(t.spark, f"{to}/facts", kind)
+        good, refused = records.read_facts(t.spark, f"{to}/facts", kind, texts=texts)
         none = F.lit(None).cast("string")
         both = good.select(short, none.alias("reject_code"), none.alias("reject_path"), "path_ok").unionByName(refused.select(short, "reject_code", "reject_path", F.lit(None).cast("boolean").alias("path_ok")))
         both = both.withColumn("kind", F.lit(kind))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -14,12 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.functions.exprs import path_key
+from runloom.sources import listing
+from runloom.sources.listing import open_store
+from runloom.sources.shared import shared_folder
 from runloom.sources.strict import first_fault
 
 #: Largest settings document that is read, in bytes.
 MAX_DOCUMENT = 1 << 20
 #: Bytes that a file is hashed by.
 HASH_BLOCK = 1 << 20
+#: Bytes of text that a batch of files is cut at.
+TEXT_BATCH = 16 << 20
+#: What stands as it is in a path as ``input_file_name`` gives it.
+PATH_SAFE = "/:@!$&'()*+,;=~-._"
 #: Path parts of the fact kinds below a root; groups are run, and task and attempt where there are such.
 FACT_PATHS = {
     "run": r"runs/([^/]+)/run\.json$",
@@ -96,15 +104,56 @@ def _exact_keys(text: Column, names: list[str]) -> Column:
     return F.coalesce((F.size(keys) == len(names)) & (F.size(F.array_except(keys, F.array(*map(F.lit, names)))) == 0), F.lit(False))
 
 
-def read_facts(spark: SparkSession, root: str, kind: str, schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The content of each file behind its path; a batch ends at ``TEXT_BATCH`` bytes."""
+    for b in batches:
+        paths: list[str] = []
+        values: list[str] = []
+        size = 0
+        for root, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            store, at = open_store(root)
+            with store.open_input_stream(f"{at.rstrip('/')}/{path}", compression=None) as f:
+                raw = f.read()
+            paths.append(f"{root}/{quote(path, safe=PATH_SAFE)}")
+            values.append(raw.decode("utf-8", "replace"))
+            size += len(raw)
+            if size >= TEXT_BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(values, pa.string())], names=["path", "value"])
+                paths, values, size = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(values, pa.string())], names=["path", "value"])
+
+
+def fact_texts(spark: SparkSession, root: str) -> DataFrame:
+    """``path, value`` of every JSON file below ``root``, a table in the shared folder.
+
+    Directories are listed and files are read by tasks, each once, however many there are: nothing of a file goes through the driver.
+    As in Spark's readers, names that begin with a point or an underscore are left out. A directory or file that can't be
+    read is an error.
+    """
+    root = re.sub("^file:/+|^/+", "file:///", root.rstrip("/"), count=1)
+    found = listing.list_directories(spark.createDataFrame([(0, root)], "dir_id long, root string"))
+    shown = ~F.col("path").rlike(r"(^|/)[._]")
+    lost = found.where((F.col("kind") == "error") & shown).select("path", "error").limit(1).collect()
+    if lost:
+        raise OSError(f"{lost[0].error}: {root}/{lost[0].path}")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    to = f"{shared_folder(spark)}/fact-texts-{uuid.uuid4().hex}"
+    files = found.where(F.col("kind").isin("file", "link") & shown & F.col("path").endswith(".json")).select("root", "path")
+    files.repartition(n, "path").mapInArrow(_read_texts, "path string, value string").write.parquet(to)
+    return spark.read.parquet(to)
+
+
+def read_facts(spark: SparkSession, root: str, kind: str, schema: T.StructType | None = None, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(facts, rejects) of one kind below ``root``.
 
     A file is an envelope of schema_version, kind and payload, with exactly the payload fields of the kind.
     Others are refused by a code and, for values of another type than the kind's schema asks at any depth, their
     path in the payload. Facts carry ``path``, the ids in it (``path_ids``) and ``path_ok``: whether
-    those ids are the payload's, tasks standing there as :func:`path_key`.
+    those ids are the payload's, tasks standing there as :func:`path_key`. ``texts`` are those of :func:`fact_texts`, where
+    several kinds are read from one root.
     """
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root).withColumn("path", F.input_file_name())
+    texts = fact_texts(spark, root) if texts is None else texts
     schema = schema or fact_schema(kind)
     pattern = FACT_PATHS[kind]
     ids = F.array(*[F.regexp_extract("path", pattern, i) for i in range(1, pattern.count("(") + 1)])

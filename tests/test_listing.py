@@ -45,3 +45,18 @@ def test_missing_members_below_unread_places_are_not_reported(spark, tmp_path):
 
 def test_no_roots(spark):
     assert listing.list_directories(spark.createDataFrame([], "dir_id string, root string")).count() == 0
+
+
+def test_facts_are_read_by_tasks_once_for_all_kinds(spark, tmp_path):
+    """Nothing of a fact file goes through the driver's file index; names and paths are those of Spark's readers."""
+    from runloom.sources import records
+
+    for at in ("runs/a b/summary.json", "runs/_x/summary.json", "runs/r/.hidden.json", "runs/r/transitions/1.json", "runs/r/other.txt"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text('{"schema_version":2,"kind":"transition","payload":{"task_id":"t","state":"running"}}')
+    texts = records.fact_texts(spark, f"file://{tmp_path}")
+    seen = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(str(tmp_path)).selectExpr("input_file_name()", "value")
+    assert sorted(map(tuple, texts.collect())) == sorted(map(tuple, seen.collect())) and texts.count() == 2
+    facts, refused = records.read_facts(spark, str(tmp_path), "transition", texts=texts)
+    assert facts.count() == 1 and refused.count() == 0 and not any(f.endswith(".json") for f in facts.inputFiles())
+    assert records.read_facts(spark, str(tmp_path), "summary", texts=texts)[1].count() == 1
