@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.functions.digests import PREFIX, domain_digest
+from runloom.functions.digests import PREFIX, canonical, domain_digest
 from runloom.functions.exprs import fingerprint_struct, is_digest
 
 MATERIAL_SCHEMA, MATERIAL_VERSION = f"{PREFIX}:product-semantic-material", 1
@@ -98,6 +98,19 @@ def _references(c: Column, t: T.DataType) -> Column:
     return F.coalesce(F.flatten(F.transform(c if isinstance(t, T.ArrayType) else F.map_values(c), lambda x: _references(x, inner))), none)
 
 
+def _slim(c: Column, t: T.DataType) -> Column:
+    """``c`` with references cut down to their id and digest, which is all that is looked at."""
+    if not _holds(t, "", _is_reference_at):
+        return c
+    if is_reference(t):
+        return F.when(c.isNotNull(), F.struct(c["record_id"].alias("record_id"), c["semantic_digest"].alias("semantic_digest")))
+    if isinstance(t, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_slim(c[f.name], f.dataType).alias(f.name) for f in t]))
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _slim(x, t.elementType))
+    return F.transform_values(c, lambda _, x: _slim(x, t.valueType))
+
+
 def _rewritten(c: Column, t: T.DataType, path: str, kind: str, digest: Callable[[Column], Column]) -> Column:
     if is_reference(t):
         return digest(c)
@@ -117,8 +130,8 @@ def _rewritten(c: Column, t: T.DataType, path: str, kind: str, digest: Callable[
     return F.try_parse_json(c) if path in JSON[kind] and isinstance(t, T.StringType) else c
 
 
-def material(records: DataFrame, kind: str, key: str, digests: DataFrame | None = None, asset_identities: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """``(key, material, assets, reason)`` of records of one type (a key of :data:`FIELDS`).
+def material(records: DataFrame, kind: str, key: str, digests: DataFrame | None = None, asset_identities: DataFrame | None = None, strict: bool = False, also: list[str] | None = None) -> DataFrame:
+    """``(key, material, assets, reason)`` of records of one type (a key of :data:`FIELDS`), and their columns ``also``.
 
     ``material`` is canonical JSON, null with a ``reason``: ASSET_SET (identities are not of exactly the record's
     assets), ASSET_WEAK (one has none), REFERENCE_WEAK (a reference without a digest) or MATERIAL_JSON (opaque text
@@ -128,17 +141,20 @@ def material(records: DataFrame, kind: str, key: str, digests: DataFrame | None
 
     Location, size, media type, integrity and manifest of assets, producer, provenance and ids of the record itself
     aren't looked at. Missing columns are an error. Ids are looked up once per record and id; no record is held beside
-    another.
+    another. A record is shuffled once, by its key, its references cut down to id and digest.
     """
     ok = (lambda d: F.coalesce(is_digest(d), F.lit(False))) if strict else (lambda d: F.coalesce(d != "", F.lit(False)))
     fields = FIELDS[kind]
-    own = [F.col(key).alias("of"), F.struct(*fields).alias("record"), *([F.transform("assets", lambda a: F.struct(a["asset_id"].alias("asset_id"), a["asset_kind"].alias("asset_kind"))).alias("own_assets")] if kind == "product" else [])]
+    also = also or []
+    kinds = {f.name: f.dataType for f in records.select(*fields).schema}
+    own = [F.col(key).alias("of"), *also, F.struct(*[_slim(F.col(f), kinds[f]).alias(f) for f in fields]).alias("record"), *([F.transform("assets", lambda a: F.struct(a["asset_id"].alias("asset_id"), a["asset_kind"].alias("asset_kind"))).alias("own_assets")] if kind == "product" else [])]
     rows = records.select(*own)
     t = rows.schema["record"].dataType
 
     known = F.lit(None).cast("map<string,string>")
     if digests is not None and _holds(t, "", _is_reference_at):
-        asked = rows.select("of", F.explode(F.array_distinct(_references(F.col("record"), t))).alias("record_id"))
+        # the outer form, as Spark puts a filter below the other that works the whole array out twice more
+        asked = rows.select("of", F.explode_outer(F.array_distinct(_references(F.col("record"), t))).alias("record_id")).where("record_id IS NOT NULL")
         told = digests.where("record_id IS NOT NULL AND semantic_digest IS NOT NULL").groupBy("record_id").agg(F.min("semantic_digest").alias("semantic_digest"))
         told = told.repartition("record_id", "semantic_digest")  # so that the join can split an id that many ask for
         found = asked.join(told, "record_id").groupBy("of").agg(F.map_from_entries(F.collect_list(F.struct("record_id", "semantic_digest"))).alias("known_digests"))
@@ -176,7 +192,7 @@ def material(records: DataFrame, kind: str, key: str, digests: DataFrame | None
     else:
         whole = F.struct(*said.values())
     text = F.when(F.col("reason").isNull(), F.to_json(F.to_variant_object(whole)))
-    return rows.select(F.col("of").alias(key), text.alias("material"), F.to_json(F.to_variant_object("identities")).alias("assets"), "reason")
+    return rows.select(F.col("of").alias(key), *also, text.alias("material"), F.to_json(F.to_variant_object("identities")).alias("assets"), "reason")
 
 
 def product_content(products: DataFrame, key: str = "product_id", digests: DataFrame | None = None, asset_identities: DataFrame | None = None, domain: str = CONTENT_DOMAIN) -> DataFrame:
@@ -197,31 +213,31 @@ def artifact_identity(records: dict[str, DataFrame], producers: DataFrame, diges
     identity. Else what is weak first is the reason: the recipe, the inputs, the content. A digest covers schema,
     profile, recipe, port, material, asset identities and the order of inputs.
     """
-    parts = []
+    parts, text_id = [], F.col("record_id").cast("string")
+    head = ["schema_id", "schema_version", "profile_id", "profile_version", "valid"]
     for kind, rows in records.items():
-        head = ["schema_id", "schema_version"]
         own = lambda name, kind_of: F.col(name).cast(kind_of) if kind == "product" else F.lit(None).cast(kind_of)  # noqa: B023, E731
         valid = F.coalesce(F.col("structure_valid"), F.lit(False)) if kind == "product" and "structure_valid" in rows.columns else F.lit(True)
-        heads = rows.select("record_id", *head, own("profile_id", "string").alias("profile_id"), own("profile_version", "int").alias("profile_version"), valid.alias("valid"))
-        said = material(rows, kind, "record_id", digests, asset_identities if kind == "product" else None, strict=True)
-        both = heads.join(said, "record_id").select(F.lit(kind).alias("record_type"), F.col("record_id").cast("string").alias("record_id"), *head, "profile_id", "profile_version", "valid", "material", "assets", "reason")
-        if kind != "product" and asset_identities is not None:
-            some = asset_identities.select(F.col("record_id").cast("string").alias("record_id"), F.lit("ASSET_SET").alias("has_assets")).distinct()
+        # everything meets on the id as a text, so that a record is shuffled once
+        rows = rows.withColumns({"record_id": text_id, "profile_id": own("profile_id", "string"), "profile_version": own("profile_version", "int"), "valid": valid})
+        mine = None if asset_identities is None else asset_identities.withColumn("record_id", text_id)
+        said = material(rows, kind, "record_id", digests, mine if kind == "product" else None, strict=True, also=head)
+        both = said.withColumn("record_type", F.lit(kind))
+        if kind != "product" and mine is not None:
+            some = mine.select("record_id", F.lit("ASSET_SET").alias("has_assets")).distinct()
             both = both.join(some, "record_id", "left").withColumn("reason", F.coalesce("has_assets", "reason")).drop("has_assets")
-        parts.append(both)
+        made_by = producers.where(F.col("record_type") == kind).select(text_id.alias("record_id"), "recipe", "port", "inputs")
+        parts.append(both.join(made_by, "record_id", "left"))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    made_by = producers.select("record_type", F.col("record_id").cast("string").alias("record_id"), "recipe", "port", "inputs")
-    rows = rows.join(made_by, ["record_type", "record_id"], "left")
     port_ok = F.coalesce(F.col("port").rlike(r"\A\S(.*\S)?\z"), F.lit(False))
     refused = (
         F.when(~port_ok, "RESULT_OUTPUT_PORT").when(F.col("reason") == "ASSET_SET", "RESULT_ASSETS").when(~F.col("valid"), "RESULT_PRODUCT_STRUCTURE").when(F.col("reason") == "MATERIAL_JSON", "RESULT_SEMANTIC_MATERIAL")
     )
     weak = F.when(~F.coalesce(is_digest(F.col("recipe")), F.lit(False)), "RESULT_RECIPE_WEAK").when(F.col("inputs").isNull(), "RESULT_INPUT_IDENTITY_WEAK").when(F.col("material").isNull(), "RESULT_CONTENT_IDENTITY_WEAK")
-    whole = F.struct(
-        "schema_id", "schema_version", "profile_id", "profile_version", F.col("recipe").alias("producer_task_fingerprint"), F.col("port").alias("output_port"), F.parse_json("material").alias("typed_semantic_projection"),
-        F.parse_json("assets").alias("scientific_asset_content_identities"), F.col("inputs").alias("ordered_input_lineage"),
-    )
-    identity = fingerprint_struct(domain_digest(domain, F.to_json(F.to_variant_object(whole))), F.when(weak.isNull(), F.array().cast("array<string>")).otherwise(F.array(weak)))
+    head = canonical(ordered_input_lineage=F.col("inputs"), output_port=F.col("port"), producer_task_fingerprint=F.col("recipe"), profile_id=F.col("profile_id"), profile_version=F.col("profile_version"), schema_id=F.col("schema_id"), schema_version=F.col("schema_version"))
+    # material and assets are canonical texts already, and their keys are the last ones
+    whole = F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"scientific_asset_content_identities":'), F.coalesce("assets", F.lit("null")), F.lit(',"typed_semantic_projection":'), "material", F.lit("}"))
+    identity = fingerprint_struct(domain_digest(domain, F.when(refused.isNull() & weak.isNull(), whole)), F.when(weak.isNull(), F.array().cast("array<string>")).otherwise(F.array(weak)))
     return rows.select("record_type", "record_id", F.when(refused.isNull(), identity).alias("identity"), refused.alias("refused"))

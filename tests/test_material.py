@@ -133,3 +133,20 @@ def test_record_types_and_the_order_of_reasons(identify):
     assert identify(good, valid=False)["product", "p"][2] == "RESULT_PRODUCT_STRUCTURE"
     assert identify([("product", "p", "weak", " ", None)])["product", "p"] == (None, None, "RESULT_OUTPUT_PORT")
     assert identify([])["quality", "q"][2] == "RESULT_OUTPUT_PORT"
+
+
+def test_references_travel_as_id_and_digest(spark, tmp_path):
+    import contextlib
+    import io
+
+    none, bare = "CAST(array() AS array<struct<record_id:string,semantic_digest:string>>)", "named_struct('record_id', 'r', 'semantic_digest', sha2('r', 256))"
+    ref = "named_struct('record_id', 'r', 'semantic_digest', sha2('r', 256), 'manifest_digest', sha2('m', 256), 'locator', 'l')"
+    spark.sql(f"""SELECT id AS record_id, 's' AS schema_id, 1 AS schema_version, {ref} AS source_ref, 'm' AS mission,
+        map('a', named_struct('status', 'known', 'value', '1', 'evidence_refs', {none})) AS attributes, array({bare}) AS evidence_refs, map('x:y', '1') AS extensions FROM range(2)""").write.parquet(f"{tmp_path}/r")
+    made = spark.sql("SELECT 'acquisition' AS record_type, id AS record_id, sha2('x', 256) AS recipe, 'out' AS port, CAST(array() AS array<struct<port:string,semantic_digests:array<string>>>) AS inputs FROM range(2)")
+    digests = spark.sql("SELECT 'r' AS record_id, sha2('r', 256) AS semantic_digest")
+    out = M.artifact_identity({"acquisition": spark.read.parquet(f"{tmp_path}/r")}, made, digests)
+    assert [r.identity.reusable for r in out.collect()] == [True, True]
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        out.explain("formatted")
+    assert "source_ref:struct<record_id" in plan.getvalue() and "locator" not in plan.getvalue()
