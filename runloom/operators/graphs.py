@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from runloom.operators.issues import ERROR, UNVERIFIED, all_issues, issue
 from runloom.operators.walks import LIMIT, split, walk
-from runloom.sources.shared import checkpointed, shared_folder
+from runloom.sources.shared import checkpointed, dealt, shared_folder, small
 
 
 def edges(inputs: DataFrame, plan: str = "plan_id", task: str = "task_id", source: str = "src_task") -> DataFrame:
@@ -168,13 +168,13 @@ def check_ports(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ports:
     one is asked for.
     """
     subject = F.concat_ws("/", "plan_id", "task_id")
-    key = ["plan_id", "task_id", "port"]
+    key, source = ["plan_id", "task_id", "port"], ["plan_id", "src_task", "src_port"]
     src = outputs.select("plan_id", F.col("task_id").alias("src_task"), F.col("port").alias("src_port"), F.col("schema_id").alias("made_schema"), F.col("profile_id").alias("made_profile"), F.col("count").alias("n"))
     own = F.col("schema_id") if "schema_id" in inputs.columns else F.lit(None).cast("string")
-    flow = inputs.select(*key, "src_task", "src_port", own.alias("own_schema")).join(src, ["plan_id", "src_task", "src_port"], "left")
+    flow = dealt(inputs.select(*key, "src_task", "src_port", own.alias("own_schema")), *source).join(dealt(src, *source), source, "left")
     outside = F.col("src_task").isNull()
     # what is asked of a port, what flows into it and what is declared for it are rows of one table, and meet in one aggregate
-    asked = tasks.select("plan_id", "task_id", "operation_id").join(ports, "operation_id")
+    asked = tasks.select("plan_id", "task_id", "operation_id").join(small(ports), "operation_id")
     asked = asked.select(*key, "direction", F.struct("schema_id", "profile_id", "min_count", "max_count").alias("want"))
     got = F.when(outside, F.col("own_schema")).otherwise(F.col("made_schema"))
     flowing = flow.select(*key, F.lit("input").alias("direction"), F.struct(got.alias("schema"), F.col("made_profile").alias("profile"), F.coalesce("n", F.lit(1)).cast("long").alias("n"), outside.alias("outside")).alias("one"))
@@ -183,7 +183,7 @@ def check_ports(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ports:
     rows = rows.withColumn("want", F.lit(None).cast(asked.schema["want"].dataType)).unionByName(asked.withColumn("one", F.lit(None).cast(rows.schema["one"].dataType)))
     there, one = F.col("one").isNotNull(), lambda name: F.col(f"one.{name}")
     typed = there & ~one("outside") & (one("schema").isNotNull() | (F.col("direction") == "output"))
-    met = rows.groupBy(*key, "direction").agg(
+    met = dealt(rows, *key, "direction").groupBy(*key, "direction").agg(
         F.max("want").alias("want"), F.count_if(there).alias("n_rows"), F.coalesce(F.sum(one("n")), F.lit(0)).alias("total"), F.count_if(one("outside")).alias("n_external"), F.min(one("schema")).alias("low"), F.max(one("schema")).alias("high"),
         F.count_if(typed & one("profile").isNull()).alias("n_bare"), F.min(F.when(typed, one("profile"))).alias("low_profile"), F.max(F.when(typed, one("profile"))).alias("high_profile"), F.min(one("n")).alias("least"), F.max(one("n")).alias("most"),
     )
@@ -209,7 +209,7 @@ def check_ports(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ports:
     )
     if operations is None:
         return out
-    able = tasks.select("plan_id", "task_id", "operation_id", "capabilities").join(operations, "operation_id")
+    able = tasks.select("plan_id", "task_id", "operation_id", "capabilities").join(small(operations), "operation_id")
     none = F.array().cast("array<string>")
     lacking = F.array_except("required_capabilities", F.coalesce("capabilities", none))
     return out.unionByName(all_issues(able, subject, issue(F.size(lacking) > 0, "PLAN_CAPABILITY", F.array_join(F.array_sort(lacking), ","))))

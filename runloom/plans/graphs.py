@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runloom.operators import graphs as G
 from runloom.plans.history import MICROS
 from runloom.plans.registry import Tables, query
+from runloom.sources.shared import dealt
 
 NODES = "n AS (SELECT DISTINCT l_orderkey AS plan, l_linenumber AS task FROM lineitem)"
 EDGES = f"""{NODES}, e AS (SELECT DISTINCT c.plan, p.task AS parent, c.task AS child FROM n c JOIN n p ON p.plan = c.plan AND (p.task = c.task - 1 OR p.task = c.task // 2) WHERE p.task < c.task)"""
@@ -22,7 +23,8 @@ def task_inputs(t: Tables) -> DataFrame:
     n = nodes(t)
     both = n.select(F.col("plan").alias("plan_id"), F.col("task").alias("task_id"), F.explode(F.array_distinct(F.array(F.col("task") - 1, F.floor(F.col("task") / 2).cast("int")))).alias("src_task"))
     there = n.select(F.col("plan").alias("plan_id"), F.col("task").alias("src_task"))
-    return both.where("src_task < task_id").join(there, ["plan_id", "src_task"], "left_semi")
+    source = ["plan_id", "src_task"]
+    return dealt(both.where("src_task < task_id"), *source).join(dealt(there, *source), source, "left_semi")
 
 
 def edges(t: Tables) -> DataFrame:

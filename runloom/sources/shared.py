@@ -1,4 +1,4 @@
-"""Cutting lineage in the shared checkpoint folder."""
+"""Cutting lineage in the shared checkpoint folder, dealing rows."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +24,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over all of the session's shuffle partitions.
+
+    Spark joins small partitions by their compressed size, and sorted keys are many times larger in a task's memory.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def small(rules: DataFrame, limit: int = 10_000) -> DataFrame:
+    """``rules`` marked for broadcast if it has up to ``limit`` rows, which are counted.
+
+    A join on the few keys of such a table would deal all rows of the other side to as many tasks.
+    """
+    return F.broadcast(rules) if rules.limit(limit + 1).count() <= limit else rules
