@@ -307,3 +307,17 @@ def test_a_check_that_fails_while_it_runs_is_a_safe_code(spark):
     late = lambda df: df.select(F.raise_error(F.lit("secret message")).cast("string").alias("subject_id"), F.lit("error").alias("kind"), F.lit("x").alias("code"), F.lit("y").alias("location"))
     found = issues.apply_checks(rows, "id", {"good": good, "late": late}).collect()
     assert sorted((r.subject_id or "", r.kind, r.code, r.location) for r in found) == [("", "unverified", "CHECK_FAILED", "late"), ("a", "error", "bad", "v")]
+
+
+def test_few_rules_are_not_joined_by_their_keys(spark, capsys):
+    """All products of one profile would else be dealt to one task."""
+    from runloom.operators import products as P
+
+    rules = spark.createDataFrame([("p", 1, "r", 1, 1, ["file"])], "profile_id string, profile_version int, requirement_id string, min_count int, max_count int, allowed_kinds array<string>")
+    made = spark.createDataFrame([(i, "p", 1) for i in range(3)], "product_id long, profile_id string, profile_version int")
+    members = spark.range(2).selectExpr("id AS product_id", "'file' AS asset_kind")
+    found = P.check_cardinality(made, rules, members, P.asset_matches(), "c")
+    assert [(r.subject_id, r.observed_count) for r in found.collect()] == [("2", 0)]
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin [profile_id" in plan, plan
