@@ -32,23 +32,36 @@ def check_structure(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ext
     ``tasks``: plan_id, task_id. ``inputs``: plan_id, task_id, port, ord, src_task, src_port, artifact.
     ``outputs``: plan_id, task_id, port. ``externals``: plan_id, record_id, reference.
     """
-    subject = F.col("plan_id")
+    subject, key, source = F.col("plan_id"), ["plan_id", "task_id"], ["plan_id", "src_task"]
 
     def found(df: DataFrame, code: str, location: str) -> DataFrame:
         return df.select(subject.cast("string").alias("subject_id"), F.lit(ERROR).alias("kind"), F.lit(code).alias("code"), F.col(location).cast("string").alias("location"))
 
-    out = found(tasks.groupBy("plan_id", "task_id").count().where("count > 1"), "PLAN_DUPLICATE_TASK", "task_id")
-    twice = outputs.groupBy("plan_id", "task_id", "port").count().where("count > 1").select("plan_id", "task_id").distinct()
-    both = inputs.select("plan_id", "task_id", "port").distinct().join(outputs.select("plan_id", "task_id", "port").distinct(), ["plan_id", "task_id", "port"]).select("plan_id", "task_id").distinct()
-    out = out.unionByName(found(twice.unionByName(both).distinct(), "PLAN_DUPLICATE_PORT", "task_id"))
-    fed = inputs.where("src_task IS NOT NULL")
-    out = out.unionByName(found(fed.where("src_task = task_id").select("plan_id", "task_id").distinct(), "PLAN_SELF_REFERENCE", "task_id"))
-    there = tasks.select("plan_id", F.col("task_id").alias("src_task")).distinct()
-    lost = fed.where("src_task <> task_id").join(there, ["plan_id", "src_task"], "left_anti")
-    out = out.unionByName(found(lost.select("plan_id", "task_id").distinct(), "PLAN_UNKNOWN_TASK", "task_id"))
-    ports = outputs.select("plan_id", F.col("task_id").alias("src_task"), F.col("port").alias("src_port")).distinct()
-    lost = fed.where("src_task <> task_id").join(there, ["plan_id", "src_task"], "left_semi").join(ports, ["plan_id", "src_task", "src_port"], "left_anti")
-    out = out.unionByName(found(lost.select("plan_id", "task_id").distinct(), "PLAN_UNKNOWN_PORT", "task_id"))
+    fed = inputs.where("src_task <> task_id").select(*key, "src_task", "src_port")
+    there = dealt(tasks.select("plan_id", F.col("task_id").alias("src_task")), *source).distinct().withColumn("there", F.lit(True))
+    made = dealt(outputs.select("plan_id", F.col("task_id").alias("src_task"), F.col("port").alias("src_port")), *source).distinct().withColumn("made", F.lit(True))
+    lost = dealt(fed, *source).join(made, [*source, "src_port"], "left").join(there, source, "left").where("there IS NULL OR made IS NULL")
+    # what is said of a task, and what its inputs ask for in vain, are rows of one table, and meet in one aggregate
+    own = F.coalesce(F.col("src_task") == F.col("task_id"), F.lit(False))
+    none = F.lit(None).cast(inputs.schema["port"].dataType).alias("port")
+    rows = tasks.select(*key, none, F.lit("task").alias("what")).unionByName(outputs.select(*key, "port", F.lit("output").alias("what")))
+    rows = rows.unionByName(inputs.select(*key, "port", F.when(own, "self").otherwise("input").alias("what")))
+    rows = rows.unionByName(lost.select(*key, none, F.when(F.col("there").isNull(), "no task").otherwise("no port").alias("what")))
+    is_ = lambda *what: F.col("what").isin(*what)
+    met = dealt(rows, *key).groupBy(*key, "port").agg(
+        F.count_if(is_("task")).alias("n_tasks"), F.count_if(is_("output")).alias("n_out"), F.max(is_("input", "self")).alias("into"), *[F.max(is_(w)).alias(w) for w in ("self", "no task", "no port")],
+    )
+    both = F.col("into") & (F.col("n_out") > 0) & F.col("plan_id").isNotNull() & F.col("task_id").isNotNull() & F.col("port").isNotNull()
+    met = met.groupBy(*key).agg(F.sum("n_tasks").alias("n_tasks"), F.max((F.col("n_out") > 1) | both).alias("twice"), *[F.max(w).alias(w) for w in ("self", "no task", "no port")])
+    out = all_issues(
+        met,
+        subject,
+        issue(F.col("n_tasks") > 1, "PLAN_DUPLICATE_TASK", F.col("task_id")),
+        issue(F.col("twice"), "PLAN_DUPLICATE_PORT", F.col("task_id")),
+        issue(F.col("self"), "PLAN_SELF_REFERENCE", F.col("task_id")),
+        issue(F.col("no task"), "PLAN_UNKNOWN_TASK", F.col("task_id")),
+        issue(F.col("no port"), "PLAN_UNKNOWN_PORT", F.col("task_id")),
+    )
     if externals is not None:
         per = externals.groupBy("plan_id", "record_id").agg(F.count("*").alias("n"), F.count_distinct("reference").alias("refs"))
         out = out.unionByName(found(per.where("n > 1 AND refs = 1"), "PLAN_DUPLICATE_EXTERNAL", "record_id"))

@@ -321,3 +321,19 @@ def test_few_rules_are_not_joined_by_their_keys(spark, capsys):
     found.explain()
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin [profile_id" in plan, plan
+
+
+def test_structure_is_checked_in_as_many_partitions_as_there_are(spark, capsys):
+    """Ports that nothing names, and those of no plan, are told apart as before; no exchange may be joined to a few partitions."""
+    from runloom.operators import graphs as G
+
+    tasks = spark.createDataFrame([("p", 1), ("p", 2), (None, 1)], "plan_id string, task_id int")
+    outputs = spark.createDataFrame([("p", 1, None), ("p", 1, None), ("p", 2, "x"), (None, 1, "x"), ("p", 9, "x")], "plan_id string, task_id int, port string")
+    inputs = spark.createDataFrame([("p", 2, "x", 1, "y"), ("p", 2, None, 9, "x"), ("p", 1, "z", 2, "x"), (None, 2, "x", 1, "x"), ("p", 1, "in", None, None)], "plan_id string, task_id int, port string, src_task int, src_port string")
+    found = G.check_structure(tasks, inputs.withColumn("artifact", F.lit("a")), outputs)
+    assert sorted((r.subject_id or "", r.code, r.location) for r in found.collect()) == [
+        ("", "PLAN_UNKNOWN_TASK", "2"), ("p", "PLAN_DUPLICATE_PORT", "1"), ("p", "PLAN_DUPLICATE_PORT", "2"), ("p", "PLAN_UNKNOWN_PORT", "2"), ("p", "PLAN_UNKNOWN_TASK", "2"),
+    ]
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_NUM" in plan and "AQEShuffleRead coalesced" not in plan, plan
