@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.exprs import is_identifier, is_namespaced
 from runloom.operators.issues import ERROR, all_issues, issue
-from runloom.sources.shared import small
+from runloom.sources.shared import dealt, small
 
 CHILDREN = ("assets", "layers", "geometries", "lineage", "acquisition_refs")
 
@@ -146,7 +146,8 @@ def check_profile(products: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def check_lineage(lineage: DataFrame, parent: str, role: str, record: str, reference: Column) -> DataFrame:
     """(role, record) pairs that carry different references; equal repeats are data, not conflicts."""
-    n = lineage.groupBy(parent, role, record).agg(F.count_distinct(reference).alias("n")).where("n > 1")
+    rows = dealt(lineage.select(parent, role, record, reference.alias("reference")), parent, role, record)
+    n = rows.groupBy(parent, role, record).agg(F.min("reference").alias("low"), F.max("reference").alias("high")).where("low <> high")
     return n.select(F.col(parent).cast("string").alias("subject_id"), F.lit(ERROR).alias("kind"), F.lit("lineage-conflict").alias("code"), F.concat_ws(":", role, record).alias("location"))
 
 

@@ -337,3 +337,17 @@ def test_structure_is_checked_in_as_many_partitions_as_there_are(spark, capsys):
     found.explain()
     plan = capsys.readouterr().out
     assert "REPARTITION_BY_NUM" in plan and "AQEShuffleRead coalesced" not in plan, plan
+
+
+def dealt_plan(found, capsys):
+    """The plan of a query that ran: no exchange may be joined to a few partitions, whose memory would grow with the input."""
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_NUM" in plan and "AQEShuffleRead coalesced" not in plan, plan
+
+
+def test_lineage_is_checked_in_as_many_partitions_as_there_are(spark, capsys):
+    rows = spark.createDataFrame([("p", "r", "a", "x"), ("p", "r", "a", "x"), ("p", "r", "a", None), ("p", "r", "b", "x"), ("p", "r", "b", "y"), (None, None, "b", "x"), (None, None, "b", "y")], "product_id string, role string, record string, reference string")
+    found = products.check_lineage(rows, "product_id", "role", "record", F.col("reference"))
+    assert sorted((r.subject_id or "", r.code, r.location) for r in found.collect()) == [("", "lineage-conflict", "b"), ("p", "lineage-conflict", "r:b")]
+    dealt_plan(found, capsys)
