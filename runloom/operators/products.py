@@ -117,8 +117,8 @@ def check_cardinality(products: DataFrame, requirements: DataFrame, members: Dat
     products without any member count as zero.
     """
     on = on or ["profile_id", "profile_version"]
-    asked = products.select(product, *on).join(small(requirements), on)
-    r, m = asked.alias("r"), members.withColumn("member_found", F.lit(1)).alias("m")
+    asked = dealt(products.select(product, *on), product).join(small(requirements), on)
+    r, m = asked.alias("r"), dealt(members.withColumn("member_found", F.lit(1)), product).alias("m")
     joined = r.join(m, (F.col(f"r.{product}") == F.col(f"m.{product}")) & F.coalesce(matches, F.lit(False)), "left")
     n = joined.groupBy(F.col(f"r.{product}").alias("subject"), F.col("r.requirement_id").alias("requirement_id"), F.col("r.min_count").alias("min_count"), F.col("r.max_count").alias("max_count")).agg(F.count("m.member_found").alias("observed_count"))
     out = n.where("observed_count < min_count OR observed_count > max_count")

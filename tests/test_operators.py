@@ -351,3 +351,12 @@ def test_lineage_is_checked_in_as_many_partitions_as_there_are(spark, capsys):
     found = products.check_lineage(rows, "product_id", "role", "record", F.col("reference"))
     assert sorted((r.subject_id or "", r.code, r.location) for r in found.collect()) == [("", "lineage-conflict", "b"), ("p", "lineage-conflict", "r:b")]
     dealt_plan(found, capsys)
+
+
+def test_members_are_counted_in_as_many_partitions_as_there_are(spark, capsys):
+    rules = spark.createDataFrame([("p", 1, "r", 1, 1, ["file"])], "profile_id string, profile_version int, requirement_id string, min_count int, max_count int, allowed_kinds array<string>")
+    made = spark.createDataFrame([(i, "p", 1) for i in range(3)], "product_id long, profile_id string, profile_version int")
+    members = spark.createDataFrame([(0, "file"), (1, "file"), (1, "file"), (2, "dir")], "product_id long, asset_kind string")
+    found = products.check_cardinality(made, rules, members, products.asset_matches(), "c")
+    assert sorted((r.subject_id, r.observed_count) for r in found.collect()) == [("1", 2), ("2", 0)]
+    dealt_plan(found, capsys)
