@@ -40,13 +40,15 @@ def check_references(source: DataFrame, target: DataFrame, on: dict[str, str], s
     """
     rows = source if when is None else source.where(when)
     known = target.select(*[F.col(t).alias(s) for s, t in on.items()]).distinct()
-    lost = rows.join(known, list(on), "left_anti")
+    # not an anti join: Spark would push that below the dealing of rows
+    lost = rows.join(known.withColumn("reference_known", F.lit(True)), list(on), "left").where("reference_known IS NULL")
     return lost.select(F.col(subject).cast("string").alias("subject_id"), F.lit(ERROR).alias("kind"), F.lit(code).alias("code"), F.col(location).cast("string").alias("location"))
 
 
 def check_layers(layers: DataFrame, assets: DataFrame, geometries: DataFrame) -> DataFrame:
     """Layer references inside one product: assets, known geometries, mask layers."""
     mine = {"product_id": "product_id"}
+    layers, assets, geometries = (dealt(df, "product_id") for df in (layers, assets, geometries))
     found = check_references(layers, assets, mine | {"asset_id": "asset_id"}, "product_id", "layer_id", "missing-asset-reference", F.col("asset_id").isNotNull())
     known = layers.where(F.col("geometry_ref.status") == "known").select("product_id", "layer_id", F.col("geometry_ref.value").alias("geometry_id"))
     found = found.unionByName(check_references(known, geometries, mine | {"geometry_id": "geometry_id"}, "product_id", "layer_id", "missing-geometry-reference"))

@@ -360,3 +360,16 @@ def test_members_are_counted_in_as_many_partitions_as_there_are(spark, capsys):
     found = products.check_cardinality(made, rules, members, products.asset_matches(), "c")
     assert sorted((r.subject_id, r.observed_count) for r in found.collect()) == [("1", 2), ("2", 0)]
     dealt_plan(found, capsys)
+
+
+def test_layers_are_checked_in_as_many_partitions_as_there_are(spark, capsys):
+    reference = lambda status, **fields: F.struct(F.lit(status).alias("status"), *[v.alias(k) for k, v in fields.items()])
+    layers = spark.createDataFrame([("p", "l1", "a"), ("p", "l2", "x"), ("p", "l3", None), (None, "l4", "a")], "product_id string, layer_id string, asset_id string")
+    layers = layers.select("*", reference("known", value=F.lit("g")).alias("geometry_ref"), reference("known", value=F.struct(F.lit("mask").alias("kind"), F.when(F.col("layer_id") == "l1", "zz").otherwise("l1").alias("mask_layer_ref"))).alias("nodata"))
+    assets = spark.createDataFrame([("p", "a"), ("p", "a"), (None, "a")], "product_id string, asset_id string")
+    found = products.check_layers(layers, assets, spark.createDataFrame([("p", "g")], "product_id string, geometry_id string"))
+    assert sorted((r.subject_id or "", r.code, r.location) for r in found.collect()) == [
+        ("", "missing-asset-reference", "l4"), ("", "missing-geometry-reference", "l4"), ("", "missing-mask-layer-reference", "l4"), ("p", "missing-asset-reference", "l2"), ("p", "missing-mask-layer-reference", "l1"),
+    ]
+    found.explain()
+    assert "LeftAnti" not in capsys.readouterr().out  # which would be pushed below the dealing
