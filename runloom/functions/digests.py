@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,29 +39,33 @@ def manifest_digest(df: DataFrame, content: str, declared: str) -> DataFrame:
     return df.withColumn("manifest_digest", got).withColumn("verified", F.coalesce(got == F.col(declared), F.lit(False)))
 
 
-def streamed_digest(rows: DataFrame, by: list[str], order: list[str], text: Column, domain: str, openings: list[str], section: Column | None = None, also: list[Column] | None = None) -> DataFrame:
+def streamed_digest(rows: DataFrame, by: list[str], order: list[str], text: Column, domain: str, openings: list[str], section: Column | None = None, also: list[Column] | None = None, decided: bool = False, distinct: bool = False) -> DataFrame:
     """``(by, digest, n, also)``: the domain digest of a text per group that is put together row by row, ``text`` after text.
 
     ``openings`` stand before, between and behind the sections of the text; ``section`` (0, 1, ...) tells to which a row
-    belongs, and inside of it rows are joined by commas in ``order`` (nulls first), then by their text, repeats kept. A group
-    of only null texts has empty sections. ``also`` are booleans that must hold for every row (their conjunction). Rows are
-    dealt by group and sorted; a task hashes them as they come and holds one, however many a group has.
+    belongs, and inside of it rows are joined by commas in ``order`` (nulls first), then by their text, repeats kept unless
+    ``distinct``. A group of only null texts has empty sections. ``also`` are booleans that must hold for every row (their
+    conjunction). Rows are dealt by group and sorted; a task hashes them as they come and holds a batch of them, however many a
+    group has. If rows of equal places have equal texts (``decided``), these are made after sorting and not shuffled; ``rows``
+    should then have no other columns.
     """
     also = also or []
     keys = [f"k{i}" for i in range(len(by))]
     places = [f"o{i}" for i in range(len(order))]
     flags = [f"f{i}" for i in range(len(also))]
-    named = rows.select(
-        *[F.col(b).alias(k) for b, k in zip(by, keys)], (F.lit(0) if section is None else section).cast("int").alias("section"), *[F.col(o).alias(p) for o, p in zip(order, places)],
-        text.alias("text"), *[F.coalesce(a, F.lit(False)).alias(f) for a, f in zip(also, flags)],
-    )
+    part = (F.lit(0) if section is None else section).cast("int").alias("section")
+    own = [*[F.col(b).alias(k) for b, k in zip(by, keys)], part, text.alias("text"), *[F.coalesce(a, F.lit(False)).alias(f) for a, f in zip(also, flags)]]
+    if decided:
+        named = rows.repartition(*by).sortWithinPartitions(*by, *([] if section is None else [section.cast("int")]), *order).select(*own)
+    else:
+        named = rows.select(*own, *[F.col(o).alias(p) for o, p in zip(order, places)]).repartition(*keys).sortWithinPartitions(*keys, "section", *places, "text").select(*keys, "section", "text", *flags)
     kinds = [f"`{k}` {named.schema[k].dataType.simpleString()}" for k in keys]
     schema = ", ".join([*kinds, "digest string", "n long", *[f"{f} boolean" for f in flags]])
     head = domain.encode() + b"\0"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        types, current, h, at, n, first, held = None, None, None, 0, 0, True, []
+        types, current, h, at, n, first, held, last = None, None, None, 0, 0, True, [], None
 
         def close() -> None:
             for x in openings[at:]:
@@ -75,45 +80,54 @@ def streamed_digest(rows: DataFrame, by: list[str], order: list[str], text: Colu
 
         for b in batches:
             types = [b.schema.field(i).type for i in range(len(keys))]
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                group, part, piece, good = row[: len(keys)], row[len(keys)], row[len(keys) + 1], row[len(keys) + 2 :]
+            columns = [c.to_pylist() for c in b.columns]
+            texts, good, begin = columns[len(keys) + 1], columns[len(keys) + 2 :], 0
+            # rows of one group and section are hashed together, as far as the batch goes
+            for (*group, part), same in itertools.groupby(zip(*columns[: len(keys) + 1])):
+                end = begin + sum(1 for _ in same)
+                pieces, oks, begin = texts[begin:end], [g[begin:end] for g in good], end
                 if group != current:
                     if h is not None:
                         close()
-                        if len(done) == 10_000:
+                        if len(done) >= 10_000:
                             yield flush()
-                    current, h, at, n, first, held = group, hashlib.sha256(head), 0, 0, True, [True] * len(flags)
+                    current, h, at, n, first, held, last = group, hashlib.sha256(head), 0, 0, True, [True] * len(flags), None
                 while at <= part:
                     h.update(openings[at].encode())
-                    at, first = at + 1, True
-                if piece is not None:
-                    h.update(piece.encode() if first else b"," + piece.encode())
-                    n, first = n + 1, False
-                held = [x and y for x, y in zip(held, good)]
+                    at, first, last = at + 1, True, None
+                if None in pieces:
+                    pieces = [p for p in pieces if p is not None]
+                if distinct:
+                    pieces = [p for p, q in zip(pieces, [last, *pieces]) if p != q]
+                if pieces:
+                    h.update(("" if first else ",").encode() + ",".join(pieces).encode())
+                    n, first, last = n + len(pieces), False, pieces[-1]
+                held = [x and all(y) for x, y in zip(held, oks)]
         if h is not None:
             close()
         if done:
             yield flush()
 
-    dealt = named.repartition(*keys).sortWithinPartitions(*keys, "section", *places, "text").select(*keys, "section", "text", *flags)
-    out = dealt.mapInArrow(run, schema)
+    out = named.mapInArrow(run, schema)
     return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "digest", "n", *flags)
 
 
-def directory_digest(members: DataFrame, key: str = "dir_id", path: str = "path", kind: str = "kind", digest: str = "digest", domain: str = f"{PREFIX}.directory.v1") -> DataFrame:
-    """``(key, identity)``: digest over members in order of path; weak if any file's digest is. A directory may have any number of members."""
+def directory_digest(members: DataFrame, key: str = "dir_id", path: str = "path", kind: str = "kind", digest: str = "digest", domain: str = f"{PREFIX}.directory.v1", distinct: bool = False) -> DataFrame:
+    """``(key, identity)``: digest over members in order of path; weak if any file's digest is. A directory may have any number of
+    members; with ``distinct`` those that are the same in all three count once."""
     strong = (F.col(kind) != "file") | F.coalesce(is_digest(F.col(digest)), F.lit(False))
     text = F.to_json(F.struct(F.col(path).alias("path"), F.col(kind).alias("kind"), F.col(digest).alias("digest")), {"ignoreNullFields": "false"})
-    out = streamed_digest(members, [key], [path, kind, digest], text, domain, ["[", "]"], also=[strong])
+    out = streamed_digest(members.select(key, path, kind, digest), [key], [path, kind, digest], text, domain, ["[", "]"], also=[strong], decided=True, distinct=distinct)
     reasons = F.when(F.col("f0"), F.array().cast("array<string>")).otherwise(F.array(F.lit("MEMBER_UNVERIFIED")))
     return out.select(key, fingerprint_struct(F.col("digest"), reasons).alias("identity"))
 
 
-def scope_digest(files: DataFrame, key: str = "scope", name: str = "name", digest: str = "digest", domain: str = f"{PREFIX}.code.v1") -> DataFrame:
-    """``(key, identity)`` over logical name to digest, whatever the location; empty or weak scopes have none."""
+def scope_digest(files: DataFrame, key: str = "scope", name: str = "name", digest: str = "digest", domain: str = f"{PREFIX}.code.v1", distinct: bool = False) -> DataFrame:
+    """``(key, identity)`` over logical name to digest, whatever the location; empty or weak scopes have none. With ``distinct``
+    repeats are left out, which takes no shuffle of its own."""
     named = files.where(F.col(name).isNotNull())
     kinds = named.withColumnRenamed(digest, "digest").withColumn("kind", F.lit("file"))
-    return directory_digest(kinds, key, name, "kind", "digest", domain)
+    return directory_digest(kinds, key, name, "kind", "digest", domain, distinct)
 
 
 def input_identities(inputs: DataFrame, by: list[str], port: str = "port", order: str = "ord", digest: str = "semantic_digest") -> DataFrame:

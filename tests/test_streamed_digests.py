@@ -90,3 +90,16 @@ def test_whole_plans(plan):
     assert plan(externals=[]) not in (want, None) and plan(outputs=base["outputs"][:1]) not in (want, None)
     assert plan(tasks=[(*t[:2], "{", *t[3:]) for t in base["tasks"]]) is None
     assert plan(tasks=[]) == []
+
+
+def test_repeats_are_left_out_without_a_shuffle(spark):
+    h = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(2)]
+    rows = [("s", "a", h[0]), ("s", "a", h[1]), ("s", "b", h[0])] * 20_000 + [("w", "a", "weak"), ("w", "a", h[0]), (None, "a", h[0])]
+    df = spark.createDataFrame(rows, "scope string, name string, digest string").repartition(3)
+    out = D.scope_digest(df, distinct=True)
+    text = lambda *m: "[" + ",".join(f'{{"path":"{p}","kind":"file","digest":"{d}"}}' for p, d in m) + "]"
+    got = {r.scope: r.identity.value for r in out.collect()}
+    assert got == {"s": sha("runloom.code.v1", text(("a", min(h)), ("a", max(h)), ("b", h[0]))), "w": None, None: sha("runloom.code.v1", text(("a", h[0])))}
+    assert D.scope_digest(df).where("scope = 's'").first().identity.value != got["s"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("RepartitionByExpression [scope") == 1, plan
