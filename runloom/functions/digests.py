@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runloom.functions.exprs import fingerprint_struct, is_digest
 
@@ -27,6 +28,34 @@ def canonical(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+def _plain(t: T.DataType) -> bool:
+    """Whether ``to_json`` writes values of a type as it writes a VARIANT of them, but for the order of keys."""
+    if isinstance(t, T.StructType):
+        return len(t) > 0 and all(_plain(f.dataType) for f in t)
+    return _plain(t.elementType) if isinstance(t, T.ArrayType) else isinstance(t, (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
+def _by_name(c: Column, t: T.DataType) -> Column:
+    """``c`` with the fields of its structs in the order of a VARIANT's keys, that of UTF-16."""
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _by_name(x, t.elementType)) if isinstance(t.elementType, (T.ArrayType, T.StructType)) else c
+    if not isinstance(t, T.StructType):
+        return c
+    return F.when(c.isNotNull(), F.struct(*[_by_name(c[f.name], f.dataType).alias(f.name) for f in sorted(t, key=lambda f: f.name.encode("utf-16-be"))]))
+
+
+def canonical_text(df: DataFrame, c: Column) -> Column:
+    """JSON of a struct column of ``df`` with the keys of every object in order and nulls written; a VARIANT is made only of types whose text needs it."""
+    t = df.select(c.alias("c")).schema["c"].dataType
+    return F.to_json(_by_name(c, t), {"ignoreNullFields": "false"}) if _plain(t) else F.to_json(F.to_variant_object(c))
+
+
+def _value(df: DataFrame, c: Column) -> Column:
+    """JSON of a column of any type as it stands in an object, ``null`` where it is null."""
+    whole = canonical_text(df, F.struct(c.alias("v")))
+    return whole.substr(F.lit(6), F.length(whole) - 6)
+
+
 def ordered(group: DataFrame, by: list[str], order: list[str], value: Column, separator: str = ",") -> DataFrame:
     """One text per group: ``value`` of its rows, in order, repeats kept. Ties of the order are broken by the value."""
     row = F.struct(*[F.col(o) for o in order], value.alias("digest_value"))
@@ -270,22 +299,31 @@ def workflow_plan_digest(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame
     A task's own ports are put together per task; the plan is then hashed row by row, however many tasks it has.
     """
     key = ["plan_id", "task_id"]
-    source = F.when(F.col("artifact").isNotNull(), F.to_json(F.to_variant_object(F.struct(F.lit("artifact").alias("kind"), "artifact")))).otherwise(F.to_json(F.struct(F.lit("output").alias("kind"), F.col("src_port").alias("port"), F.col("src_task").alias("task_id")), {"ignoreNullFields": "false"}))
-    ports = inputs.groupBy(*key, "port").agg(F.array_sort(F.collect_list(F.struct("ord", source.alias("source")))).alias("refs"))
-    ports = ports.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("port", F.transform("refs", lambda r: r["source"]).alias("refs")))).alias("inputs"))
+    artifact = canonical_text(inputs, F.struct("artifact", F.lit("artifact").alias("kind")))
+    output = canonical_text(inputs, F.struct(F.lit("output").alias("kind"), F.col("src_port").alias("port"), F.col("src_task").alias("task_id")))
+    source = F.when(F.col("artifact").isNotNull(), artifact).otherwise(output)
+    # dealt once: ports, tasks and the join after it find their rows together
+    ports = inputs.select(*key, "port", "ord", source.alias("source")).repartition(*key)
+    ports = ports.groupBy(*key, "port").agg(F.array_sort(F.collect_list(F.struct("ord", "source"))).alias("refs"))
+    name = F.to_json(F.array("port"))
+    named = F.when(F.col("port").isNull(), F.raise_error(F.lit("an input without a port"))).otherwise(F.concat(name.substr(F.lit(2), F.length(name) - 2), F.lit(":["), F.array_join(F.transform("refs", lambda r: r["source"]), ","), F.lit("]")))
+    # ports stand in the order of a VARIANT's keys
+    row = F.struct(F.encode("port", "UTF-16BE").alias("place"), named.alias("text"))
+    ports = ports.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["text"]), ",").alias("inputs"))
     names = ["port", "schema_id", "schema_version", "profile_id", "profile_version", "count"]
     made = outputs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("outputs"))
     rows = tasks.select(*key, "parameters", *TASK_FIELDS).join(ports, key, "left").join(made, key, "left")
-    own = F.struct(
-        F.lit(TASK_SCHEMA).alias("schema_id"), F.col("task_id").cast("string").alias("task_id"), *TASK_FIELDS, F.try_parse_json("parameters").alias("semantic_parameters"),
-        F.coalesce(F.transform_values("inputs", lambda _, refs: F.transform(refs, lambda r: F.parse_json(r))), F.create_map().cast("map<string,array<variant>>")).alias("inputs"), F.coalesce("outputs", F.array().cast(made.schema["outputs"].dataType)).alias("outputs"),
-    )
-    texts = rows.select("plan_id", F.lit(1).alias("part"), F.col("task_id").cast("string").alias("place"), F.to_json(F.to_variant_object(own)).alias("text"), (F.col("parameters").isNull() | F.try_parse_json("parameters").isNotNull()).alias("good"))
-    outer = externals.select("plan_id", F.lit(0).alias("part"), F.col("artifact.record_id").alias("place"), F.to_json(F.to_variant_object("artifact")).alias("text"), F.lit(True).alias("good"))
+    said = F.to_json(F.try_parse_json("parameters"))
+    own = {"schema_id": F.lit(TASK_SCHEMA), "task_id": F.col("task_id").cast("string"), **{f: F.col(f) for f in TASK_FIELDS}, "outputs": F.coalesce("outputs", F.array().cast(made.schema["outputs"].dataType))}
+    texts = {n: F.concat(F.lit(f'"{n}":'), _value(rows, c)) for n, c in own.items()}
+    texts |= {"inputs": F.concat(F.lit('"inputs":{'), F.coalesce("inputs", F.lit("")), F.lit("}")), "semantic_parameters": F.concat(F.lit('"semantic_parameters":'), F.coalesce(said, F.lit("null")))}
+    whole = F.concat(F.lit("{"), F.concat_ws(",", *[texts[n] for n in sorted(texts)]), F.lit("}"))
+    texts = rows.select("plan_id", F.lit(1).alias("part"), F.col("task_id").cast("string").alias("place"), whole.alias("text"), (F.col("parameters").isNull() | said.isNotNull()).alias("good"))
+    outer = externals.select("plan_id", F.lit(0).alias("part"), F.col("artifact.record_id").alias("place"), canonical_text(externals, F.col("artifact")).alias("text"), F.lit(True).alias("good"))
     outer = outer.join(tasks.select("plan_id").distinct(), "plan_id", "left_semi")
     openings = ['{"external_inputs":[', f'],"schema_id":"{PLAN_SCHEMA}","schema_version":{PLAN_VERSION},"tasks":[', "]}"]
     out = streamed_digest(texts.unionByName(outer), ["plan_id"], ["place"], F.col("text"), domain, openings, F.col("part"), [F.col("good")])
-    counted = texts.groupBy("plan_id").agg(F.count("*").alias("n_tasks"))
+    counted = tasks.groupBy("plan_id").agg(F.count("*").alias("n_tasks"))
     out = out.join(counted, "plan_id").select("plan_id", F.when(F.col("f0"), F.col("digest")).alias("plan_digest"), "n_tasks")
     if declared is None:
         return out.withColumn("verified", F.lit(None).cast("boolean"))
