@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.operators.issues import ERROR, UNVERIFIED, all_issues, issue
-from runloom.operators.walks import LIMIT, split, walk
+from runloom.operators.walks import LIMIT, walk, walked
 from runloom.sources.shared import checkpointed, dealt, shared_folder, small
 
 
@@ -76,43 +76,44 @@ def check_structure(tasks: DataFrame, inputs: DataFrame, outputs: DataFrame, ext
 def _longest(rows: list[tuple]) -> Iterator[tuple]:
     """(task, level) of one plan from (task, parent) rows; None for tasks on or behind a cycle."""
     children: dict = {}
-    waits = {task: 0 for task, parent in rows if parent is None}
-    links = {row for row in rows if row[1] is not None}
-    for task, parent in links:
-        children.setdefault(parent, []).append(task)
-        waits[task] = waits.get(task, 0) + 1
-    level = dict.fromkeys(waits)
-    front, at = [t for t, n in waits.items() if n == 0], 0  # a parent that is no task is never placed
+    waits: dict = {}
+    own = []
+    for task, parent in set(rows):
+        if parent is None:
+            own.append(task)
+        else:
+            children.setdefault(parent, []).append(task)
+            waits[task] = waits.get(task, 0) + 1
+    placed: dict = {}
+    front, at = [t for t in own if t not in waits], 0  # a parent that is no task is never placed
     while front:
         following = []
         for t in front:
-            level[t] = at
+            placed[t] = at
             for c in children.get(t, ()):
                 waits[c] -= 1
                 if waits[c] == 0:
                     following.append(c)
         front, at = following, at + 1
-    own = {task for task, parent in rows if parent is None}
-    return ((t, n) for t, n in level.items() if t in own)
+    return ((t, placed.get(t)) for t in own)
 
 
 def levels(nodes: DataFrame, e: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``(plan, task, level)``: longest path from a root; null for tasks on or behind a cycle.
 
-    Plans of up to ``limit`` tasks and edges are walked, each in one task, in time linear in their size. Larger ones are
-    peeled together: a round takes the edges out of the tasks placed last, and the children that no other edge
+    Plans of up to ``limit`` tasks and edges, repeats included, are walked, each in one task, in time linear in their size. Larger
+    ones are peeled together: a round takes the edges out of the tasks placed last, and the children that no other edge
     holds are placed next, so there are as many rounds as the deepest of them has levels. Each round appends what it
     placed to a table in the shared folder, and reads only the edges that are left.
     """
     kind = dict(nodes.dtypes)["task"]
-    tasks = nodes.select("plan", "task").distinct()
-    links = e.where("parent IS NOT NULL").select("plan", "parent", "child").distinct()
+    tasks = nodes.select("plan", "task")
+    links = e.where("parent IS NOT NULL").select("plan", "parent", "child")
     rows = tasks.withColumn("parent", F.lit(None).cast(kind)).unionByName(links.select("plan", F.col("child").cast(kind).alias("task"), F.col("parent").cast(kind).alias("parent")))
-    small, large = split(rows, "plan", limit)
-    walked = walk(small, "plan", _longest, f"task {kind}, level long")
+    out, large = walked(rows, "plan", _longest, f"task {kind}, level long", limit)
     if large is None:
-        return walked
-    return walked.unionByName(_peeled(tasks.join(large, "plan", "left_semi"), links.join(large, "plan", "left_semi")))
+        return out
+    return out.unionByName(_peeled(tasks.join(large, "plan", "left_semi").distinct(), links.join(large, "plan", "left_semi").distinct()))
 
 
 def _peeled(tasks: DataFrame, links: DataFrame) -> DataFrame:
@@ -255,18 +256,17 @@ def blocked(e: DataFrame, states: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``(plan, task, blocked_by)``: transitive descendants of failed or blocked tasks that have not ended,
     with their direct blockers, sorted.
 
-    ``states``: plan, task, state. Plans of up to ``limit`` edges and states are walked, each in one task. In larger
+    ``states``: plan, task, state. Plans of up to ``limit`` edges and states, repeats included, are walked, each in one task. In larger
     ones a round spreads from the tasks found last, so there are as many rounds as the longest path behind a
     failure; each appends what it reached to a table in the shared folder.
     """
     kind = dict(states.dtypes)["task"]
-    links = e.where("parent IS NOT NULL").select("plan", F.col("child").cast(kind).alias("task"), F.col("parent").cast(kind).alias("parent")).distinct()
+    links = e.where("parent IS NOT NULL").select("plan", F.col("child").cast(kind).alias("task"), F.col("parent").cast(kind).alias("parent"))
     rows = links.withColumn("state", F.lit(None).cast("string")).unionByName(states.select("plan", "task", F.lit(None).cast(kind).alias("parent"), "state").where("state IS NOT NULL"))
-    small, large = split(rows, "plan", limit)
-    walked = walk(small, "plan", _spread, f"task {kind}, blocked_by array<{kind}>")
+    out, large = walked(rows, "plan", _spread, f"task {kind}, blocked_by array<{kind}>", limit)
     if large is None:
-        return walked
-    return walked.unionByName(_reached(links.join(large, "plan", "left_semi"), states.join(large, "plan", "left_semi")))
+        return out
+    return out.unionByName(_reached(links.join(large, "plan", "left_semi").distinct(), states.join(large, "plan", "left_semi")))
 
 
 def _reached(links: DataFrame, states: DataFrame) -> DataFrame:

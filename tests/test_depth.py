@@ -103,3 +103,15 @@ def test_timeline_of_one_busy_host(spark, parts):
     steps = sorted({(h, s, 1) for h, s, _, _ in rows} | {(h, f, 0) for h, _, f, _ in rows if f is not None}, key=lambda x: (x[0] or "", x[1], x[2]))
     want = {(h, t, k): sum(c for g, s, f, c in rows if g == h and (s, 1) <= (t, k)) - sum(c for g, s, f, c in rows if g == h and f is not None and (f, 0) <= (t, k)) for h, t, k in steps}
     assert got == want
+
+
+def test_what_plans_come_from_is_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [("p", 1), ("p", 2), ("p", 2), (None, 1), (None, 2), (None, 3), ("q", 1), ("q", 2), ("q", 3), ("q", 4)]
+    nodes = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(lambda r: seen.add(1) or r), "plan string, task int")
+    e = spark.createDataFrame([("p", 1, 2), (None, 1, 2), (None, 2, 3)], "plan string, parent int, child int")
+    got = {(r.plan, r.task): r.level for r in G.levels(nodes, e).collect()}
+    assert got == {("p", 1): 0, ("p", 2): 1, (None, 1): 0, (None, 2): 1, (None, 3): 2, **{("q", i): 0 for i in range(1, 5)}}
+    assert seen.value == len(rows)
+    # a null plan is walked whatever its size; the larger one is peeled, between two that are walked
+    assert {(r.plan, r.task): r.level for r in G.levels(nodes.repartition(1), e, limit=3).collect()} == {k: v for k, v in got.items() if k[0] != "p"} | {("p", 1): 0, ("p", 2): 1}

@@ -106,7 +106,7 @@ def test_repeats_are_left_out_without_a_shuffle(spark):
 
 
 def test_texts_are_those_of_a_variant(spark):
-    kind = "s struct<b:string,a:struct<z:array<struct<y:int,x:string>>,c:boolean>,B:bigint>, d struct<b:double,a:date,m:map<string,int>>"
+    kind = "s struct<q:string,a:struct<z:array<struct<y:int,x:string>>,c:boolean>,Z:bigint>, d struct<b:double,a:date,m:map<string,int>>"
     rows = [((c, ([(1, c), None, (None, None)], True), 2**62), (v, None, {"b": 1, "a": None})) for c, v in (('"\\/\n\t\x01\x7f é\U0001f600', 1e10), ("", -0.1), (None, 5.0))] + [(None, None), (("", None, None), None)]
     df = spark.createDataFrame(rows, kind)
     for c in ("s", "d"):
