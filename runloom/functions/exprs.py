@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that mark a key as secret, once it is lower-cased and stripped of punctuation.
@@ -126,13 +126,27 @@ def nodata_ok(kind: Column, value: Column, mask: Column) -> Column:
     )
 
 
+def reason_codes(reasons: Column) -> Column:
+    """Reasons sorted, distinct and well formed."""
+    return F.sort_array(F.array_distinct(F.filter(reasons, lambda r: r.isNotNull() & r.rlike(r"\A[A-Z][A-Z0-9_]*\z"))))
+
+
 def fingerprint_struct(value: Column, reasons: Column) -> Column:
     """Digest xor reasons: reasons are sorted, distinct and well formed, and a value with reasons is none."""
-    codes = F.array_sort(F.array_distinct(F.filter(reasons, lambda r: r.isNotNull() & r.rlike(r"\A[A-Z][A-Z0-9_]*\z"))))
+    codes = reason_codes(reasons)
     strong = (F.size(codes) == 0) & F.coalesce(is_digest(value), F.lit(False))
     return F.struct(F.when(strong, value).alias("value"), strong.alias("reusable"), codes.alias("reasons"))
 
 
+def with_fingerprint(df: DataFrame, name: str, value: Column, reasons: Column) -> DataFrame:
+    """``df`` with :func:`fingerprint_struct` as ``name``, worked out step by step: each part once, the value only where there is no reason."""
+    steps = df.withColumn("fp_codes", reason_codes(reasons))
+    steps = steps.withColumn("fp_value", F.when(F.size("fp_codes") == 0, value))
+    steps = steps.withColumn("fp_strong", F.coalesce(is_digest(F.col("fp_value")), F.lit(False)))
+    whole = F.struct(F.when(F.col("fp_strong"), F.col("fp_value")).alias("value"), F.col("fp_strong").alias("reusable"), F.col("fp_codes").alias("reasons"))
+    return steps.withColumn(name, whole).drop("fp_codes", "fp_value", "fp_strong")
+
+
 def location_ok(kind: Column, value: Column, anchor: Column) -> Column:
     """Relative locations need an absolute anchor, absolute ones none; remote ones carry no credentials."""
     relative = member_path_ok(value) & F.coalesce(anchor.startswith("/") & path_ok(anchor), F.lit(False))

@@ -373,3 +373,17 @@ def test_layers_are_checked_in_as_many_partitions_as_there_are(spark, capsys):
     ]
     found.explain()
     assert "LeftAnti" not in capsys.readouterr().out  # which would be pushed below the dealing
+
+
+def test_inputs_are_grouped_once(spark, capsys):
+    """Rows that are dealt by their group are not shuffled again by port; ports are told apart, also the one without a name."""
+    a, b, c = (x * 64 for x in "abc")
+    rows = [("t", "q", 2, a), ("t", "p", 1, b), ("t", None, 1, c), ("t", "q", 1, b), ("t", "q", 1, b), ("t", "r", None, a), ("u", "p", 1, a), ("v", "p", 1, a), ("v", "q", 1, "weak")]
+    df = spark.createDataFrame(rows, "task string, port string, ord int, semantic_digest string").repartition("task")
+    found = D.input_identities(df, ["task"], also=[F.count("*").alias("n")])
+    assert {r.task: (r.strong, r.n, r.inputs and [(i.port, i.semantic_digests) for i in r.inputs]) for r in found.collect()} == {
+        "t": (True, 6, [(None, [c]), ("p", [b]), ("q", [b, b, a]), ("r", [a])]), "u": (True, 1, [("p", [a])]), "v": (False, 2, None),
+    }
+    found.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1, plan
