@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runloom.operators import config as C
 from runloom.plans.registry import Tables, query
+from runloom.sources.shared import dealt
 
 #: Leaves of each customer's document, in SQL that Spark and DuckDB read alike: (path, value, condition).
 DAY = "CAST(date '2020-01-01' + CAST({n} AS INTEGER) AS {s})"
@@ -71,6 +72,22 @@ def leaves(t: Tables) -> DataFrame:
     return t.spark.sql(_ROWS.replace("FROM customer", "FROM runloom_customer"))
 
 
+def dealt_customers(t: Tables) -> DataFrame:
+    """Keys of customers, dealt while they are still small; a file of few bytes would be widened by one task."""
+    return dealt(t.customer.select("c_custkey"), "c_custkey")
+
+
+def dealt_leaves(t: Tables) -> DataFrame:
+    """The same leaves in one scan, dealt by document."""
+    each = F.array(*[F.when(F.expr(w), F.struct(F.lit(p).alias("path"), F.expr(v).alias("value_json"))) for p, v, w in LEAVES])
+    return dealt_customers(t).select(F.col("c_custkey").alias("config_id"), F.explode(each).alias("l")).where("l IS NOT NULL").select("config_id", "l.*")
+
+
+def explained(t: Tables) -> DataFrame:
+    base = dealt_customers(t).select(F.col("c_custkey").alias("config_id"), F.lit("/cfg").alias("base"))
+    return C.explained(dealt_leaves(t), base, C.rules(t.spark))
+
+
 def overrides(t: Tables) -> DataFrame:
     c, k = t.customer, F.col("c_custkey")
     row = lambda when, path, value: c.where(when).select(k.alias("config_id"), F.lit(path).alias("path"), F.lit(value).alias("value_json"))
@@ -140,7 +157,7 @@ def cfg6_derive_fields(t: Tables) -> DataFrame:
 
 @query(f"WITH {DERIVED} SELECT CAST(config_id AS VARCHAR) AS subject_id, 'error' AS kind, 'CONFIG_PATH' AS code, 'project.work_dir' AS location FROM resolved r WHERE path IN (SELECT path FROM dirs) GROUP BY config_id HAVING count(DISTINCT value_json) < count(*)")
 def cfg7_check_collisions(t: Tables) -> DataFrame:
-    return C.check_collisions(resolved(t))
+    return C.check_collisions(explained(t).where("NOT deferred"))
 
 
 @query(f"""WITH {DERIVED}, x AS (SELECT config_id, max(profile) AS profile, max(value_json) FILTER (path = 'workflow.pair.reference_date') AS ref, max(value_json) FILTER (path = 'workflow.pair.secondary_date') AS sec, max(value_json) FILTER (path = 'workflow.stack.start_date') AS a, max(value_json) FILTER (path = 'workflow.stack.end_date') AS b,
@@ -149,7 +166,7 @@ SELECT CAST(config_id AS VARCHAR) AS subject_id, 'error' AS kind, code, location
 UNION ALL SELECT config_id, 'CONFIG_CONFLICT', 'resources.num_proc' FROM x WHERE profile <> 'stack' AND n <> '0' UNION ALL SELECT config_id, 'CONFIG_CONFLICT', 'outputs.pair.phase_products' FROM x WHERE profile <> 'stack' AND u = 'false'
 UNION ALL SELECT config_id, 'CONFIG_RANGE', unnest(['data.search.half_width_deg', 'processing.roi.half_width_deg']) FROM x WHERE o)""")
 def cfg8_check_cross_fields(t: Tables) -> DataFrame:
-    return C.check_cross_fields(resolved(t))
+    return C.check_cross_fields(explained(t).where("NOT deferred"))
 
 
 AUDIT = f"{DERIVED}, audit AS (SELECT DISTINCT r.config_id, r.path, CASE WHEN r.path = 'mission.platform' THEN 'platform_alias' WHEN ends_with(r.path, '_date') THEN 'date_iso' ELSE 'path_absolute_lexical' END AS rule FROM resolved r JOIN leaves l ON l.config_id = r.config_id AND l.path = r.path WHERE l.value_json <> r.value_json)"
@@ -163,7 +180,7 @@ def cfg9_audit_normalizations(t: Tables) -> DataFrame:
 @query(f"""WITH {AUDIT} SELECT r.config_id, r.path, r.origin, r.dependencies, coalesce(a.rule, '') AS rules FROM resolved r LEFT JOIN audit a ON a.config_id = r.config_id AND a.path = r.path
 UNION ALL SELECT config_id, unnest({list(C.DEFERRED)!r}), 'deferred', '', '' FROM (SELECT DISTINCT config_id FROM resolved) UNION ALL SELECT DISTINCT config_id, 'event_bracketing', 'deferred', '', '' FROM resolved WHERE profile = 'event'""")
 def cfg10_explain(t: Tables) -> DataFrame:
-    return C.explain(resolved(t), C.audit_normalizations(leaves(t), resolved(t)))
+    return explained(t).select("config_id", "path", "origin", F.array_join("dependencies", ",").alias("dependencies"), F.coalesce("rule", F.lit("")).alias("rules"))
 
 
 @query(f"WITH {CHECKED} SELECT CAST(config_id AS VARCHAR) AS subject_id, 'error' AS kind, code, path AS location, row_number() OVER (PARTITION BY config_id ORDER BY path, code) AS issue_rank, row_number() OVER (PARTITION BY config_id ORDER BY path, code) = 1 AS headline FROM found")

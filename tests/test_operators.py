@@ -387,3 +387,24 @@ def test_inputs_are_grouped_once(spark, capsys):
     found.explain()
     plan = capsys.readouterr().out.split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_documents_are_explained_in_one_pass(spark, capsys):
+    """The same rows as step after step, without a join by path; a document without a profile or a folder has none."""
+    odd = {"project": {"work_dir": "../w//x/."}, "data": {"provider": "cdse", "paths": {"slc_dir": "../s", "dem_dir": None}}, "mission": {"platform": "S1A"}, "processing": {"roi": {"half_width_deg": None}}, "zz": 1, "resources": {"num_proc": None}}
+    docs = DOCS | {"odd": DOCS["manual"] | odd, "wide": DOCS["stack"] | {"data": {"search": {"longitude": 1, "latitude": 2, "half_width_deg": 3}, "catalog": {"timeout_seconds": 7}}}, "none": {"schema_version": 2}, "homeless": DOCS["event"]}
+    leaves, table = C.leaves_of(spark, docs).repartition(3, "config_id"), C.rules(spark)
+    base = spark.createDataFrame([(k, "/cfg/" + k) for k in docs if k != "homeless"], "config_id string, base string").repartition(3, "config_id")
+    full, _ = C.fill_defaults(C.canonical_leaves(leaves).withColumn("origin", F.lit("yaml")), C.select_profile(leaves), table)
+    resolved = C.derive_fields(full, base)
+    audit = C.audit_normalizations(leaves, resolved)
+    rows = C.explained(leaves, base, table)
+    plain = lambda df: sorted(map(str, df.collect()))
+    own = rows.where("NOT deferred")
+    assert plain(own.select(*resolved.columns)) == plain(resolved) and own.where("config_id = 'odd'").count() > 40
+    assert plain(rows.where("rule IS NOT NULL").select("config_id", "path", "rule")) == plain(audit) and audit.count() > 3
+    told = rows.select("config_id", "path", "origin", F.array_join("dependencies", ",").alias("dependencies"), F.coalesce("rule", F.lit("")).alias("rules"))
+    assert plain(told) == plain(C.explain(resolved, audit))
+    rows.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[-1]
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning(config_id") == plan.count("REPARTITION_BY_NUM") == 2, plan
