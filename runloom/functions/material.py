@@ -2,8 +2,8 @@
 
 A record's nested columns are rewritten by their schema. A reference (a struct with ``record_id`` and
 ``semantic_digest``) becomes the digest it stands for, at whatever depth; fields that hold references are renamed
-after what they then hold; columns of opaque JSON become values; everything else is kept. The result is one VARIANT,
-whose objects have their keys in order, so its text is canonical.
+after what they then hold; columns of opaque JSON become values; everything else is kept. Objects have their keys in
+the order of a VARIANT's, so the text is canonical: it is that of one VARIANT, but only leaves whose text needs it are made one.
 """
 
 from __future__ import annotations
@@ -87,20 +87,36 @@ def _exists(c: Column, t: T.DataType, path: str, at: Hit, test: Callable[[Column
     return F.coalesce(F.exists(c if isinstance(t, T.ArrayType) else F.map_values(c), lambda x: _exists(x, inner, path, at, test)), F.lit(False))
 
 
-def _references(c: Column, t: T.DataType) -> Column:
-    """Record ids of the references in ``c`` that carry no digest."""
-    none = F.array().cast("array<string>")
+def _places(t: T.DataType) -> list[tuple[str | None, ...]]:
+    """The ways to all references in a type: names of fields, and none for the elements of an array or the values of a map."""
     if is_reference(t):
-        return F.when(c.isNotNull() & (F.coalesce(c["semantic_digest"], F.lit("")) == "") & c["record_id"].isNotNull(), F.array(c["record_id"])).otherwise(none)
+        return [()]
     if isinstance(t, T.StructType):
-        return F.concat(none, *[F.coalesce(_references(c[f.name], f.dataType), none) for f in t if _holds(f.dataType, "", _is_reference_at)])
-    inner = _inner(t)
-    return F.coalesce(F.flatten(F.transform(c if isinstance(t, T.ArrayType) else F.map_values(c), lambda x: _references(x, inner))), none)
+        return [(f.name, *way) for f in t for way in _places(f.dataType)]
+    return [] if (inner := _inner(t)) is None else [(None, *way) for way in _places(inner)]
+
+
+def _without_digest(c: Column, t: T.DataType, way: tuple[str | None, ...]) -> Column:
+    """Record ids of the references at the end of a way in ``c`` that carry no digest, null for others: one, or an array where there may be many."""
+    if not way:
+        return F.when(F.coalesce(c["semantic_digest"], F.lit("")) == "", c["record_id"])
+    if way[0] is not None:
+        return _without_digest(c[way[0]], t[way[0]].dataType, way[1:])
+    elements, inner = c if isinstance(t, T.ArrayType) else F.map_values(c), _inner(t)
+    if None not in way[1:]:
+        return F.transform(elements, lambda x: _without_digest(x, inner, way[1:]))
+    return F.flatten(F.transform(elements, lambda x: F.coalesce(_without_digest(x, inner, way[1:]), F.array().cast("array<string>"))))
+
+
+def _missing(c: Column, t: T.DataType) -> Column:
+    """Record ids of all references in ``c`` that carry no digest, each once, and null among them."""
+    found, none = [(_without_digest(c, t, way), None in way) for way in _places(t)], F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.array(*[x for x, many in found if not many]).cast("array<string>"), *[F.coalesce(x, none) for x, many in found if many]))
 
 
 def _slim(c: Column, t: T.DataType) -> Column:
     """``c`` with references cut down to their id and digest, which is all that is looked at."""
-    if not _holds(t, "", _is_reference_at):
+    if not _holds(t, "", lambda kind, _: is_reference(kind) and len(kind) > 2):
         return c
     if is_reference(t):
         return F.when(c.isNotNull(), F.struct(c["record_id"].alias("record_id"), c["semantic_digest"].alias("semantic_digest")))
@@ -111,23 +127,50 @@ def _slim(c: Column, t: T.DataType) -> Column:
     return F.transform_values(c, lambda _, x: _slim(x, t.valueType))
 
 
+def _place(name: str) -> bytes:
+    """Where a name stands among the keys of a VARIANT, which are in the order of UTF-16."""
+    return name.encode("utf-16-be")
+
+
+def _in_order(t: T.DataType) -> bool:
+    """Whether ``to_json`` writes values of a type as it writes a VARIANT of them."""
+    if isinstance(t, T.StructType):
+        return len(t) > 0 and t.fieldNames() == sorted(t.fieldNames(), key=_place) and all(_in_order(f.dataType) for f in t)
+    return _in_order(t.elementType) if isinstance(t, T.ArrayType) else isinstance(t, (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
+def _by_key(m: Column) -> Column:
+    """A map with its entries in the order of a VARIANT's keys."""
+    place = lambda e: F.encode(e["key"], "UTF-16BE")
+    entries = F.array_sort(F.map_entries(m), lambda x, y: F.when(place(x) < place(y), -1).when(place(x) > place(y), 1).otherwise(0))
+    return F.when(F.size(m) < 2, m).otherwise(F.map_from_entries(entries))
+
+
+def _object(fields: dict[str, Column]) -> Column:
+    return F.struct(*[fields[n].alias(n) for n in sorted(fields, key=_place)])
+
+
 def _rewritten(c: Column, t: T.DataType, path: str, kind: str, digest: Callable[[Column], Column]) -> Column:
+    """What ``c`` says, as a value whose JSON is canonical."""
     if is_reference(t):
         return digest(c)
-    if not _holds(t, path, lambda kind_, at: is_reference(kind_) or at in JSON[kind] or at in NAMES.get(kind, {})):
+    if path in JSON[kind] and isinstance(t, T.StringType):
+        return F.try_parse_json(c)
+    if _in_order(t) and not _holds(t, path, lambda kind_, at: is_reference(kind_) or at in JSON[kind] or at in NAMES.get(kind, {})):
         return c
     if isinstance(t, T.StructType):
-        fields = []
+        if not len(t):
+            return F.to_variant_object(c)
+        fields = {}
         for f in t:
             below = _below(path, f.name)
-            name = NAMES.get(kind, {}).get(below, _renamed(f.name, f.dataType))
-            fields.append(_rewritten(c[f.name], f.dataType, below, kind, digest).alias(name))
-        return F.when(c.isNotNull(), F.struct(*fields))
+            fields[NAMES.get(kind, {}).get(below, _renamed(f.name, f.dataType))] = _rewritten(c[f.name], f.dataType, below, kind, digest)
+        return F.when(c.isNotNull(), _object(fields))
     if isinstance(t, T.ArrayType):
         return F.transform(c, lambda x: _rewritten(x, t.elementType, path, kind, digest))
     if isinstance(t, T.MapType):
-        return F.transform_values(c, lambda _, x: _rewritten(x, t.valueType, path, kind, digest))
-    return F.try_parse_json(c) if path in JSON[kind] and isinstance(t, T.StringType) else c
+        return _by_key(F.transform_values(c, lambda _, x: _rewritten(x, t.valueType, path, kind, digest)))
+    return c if isinstance(t, T.VariantType) else c.cast("variant")
 
 
 def material(records: DataFrame, kind: str, key: str, digests: DataFrame | None = None, asset_identities: DataFrame | None = None, strict: bool = False, also: list[str] | None = None) -> DataFrame:
@@ -141,7 +184,8 @@ def material(records: DataFrame, kind: str, key: str, digests: DataFrame | None
 
     Location, size, media type, integrity and manifest of assets, producer, provenance and ids of the record itself
     aren't looked at. Missing columns are an error. Ids are looked up once per record and id; no record is held beside
-    another. A record is shuffled once, by its key, its references cut down to id and digest.
+    another. A record is shuffled once, by its key, its references cut down to id and digest, and not at all if records were
+    dealt by their key before they were widened; then only ids and digests, these as bytes, travel.
     """
     ok = (lambda d: F.coalesce(is_digest(d), F.lit(False))) if strict else (lambda d: F.coalesce(d != "", F.lit(False)))
     fields = FIELDS[kind]
@@ -154,24 +198,31 @@ def material(records: DataFrame, kind: str, key: str, digests: DataFrame | None
     known = F.lit(None).cast("map<string,string>")
     if digests is not None and _holds(t, "", _is_reference_at):
         # the outer form, as Spark puts a filter below the other that works the whole array out twice more
-        asked = rows.select("of", F.explode_outer(F.array_distinct(_references(F.col("record"), t))).alias("record_id")).where("record_id IS NOT NULL")
+        full = F.struct(*fields)
+        asked = records.select(F.col(key).alias("of"), F.explode_outer(_missing(full, records.select(full).schema[0].dataType)).alias("record_id")).where("record_id IS NOT NULL")
         told = digests.where("record_id IS NOT NULL AND semantic_digest IS NOT NULL").groupBy("record_id").agg(F.min("semantic_digest").alias("semantic_digest"))
-        told = told.repartition("record_id", "semantic_digest")  # so that the join can split an id that many ask for
-        found = asked.join(told, "record_id").groupBy("of").agg(F.map_from_entries(F.collect_list(F.struct("record_id", "semantic_digest"))).alias("known_digests"))
+        strong = is_digest(F.col("semantic_digest"))
+        told = told.select("record_id", F.when(strong, F.unhex("semantic_digest")).alias("bytes"), F.when(~strong, F.col("semantic_digest")).alias("text"))
+        told = told.repartition("record_id", "bytes")  # so that the join can split an id that many ask for
+        found = asked.join(told, "record_id").select("of", "record_id", "bytes", "text").repartition("of")  # dealt before they are texts again
+        each = F.struct("record_id", F.coalesce(F.lower(F.hex("bytes")), "text").alias("semantic_digest"))
+        found = found.groupBy("of").agg(F.map_from_entries(F.collect_list(each)).alias("known_digests"))
         rows, known = rows.join(found, "of", "left"), F.col("known_digests")
     digest = lambda r: F.when(F.coalesce(r["semantic_digest"], F.lit("")) != "", r["semantic_digest"]).otherwise(F.try_element_at(known, r["record_id"]))
 
     identities = F.create_map().cast("map<string,string>")
     odd_set = weak_asset = F.lit(False)
     if kind == "product":
+        placed = lambda c: F.struct(F.encode(c.cast("string"), "UTF-16BE").alias("place"), c.cast("string").alias("asset_id"))
         if asset_identities is not None:
-            each = F.struct(F.col("asset_id").cast("string").alias("asset_id"), "content_identity")
-            pairs = asset_identities.groupBy(F.col(key).alias("of")).agg(F.array_sort(F.collect_list(each)).alias("identity_rows"))
+            each = F.struct(placed(F.col("asset_id")).alias("asset"), "content_identity")
+            pairs = asset_identities.groupBy(F.col(key).alias("of")).agg(F.sort_array(F.collect_list(each)).alias("identity_rows"))
             rows = rows.join(pairs, "of", "left")
-            given = F.coalesce("identity_rows", F.array().cast("array<struct<asset_id:string,content_identity:string>>"))
+            given = F.transform("identity_rows", lambda g: F.struct(g["asset"]["asset_id"].alias("asset_id"), g["content_identity"].alias("content_identity")))
+            given = F.coalesce(given, F.array().cast("array<struct<asset_id:string,content_identity:string>>"))
         else:
             given = F.array().cast("array<struct<asset_id:string,content_identity:string>>")
-        names = F.array_sort(F.transform(F.coalesce("own_assets", F.array().cast(rows.schema["own_assets"].dataType)), lambda a: a["asset_id"].cast("string")))
+        names = F.sort_array(F.transform(F.coalesce("own_assets", F.array().cast(rows.schema["own_assets"].dataType)), lambda a: placed(a["asset_id"])))["asset_id"]
         rows = rows.withColumns({"given": given, "asset_names": names})
         told = F.transform("given", lambda g: g["asset_id"])
         odd_set = ~told.eqNullSafe(F.array_distinct("asset_names"))
@@ -184,15 +235,15 @@ def material(records: DataFrame, kind: str, key: str, digests: DataFrame | None
     reason = F.when(odd_set, "ASSET_SET").when(weak_asset, "ASSET_WEAK").when(weak, "REFERENCE_WEAK").when(broken, "MATERIAL_JSON")
     rows = rows.withColumns({"reason": reason, "identities": identities})
 
-    said = {f.name: _rewritten(F.col("record")[f.name], f.dataType, f.name, kind, digest).alias(_renamed(f.name, f.dataType)) for f in t}
+    said = {_renamed(f.name, f.dataType): _rewritten(F.col("record")[f.name], f.dataType, f.name, kind, digest) for f in t}
     if kind == "product":
-        assets = F.transform("own_assets", lambda a: F.struct(*[a[f.name].alias(f.name) for f in rows.schema["own_assets"].dataType.elementType], F.try_element_at(F.col("identities"), a["asset_id"].cast("string")).alias("content_identity")))
-        extensions = said.pop("extensions")
-        whole = F.struct(F.lit(MATERIAL_SCHEMA).alias("schema_id"), F.lit(MATERIAL_VERSION).alias("schema_version"), F.struct(*said.values(), assets.alias("assets")).alias("product"), extensions)
-    else:
-        whole = F.struct(*said.values())
-    text = F.when(F.col("reason").isNull(), F.to_json(F.to_variant_object(whole)))
-    return rows.select(F.col("of").alias(key), *also, text.alias("material"), F.to_json(F.to_variant_object("identities")).alias("assets"), "reason")
+        own_asset = rows.schema["own_assets"].dataType.elementType
+        said["assets"] = F.transform("own_assets", lambda a: _object({f.name: _rewritten(a[f.name], f.dataType, f"assets.{f.name}", kind, digest) for f in own_asset} | {"content_identity": F.try_element_at(F.col("identities"), a["asset_id"].cast("string"))}))
+        said = {"extensions": said.pop("extensions"), "product": _object(said), "schema_id": F.lit(MATERIAL_SCHEMA), "schema_version": F.lit(MATERIAL_VERSION)}
+    written = {"ignoreNullFields": "false"}
+    text = F.when(F.col("reason").isNull(), F.to_json(_object(said), written))
+    # identities are in the order of their keys already
+    return rows.select(F.col("of").alias(key), *also, text.alias("material"), F.to_json("identities", written).alias("assets"), "reason")
 
 
 def product_content(products: DataFrame, key: str = "product_id", digests: DataFrame | None = None, asset_identities: DataFrame | None = None, domain: str = CONTENT_DOMAIN) -> DataFrame:

@@ -9,14 +9,16 @@ from runloom.functions import material as M
 from runloom.plans.digests import INPUTS, dsql, inputs
 from runloom.plans.registry import Tables, query
 
+REFERENCES = "array<struct<record_id:string,semantic_digest:string>>"
+
 
 def ref(record_id: Column, digest: Column | None = None) -> Column:
-    digest = F.lit(None).cast("string") if digest is None else digest
-    return F.struct(record_id.alias("record_id"), F.lit("s").alias("schema_id"), F.lit(1).alias("schema_version"), digest.alias("semantic_digest"), F.sha2(record_id, 256).alias("manifest_digest"), record_id.alias("locator"))
+    """A reference as far as it is looked at."""
+    return F.struct(record_id.alias("record_id"), (F.lit(None).cast("string") if digest is None else digest).alias("semantic_digest"))
 
 
 def semantic(value: Column, *evidence: Column, status: str = "known") -> Column:
-    proof = F.array(*evidence) if evidence else F.array().cast("array<struct<record_id:string,semantic_digest:string>>")
+    proof = F.array(*evidence) if evidence else F.array().cast(REFERENCES)
     return F.struct(F.lit(status).alias("status"), value.alias("value"), F.lit(None).cast("string").alias("reason_code"), proof.alias("evidence_refs"))
 
 
@@ -40,14 +42,16 @@ def digest_of(prefix: str, key: str) -> str:
 
 
 def distinct_lines(t: Tables) -> DataFrame:
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().withColumn("asset_id", F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey"))
+    """Lines, dealt by order while they are four numbers."""
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey").distinct().withColumn("asset_id", F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey"))
 
 
 def products(t: Tables) -> DataFrame:
     """Orders: a line is an asset, a layer and an ancestor; what it was made with is the order's geometry."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "asset_id")
-    nested = distinct_lines(t).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    rows = t.orders.join(nested, "o_orderkey", "left").withColumn("lines", F.coalesce("lines", F.array().cast(nested.schema["lines"].dataType)))
+    nested = distinct_lines(t).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").repartition("o_orderkey")
+    rows = orders.join(nested, "o_orderkey", "left").withColumn("lines", F.coalesce("lines", F.array().cast(nested.schema["lines"].dataType)))
     layer = lambda x: F.struct(
         F.concat(F.lit("layer:"), x["asset_id"]).alias("layer_id"), x["asset_id"].alias("asset_id"),
         semantic(F.struct(F.lit("los").alias("convention_id"), F.array(ref(F.concat(F.lit("supplier:"), x["l_suppkey"]))).alias("evidence_refs"))).alias("sign"),
@@ -144,7 +148,7 @@ def dig9_catalog_identity(t: Tables) -> DataFrame:
 """ + result_sql("a", "event_id", "user_id", "s:acquisition", NO_PROFILE, "(1 + event_id % 1000) % 31 = 0 OR (1 + user_id % 1000) % 31 = 0 OR (1 + event_id % 1000) > (SELECT max(c_custkey) FROM customer) OR (1 + user_id % 1000) > (SELECT max(c_custkey) FROM customer)"))
 def dig9_acquisition_identity(t: Tables) -> DataFrame:
     of = lambda c: F.concat(F.lit("customer:"), 1 + F.col(c) % 1000)
-    attributes = F.create_map(F.lit("type"), semantic(F.concat(F.lit('"'), F.col("event_type"), F.lit('"')), ref(of("user_id"))), F.lit("props"), semantic(F.col("props"), *[]).withField("evidence_refs", F.array().cast("array<struct<record_id:string,schema_id:string,schema_version:int,semantic_digest:string,manifest_digest:string,locator:string>>")))
+    attributes = F.create_map(F.lit("type"), semantic(F.concat(F.lit('"'), F.col("event_type"), F.lit('"')), ref(of("user_id"))), F.lit("props"), semantic(F.col("props")))
     mission = F.struct(F.lit("mission").alias("kind"), F.lit("web").alias("plugin_id"), F.lit(1).alias("api_version"))
     rows = t.events.select(
         "user_id", F.col("event_id").alias("record_id"), F.lit("s:acquisition").alias("schema_id"), F.lit(1).alias("schema_version"), ref(of("event_id")).alias("source_ref"), mission.alias("mission"), attributes.alias("attributes"),
