@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.functions.digests import PREFIX, canonical, domain_digest
-from runloom.functions.exprs import fingerprint_struct, is_digest
+from runloom.functions.exprs import is_digest, with_fingerprint
 
 MATERIAL_SCHEMA, MATERIAL_VERSION = f"{PREFIX}:product-semantic-material", 1
 CONTENT_DOMAIN, ARTIFACT_DOMAIN = f"{PREFIX}.product.content.v1", f"{PREFIX}.artifact.v1"
@@ -265,20 +265,23 @@ def artifact_identity(records: dict[str, DataFrame], producers: DataFrame, diges
     profile, recipe, port, material, asset identities and the order of inputs.
     """
     parts, text_id = [], F.col("record_id").cast("string")
+    whole_numbers = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     head = ["schema_id", "schema_version", "profile_id", "profile_version", "valid"]
     for kind, rows in records.items():
         own = lambda name, kind_of: F.col(name).cast(kind_of) if kind == "product" else F.lit(None).cast(kind_of)  # noqa: B023, E731
         valid = F.coalesce(F.col("structure_valid"), F.lit(False)) if kind == "product" and "structure_valid" in rows.columns else F.lit(True)
-        # everything meets on the id as a text, so that a record is shuffled once
-        rows = rows.withColumns({"record_id": text_id, "profile_id": own("profile_id", "string"), "profile_version": own("profile_version", "int"), "valid": valid})
-        mine = None if asset_identities is None else asset_identities.withColumn("record_id", text_id)
+        # everything meets on ids of one type, so that a record is shuffled once: as they are if all are the same whole numbers, else as texts
+        given_ids = [x.schema["record_id"].dataType for x in (rows, producers, asset_identities) if x is not None]
+        own_id = F.col("record_id") if isinstance(given_ids[0], whole_numbers) and len(set(given_ids)) == 1 else text_id
+        rows = rows.withColumns({"record_id": own_id, "profile_id": own("profile_id", "string"), "profile_version": own("profile_version", "int"), "valid": valid})
+        mine = None if asset_identities is None else asset_identities.withColumn("record_id", own_id)
         said = material(rows, kind, "record_id", digests, mine if kind == "product" else None, strict=True, also=head)
         both = said.withColumn("record_type", F.lit(kind))
         if kind != "product" and mine is not None:
             some = mine.select("record_id", F.lit("ASSET_SET").alias("has_assets")).distinct()
             both = both.join(some, "record_id", "left").withColumn("reason", F.coalesce("has_assets", "reason")).drop("has_assets")
-        made_by = producers.where(F.col("record_type") == kind).select(text_id.alias("record_id"), "recipe", "port", "inputs")
-        parts.append(both.join(made_by, "record_id", "left"))
+        made_by = producers.where(F.col("record_type") == kind).select(own_id.alias("record_id"), "recipe", "port", "inputs")
+        parts.append(both.join(made_by, "record_id", "left").withColumn("record_id", text_id))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
@@ -290,5 +293,7 @@ def artifact_identity(records: dict[str, DataFrame], producers: DataFrame, diges
     head = canonical(ordered_input_lineage=F.col("inputs"), output_port=F.col("port"), producer_task_fingerprint=F.col("recipe"), profile_id=F.col("profile_id"), profile_version=F.col("profile_version"), schema_id=F.col("schema_id"), schema_version=F.col("schema_version"))
     # material and assets are canonical texts already, and their keys are the last ones
     whole = F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"scientific_asset_content_identities":'), F.coalesce("assets", F.lit("null")), F.lit(',"typed_semantic_projection":'), "material", F.lit("}"))
-    identity = fingerprint_struct(domain_digest(domain, F.when(refused.isNull() & weak.isNull(), whole)), F.when(weak.isNull(), F.array().cast("array<string>")).otherwise(F.array(weak)))
-    return rows.select("record_type", "record_id", F.when(refused.isNull(), identity).alias("identity"), refused.alias("refused"))
+    rows = rows.withColumns({"refused": refused, "weak": weak})
+    sound = F.col("refused").isNull() & F.col("weak").isNull()
+    rows = with_fingerprint(rows, "identity", domain_digest(domain, F.when(sound, whole)), F.when(F.col("weak").isNull(), F.array().cast("array<string>")).otherwise(F.array("weak")))
+    return rows.select("record_type", "record_id", F.when(F.col("refused").isNull(), F.col("identity")).alias("identity"), "refused")

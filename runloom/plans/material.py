@@ -150,7 +150,8 @@ def dig9_acquisition_identity(t: Tables) -> DataFrame:
     of = lambda c: F.concat(F.lit("customer:"), 1 + F.col(c) % 1000)
     attributes = F.create_map(F.lit("type"), semantic(F.concat(F.lit('"'), F.col("event_type"), F.lit('"')), ref(of("user_id"))), F.lit("props"), semantic(F.col("props")))
     mission = F.struct(F.lit("mission").alias("kind"), F.lit("web").alias("plugin_id"), F.lit(1).alias("api_version"))
-    rows = t.events.select(
+    events = t.events.select("event_id", "user_id", "event_type", "props").repartition("event_id")
+    rows = events.select(
         "user_id", F.col("event_id").alias("record_id"), F.lit("s:acquisition").alias("schema_id"), F.lit(1).alias("schema_version"), ref(of("event_id")).alias("source_ref"), mission.alias("mission"), attributes.alias("attributes"),
         F.array(ref(F.lit("x"), F.sha2("event_type", 256))).alias("evidence_refs"), F.create_map(F.lit("x:user"), F.col("user_id").cast("string")).alias("extensions"),
     )

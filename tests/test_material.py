@@ -157,7 +157,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
-@pytest.mark.parametrize("name", ["dig8_content_material"])
+@pytest.mark.parametrize("name", ["dig8_content_material", "dig9_product_identity", "dig9_acquisition_identity"])
 def test_records_are_dealt_before_they_are_widened(spark, name):
     """What is shuffled are numbers, names and digests as bytes, never a record or a part of one."""
     from runloom.plans import all_queries
@@ -208,3 +208,14 @@ def test_text_is_that_of_a_variant(spark):
     assert v[1:-1].split(',"layers":')[0] in got.material and '"layers":[{"j":null,"k":2}]' in got.material and said["geometries"][1] is None
     assert list(said["semantic_metadata"]) == ["a", "b", "\U0001f600", ""] and list(json.loads(got.material)["extensions"]) == ["a", "b"]
     assert got.assets == '{"\U0001f600":"j","":"i"}'
+
+
+def test_ids_are_texts_or_numbers(spark):
+    def run(*kinds):
+        rows = spark.createDataFrame([BASE | {"product_id": "7"}], PRODUCT).selectExpr(f"CAST(product_id AS {kinds[0]}) AS record_id", "'s' AS schema_id", "1 AS schema_version", "*")
+        made = spark.sql(f"SELECT 'product' AS record_type, CAST('7' AS {kinds[1]}) AS record_id, sha2('x', 256) AS recipe, 'out' AS port, CAST(array() AS array<struct<port:string,semantic_digests:array<string>>>) AS inputs")
+        given = spark.sql(f"SELECT CAST('7' AS {kinds[2]}) AS record_id, 'a' AS asset_id, '{HEX}' AS content_identity")
+        return M.artifact_identity({"product": rows}, made, spark.createDataFrame(DIGESTS, "record_id string, semantic_digest string"), given).first()
+
+    numbers, texts, mixed = run("bigint", "bigint", "bigint"), run("string", "string", "string"), run("int", "string", "bigint")
+    assert numbers == texts == mixed and numbers.record_id == "7" and numbers.identity.reusable
